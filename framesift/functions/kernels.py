@@ -135,3 +135,8 @@ def trailing_mode(history: np.ndarray, window: int) -> np.ndarray:
         best = np.where(better, mine, best)
         best_count = np.where(better, count, best_count)
     return best.astype(np.uint8)
+
+
+def first_max(logits: np.ndarray) -> np.ndarray:
+    """Position of the first maximum along axis 0; NaN never wins."""
+    return np.argmax(np.where(np.isnan(logits), -np.inf, logits), axis=0).astype(np.uint8)

@@ -267,6 +267,28 @@ def valid_fraction(mask: pa.Array) -> pa.Array:
                      for v, good in zip(byte_rows(mask), ok)], pa.float64())
 
 
+def masked_fraction(mask) -> Column:
+    """Share of the frame that is masked out; 0 when there is no mask."""
+    return F.coalesce(1.0 - valid_fraction(mask), F.lit(0.0))
+
+
+def label_argmax(logits, classes: int) -> Column:
+    """Class-major logits of one frame to one label per pixel; the first maximum wins."""
+    @F.arrow_udf(T.BinaryType())
+    def run(column: pa.Array) -> pa.Array:
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        out = []
+        for row in column:
+            if not row.is_valid:
+                out.append(None)
+                continue
+            out.append(kernels.first_max(
+                row.values.to_numpy(zero_copy_only=False).reshape(classes, -1)))
+        return binary_from_rows(out)
+    return run(logits)
+
+
 @F.arrow_udf(T.BinaryType())
 def mask_and(a: pa.Array, b: pa.Array) -> pa.Array:
     """Zero wherever either mask is zero; a missing mask changes nothing."""

@@ -59,6 +59,12 @@ def plain_number(values: pa.Array) -> pa.Array:
                      for v in values.to_pylist()], pa.string())
 
 
+def parsed_once(document: Column) -> Column:
+    """A parsed document as a generated row, so that filters on its fields are not
+    rewritten into filters that each parse it again."""
+    return F.explode(F.array(document))
+
+
 def mask_path(folder: str, name: Column) -> Column:
     return F.concat(F.lit(f"{folder}/"), name, F.lit(".png"))
 

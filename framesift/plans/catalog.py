@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from framesift.plans import tabular  # noqa: F401
+from framesift.plans import imaging, ordered, tabular  # noqa: F401
+from framesift.plans.ordered import flagship
 from framesift.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "flagship"]

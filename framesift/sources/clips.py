@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from framesift import params as P
-from framesift.functions.text import extension, file_stem
+from framesift.functions.text import extension, file_stem, parsed_once
 
 PROBE = T.StructType([
     T.StructField("streams", T.ArrayType(T.StructType([
@@ -77,7 +77,7 @@ def _rate(text: Column) -> Column:
 def probe_clips(reports: DataFrame) -> DataFrame:
     """Probe reports (path, report JSON) as clips; `error` says why one is refused."""
     parsed = reports.select(
-        "path", F.from_json("report", PROBE).alias("r"))
+        "path", parsed_once(F.from_json("report", PROBE)).alias("r"))
     flat = parsed.select(
         "path",
         F.get(F.col("r.streams"), 0).isNotNull().alias("has_stream"),

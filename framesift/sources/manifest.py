@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from framesift import params as P
-from framesift.functions.text import plain_number
+from framesift.functions.text import parsed_once, plain_number
 from framesift.operators.ordering import dense_index, index_bucket
 
 _S, _L, _D, _B, _I = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.IntegerType()
@@ -80,7 +80,7 @@ def read_manifest_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 def parse_manifests(documents: DataFrame, key: str) -> DataFrame:
     """The same from a JSON text column `document`."""
-    m = F.from_json("document", MANIFEST, {"mode": "FAILFAST"})
+    m = parsed_once(F.from_json("document", MANIFEST, {"mode": "FAILFAST"}))
     return with_defaults(documents.select(key, m.alias("m")).select(key, "m.*"))
 
 

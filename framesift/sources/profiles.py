@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from framesift import params as P
-from framesift.functions.text import ascii_lower, matches_terms
+from framesift.functions.text import ascii_lower, matches_terms, parsed_once
 
 _SIZE = T.StructType([T.StructField("w", T.IntegerType()), T.StructField("h", T.IntegerType())])
 
@@ -42,7 +42,7 @@ def read_profile_files(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_profiles(documents: DataFrame, key: str = "path") -> DataFrame:
     """Profile documents as rows; `error` says why one is refused."""
-    p = F.from_json("document", PROFILE)
+    p = parsed_once(F.from_json("document", PROFILE))
     flat = documents.select(key, p.alias("p")).select(
         key, F.col("p").isNotNull().alias("_parsed"),
         F.col("p.name").alias("name"),
