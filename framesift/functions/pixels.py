@@ -202,6 +202,16 @@ def crop_rgb(rgb, width, height, left, top, to_width, to_height) -> Column:
     return run(rgb, width, height, left, top, to_width, to_height)
 
 
+def channel(rgb, number: int) -> Column:
+    """One channel of an RGB frame."""
+    @F.arrow_udf(T.BinaryType())
+    def run(column: pa.Array) -> pa.Array:
+        ok = np.asarray(column.is_valid())
+        return binary_from_rows([v.reshape(-1, 3)[:, number] if good else None
+                                 for v, good in zip(byte_rows(column), ok)])
+    return run(rgb)
+
+
 def label_to_mask(labels, class_id: int) -> Column:
     """0 where the label is the class (ignore), 255 elsewhere."""
     @F.arrow_udf(T.BinaryType())

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
+from framesift.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -17,7 +21,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = run
+
+        @wraps(run)
+        def shipped(spark: SparkSession, sf: str) -> DataFrame:
+            return run(ship_package(spark), sf)
+        QUERIES[name] = shipped
         if sql is not None:
             ORACLES[name] = sql.strip()
         return run

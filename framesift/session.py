@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +29,33 @@ def build_session(app: str = "framesift", master: str | None = None, **conf: str
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in Python workers, wherever they run.
+
+    The sources go through the shared folder once per application.
+    """
+    context = spark.sparkContext
+    if any(name.startswith("framesift-") for name in context._python_includes):
+        return spark
+    from pyarrow import fs as pafs
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.join("framesift", os.path.relpath(full, root)))
+    target = f"{shared_dir(spark)}/framesift/framesift-{uuid.uuid4().hex}.zip"
+    files, path = pafs.FileSystem.from_uri(target)
+    files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with files.open_output_stream(path) as stream:
+        stream.write(body.getvalue())
+    context.addPyFile(target)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
