@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesift.plans import datasets, imaging, ordered, tabular  # noqa: F401
+from framesift.plans import datasets, imaging, ordered, streams, tabular  # noqa: F401
 from framesift.plans.ordered import flagship
 from framesift.plans.registry import ORACLES, QUERIES
 

@@ -142,34 +142,48 @@ def _manifest_parts(spark, sf):
         F.lit(None).cast("array<double>").alias("pinhole_intrinsics"))
     totals = records.run_totals(rec.withColumn("carried", F.lit(False)).withColumn("wall_seconds", F.lit(0.0)))
     totals = totals.select("decoded", "kept", "written", "wall_seconds", "decoded_fps", "written_fps")
-    header = spark.range(1).select(
-        F.lit("framesift").alias("tool"), F.lit(True).alias("completed"),
+    return clips, selection.kept_chunks(decided, 16), totals
+
+
+def _run_parameters():
+    return [
+        F.lit("framesift").alias("tool"),
         F.struct(
             F.struct(F.lit("same").alias("kind")).alias("output_size"),
             F.struct(F.lit("png").alias("format")).alias("format"),
             F.struct(F.struct(F.lit("every-nth").alias("mode"), F.lit(5).alias("n")).alias("mode"),
                      F.lit(100.0).alias("blur_floor")).alias("selection"),
-            F.lit(P.INTERPOLATION).alias("interpolation")).alias("params"))
-    return header, clips, selection.kept_chunks(decided, 16), totals
+            F.lit(P.INTERPOLATION).alias("interpolation")).alias("params")]
 
 
 @query("sink_manifest", V.ctes("metric_events") + """,
     p AS (SELECT clip_id, frame_index, row_number() OVER (PARTITION BY clip_id ORDER BY frame_index) AS rn
           FROM metric_events WHERE NOT (sharpness < 100)),
-    k AS (SELECT clip_id, frame_index FROM p WHERE (rn - 1) % 5 = 0)
+    k AS (SELECT clip_id, frame_index FROM p WHERE (rn - 1) % 5 = 0),
+    l AS (SELECT clip_id, frame_index // 16 AS chunk, string_agg(frame_index, ',' ORDER BY frame_index) AS kept_frames
+          FROM k GROUP BY ALL),
+    d AS (SELECT clip_id, count(*) AS frames_decoded FROM metric_events GROUP BY clip_id),
+    n AS (SELECT clip_id, count(*) AS frames_kept FROM k GROUP BY clip_id)
     SELECT clip_id AS position, concat('user', clip_id) AS stem, 'every-nth' AS mode, true AS completed,
-           count(DISTINCT m.frame_index) AS frames_decoded, count(DISTINCT k.frame_index) AS frames_kept,
-           coalesce(string_agg(DISTINCT k.frame_index, ',' ORDER BY k.frame_index), '') AS kept_frames,
+           frames_decoded, coalesce(frames_kept, 0) AS frames_kept, chunk, kept_frames,
            (SELECT count(*) FROM k) AS total_kept
-    FROM metric_events m LEFT JOIN k USING (clip_id) GROUP BY clip_id""")
+    FROM d LEFT JOIN n USING (clip_id) LEFT JOIN l USING (clip_id)""")
 def sink_manifest(spark, sf):
-    """The manifest document written line by line and parsed back."""
+    """Two batches of finished clips recorded, the run closed, everything read back."""
     path = scratch_path(spark, "manifest")
-    manifest_source.write_manifest(manifest_source.manifest_lines(*_manifest_parts(spark, sf)), path)
-    m = manifest_source.read_manifests(spark, path)
-    runs = m.select("completed", F.col("params.selection.mode.mode").alias("mode"),
-                    F.col("totals.kept").alias("total_kept"), "clips")
-    return manifest_source.manifest_clips(runs, "completed", "mode", "total_kept").select(
-        F.regexp_extract("stem", r"(\d+)$", 1).cast("long").alias("position"), "stem", "mode", "completed",
-        "frames_decoded", "frames_kept", "total_kept",
+    clips, kept, totals = _manifest_parts(spark, sf)
+    for batch in (0, 1):
+        mine = F.col("clip_id") % 2 == batch
+        manifest_source.record_clips(clips.filter(mine), kept.filter(mine), path, "run", batch)
+    manifest_source.finish_run(
+        totals.select(F.struct("*").alias("totals"), *_run_parameters()), path, "run")
+    run = manifest_source.recorded_run(spark, path, "run").select(
+        "run_id", "completed", F.col("params.selection.mode.mode").alias("mode"),
+        F.col("totals.kept").alias("total_kept"))
+    lists = manifest_source.recorded_kept(spark, path, "run").select(
+        "clip_id", "chunk",
         F.array_join(F.col("kept_frames").cast("array<string>"), ",").alias("kept_frames"))
+    return (manifest_source.recorded_clips(spark, path, "run")
+            .join(run, "run_id").join(lists, "clip_id", "left")
+            .select("position", "stem", "mode", "completed", "frames_decoded", "frames_kept",
+                    "chunk", "kept_frames", "total_kept"))

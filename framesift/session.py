@@ -55,6 +55,10 @@ def ship_package(spark: SparkSession) -> SparkSession:
     with files.open_output_stream(path) as stream:
         stream.write(body.getvalue())
     context.addPyFile(target)
+    # Stateful streaming also starts a Python process next to the driver, which is
+    # not given added files; there the package is where the driver found it.
+    known = context.environment.get("PYTHONPATH", "")
+    context.environment["PYTHONPATH"] = os.pathsep.join(p for p in (os.path.dirname(root), known) if p)
     return spark
 
 

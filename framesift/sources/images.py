@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -162,9 +163,17 @@ class FrameFiles(DataSource):
         return ImageWriter(self.options["path"], int(self.options.get("quality", P.JPEG_QUALITY)))
 
 
+def register_sink(spark: SparkSession) -> None:
+    """Make `frame_files` known to a session, once."""
+    try:
+        spark.dataSource.register(FrameFiles)
+    except AnalysisException as e:
+        if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+            raise
+
+
 def _write(rows: DataFrame, path: str, quality: int) -> None:
-    spark = rows.sparkSession
-    spark.dataSource.register(FrameFiles)
+    register_sink(rows.sparkSession)
     uri = path if "://" in path or path.startswith("/") else f"/{path}"
     (rows.select("file", F.col("width").cast("int").alias("width"),
                  F.col("height").cast("int").alias("height"), "pixels")

@@ -139,17 +139,48 @@ def write_cameras(cameras: DataFrame, path: str) -> bool:
     return True
 
 
-# --- writing a run's manifest -------------------------------------------------------
+# --- a run's manifest as tables ----------------------------------------------------------
+#
+# `clips` holds one record per finished clip, `kept` its frame numbers in bounded
+# chunks, `runs` one row per run.  All are plain Parquet, so a run of any size is
+# written and read in parallel.  Everything below is idempotent: writing the same
+# batch of the same run again replaces it.
 
-def write_clip_records(records: DataFrame, path: str, run_id: str) -> None:
-    """Append finished clips to the manifest table of a run.
 
-    Spark's commit makes the append all or nothing, so the table only ever lists
-    clips whose images were written before.
+def _write_batch(df: DataFrame, path: str, run_id: str, batch: int) -> None:
+    (df.withColumn("run_id", F.lit(run_id)).withColumn("batch", F.lit(batch))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "batch").parquet(path))
+
+
+def record_clips(clips: DataFrame, kept: DataFrame, path: str, run_id: str, batch: int = 0) -> None:
+    """Record finished clips: kept lists first, so a listed clip always has its list.
+
+    Call it after the clips' images are written; the record is never ahead of the
+    files.  `kept`: chunks as `selection.kept_chunks` makes them.
     """
-    (records.withColumn("run_id", F.lit(run_id)).write.mode("append")
-     .partitionBy("run_id").parquet(path))
+    _write_batch(kept, f"{path}/kept", run_id, batch)
+    _write_batch(clips, f"{path}/clips", run_id, batch)
+
+
+def finish_run(run: DataFrame, path: str, run_id: str, completed: bool = True) -> None:
+    """Write the run's own row: parameters, totals and whether it is complete."""
+    _write_batch(run.withColumn("completed", F.lit(completed)), f"{path}/runs", run_id, 0)
+
+
+def recorded_clips(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/clips").filter(F.col("run_id") == run_id)
+
+
+def recorded_kept(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/kept").filter(F.col("run_id") == run_id)
+
+
+def recorded_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/runs").filter(F.col("run_id") == run_id)
+
 
+# --- the single document other tools read -------------------------------------------------
 
 def manifest_lines(header: DataFrame, clips: DataFrame, kept: DataFrame, totals: DataFrame) -> DataFrame:
     """The manifest document of one run as ordered lines.
@@ -165,13 +196,13 @@ def manifest_lines(header: DataFrame, clips: DataFrame, kept: DataFrame, totals:
     head = header.select(
         F.lit(-1).cast("long").alias("position"), F.lit(0).cast("long").alias("part"),
         F.regexp_replace(F.to_json(F.struct("*"), keep_nulls), r"\}$", ',"clips":[').alias("value"))
-    first = clips.agg(F.min("position").alias("_first"))
+    first = clips.agg(F.min("position")).scalar()
     last_fields = [f.name for f in CLIP.fields if f.name != "kept_frames" and f.name in clips.columns]
     opening = F.regexp_replace(
         F.to_json(F.struct(*last_fields), keep_nulls), r"\}$", ',"kept_frames":[')
-    opened = clips.join(F.broadcast(first)).select(
+    opened = clips.select(
         F.col("position").cast("long").alias("position"), F.lit(-1).cast("long").alias("part"),
-        F.concat(F.when(F.col("position") > F.col("_first"), ",").otherwise(""), opening).alias("value"))
+        F.concat(F.when(F.col("position") > first, ",").otherwise(""), opening).alias("value"))
     closed = clips.select(
         F.col("position").cast("long").alias("position"), F.lit(end).alias("part"),
         F.lit("]}").alias("value"))
