@@ -1,7 +1,7 @@
-"""Motion-gated selection of clips of any length.
+"""Ordered selection rules on clips of any length.
 
-The rule is a state machine over the frames of a clip, but its state is small:
-the last kept frame, or the frames of the window that is open.  So a clip is cut
+A rule is a state machine over the frames of a clip, but its state is small: for
+the motion gate the last kept frame, or the open window.  So a clip is cut
 into segments that run in parallel.  A segment guesses the state it starts from
 by running a few frames of lead-in; since two runs of the rule that ever agree
 stay together, the guess is nearly always right.  Then each segment's assumed
@@ -15,7 +15,7 @@ Only thumbnails and states travel; states are written to the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +27,18 @@ from framesift import params as P
 from framesift.functions.arrays import byte_rows
 from framesift.operators.ordering import with_halo
 from framesift.operators.selection import passes_floor
-from framesift.operators.selectors import Frame, MotionGated
+from framesift.operators.selectors import Frame, MotionGated, ResumableSelector
 from framesift.session import materialise
 
+# Order of a segment's rows: what its predecessor held, its lead-in, its own frames.
 ANCHOR, PENDING, LEAD_IN, OWN = 0, 1, 2, 3
+HELD = {ANCHOR: "anchor", PENDING: "pending"}
 COMPACT_AFTER = 8
 
 
+MakeRule = Callable[[], ResumableSelector]
+
+
 def _schema(frames: DataFrame) -> T.StructType:
     return T.StructType([
         T.StructField("clip_id", frames.schema["clip_id"].dataType),
@@ -73,17 +78,14 @@ class _Out:
 
 
 class _Segment:
-    def __init__(self, key: tuple, threshold: float, window: int):
+    def __init__(self, key: tuple, make_rule: MakeRule):
         self.key = key
-        self.rule = MotionGated(threshold, window)
+        self.rule = make_rule()
         self.start: tuple | None = None
 
     def take(self, role: int, frame: Frame, out: _Out) -> None:
-        if role == ANCHOR:
-            self.rule.anchor = frame
-            return
-        if role == PENDING:
-            self.rule.pending.append(frame)
+        if role in HELD:
+            self.rule.restore(HELD[role], frame)
             return
         if role == OWN and self.start is None:
             self.start = self.rule.key()
@@ -94,15 +96,16 @@ class _Segment:
     def close(self, out: _Out) -> None:
         if self.start is None:
             return
-        end = self.rule.key()
-        out.add(*self.key, "state", None, None, None, None, None, *self.start, *end)
-        held = [("pending", f) for f in self.rule.pending] or [("anchor", self.rule.anchor)]
-        for kind, f in held:
+        out.add(*self.key, "state", None, None, None, None, None, *self.start, *self.rule.key())
+        for kind, f in self.rule.held():
             out.add(*self.key, kind, f.index, None, f.sharpness, f.gray.tobytes(),
                     None if f.valid is None else f.valid.tobytes(), *[None] * 4)
+        # Counts only if the clip turns out to end here.
+        for index, keep in self.rule.finish():
+            out.add(*self.key, "finish", index, keep, *[None] * 7)
 
 
-def _run_segments(threshold: float, window: int):
+def _run_segments(make_rule: MakeRule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: _Segment | None = None
         out: _Out | None = None
@@ -120,7 +123,7 @@ def _run_segments(threshold: float, window: int):
                 if current is None or current.key != (clip, segment):
                     if current is not None:
                         current.close(out)
-                    current = _Segment((clip, segment), threshold, window)
+                    current = _Segment((clip, segment), make_rule)
                 current.take(role, Frame(
                     index, float("nan") if sharpness is None else sharpness, grays[i],
                     valids[i] if masked[i] else None), out)
@@ -134,19 +137,18 @@ def _run_segments(threshold: float, window: int):
     return run
 
 
-def _own(rule: MotionGated) -> None:
-    held = rule.pending + ([rule.anchor] if rule.anchor is not None else [])
-    for f in held:
+def _own(rule: ResumableSelector) -> None:
+    for _, f in rule.held():
         f.gray = np.array(f.gray)
         if f.valid is not None:
             f.valid = np.array(f.valid)
 
 
-def _in_order(rows: DataFrame, threshold: float, window: int, schema: T.StructType) -> DataFrame:
+def _in_order(rows: DataFrame, make_rule: MakeRule, schema: T.StructType) -> DataFrame:
     return (
         rows.repartition("clip_id", "segment")
         .sortWithinPartitions("clip_id", "segment", "role", "frame_index")
-        .mapInArrow(_run_segments(threshold, window), schema)
+        .mapInArrow(_run_segments(make_rule), schema)
     )
 
 
@@ -182,8 +184,15 @@ def _mismatched(latest: DataFrame) -> DataFrame:
 def motion_gated(frames: DataFrame, threshold: float = P.MOTION_THRESHOLD,
                  window: int = P.MOTION_WINDOW, floor: float | None = None,
                  segment: int = P.SEGMENT_FRAMES, warmup: int = P.WARMUP_FRAMES) -> DataFrame:
-    """Decisions (clip_id, frame_index, keep) for frames with columns
-    (clip_id, frame_index, sharpness, gray[, valid]).
+    """Motion-gated decisions: the sharpest frame of each window that opens when a
+    frame differs enough from the last kept one."""
+    return run_rule(frames, lambda: MotionGated(threshold, window), floor, segment, warmup)
+
+
+def run_rule(frames: DataFrame, make_rule: MakeRule, floor: float | None = None,
+             segment: int = P.SEGMENT_FRAMES, warmup: int = P.WARMUP_FRAMES) -> DataFrame:
+    """Decisions (clip_id, frame_index, keep) of any resumable rule for frames
+    with columns (clip_id, frame_index, sharpness, gray[, valid]).
 
     Give it a stored table: segments that run again read their frames again.
     """
@@ -196,7 +205,7 @@ def motion_gated(frames: DataFrame, threshold: float = P.MOTION_THRESHOLD,
 
     rows = with_halo(seen, "frame_index", segment, min(warmup, segment))
     rows = rows.withColumn("role", F.when(F.col("is_halo"), LEAD_IN).otherwise(OWN)).drop("is_halo")
-    tables = [materialise(_in_order(rows, threshold, window, schema), "motion")]
+    tables = [materialise(_in_order(rows, make_rule, schema), "motion")]
 
     while True:
         latest = _latest(tables)
@@ -214,22 +223,16 @@ def motion_gated(frames: DataFrame, threshold: float = P.MOTION_THRESHOLD,
                 .join(wrong, ["clip_id", "from_segment"])
                 .withColumn("role", F.when(F.col("kind") == "anchor", ANCHOR).otherwise(PENDING)))
         again = own.unionByName(held.select(own.columns))
-        tables.append(materialise(_in_order(again, threshold, window, schema), "motion"))
+        tables.append(materialise(_in_order(again, make_rule, schema), "motion"))
 
     latest = _latest(tables)
     decided = latest.filter("kind = 'decision'").select("clip_id", "frame_index", "keep")
 
-    # End of clip: the window still open in the last segment is resolved.
+    # End of clip: what the rule still holds in the last segment is resolved.
     ends = (latest.filter("kind = 'state'").groupBy("clip_id")
             .agg(F.max("segment").alias("segment")))
-    open_rows = (latest.filter("kind = 'pending'")
-                 .join(ends, ["clip_id", "segment"], "left_semi")
-                 .select("clip_id", "frame_index", "sharpness"))
-    best = open_rows.groupBy("clip_id").agg(
-        F.max(F.struct("sharpness", "frame_index")).alias("best"))
-    flushed = open_rows.join(best, "clip_id").select(
-        "clip_id", "frame_index", (F.col("frame_index") == F.col("best.frame_index")).alias("keep"))
-
+    flushed = (latest.filter("kind = 'finish'").join(ends, ["clip_id", "segment"], "left_semi")
+               .select("clip_id", "frame_index", "keep"))
     out = decided.unionByName(flushed)
     if floor is not None:
         out = out.unionByName(frames.filter(~passes_floor(floor)).select(

@@ -11,7 +11,7 @@ sys.path.insert(0, ROOT)
 def spark(tmp_path_factory):
     from framesift.session import build_session
     session = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "2",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
