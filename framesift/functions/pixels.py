@@ -322,6 +322,83 @@ def squared_error(a: pa.Array, b: pa.Array) -> pa.Array:
                      for x, y, good in zip(byte_rows(a), byte_rows(b), ok)], pa.float64())
 
 
+JUDGEMENT = T.StructType([
+    T.StructField("thumb_w", T.IntegerType()),
+    T.StructField("thumb_h", T.IntegerType()),
+    T.StructField("gray", T.BinaryType()),
+    T.StructField("sfm", T.BinaryType()),
+    T.StructField("training", T.BinaryType()),
+    T.StructField("sharpness", T.DoubleType()),
+])
+
+
+def judge(rgb, width, height, labels=None, label_w=None, label_h=None, sky_id: int | None = None,
+          people_id: int | None = None, heuristic_sky: dict | None = None,
+          sky_dilate: int = P.SEG_SKY_DILATE, people_dilate: int = P.SEG_PEOPLE_DILATE,
+          limit: int = P.METRIC_WIDTH) -> Column:
+    """Thumbnail, masks and sharpness of output frames in one pass over the pixels.
+
+    Class masks are dilated at label size and scaled to the thumbnail; their
+    structure-from-motion set limits sharpness.  The model wins over the sky
+    heuristic.  `sfm` is NULL when nothing is masked, `training` when no class
+    may be hidden from a trainer.
+    """
+    seg = [("sky", sky_id, sky_dilate), ("people", people_id, people_dilate)] if labels is not None else []
+    seg = [(c, i, d) for c, i, d in seg if i is not None]
+    sky = dict(luma_min=P.SKY_LUMA_MIN, blue_bias=P.SKY_BLUE_BIAS, gradient_max=P.SKY_GRADIENT_MAX,
+               dilate=P.SKY_DILATE) | (heuristic_sky or {})
+    by_luma = heuristic_sky is not None and not any(c == "sky" for c, _, _ in seg)
+    none = F.lit(None)
+
+    @F.arrow_udf(JUDGEMENT)
+    def run(pixels: pa.Array, w: pa.Array, h: pa.Array, classes: pa.Array, lw: pa.Array,
+            lh: pa.Array) -> pa.Array:
+        values, maps = byte_rows(pixels), byte_rows(classes)
+        labelled = np.asarray(classes.is_valid())
+        shapes = [None if a is None else (*a, *((x, y) if ok else (0, 0)))
+                  for a, x, y, ok in zip(_sizes(w, h, pixels), lw.to_pylist(), lh.to_pylist(), labelled)]
+
+        def block(rows, key):
+            sw, sh, mw, mh = key
+            _checked(values, rows, sw * sh * 3)
+            tw = min(sw, limit)
+            th = sh if sw <= limit else max(sh * limit // max(sw, 1), 1)
+            for part in chunks(rows, max(sw * sh * 3, tw * th * 8)):
+                small = resample.resize(stacked(values, part).reshape(-1, sh, sw, 3), tw, th, "bilinear")
+                gray = kernels.luma(small)
+                masks: dict[str, np.ndarray] = {}
+
+                def add(name, mask):
+                    for sidecar in P.MASK_ROUTING[name]:
+                        old = masks.get(sidecar)
+                        masks[sidecar] = mask if old is None else np.where(mask == 0, 0, old)
+                for name, number, grow in seg if mw else []:
+                    found = np.where(stacked(maps, part).reshape(-1, mh, mw) == number, 0, 255)
+                    found = kernels.grow_invalid(found.astype(np.uint8), grow)
+                    add(name, found[:, kernels.nearest(mh, th)[:, None], kernels.nearest(mw, tw)[None, :]])
+                if by_luma:
+                    hit = kernels.sky_from_top(small, gray, sky["luma_min"], sky["blue_bias"],
+                                               sky["gradient_max"])
+                    add("sky", kernels.grow_invalid(np.where(hit, 0, 255).astype(np.uint8), sky["dilate"]))
+                sharp = kernels.laplacian_variance(gray, masks.get("sfm"))
+                for k in range(len(part)):
+                    yield {"thumb_w": tw, "thumb_h": th, "gray": gray[k].tobytes(),
+                           "sfm": masks["sfm"][k].astype(np.uint8).tobytes() if "sfm" in masks else None,
+                           "training": (masks["training"][k].astype(np.uint8).tobytes()
+                                        if "training" in masks else None),
+                           "sharpness": float(sharp[k])}
+        return pa.array(by_block(len(values), shapes, block), _JUDGEMENT_ARROW)
+    return run(rgb, width, height,
+               none.cast("binary") if labels is None else labels,
+               none.cast("int") if label_w is None else label_w,
+               none.cast("int") if label_h is None else label_h)
+
+
+_JUDGEMENT_ARROW = pa.struct([
+    ("thumb_w", pa.int32()), ("thumb_h", pa.int32()), ("gray", pa.binary()), ("sfm", pa.binary()),
+    ("training", pa.binary()), ("sharpness", pa.float64())])
+
+
 def register(spark: SparkSession) -> None:
     """Make the array metrics callable from SQL."""
     spark.udf.register("laplacian_variance", _laplacian)

@@ -43,6 +43,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def terms_of(query: Column) -> Column:
+    """The search terms of a text column."""
+    return F.filter(F.split(ascii_lower(query), r"(?U)\s+"), lambda t: t != "")
+
+
 def matches_terms(path: Column, query: str) -> Column:
     """Every term is contained in the path; no terms match everything."""
     hay = ascii_lower(path)

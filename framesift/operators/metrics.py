@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from framesift import params as P
 from framesift.functions import pixels
-from framesift.operators.masks import mask_set
 from framesift.operators.ordering import with_halo
 
 
@@ -47,22 +46,16 @@ def frame_pair_psnr(frames: DataFrame) -> DataFrame:
     )
 
 
-def judge_frames(frames: DataFrame, sky: bool = False, dilate: int = P.SKY_DILATE,
-                 layers: dict[str, Column] | None = None) -> DataFrame:
-    """Masks and sharpness of each frame in one narrow pass.
+def judge_frames(frames: DataFrame, **masking) -> DataFrame:
+    """Thumbnail, masks and sharpness of each output frame (clip_id, frame_index,
+    width, height, rgb).  Keywords are those of `pixels.judge`.
 
-    Frames carry (rgb, width, height) at metric size.  Class masks come first;
-    their structure-from-motion set then limits sharpness (and, through `valid`,
-    motion) to the pixels that count.
+    The result is what selection needs, without the pixels: metric-size gray and
+    the mask that limits motion as `valid`.
     """
-    out = frames.withColumn("gray", pixels.rgb_to_gray("rgb"))
-    found = dict(layers or {})
-    if sky and "sky" not in found:
-        out = out.withColumn("sky_mask", pixels.sky_mask("rgb", "gray", "width", "height", dilate=dilate))
-        found["sky"] = F.col("sky_mask")
-    sets = mask_set(found)
-    out = out.withColumn("valid", sets.get("sfm", F.lit(None).cast("binary")))
-    out = out.withColumn("training", sets.get("training", F.lit(None).cast("binary")))
-    sharp = (pixels.laplacian_variance("gray", "width", "height", "valid") if found
-             else pixels.laplacian_variance("gray", "width", "height"))
-    return out.withColumn("sharpness", sharp)
+    return frames.select(
+        "clip_id", "frame_index",
+        pixels.judge("rgb", "width", "height", **masking).alias("_j"),
+    ).select("clip_id", "frame_index", F.col("_j.thumb_w").alias("width"),
+             F.col("_j.thumb_h").alias("height"), "_j.gray", F.col("_j.sfm").alias("valid"),
+             "_j.training", "_j.sharpness")

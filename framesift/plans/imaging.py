@@ -246,12 +246,30 @@ def sky_mask(spark, sf):
              - (sum(lap) FILTER (WHERE ok) / count(*) FILTER (WHERE ok)) * (sum(lap) FILTER (WHERE ok) / count(*) FILTER (WHERE ok)) END, 6) AS sharpness
     FROM lap GROUP BY clip_id, frame_index""")
 def judge_frames(spark, sf):
-    f = V.rgb8(spark, sf).withColumn("gray", pixels.rgb_to_gray("rgb"))
-    sky = {"sky": pixels.sky_mask("rgb", "gray", "width", "height", 120, -30, 30, 1)}
-    return metrics.judge_frames(f, layers=sky).select(
+    sky = dict(luma_min=120, blue_bias=-30, gradient_max=30, dilate=1)
+    return metrics.judge_frames(V.rgb8(spark, sf), heuristic_sky=sky).select(
         "clip_id", "frame_index", F.round("sharpness", 6).alias("sharpness"))
 
 
+@query("judge_people", V.ctes("rgb8", "masks8") + """,
+    p AS (SELECT clip_id, frame_index, class, i % 8 AS x, i // 8 AS y, mask[i + 1] AS v FROM masks8, range(64) AS t(i)),
+    h AS (SELECT clip_id, frame_index, class, x, y, min(v) OVER (PARTITION BY clip_id, frame_index, class, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v
+          FROM p WHERE class = 'people'),
+    d AS (SELECT clip_id, frame_index, x, y, min(v) OVER (PARTITION BY clip_id, frame_index, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM h),
+    t AS (SELECT clip_id, frame_index, string_agg(printf('%02X', v), '' ORDER BY y, x) AS training FROM d GROUP BY ALL),
+    s AS (SELECT clip_id, frame_index, string_agg(printf('%02X', least(d.v, p.v)), '' ORDER BY y, x) AS sfm
+          FROM d JOIN p USING (clip_id, frame_index, x, y) WHERE p.class = 'sky' GROUP BY ALL)
+    SELECT clip_id, frame_index, sfm, training FROM s JOIN t USING (clip_id, frame_index)""")
+def judge_people(spark, sf):
+    """Sky and people from label maps: both limit the metrics, only people the trainer."""
+    rgb, labels = V.rgb8(spark, sf), V.labels8(spark, sf).select("clip_id", "frame_index", "labels")
+    f = rgb.join(labels, ["clip_id", "frame_index"])
+    out = f.select("clip_id", "frame_index", pixels.judge(
+        "rgb", "width", "height", "labels", "width", "height", sky_id=2, people_id=3,
+        sky_dilate=0, people_dilate=1).alias("j"))
+    return _hex(out.select("clip_id", "frame_index", "j.sfm", "j.training"), "sfm", "training")
+
+
 @query("label_smoothing", V.ctes("labels8") + """,
     p AS (SELECT clip_id, frame_index, i, labels[i + 1] AS label FROM labels8, range(64) AS t(i)),
     t AS (SELECT a.clip_id, a.frame_index, a.i, b.label, count(*) AS n, min(b.frame_index) AS first_seen

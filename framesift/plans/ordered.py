@@ -143,3 +143,11 @@ def unique_stems_colliding(spark, sf):
     c = o.select(F.col("o_orderkey").alias("position"),
                  F.concat(F.lit("GX"), F.col("o_custkey"), tail).alias("stem"))
     return stems.unique_stems(c)
+
+
+@query("zero_kept_guard", V.ctes("metric_events") + f"""
+    SELECT count(*) FILTER (WHERE NOT (sharpness < {FLOOR})) AS kept,
+           count(*) FILTER (WHERE NOT (sharpness < {FLOOR})) > 0 AS usable FROM metric_events""")
+def zero_kept_guard(spark, sf):
+    decided = selection.every_nth(V.metric_events(spark, sf), 1, FLOOR)
+    return decided.agg(F.count_if("keep").alias("kept")).withColumn("usable", F.col("kept") > 0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framesift import params as P
 from framesift.functions import geometry as G
-from framesift.functions.text import image_ext, image_name
+from framesift.functions.text import image_ext, image_name, terms_of
 from framesift.operators import audits, masks, records, replay, resume
 from framesift.operators.ordering import index_bucket
 from framesift.plans import views as V
@@ -310,6 +310,15 @@ def metric_thumbnail_size(spark, sf):
         iw.alias("infer_w"), ih.alias("infer_h"))
 
 
+@query("search_terms", """
+    SELECT p_partkey AS part, array_to_string(list_transform(string_split(trim(concat(p_name, ' ', p_type)), ' '), lambda t: lower(t)), '|') AS terms
+    FROM part""")
+def search_terms(spark, sf):
+    p = V.table(spark, sf, "part")
+    typed = F.concat(F.lit(" "), "p_name", F.lit("\t "), "p_type", F.lit(" "))
+    return p.select(F.col("p_partkey").alias("part"), F.array_join(terms_of(typed), "|").alias("terms"))
+
+
 @query("profile_search", V.ctes("profile_paths") + """
     SELECT path FROM profile_paths WHERE contains(lower(path), 'brand#1') AND contains(lower(path), 'economy')
     ORDER BY path""")
