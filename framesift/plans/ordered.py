@@ -11,6 +11,7 @@ from framesift.plans import views as V
 from framesift.plans.registry import query
 
 FLOOR = 100.0
+SHARP_FLOOR = 4250.0
 
 
 def sharp8(spark, sf):
@@ -21,7 +22,7 @@ def sharp8(spark, sf):
 
 def flagship(spark, sf):
     """Motion-gated selection behind a blur floor, recorded per clip."""
-    decisions = motion_gated(sharp8(spark, sf), 0.07, 4, floor=20000.0)
+    decisions = motion_gated(sharp8(spark, sf), 0.07, 4, floor=SHARP_FLOOR)
     return records.clip_record(decisions).orderBy("clip_id")
 
 
@@ -95,9 +96,9 @@ def select_motion(spark, sf):
 
 
 @query("select_motion_floor", V.ctes("sharp8", recursive=True)
-       + _MOTION.format(where="WHERE NOT (sharpness < 20000)"))
+       + _MOTION.format(where="WHERE NOT (sharpness < 4250)"))
 def select_motion_floor(spark, sf):
-    return motion_gated(sharp8(spark, sf), 0.07, 4, floor=20000.0)
+    return motion_gated(sharp8(spark, sf), 0.07, 4, floor=SHARP_FLOOR)
 
 
 _RANKED = """,
@@ -133,7 +134,21 @@ def unique_stems(spark, sf):
     return stems.unique_stems(c)
 
 
-@query("unique_stems_colliding")
+@query("unique_stems_colliding", """
+    WITH RECURSIVE c AS (
+        SELECT o_orderkey AS position, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i,
+               concat('GX', o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN '_1' WHEN '2-HIGH' THEN '_2'
+                                            WHEN '5-LOW' THEN '_1_1' ELSE '' END) AS stem FROM orders),
+    w AS (SELECT o_custkey, 0 :: BIGINT AS i, NULL :: BIGINT AS position, NULL :: VARCHAR AS stem,
+                 NULL :: VARCHAR AS name, [] :: VARCHAR[] AS taken FROM c WHERE i = 1
+          UNION ALL
+          SELECT o_custkey, i, position, stem, name, list_append(taken, name)
+          FROM (SELECT c.o_custkey, c.i, c.position, c.stem, w.taken,
+                       CASE WHEN NOT list_contains(w.taken, c.stem) THEN c.stem
+                            ELSE list_filter(list_transform(range(1, 1000), lambda n: concat(c.stem, '_', n)),
+                                             lambda m: NOT list_contains(w.taken, m))[1] END AS name
+                FROM w JOIN c ON c.o_custkey = w.o_custkey AND c.i = w.i + 1))
+    SELECT position, stem, name FROM w WHERE i > 0""")
 def unique_stems_colliding(spark, sf):
     """Orders whose stems collide with numbered ones: GX7, GX7_1, GX7_2, GX7_1_1, ..."""
     o = V.table(spark, sf, "orders")
