@@ -7,6 +7,7 @@ two sizes, so that map is built once per Python worker and reused.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from framesift.functions.arrays import binary_from_rows, byte_rows
 
 FRACTION_BITS = 5
-BAND_PIXELS = 1 << 15
+TILE = 128
 
 
 def _cubic(x: np.ndarray) -> np.ndarray:
@@ -94,10 +95,29 @@ def tap_table(kernel: str) -> np.ndarray:
     return np.concatenate([flat, np.zeros((flat.shape[0], 1), np.int64)], axis=1)
 
 
+@dataclass(frozen=True)
+class Tile:
+    """A block of the output, the block of the input it samples, and per pixel the
+    position of its first tap in that block and the column of its weights."""
+
+    out: tuple[slice, slice]
+    rows: tuple[int, int]
+    cols: tuple[int, int]
+    first: np.ndarray
+    column: np.ndarray
+
+
+@dataclass(frozen=True)
+class Sampling:
+    kernel: str
+    out_size: tuple[int, int]
+    tiles: tuple[Tile, ...]
+
+
 @lru_cache(maxsize=8)
-def sampling_map(camera: tuple, coeffs: tuple, in_size: tuple, out_size: tuple, kernel: str):
-    """Per output pixel: the position of its first tap in the padded input, and
-    which column of the tap table weighs its taps."""
+def sampling_map(camera: tuple, coeffs: tuple, in_size: tuple, out_size: tuple, kernel: str) -> Sampling:
+    """Where the output samples the input, in tiles small enough that the input
+    block of a tile stays in cache while all taps are gathered."""
     reach = KERNELS[kernel][1]
     u, v, usable = source_positions(camera, coeffs, in_size, out_size)
     in_w, in_h = in_size
@@ -105,43 +125,38 @@ def sampling_map(camera: tuple, coeffs: tuple, in_size: tuple, out_size: tuple,
     steps = 1 << FRACTION_BITS
     u = np.rint(np.clip(u, 0, in_w - 1) * steps).astype(np.int64)
     v = np.rint(np.clip(v, 0, in_h - 1) * steps).astype(np.int64)
-    # The input is padded by `reach`; taps start reach - 1 before the whole position.
-    stride = in_w + 2 * reach
-    first = ((v >> FRACTION_BITS) + 1) * stride + (u >> FRACTION_BITS) + 1
     column = ((v & (steps - 1)) << FRACTION_BITS) | (u & (steps - 1))
     column[~usable] = steps * steps
-    return first.ravel(), column.ravel(), kernel, stride
-
-
-@lru_cache(maxsize=2)
-def _scratch(h: int, w: int) -> np.ndarray:
-    """Reused between frames: a fresh large buffer costs as much as filling it."""
-    return np.zeros((h, w), dtype="<i8")
-
-
-def _packed(frame: np.ndarray, reach: int, lane_bits: int) -> np.ndarray:
-    """RGB in three lanes of one int64 per pixel, border pixels repeated outward."""
+    u, v = u >> FRACTION_BITS, v >> FRACTION_BITS
+    tiles = []
+    for y in range(0, out_size[1], TILE):
+        for x in range(0, out_size[0], TILE):
+            out = (slice(y, min(y + TILE, out_size[1])), slice(x, min(x + TILE, out_size[0])))
+            good = usable[out]
+            if not good.any():
+                continue
+            tu, tv = u[out], v[out]
+            # Taps reach from reach - 1 before the whole position to reach after it.
+            rows = int(tv[good].min()) - reach + 1, int(tv[good].max()) + reach + 1
+            cols = int(tu[good].min()) - reach + 1, int(tu[good].max()) + reach + 1
+            first = (tv - reach + 1 - rows[0]) * (cols[1] - cols[0]) + (tu - reach + 1 - cols[0])
+            first[~good] = 0
+            tiles.append(Tile(out, rows, cols, first.ravel().astype(np.int32),
+                              column[out].ravel().astype(np.int16)))
+    return Sampling(kernel, out_size, tuple(tiles))
+
+
+def _packed(frame: np.ndarray, rows: tuple, cols: tuple, lane_bits: int) -> np.ndarray:
+    """A block of RGB pixels, three lanes of one int64 each; what lies outside the
+    frame repeats its border."""
     h, w = frame.shape[:2]
-    out = _scratch(h + 2 * reach, w + 2 * reach)
-    step = max(1, BAND_PIXELS // w)
-    for y in range(0, h, step):
-        band = frame[y:y + step]
-        rows = slice(reach + y, reach + y + band.shape[0])
-        if lane_bits == 16:
-            lanes = out[rows].view("<u2").reshape(band.shape[0], -1, 4)
-            for c in range(3):
-                lanes[:, reach:reach + w, c] = band[..., c]
-            continue
-        packed = band[..., 2].astype(np.int64)
-        for c in (1, 0):
-            packed <<= lane_bits
-            packed |= band[..., c]
-        out[rows, reach:reach + w] = packed
-    out[reach:-reach, :reach] = out[reach:-reach, reach:reach + 1]
-    out[reach:-reach, -reach:] = out[reach:-reach, -reach - 1:-reach]
-    out[:reach] = out[reach]
-    out[-reach:] = out[-reach - 1]
-    return out.ravel()
+    inside = frame[max(rows[0], 0):min(rows[1], h), max(cols[0], 0):min(cols[1], w)]
+    packed = inside[..., 2].astype("<i8")
+    for c in (1, 0):
+        packed <<= lane_bits
+        packed |= inside[..., c]
+    over = ((max(0, -rows[0]), max(0, rows[1] - h)), (max(0, -cols[0]), max(0, cols[1] - w)))
+    return (np.pad(packed, over, mode="edge") if any(map(any, over)) else packed).ravel()
 
 
 def _unpacked(total: np.ndarray, lane_bits: int, bits: int, out: np.ndarray) -> None:
@@ -160,29 +175,34 @@ def _unpacked(total: np.ndarray, lane_bits: int, bits: int, out: np.ndarray) ->
         total >>= lane_bits
 
 
-def undistort(frame: np.ndarray, mapping) -> np.ndarray:
-    """(in_h, in_w, 3) to (out pixels, 3).  All three channels of a tap are one
-    multiplication; lanes are wide enough that they never mix."""
-    first, column, kernel, stride = mapping
-    _, reach, lane_bits, bits = KERNELS[kernel]
-    table = tap_table(kernel)
-    source = _packed(frame, reach, lane_bits)
-    n = first.size
-    out = np.empty((n, 3), dtype=np.uint8)
+def undistort(frame: np.ndarray, mapping: Sampling) -> np.ndarray:
+    """(in_h, in_w, 3) to (out_h, out_w, 3); pixels that see nothing are black.
+
+    All three channels of a tap are one multiplication; lanes are wide enough that
+    they never mix.
+    """
+    _, reach, lane_bits, bits = KERNELS[mapping.kernel]
+    table = tap_table(mapping.kernel)
+    out = np.zeros((mapping.out_size[1], mapping.out_size[0], 3), dtype=np.uint8)
     half = sum((1 << (bits - 1)) << (lane_bits * c) for c in range(3))
-    pixel, weight = np.empty(BAND_PIXELS, "<i8"), np.empty(BAND_PIXELS, "<i8")
-    for a in range(0, n, BAND_PIXELS):
-        b = min(a + BAND_PIXELS, n)
-        at, col = first[a:b], column[a:b]
-        p, w = pixel[:b - a], weight[:b - a]
-        total = np.full(b - a, half, dtype="<i8")
+    pixel, weight = np.empty(TILE * TILE, "<i8"), np.empty(TILE * TILE, "<i8")
+    done = np.empty((TILE * TILE, 3), np.uint8)
+    for tile in mapping.tiles:
+        source = _packed(frame, tile.rows, tile.cols, lane_bits)
+        stride = tile.cols[1] - tile.cols[0]
+        at, col = tile.first.astype(np.intp), tile.column.astype(np.intp)
+        n = at.size
+        p, w = pixel[:n], weight[:n]
+        total = np.full(n, half, dtype="<i8")
         for t in range(table.shape[0]):
             shift = (t // (2 * reach)) * stride + t % (2 * reach)
             np.take(source[shift:], at, out=p, mode="clip")
             np.take(table[t], col, out=w, mode="clip")
             p *= w
             total += p
-        _unpacked(total, lane_bits, bits, out[a:b])
+        _unpacked(total, lane_bits, bits, done[:n])
+        block = out[tile.out]
+        block[...] = done[:n].reshape(block.shape)
     return out
 
 

@@ -15,6 +15,9 @@ from framesift import params as P
 from framesift.functions import kernels, resample
 from framesift.functions.arrays import (binary_from_rows, by_block, byte_rows, chunks, stacked)
 
+# Thumbnail pixels per mask block: row sweeps pay off over many frames at once.
+MASK_PIXELS = 1 << 22
+
 
 def _sizes(width: pa.Array, height: pa.Array, *present: pa.Array) -> list[tuple | None]:
     ok = np.ones(len(width), dtype=bool)
@@ -247,7 +250,7 @@ def sky_mask(rgb, gray, width, height, luma_min: int = P.SKY_LUMA_MIN,
 
         def block(rows, size):
             sw, sh = size
-            for part in chunks(rows, sw * sh):
+            for part in chunks(rows, sw * sh, MASK_PIXELS):
                 fits = sw * sh > 0 and all(
                     rgbs[i].size == sw * sh * 3 and grays[i].size == sw * sh for i in part)
                 if not fits:
@@ -363,8 +366,10 @@ def judge(rgb, width, height, labels=None, label_w=None, label_h=None, sky_id: i
             _checked(values, rows, sw * sh * 3)
             tw = min(sw, limit)
             th = sh if sw <= limit else max(sh * limit // max(sw, 1), 1)
-            for part in chunks(rows, max(sw * sh * 3, tw * th * 8)):
-                small = resample.resize(stacked(values, part).reshape(-1, sh, sw, 3), tw, th, "bilinear")
+            for part in chunks(rows, tw * th, MASK_PIXELS):
+                small = np.concatenate([
+                    resample.resize(stacked(values, few).reshape(-1, sh, sw, 3), tw, th, "bilinear")
+                    for few in chunks(part, 3 * sw * sh)])
                 gray = kernels.luma(small)
                 masks: dict[str, np.ndarray] = {}
 

@@ -113,6 +113,27 @@ def test_segments_that_never_agree_still_end_right(spark):
         sequential(rows, 0.3, 2)
 
 
+@pytest.mark.parametrize("kind", ["still", "moving"])
+def test_a_long_clip_takes_few_rounds(spark, monkeypatch, kind):
+    """Still footage carries one state through many segments; in moving footage
+    windows follow each other and their phase never fades."""
+    from framesift.operators import motion as engine
+    rounds, inner = [], engine._in_order
+    monkeypatch.setattr(engine, "_in_order", lambda *a: (rounds.append(1), inner(*a))[1])
+    rng = np.random.default_rng(0)
+    n = 2400
+    if kind == "moving":
+        gray = rng.integers(0, 256, (n, 16), dtype=np.uint8)
+    else:
+        gray = (100 + 90 * (np.arange(n) >= 1500)[:, None] + rng.integers(0, 3, (n, 16))).astype(np.uint8)
+    rows = [(0, i, float(rng.integers(0, 9)), gray[i].tobytes()) for i in range(n)]
+    df = spark.createDataFrame(rows, METRIC).repartition(3)
+    got = motion_gated(df, 0.05, 8, None, 64, 16)
+    assert sorted(tuple(r) for r in got.select("clip_id", "frame_index", "keep").collect()) == \
+        sequential(rows, 0.05, 8)
+    assert len(rounds) <= (1 if kind == "moving" else 9)
+
+
 def test_every_nth_rule_matches_the_batch_form():
     rule = EveryNth(3)
     assert [rule.push(Frame(i, 0.0, np.zeros(1, np.uint8)))[0][1] for i in range(7)] == \
