@@ -223,9 +223,9 @@ def undistort_frames(rgb, width, height, out_w, out_h, k00, k11, calib_w, calib_
                 out.append(None)
                 continue
             if min(iw, ih, tw, th) == 0:
-                raise ValueError("zero input/output dimensions")
+                raise ValueError("empty input or output size")
             if v.size != iw * ih * 3:
-                raise ValueError(f"frame has {v.size} bytes, the undistorter was built for {iw}x{ih}")
+                raise ValueError(f"{v.size} bytes are no {iw}x{ih} frame")
             mapping = sampling_map((ka, kb, cal_w, cal_h, px, py), tuple(co), (iw, ih), (tw, th),
                                    interpolation)
             out.append(undistort(v.reshape(ih, iw, 3), mapping))

@@ -31,7 +31,7 @@ def _sizes(width: pa.Array, height: pa.Array, *present: pa.Array) -> list[tuple
 def _checked(values: list[np.ndarray], rows: np.ndarray, length: int) -> None:
     for i in rows:
         if values[i].size != length:
-            raise ValueError(f"a frame needs {length} bytes, got {values[i].size}")
+            raise ValueError(f"{length} bytes expected, a frame has {values[i].size}")
 
 
 def quantise(values: str | Column, channels: str = "gray") -> Column:

@@ -18,31 +18,36 @@ def lanczos3(x: np.ndarray) -> np.ndarray:
 FILTERS = {"bilinear": (triangle, 1.0), "lanczos3": (lanczos3, 3.0)}
 
 
+WEIGHT_BITS = 14
+
+
 @lru_cache(maxsize=64)
 def weights(src: int, dst: int, filter_name: str) -> np.ndarray:
-    """(dst, src) rows of normalised filter weights, widened when shrinking."""
+    """(dst, src) filter weights in 2**14ths, widened when shrinking.
+
+    Each row sums to the whole; what rounding leaves over goes to its largest weight.
+    """
     kernel, support = FILTERS[filter_name]
     scale = src / dst
     width = max(scale, 1.0)
-    centre = (np.arange(dst) + 0.5) * scale
-    grid = np.arange(src) + 0.5
-    table = kernel((grid[None, :] - centre[:, None]) / width)
-    table[np.abs(grid[None, :] - centre[:, None]) >= support * width] = 0.0
+    away = (np.arange(src) + 0.5)[None, :] - ((np.arange(dst) + 0.5) * scale)[:, None]
+    table = np.where(np.abs(away) < support * width, kernel(away / width), 0.0)
     table /= table.sum(axis=1, keepdims=True)
-    return table
+    whole = np.rint(table * (1 << WEIGHT_BITS)).astype(np.int32)
+    whole[np.arange(dst), whole.argmax(axis=1)] += (1 << WEIGHT_BITS) - whole.sum(axis=1)
+    return whole
 
 
 @lru_cache(maxsize=64)
 def taps(src: int, dst: int, filter_name: str) -> tuple[np.ndarray, np.ndarray]:
     """The same weights as (dst, k) source positions and weights, k the widest row."""
     table = weights(src, dst, filter_name)
-    used = table != 0.0
+    used = table != 0
     first = used.argmax(axis=1)
     last = src - 1 - used[:, ::-1].argmax(axis=1)
-    k = int((last - first).max()) + 1
-    at = first[:, None] + np.arange(k)[None, :]
-    weight = np.where(at < src, np.take_along_axis(table, np.minimum(at, src - 1), 1), 0.0)
-    return np.minimum(at, src - 1), weight.astype(np.float32)
+    at = first[:, None] + np.arange(int((last - first).max()) + 1)[None, :]
+    inside = np.minimum(at, src - 1)
+    return inside, np.where(at < src, np.take_along_axis(table, inside, 1), 0)
 
 
 def along(block: np.ndarray, dst: int, axis: int, filter_name: str) -> np.ndarray:
@@ -52,10 +57,10 @@ def along(block: np.ndarray, dst: int, axis: int, filter_name: str) -> np.ndarra
     at, weight = taps(block.shape[axis], dst, filter_name)
     shape = [1] * block.ndim
     shape[axis] = dst
-    total = np.zeros(block.shape[:axis] + (dst,) + block.shape[axis + 1:], dtype=np.float32)
+    total = np.full(block.shape[:axis] + (dst,) + block.shape[axis + 1:], 1 << (WEIGHT_BITS - 1), np.int32)
     for k in range(at.shape[1]):
         total += block.take(at[:, k], axis) * weight[:, k].reshape(shape)
-    return np.clip(np.floor(total + np.float32(0.5)), 0, 255).astype(np.uint8)
+    return np.clip(total >> WEIGHT_BITS, 0, 255).astype(np.uint8)
 
 
 def resize(block: np.ndarray, width: int, height: int, filter_name: str) -> np.ndarray:

@@ -73,15 +73,14 @@ def inspect_model(model, width: int, height: int, class_ids: tuple[int, ...] = (
     w, h = declared or (width, height)
     out = np.asarray(model()(np.zeros((1, 3, h, w), dtype=np.float32)))
     if out.ndim != 4 or out.shape[0] != 1:
-        raise ValueError(f"expected a 1xCxHxW logit output, got {list(out.shape)}; "
-                         "is it an image segmentation model?")
+        raise ValueError(f"the model's output has shape {list(out.shape)}, not 1 x classes x height x width")
     classes = out.shape[1]
     if classes > P.SEG_MAX_CLASSES:
-        raise ValueError(f"the model emits {classes} classes; at most {P.SEG_MAX_CLASSES} are supported")
+        raise ValueError(f"{classes} classes do not fit one byte per label (at most {P.SEG_MAX_CLASSES})")
     offset = int(classes == P.SEG_CLASSES_WITH_BACKGROUND)
     for c in class_ids:
         if c + offset >= classes:
-            raise ValueError(f"the model emits {classes} classes, but class id {c + offset} was asked for")
+            raise ValueError(f"class {c + offset} is outside the model's {classes} classes")
     return ModelInfo((w, h), classes, offset)
 
 
@@ -114,7 +113,7 @@ def segment_frames(rgb, width, height, model, info: ModelInfo, batch_pixels: int
                 scaled = resample.resize(stacked(values, part).reshape(-1, sh, sw, 3), iw, ih, "lanczos3")
                 logits = infer(normalised(scaled))
                 if logits.ndim != 4 or logits.shape[1] != info.classes:
-                    raise ValueError(f"segmentation output changed shape: {logits.shape}")
+                    raise ValueError(f"the output shape is now {logits.shape}")
                 small = kernels.first_max(logits.transpose(1, 0, 2, 3))
                 if small.shape[1:] != (ih, iw):
                     small = small[:, kernels.nearest(small.shape[1], ih)[:, None],

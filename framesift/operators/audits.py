@@ -26,7 +26,7 @@ def frame_order_gaps(frames: DataFrame, segment: int = P.SEGMENT_FRAMES) -> Data
 def require_no_gaps(frames: DataFrame) -> None:
     bad = frame_order_gaps(frames).orderBy("clip_id").limit(1).collect()
     if bad:
-        raise ValueError(f"{bad[0].clip_id}: lost frames (gap at index {bad[0].gap_at})")
+        raise ValueError(f"{bad[0].clip_id}: frames missing from number {bad[0].gap_at} on")
 
 
 def frame_size_check(frames: DataFrame, clips: DataFrame) -> DataFrame:
@@ -36,17 +36,17 @@ def frame_size_check(frames: DataFrame, clips: DataFrame) -> DataFrame:
         frames.join(probed, "clip_id")
         .filter("width <> probed_w or height <> probed_h")
         .select("clip_id", "frame_index", F.format_string(
-            "frame size %dx%d does not match probed %dx%d",
+            "frame is %dx%d, its clip was probed as %dx%d",
             "width", "height", "probed_w", "probed_h").alias("message"))
     )
 
 
 def frame_rate_check(clips: DataFrame) -> DataFrame:
-    """Clips that report a rate no decoder gets through."""
+    """Clips whose reported rate is refused."""
     return clips.filter(F.col("fps") >= P.FPS_REFUSED).select(
         "path", "fps", F.concat(
-            "path", F.lit(": the file reports "), F.round("fps").cast("long").cast("string"),
-            F.lit(" frames per second, which cannot be decoded")).alias("message"))
+            "path", F.lit(": a rate of "), F.round("fps").cast("long").cast("string"),
+            F.lit(" frames per second is refused")).alias("message"))
 
 
 def profile_mismatch(calib_w, calib_h, profile_fps, width, height, fps) -> Column:
@@ -59,10 +59,10 @@ def profile_mismatch(calib_w, calib_h, profile_fps, width, height, fps) -> Colum
     return (
         F.when(empty, F.lit(None).cast("string"))
         .when(aspect, F.format_string(
-            "profile is calibrated for %dx%d (%.2f:1), the clip is %dx%d (%.2f:1)",
+            "aspect: profile %dx%d (%.2f:1), clip %dx%d (%.2f:1)",
             calib_w, calib_h, ratio_p, width, height, ratio_c))
         .when(rate, F.format_string(
-            "profile was calibrated at %.2f fps, the clip is %.2f fps", profile_fps, fps))
+            "rate: profile %.2f fps, clip %.2f fps", profile_fps, fps))
     )
 
 

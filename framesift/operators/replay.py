@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from framesift.sources.images import kept_only
+
 
 def recorded_lists(manifest_clips: DataFrame) -> DataFrame:
     """One list per stem; of clips that share a stem the last one counts."""
@@ -29,8 +31,8 @@ def replay_selection(frames: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def replayed(frames: DataFrame, kept: DataFrame) -> DataFrame:
-    """Only the frames to write again."""
-    return frames.join(kept, ["stem", "frame_index"], "left_semi")
+    """Only the frames to write again, with their pixels."""
+    return kept_only(frames, kept.withColumn("keep", F.lit(True)), "stem")
 
 
 def replay_missing(frames: DataFrame, kept: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def replay_missing(frames: DataFrame, kept: DataFrame) -> DataFrame:
         .agg(F.count_if(F.col("_have").isNull()).alias("missing"), F.count(F.lit(1)).alias("total"))
         .filter("missing > 0")
         .withColumn("message", F.format_string(
-            "replay: %d of %d recorded frames are not in this clip", "missing", "total"))
+            "%d of %d recorded frames were not found", "missing", "total"))
     )
 
 

@@ -58,4 +58,4 @@ def kept_chunks(decisions: DataFrame, chunk: int = P.KEPT_CHUNK) -> DataFrame:
 def zero_kept_guard(decisions: DataFrame) -> None:
     """A whole run that keeps nothing is an error; a single clip is not."""
     if not decisions.filter("keep").limit(1).count():
-        raise ValueError("zero frames selected. Are the thresholds too strict for this footage?")
+        raise ValueError("no frame was kept in the whole run; the thresholds leave nothing")

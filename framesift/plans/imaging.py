@@ -89,25 +89,59 @@ def mask_scale(spark, sf):
         "labels", "width", "height", F.lit(13), F.lit(5))).alias("labels"))
 
 
-@query("metric_thumbnail", V.ctes("rgb8") + """,
-    -- Halving with a triangle filter: weights 1/8 3/8 3/8 1/8, cut and normalised at the borders.
-    w AS (SELECT * FROM (VALUES (0,0,3),(0,1,3),(0,2,1),(1,1,1),(1,2,3),(1,3,3),(1,4,1),
-                                (2,3,1),(2,4,3),(2,5,3),(2,6,1),(3,5,1),(3,6,3),(3,7,3)) AS t(d, s, k)),
-    n AS (SELECT d, sum(k) AS total FROM w GROUP BY d),
-    p AS (SELECT clip_id, frame_index, i % 8 AS x, i // 8 AS y, ch, CASE ch WHEN 1 THEN r[i + 1] WHEN 2 THEN g[i + 1] ELSE b[i + 1] END AS v
-          FROM rgb8, range(64) AS t(i), range(1, 4) AS u(ch)),
-    h AS (SELECT clip_id, frame_index, w.d AS x, y, ch, floor(sum(v * k) / any_value(total) + 0.5) AS v
-          FROM p JOIN w ON w.s = p.x JOIN n ON n.d = w.d GROUP BY clip_id, frame_index, w.d, y, ch),
-    f AS (SELECT clip_id, frame_index, x, w.d AS y, ch, floor(sum(v * k) / any_value(total) + 0.5) AS v
-          FROM h JOIN w ON w.s = h.y JOIN n ON n.d = w.d GROUP BY clip_id, frame_index, x, w.d, ch)
-    SELECT clip_id, frame_index, string_agg(printf('%02X', CAST(v AS INTEGER)), '' ORDER BY y, x, ch) AS thumb
-    FROM f GROUP BY clip_id, frame_index""")
+def _sql_weights(name: str, src: int, dst: int, kernel: str) -> str:
+    """A CTE (d, s, k) of the resampling weights from `src` to `dst` pixels."""
+    scale = f"({src} / {dst} :: DOUBLE)"
+    width = f"greatest({scale}, 1.0 :: DOUBLE)"
+    shape = {
+        "bilinear": (1, "greatest(0.0 :: DOUBLE, 1.0 - abs(x))"),
+        "lanczos3": (3, "CASE WHEN x = 0 THEN 1.0 :: DOUBLE ELSE sin(pi() * x) / (pi() * x) "
+                        "* (sin(pi() * (x / 3.0)) / (pi() * (x / 3.0))) END"),
+    }
+    support, value = shape[kernel]
+    return f"""{name} AS (
+        SELECT d, s, CAST(q + CASE WHEN row_number() OVER (PARTITION BY d ORDER BY q DESC, s) = 1
+                     THEN 16384 - sum(q) OVER (PARTITION BY d) ELSE 0 END AS BIGINT) AS k
+        FROM (SELECT d, s, CAST(round(v / sum(v) OVER (PARTITION BY d) * 16384) AS BIGINT) AS q
+              FROM (SELECT d, s, {value} AS v
+                    FROM (SELECT d, s, ((s + 0.5 :: DOUBLE) - (d + 0.5 :: DOUBLE) * {scale}) / {width} AS x
+                          FROM range({dst}) AS td(d), range({src}) AS ts(s))
+                    WHERE abs(x) < {support})))"""
+
+
+def _sql_resize(name: str, source: str, size: tuple, to: tuple, kernel: str) -> str:
+    """CTEs that take pixels (clip_id, frame_index, x, y, ch, v) to another size."""
+    keys = "clip_id, frame_index"
+    rounded = "greatest(0, least(255, (sum(v * k) + 8192) >> 14)) AS v"
+    return f"""{_sql_weights(name + '_wx', size[0], to[0], kernel)},
+        {_sql_weights(name + '_wy', size[1], to[1], kernel)},
+        {name}_h AS (SELECT {keys}, w.d AS x, y, ch, {rounded} FROM {source} p JOIN {name}_wx w ON w.s = p.x
+                     GROUP BY {keys}, w.d, y, ch),
+        {name} AS (SELECT {keys}, x, w.d AS y, ch, {rounded} FROM {name}_h p JOIN {name}_wy w ON w.s = p.y
+                   GROUP BY {keys}, x, w.d, ch)"""
+
+
+_PX = """,
+    px AS (SELECT clip_id, frame_index, i % 8 AS x, i // 8 AS y, ch,
+                  CAST(CASE ch WHEN 1 THEN r[i + 1] WHEN 2 THEN g[i + 1] ELSE b[i + 1] END AS BIGINT) AS v
+           FROM rgb8, range(64) AS t(i), range(1, 4) AS u(ch)), """
+
+
+def _sql_joined(source: str, name: str, where: str = "") -> str:
+    return f"""SELECT clip_id, frame_index, string_agg(printf('%02X', CAST(v AS INTEGER)), '' ORDER BY y, x, ch) AS {name}
+               FROM {source} {where} GROUP BY clip_id, frame_index"""
+
+
+@query("metric_thumbnail", V.ctes("rgb8") + _PX + _sql_resize("t", "px", (8, 8), (4, 4), "bilinear")
+       + _sql_joined("t", "thumb"))
 def metric_thumbnail(spark, sf):
     return V.rgb8(spark, sf).select("clip_id", "frame_index", F.hex(
         pixels.metric_thumbnail("rgb", "width", "height", 4)).alias("thumb"))
 
 
-@query("resize_frames")
+@query("resize_frames", V.ctes("rgb8") + _PX + _sql_resize("a", "px", (8, 8), (24, 16), "lanczos3") + ", "
+       + _sql_resize("b", "a", (24, 16), (4, 6), "lanczos3")
+       + f"SELECT * FROM ({_sql_joined('a', 'enlarged')}) JOIN ({_sql_joined('b', 'reduced')}) USING (clip_id, frame_index)")
 def resize_frames(spark, sf):
     small = V.rgb8(spark, sf).withColumn("out", pixels.resize_rgb(
         "rgb", "width", "height", F.lit(24), F.lit(16)))
@@ -115,7 +149,8 @@ def resize_frames(spark, sf):
     return small.select("clip_id", "frame_index", F.hex("out").alias("enlarged"), F.hex(back).alias("reduced"))
 
 
-@query("cover_crop_frames")
+@query("cover_crop_frames", V.ctes("rgb8") + _PX + _sql_resize("a", "px", (8, 8), (6, 6), "lanczos3")
+       + _sql_joined("a", "cropped", "WHERE y BETWEEN 1 AND 4"))
 def cover_crop_frames(spark, sf):
     from framesift.functions.geometry import cover_crop
     box = cover_crop(F.col("width"), F.col("height"), F.lit(6), F.lit(4))

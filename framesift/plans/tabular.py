@@ -83,8 +83,8 @@ def _probe_json(spark, sf):
                 WHEN fps > 0 THEN CAST(round(duration_s * fps) AS BIGINT) END AS frames,
            CASE WHEN has AND k % 3 = 0 THEN 'hevc' END AS codec, duration_s,
            CASE WHEN NOT has THEN 'no video stream'
-                WHEN width = 0 OR height = 0 THEN 'could not determine video dimensions'
-                WHEN fps >= 1000 THEN 'frame rate cannot be decoded' END AS error
+                WHEN width = 0 OR height = 0 THEN 'video size unknown'
+                WHEN fps >= 1000 THEN 'frame rate refused' END AS error
     FROM f""")
 def scan_clip_probe(spark, sf):
     return _round(clip_source.probe_clips(_probe_json(spark, sf)), "fps")
@@ -336,8 +336,8 @@ def search_top100(spark, sf):
 
 @query("frame_rate_check", """
     SELECT concat('in/', o_orderkey, '.mp4') AS path, o_totalprice / 100.0 AS fps,
-           concat('in/', o_orderkey, '.mp4', ': the file reports ', CAST(round(o_totalprice / 100.0) AS BIGINT),
-                  ' frames per second, which cannot be decoded') AS message
+           concat('in/', o_orderkey, '.mp4', ': a rate of ', CAST(round(o_totalprice / 100.0) AS BIGINT),
+                  ' frames per second is refused') AS message
     FROM orders WHERE o_totalprice / 100.0 >= 1000""")
 def frame_rate_check(spark, sf):
     o = V.table(spark, sf, "orders")
@@ -353,7 +353,7 @@ def frame_rate_check(spark, sf):
                  w, h, CASE WHEN l_returnflag = 'R' THEN 64 ELSE w END AS fw, h AS fh
           FROM lineitem JOIN probed ON clip_id = l_orderkey)
     SELECT clip_id, frame_index,
-           printf('frame size %dx%d does not match probed %dx%d', fw, fh, w, h) AS message
+           printf('frame is %dx%d, its clip was probed as %dx%d', fw, fh, w, h) AS message
     FROM f WHERE fw <> w OR fh <> h""")
 def frame_size_check(spark, sf):
     line = V.table(spark, sf, "lineitem").select(
@@ -369,10 +369,10 @@ def frame_size_check(spark, sf):
 
 _MISMATCH = """
     CASE WHEN abs(calib_w / CAST(calib_h AS DOUBLE) - width / CAST(height AS DOUBLE)) > 0.02
-         THEN printf('profile is calibrated for %dx%d (%.2f:1), the clip is %dx%d (%.2f:1)',
+         THEN printf('aspect: profile %dx%d (%.2f:1), clip %dx%d (%.2f:1)',
                      calib_w, calib_h, calib_w / CAST(calib_h AS DOUBLE), width, height, width / CAST(height AS DOUBLE))
          WHEN p.fps > 0 AND c.fps > 0 AND abs(p.fps - c.fps) > 1.0
-         THEN printf('profile was calibrated at %.2f fps, the clip is %.2f fps', p.fps, c.fps) END"""
+         THEN printf('rate: profile %.2f fps, clip %.2f fps', p.fps, c.fps) END"""
 
 
 @query("profile_mismatch", V.ctes("clips", "profiles") + f"""
@@ -408,8 +408,9 @@ def _runs(spark, sf):
         F.when(k % 7 == 0, "every-nth 15").otherwise("motion 0.04/8").alias("selection"),
         F.col("o_orderpriority").alias("interpolation"),
         (k % 11 == 0).alias("gpu"),
-        F.when(F.col("o_orderstatus") == "F", "sky").alias("masking"),
-        F.when(k % 3 != 0, F.sha2(F.concat(F.lit("p"), k % 2), 256)).alias("profile_sha"))
+        F.when(F.col("o_totalprice") > 200000, "sky").alias("masking"),
+        F.when(k % 3 != 0, F.sha2(F.concat(F.lit("p"), k % 2), 256)).alias("profile_sha"),
+        "o_orderstatus")
 
 
 @query("parameter_diff", """
@@ -417,12 +418,12 @@ def _runs(spark, sf):
         SELECT o_orderkey AS run_id, o_custkey AS out_dir, o_orderkey % 2 = 0 AS resume,
                CASE WHEN o_orderkey % 5 = 0 THEN 'scale 0.5' ELSE 'same' END AS output_size,
                CASE WHEN o_orderkey % 7 = 0 THEN 'every-nth 15' ELSE 'motion 0.04/8' END AS selection,
-               o_orderpriority AS interpolation, o_orderkey % 11 = 0 AS gpu,
-               CASE WHEN o_orderstatus = 'F' THEN 'sky' END AS masking,
+               o_orderpriority AS interpolation, o_orderkey % 11 = 0 AS gpu, o_orderstatus,
+               CASE WHEN o_totalprice > 200000 THEN 'sky' END AS masking,
                CASE WHEN o_orderkey % 3 <> 0 THEN sha256(concat('p', o_orderkey % 2)) END AS profile_sha
         FROM orders),
-    old AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY out_dir ORDER BY run_id) = 1),
-    prev AS (SELECT * FROM old WHERE out_dir % 4 <> 0),
+    prev AS (SELECT * FROM r WHERE o_orderstatus = 'F'
+             QUALIFY row_number() OVER (PARTITION BY out_dir ORDER BY run_id) = 1),
     d AS (SELECT r.run_id, r.out_dir, r.resume, p.run_id AS prev_id, nullif(concat_ws('; ',
             CASE WHEN p.output_size IS DISTINCT FROM r.output_size THEN concat('output size (', coalesce(p.output_size, 'none'), ' then, ', coalesce(r.output_size, 'none'), ' now)') END,
             CASE WHEN p.selection IS DISTINCT FROM r.selection THEN concat('frame selection (', coalesce(p.selection, 'none'), ' then, ', coalesce(r.selection, 'none'), ' now)') END,
@@ -437,10 +438,11 @@ def _runs(spark, sf):
                 ELSE 'different dataset' END AS verdict
     FROM d""")
 def parameter_diff(spark, sf):
+    # A folder holds its first finished run, if one finished.
     runs = _runs(spark, sf)
     fields = [c for c in runs.columns if c != "out_dir"]
-    first = (runs.groupBy("out_dir").agg(F.min(F.struct(*fields)).alias("r"))
-             .select("out_dir", "r.*").filter("out_dir % 4 <> 0"))
+    first = (runs.filter("o_orderstatus = 'F'").groupBy("out_dir")
+             .agg(F.min(F.struct(*fields)).alias("r")).select("out_dir", "r.*"))
     return resume.parameter_diff(runs, first, "out_dir").select("run_id", "out_dir", "differences", "verdict")
 
 
@@ -461,8 +463,7 @@ def replay_selection(spark, sf):
     r AS (SELECT stem, frame_index * 2 AS frame_index FROM kept_frames),
     f AS (SELECT concat('user', clip_id) AS stem, frame_index FROM metric_events)
     SELECT r.stem, count(*) FILTER (WHERE f.stem IS NULL) AS missing, count(*) AS total,
-           concat('replay: ', count(*) FILTER (WHERE f.stem IS NULL), ' of ', count(*),
-                  ' recorded frames are not in this clip') AS message
+           concat(count(*) FILTER (WHERE f.stem IS NULL), ' of ', count(*), ' recorded frames were not found') AS message
     FROM r LEFT JOIN f ON f.stem = r.stem AND f.frame_index = r.frame_index
     GROUP BY r.stem HAVING count(*) FILTER (WHERE f.stem IS NULL) > 0""")
 def replay_missing(spark, sf):
@@ -607,8 +608,8 @@ def checksum_audit(spark, sf):
 # --- records, totals, audits -------------------------------------------------------------
 
 @query("run_totals", """
-    SELECT l_suppkey AS run_id, sum(l_quantity :: BIGINT) AS decoded, sum(l_linenumber :: BIGINT) AS kept,
-           sum(l_linenumber :: BIGINT) AS written, count(*) FILTER (WHERE l_returnflag = 'R') AS carried_clips,
+    SELECT l_suppkey AS run_id, CAST(sum(l_quantity :: BIGINT) AS BIGINT) AS decoded,
+           CAST(sum(l_linenumber) AS BIGINT) AS kept, CAST(sum(l_linenumber) AS BIGINT) AS written, count(*) FILTER (WHERE l_returnflag = 'R') AS carried_clips,
            greatest(max(s_acctbal), 0.0) AS wall_seconds,
            round(CASE WHEN max(s_acctbal) > 0 THEN coalesce(sum(l_quantity :: BIGINT) FILTER (WHERE l_returnflag <> 'R'), 0) / max(s_acctbal) ELSE 0.0 END, 6) AS decoded_fps,
            round(CASE WHEN max(s_acctbal) > 0 THEN coalesce(sum(l_linenumber) FILTER (WHERE l_returnflag <> 'R'), 0) / max(s_acctbal) ELSE 0.0 END, 6) AS written_fps

@@ -59,10 +59,10 @@ def require_inputs(listing: DataFrame, inputs: DataFrame) -> DataFrame:
     """Expanded inputs, or an error naming what is missing."""
     gone = missing_inputs(listing, inputs).orderBy("input_pos").limit(1).collect()
     if gone:
-        raise ValueError(f"input {gone[0].input} does not exist")
+        raise ValueError(f"no such input: {gone[0].input}")
     files = expand_inputs(listing, inputs)
     if not files.limit(1).count():
-        raise ValueError("no video files found in the given inputs")
+        raise ValueError("the inputs hold no video files")
     return files
 
 
@@ -99,5 +99,5 @@ def probe_clips(reports: DataFrame) -> DataFrame:
         "path", file_stem(F.col("path")).alias("stem"), "width", "height", "fps",
         F.coalesce(counted, estimated).alias("frames"), "codec", "duration_s",
         F.when(~F.col("has_stream"), "no video stream")
-        .when((F.col("width") == 0) | (F.col("height") == 0), "could not determine video dimensions")
-        .when(F.col("fps") >= P.FPS_REFUSED, "frame rate cannot be decoded").alias("error"))
+        .when((F.col("width") == 0) | (F.col("height") == 0), "video size unknown")
+        .when(F.col("fps") >= P.FPS_REFUSED, "frame rate refused").alias("error"))

@@ -17,6 +17,7 @@ from framesift import params as P
 from framesift.functions import png
 from framesift.functions.arrays import binary_from_rows, byte_rows
 from framesift.functions.text import image_name, mask_path
+from framesift.session import materialise
 
 
 # --- reading ---------------------------------------------------------------------------
@@ -202,11 +203,44 @@ def write_masks(masks: DataFrame, path: str, ext: str = "png") -> None:
            path, P.JPEG_QUALITY)
 
 
-def kept_only(frames: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Pixels of the kept frames.  Decisions are joined late, so pixels never go
-    through the ordered stage; whether they are broadcast is left to their size."""
-    kept = decisions.filter("keep").select("clip_id", "frame_index")
-    return frames.join(kept, ["clip_id", "frame_index"], "left_semi")
+BROADCAST_LIMIT = 256 << 20
+
+
+def kept_only(frames: DataFrame, decisions: DataFrame, key: str = "clip_id",
+              limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Pixels of the kept frames, joined late so that pixels pass no ordered stage.
+
+    Kept frames become bitmaps, one bit per frame of a clip.  While those fit
+    `limit` they are broadcast and no pixel is shuffled; beyond it the join
+    shuffles.  The clips and frames they span reach the scan as filters.
+    """
+    kept = decisions.filter("keep").select(key, "frame_index")
+    place = F.col("frame_index") + 1
+    last = F.max(F.bitmap_bit_position(place))
+    marks = materialise(
+        kept.groupBy(key, F.bitmap_bucket_number(place).alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"), last.alias("_end"),
+             F.min("frame_index").alias("_from"), F.max("frame_index").alias("_to"))
+        .withColumn("_bits", F.substring("_bits", F.lit(1), F.expr("int(_end div 8 + 1)"))), "kept")
+    span = marks.agg(
+        F.sum(F.octet_length("_bits") + 64).alias("size"), F.min(key).alias("low"), F.max(key).alias("high"),
+        F.min("_from").alias("first"), F.max("_to").alias("last")).first()
+    if span.size is None:
+        return frames.filter(F.lit(False))
+    near = frames.filter(F.col(key).between(span.low, span.high)
+                         & F.col("frame_index").between(span.first, span.last))
+    if span.size > limit:
+        return near.join(kept, [key, "frame_index"], "left_semi")
+    # Past the end of a cut bitmap the byte is empty and the test NULL: not kept.
+    byte = "int(conv(hex(substring(_bits, int(_place div 8) + 1, 1)), 16, 10))"
+    bit = F.expr(f"shiftright({byte}, int(_place % 8)) & 1")
+    return (
+        near.withColumn("_bucket", F.bitmap_bucket_number(place))
+        .withColumn("_place", F.bitmap_bit_position(place))
+        .join(F.broadcast(marks.select(key, "_bucket", "_bits")), [key, "_bucket"])
+        .filter(bit == 1)
+        .select(*frames.columns)
+    )
 
 
 def frames_to_table(frames: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -117,7 +117,7 @@ def camera_lines(cameras: DataFrame) -> DataFrame:
     spark = cameras.sparkSession
     header = spark.createDataFrame(
         [(0, i, t) for i, t in enumerate(CAMERA_HEADER)], "camera_id long, part int, value string")
-    note = F.format_string("# camera %d <- images %s_*", "camera_id", "stem")
+    note = F.format_string("# %d: images %s_*", "camera_id", "stem")
     body = cameras.select(
         F.col("camera_id").cast("long").alias("camera_id"),
         F.explode(F.array(

@@ -15,7 +15,7 @@ from framesift.sources import manifest
 
 
 def stream_frames_source(spark: SparkSession, path: str, schema: T.StructType,
-                         max_files: int | None = None, glob: str | None = None) -> DataFrame:
+                         max_files: int | None = 1000, glob: str | None = None) -> DataFrame:
     """Frame files of a table as they arrive; `max_files` per batch is the back-pressure."""
     reader = spark.readStream.schema(schema)
     if max_files:

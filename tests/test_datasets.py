@@ -68,6 +68,17 @@ def test_a_clip_without_frames_is_an_error(spark, frames):
         images.require_frames(frames, clips)
 
 
+@pytest.mark.parametrize("limit", [1 << 28, 0])
+def test_kept_frames_by_bitmap_and_by_join(spark, limit):
+    indexes = [0, 1, 7, 8, 32766, 32767, 32768, 65535, 65536, 100000]
+    rows = [(s, i) for s in ("a", "b") for i in indexes]
+    f = spark.createDataFrame(rows, "stem string, frame_index long").repartition(3)
+    want = sorted(r for n, r in enumerate(rows) if n % 3 == 0)
+    d = f.withColumn("keep", F.concat("stem", "frame_index").isin([f"{s}{i}" for s, i in want]))
+    assert sorted(tuple(r) for r in images.kept_only(f, d, "stem", limit).collect()) == want
+    assert images.kept_only(f, d.withColumn("keep", F.lit(False)), "stem", limit).count() == 0
+
+
 def test_frames_table_is_clustered(spark, frames, tmp_path):
     path = str(tmp_path / "table")
     images.frames_to_table(frames, path)
@@ -142,8 +153,8 @@ def test_cameras_count_clips_without_intrinsics(spark, tmp_path):
     cams = M.camera_rows(clips, "clip_id")
     lines = [r.value for r in M.camera_lines(cams).collect()]
     assert lines[len(M.CAMERA_HEADER):] == [
-        "# camera 2 <- images b_*", "2 PINHOLE 1920 1080 10000000 0.1 960 540",
-        "# camera 3 <- images c_*", "3 PINHOLE 64 48 1.5 2 32 24"]
+        "# 2: images b_*", "2 PINHOLE 1920 1080 10000000 0.1 960 540",
+        "# 3: images c_*", "3 PINHOLE 64 48 1.5 2 32 24"]
     assert M.write_cameras(cams, str(tmp_path / "cameras"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "cameras").glob("part-*")))
     assert text.splitlines() == lines
@@ -159,6 +170,13 @@ def intact(spark, files, kept=(0, 15), count=None, sidecars=("sfm",)):
     return resume.clip_intact(r, k, disk, "jpg", list(sidecars)).first().intact
 
 
+def test_replayed_frames_keep_their_pixels(spark, frames):
+    from framesift.operators import replay
+    kept = spark.createDataFrame([("c.1", 7), ("c.2", 0), ("c.9", 7)], "stem string, frame_index long")
+    got = replay.replayed(frames, kept)
+    assert sorted((r.stem, r.frame_index, len(r.rgb)) for r in got.collect()) == [("c.1", 7, 60), ("c.2", 0, 60)]
+
+
 def test_intact_needs_every_image_mask_and_the_count(spark):
     both = ["clip_000000.jpg", "clip_000015.jpg"]
     assert not intact(spark, [], sidecars=())
@@ -205,9 +223,9 @@ def test_inputs_expand_in_order(spark):
     got = [tuple(r) for r in clip_source.require_inputs(listing, inputs).orderBy("input_pos", "path").collect()]
     assert got == [(0, "/w/notes.bin"), (1, "/v/a.mp4"), (1, "/v/b.MOV")]
     gone = spark.createDataFrame([(0, "/none")], inputs.schema)
-    with pytest.raises(ValueError, match="/none does not exist"):
+    with pytest.raises(ValueError, match="no such input: /none"):
         clip_source.require_inputs(listing, gone)
-    with pytest.raises(ValueError, match="no video files"):
+    with pytest.raises(ValueError, match="hold no video files"):
         clip_source.require_inputs(listing, spark.createDataFrame([(0, "/w")], inputs.schema))
 
 
@@ -232,7 +250,7 @@ def test_frame_rates(spark, fps, refused):
 
 
 def test_lens_profile_document(spark, tmp_path):
-    doc = {"name": "n", "camera_brand": "DJI", "camera_model": "", "calib_dimension": {"w": 3840, "h": 2880},
+    doc = {"name": "n", "camera_brand": "Acme", "camera_model": "", "calib_dimension": {"w": 3840, "h": 2880},
            "fps": 59.94, "input_horizontal_stretch": 1.0, "input_vertical_stretch": 1.0,
            "fisheye_params": {"camera_matrix": [[1454.6, 0, 1922.4], [0, 1457.5, 1426.8], [0, 0, 1]],
                               "distortion_coeffs": [0.1, 0.2, 0.3, 0.4]}}
@@ -242,14 +260,14 @@ def test_lens_profile_document(spark, tmp_path):
     (tmp_path / "d.txt").write_text("not listed")
     files = profile_source.read_profile_files(spark, str(tmp_path))
     good = profile_source.scan_lens_profiles(files).collect()
-    assert [(r.camera, r.k00, r.k11, r.calib_w) for r in good] == [("DJI", 1454.6, 1457.5, 3840)]
+    assert [(r.camera, r.k00, r.k11, r.calib_w) for r in good] == [("Acme", 1454.6, 1457.5, 3840)]
     bad = {r.path[-6:]: r.error for r in profile_source.rejected_profiles(files).collect()}
     assert bad["b.json"] == "no distortion coefficients" and len(bad) == 2
 
 
 def test_search_needs_every_term(spark):
-    index = spark.createDataFrame([("DJI/DJI_O4 Pro_stock_wide_4k.json",), ("GoPro/HERO11_wide.json",)], "path string")
-    counts = [profile_source.search(index, q).count() for q in ("dji o4", "dji hero", "", " DJI\t")]
+    index = spark.createDataFrame([("Acme/Acme_X4 Pro_stock_wide_4k.json",), ("Zenith/Z11_wide.json",)], "path string")
+    counts = [profile_source.search(index, q).count() for q in ("acme x4", "acme z11", "", " ACME\t")]
     assert counts == [1, 0, 2, 1] and terms(" A\tb ") == ["a", "b"]
 
 
