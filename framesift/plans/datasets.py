@@ -187,3 +187,25 @@ def sink_manifest(spark, sf):
             .join(run, "run_id").join(lists, "clip_id", "left")
             .select("position", "stem", "mode", "completed", "frames_decoded", "frames_kept",
                     "chunk", "kept_frames", "total_kept"))
+
+
+@query("build_dataset", V.ctes("sharpl8", recursive=True)
+       + _MOTION.format(where="").replace("sharp8", "sharpl8").replace("0.07", "0.045").rsplit("SELECT s.clip_id", 1)[0] + """
+    SELECT concat('clip', k.clip_id) AS stem, k.frame_index, d.frames_decoded, n.frames_kept
+    FROM kept k JOIN (SELECT clip_id, count(*) AS frames_decoded FROM sharpl8 GROUP BY clip_id) d USING (clip_id)
+    JOIN (SELECT clip_id, count(*) AS frames_kept FROM kept GROUP BY clip_id) n USING (clip_id)""")
+def build_dataset_query(spark, sf):
+    """A whole run over all frames: selection, images, manifest; images scanned back."""
+    from framesift.dataset import DatasetConfig, build_dataset
+    out = scratch_path(spark, "run")
+    frames = V.rgb8(spark, sf)
+    path = scratch_path(spark, "run-frames")
+    images.frames_to_table(frames, path)
+    clip = F.col("clip_id")
+    clips = V.table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("clip_id")).distinct().select(
+        clip, clip.alias("position"), F.concat(F.lit("in/clip"), clip, F.lit(".mp4")).alias("path"),
+        F.concat(F.lit("clip"), clip).alias("stem"), F.lit(V.SIDE).alias("width"), F.lit(V.SIDE).alias("height"),
+        F.lit(30.0).alias("fps"))
+    record = build_dataset(spark.read.parquet(path), clips, out, DatasetConfig(motion_threshold=0.045, window=4))
+    found = images.read_image_frames(spark, f"{out}/images").select("stem", "frame_index")
+    return found.join(record.select("stem", "frames_decoded", "frames_kept"), "stem")

@@ -85,6 +85,27 @@ def stream_select(spark, sf):
     return out.filter("kind = 'decision'").select("clip_id", "frame_index", "keep")
 
 
+@query("stream_resume", V.ctes("sharp8", recursive=True) + _MOTION.format(where=""))
+def stream_resume(spark, sf):
+    """The query stops after half of the files and is started again: it goes on from
+    its checkpoint and nothing is decided twice."""
+    frames = _selectable(spark, sf).withColumn("is_end", F.lit(False))
+    _rocksdb(spark)
+    path, out = scratch_path(spark, "arrivals"), scratch_path(spark, "streamed")
+    stored = scratch_path(spark, "frames")
+    frames.write.parquet(stored)
+    frames = spark.read.parquet(stored)
+    late = F.pmod(F.hash("clip_id", "frame_index"), F.lit(2)) == 1
+    ends = frames.select("clip_id").distinct().select("clip_id", *[
+        (F.lit(True) if n == "is_end" else F.lit(None).cast(t)).alias(n)
+        for n, t in frames.dtypes if n != "clip_id"]).select(frames.columns)
+    for arrived in (frames.filter(~late), frames.filter(late).unionByName(ends)):
+        arrived.write.mode("append").parquet(path)
+        stream = stream_io.stream_frames_source(spark, path, frames.schema)
+        stream_io.run_available(O.stream_select(stream, 0.07, 4), out, f"{out}-checkpoint")
+    return spark.read.parquet(out).filter("kind = 'decision'").select("clip_id", "frame_index", "keep")
+
+
 @query("stream_smoothing", V.ctes("labels8") + """,
     p AS (SELECT clip_id, frame_index, i, labels[i + 1] AS label FROM labels8, range(64) AS t(i)),
     t AS (SELECT a.clip_id, a.frame_index, a.i, b.label, count(*) AS n, min(b.frame_index) AS first_seen

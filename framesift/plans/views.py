@@ -194,6 +194,9 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT clip_id, frame_index, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y,
                gray[i + 1] AS v
         FROM frames8, range(64) AS t(i)"""),
+    "lum8": (("rgb8",), """
+        SELECT clip_id, frame_index, list_transform(range(64), lambda i:
+               (77 * r[i + 1] + 150 * g[i + 1] + 29 * b[i + 1]) // 256) AS gray FROM rgb8"""),
     "sharp8": (("frames8",), """
         SELECT clip_id, frame_index, any_value(gray) AS gray,
                sum(lap * lap) / count(*) - (sum(lap) / count(*)) * (sum(lap) / count(*)) AS sharpness
@@ -258,6 +261,9 @@ def ctes(*names: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{body}"
 
 
+SQL["sharpl8"] = (("lum8",), SQL["sharp8"][1].replace("frames8", "lum8"))
+
+
 def sql_hex(list_expr: str) -> str:
     return f"array_to_string(list_transform({list_expr}, lambda v: printf('%02X', v)), '')"
 

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "framesift", master: str | None = None, **conf: str) -> SparkSession:
@@ -82,6 +82,12 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/framesift/{what}-{uuid.uuid4().hex}"
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Mark a stored table of short rows for broadcast when it has few enough;
+    beyond that the join is left to Catalyst."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage and
     survives the loss of any executor."""

@@ -176,6 +176,11 @@ def stream_every_nth(frames: DataFrame, n: int = P.EVERY_NTH, floor: float | Non
     return _run(frames, Select(make), DECISIONS)
 
 
+def stream_rule(frames: DataFrame, make_rule) -> DataFrame:
+    """Decisions of any selection rule; `make_rule` is called once per clip."""
+    return _run(frames, Select(make_rule), DECISIONS)
+
+
 def stream_smoothing(frames: DataFrame, window: int) -> DataFrame:
     """Smoothed label maps (clip_id, frame_index, labels)."""
     return _run(frames, Smooth(window), SMOOTHED)
