@@ -10,6 +10,7 @@ from framesift.functions.geometry import output_size
 from framesift.operators import masks, metrics, records, selection
 from framesift.operators.motion import motion_gated
 from framesift.plans import views as V
+from framesift.plans.imaging import _PX, _sql_resize
 from framesift.plans.ordered import _MOTION, sharp8
 from framesift.plans.registry import query
 from framesift.session import scratch_path
@@ -44,7 +45,44 @@ def segment_frames(spark, sf):
         segment.segment_frames("rgb", "width", "height", model, info)).alias("labels"))
 
 
-@query("undistort_frames")
+_LENS_SQL = ", " + V.SQL["profiles"][1].strip().join(["profiles AS (", ")"]) + """,
+    k AS (SELECT 0.18 :: DOUBLE AS k0, -0.04 :: DOUBLE AS k1, 0.19 :: DOUBLE AS k2, -0.14 :: DOUBLE AS k3),
+    lim AS (SELECT coalesce(min(t) FILTER (WHERE 1 + 3 * k0 * t * t + 5 * k1 * pow(t * t, 2) + 7 * k2 * pow(t * t, 3)
+                                               + 9 * k3 * pow(t * t, 4) <= 0), pi() / 2) AS cut
+            FROM k, (SELECT i * (pi() / 2) / 4096 AS t FROM range(4097) AS g(i))),
+    cam AS (SELECT clip_id, sx, k00 * 8 / calib_w * sx AS fx, k11 * 8 / calib_h * sy AS fy
+            FROM (SELECT DISTINCT clip_id FROM rgb8) JOIN
+                 (SELECT *, CASE WHEN stretch_x > 0.01 THEN stretch_x ELSE 1.0 END AS sx,
+                         CASE WHEN stretch_y > 0.01 THEN stretch_y ELSE 1.0 END AS sy FROM profiles)
+              ON profile_id = clip_id * 10 + 1),
+    ray AS (SELECT clip_id, ox, oy, fx, fy, (ox + 0.5 :: DOUBLE - 2) / (fx / sx / 2) AS x,
+                   (oy + 0.5 :: DOUBLE - 2) / (fy / sx / 2) AS y
+            FROM cam, range(4) AS a(ox), range(4) AS b(oy)),
+    bent AS (SELECT clip_id, ox, oy, fx, fy, x, y, sqrt(x * x + y * y) AS r, atan(sqrt(x * x + y * y)) AS th FROM ray),
+    src AS (SELECT clip_id, ox, oy, th < cut AS seen,
+                   x * (th * (1 + th * th * (k0 + th * th * (k1 + th * th * (k2 + th * th * k3)))) / r) * fx + 4 - 0.5 AS u,
+                   y * (th * (1 + th * th * (k0 + th * th * (k1 + th * th * (k2 + th * th * k3)))) / r) * fy + 4 - 0.5 AS v
+            FROM bent, k, lim),
+    spot AS (SELECT clip_id, ox, oy, seen AND u BETWEEN -0.5 AND 7.5 AND v BETWEEN -0.5 AND 7.5 AS seen,
+                  CAST(round_even(greatest(0, least(7, u)) * 32, 0) AS BIGINT) AS ui,
+                  CAST(round_even(greatest(0, least(7, v)) * 32, 0) AS BIGINT) AS vi FROM src),
+    wt AS (SELECT *, CAST(round_even(ui % 32 * (32 - vi % 32) / 4.0, 0) AS BIGINT) AS w01,
+                  CAST(round_even((32 - ui % 32) * (vi % 32) / 4.0, 0) AS BIGINT) AS w10,
+                  CAST(round_even((ui % 32) * (vi % 32) / 4.0, 0) AS BIGINT) AS w11 FROM spot),
+    got AS (SELECT wt.clip_id, a.frame_index, ox AS x, oy AS y, a.ch,
+                   CASE WHEN seen THEN ((256 - w01 - w10 - w11) * a.v + w01 * b.v + w10 * c.v + w11 * d.v + 128) >> 8 ELSE 0 END AS v
+            FROM wt JOIN px a ON a.clip_id = wt.clip_id AND a.x = ui // 32 AND a.y = vi // 32
+            JOIN px b ON b.clip_id = wt.clip_id AND b.frame_index = a.frame_index AND b.ch = a.ch AND b.x = least(ui // 32 + 1, 7) AND b.y = vi // 32
+            JOIN px c ON c.clip_id = wt.clip_id AND c.frame_index = a.frame_index AND c.ch = a.ch AND c.x = ui // 32 AND c.y = least(vi // 32 + 1, 7)
+            JOIN px d ON d.clip_id = wt.clip_id AND d.frame_index = a.frame_index AND d.ch = a.ch AND d.x = least(ui // 32 + 1, 7) AND d.y = least(vi // 32 + 1, 7)),
+    every AS (SELECT * FROM got UNION ALL
+              SELECT * FROM plain WHERE clip_id NOT IN (SELECT clip_id FROM cam))
+    SELECT clip_id, frame_index, 4 AS out_w, 4 AS out_h,
+           string_agg(printf('%02X', CAST(v AS INTEGER)), '' ORDER BY y, x, ch) AS rgb
+    FROM every GROUP BY clip_id, frame_index"""
+
+
+@query("undistort_frames", V.ctes("rgb8") + _PX + _sql_resize("plain", "px", (8, 8), (4, 4), "lanczos3") + _LENS_SQL)
 def undistort_frames(spark, sf):
     """Every frame through the profile of its own part, at half size."""
     from framesift.plans.tabular import _profiles

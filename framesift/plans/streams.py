@@ -133,9 +133,10 @@ def stream_dataset_sink(spark, sf):
     out = scratch_path(spark, "dataset")
     stream = stream_io.stream_frames_source(spark, path, schema, 2)
     sink = stream_io.dataset_sink(lambda kept: images.kept_only(frames, kept), out, "run")
-    (O.stream_select(stream, 0.07, 4).writeStream.foreachBatch(sink)
-     .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-     .awaitTermination())
+    with stream_io.state_partitions(spark):
+        (O.stream_select(stream, 0.07, 4).writeStream.foreachBatch(sink)
+         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+         .awaitTermination())
     records = manifest_source.recorded_clips(spark, f"{out}/manifest", "run").groupBy("clip_id").agg(
         F.sum("frames_kept").alias("frames_kept"))
     records = records.select(F.concat(F.lit("clip"), "clip_id").alias("stem"), "frames_kept")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -31,12 +32,28 @@ def stream_image_files(spark: SparkSession, path: str, max_files: int = 1000) ->
             .schema("path string, modificationTime timestamp, length long, content binary").load(path))
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, count: int | None = None):
+    """Start stateful queries with as many state stores as there are cores.
+
+    A stream's partition count is fixed with its checkpoint and not adapted at run
+    time, so the batch default would open hundreds of stores on a small machine.
+    """
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(count or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything there is into a Parquet folder, then stop."""
-    query = (df.writeStream.format("parquet").option("path", path)
-             .option("checkpointLocation", checkpoint).outputMode(mode)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    with state_partitions(df.sparkSession):
+        query = (df.writeStream.format("parquet").option("path", path)
+                 .option("checkpointLocation", checkpoint).outputMode(mode)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
     return query
 
 
@@ -48,10 +65,11 @@ def dataset_sink(frames_of: Callable[[DataFrame], DataFrame], out: str, run_id:
     at the same batch left, so a record is never ahead of its files and a batch
     that runs twice counts once.  `frames_of` fetches pixels for decisions.
     """
+    # Before the stream starts: a micro-batch runs in a copy of this session.
+    images.register_sink(SparkSession.active())
+
     def write(decided: DataFrame, batch: int) -> None:
         kept = decided.filter("kind = 'decision' and keep").select("clip_id", "frame_index", "keep")
-        # A micro-batch has its own session, which does not share registrations.
-        images.register_sink(decided.sparkSession)
         decided.persist()
         images.write_images(frames_of(kept), f"{out}/images", ext)
         record = decided.filter("kind = 'decision'").groupBy("clip_id").agg(
