@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framesift.llm import line_cleaning, source_mixing
+from framesift.llm import (bpe_transducer, class_lm, language_id, line_cleaning, quality_cnn, source_mixing,
+                           unigram_counts)
 from framesift.llm.common import table
 from framesift.session import ship_package
 
@@ -98,3 +100,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op3_line_cleaning(spark: SparkSession, sf: str) -> DataFrame:
     """Measures and verdict of the line rules for every document."""
     return line_cleaning.judge(table(spark, sf, "documents"))
+
+
+@_query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf, "documents")
+    return language_id.predict(docs, language_id.train(language_id.training_rows(docs)))
+
+
+@_query("op5_quality_cnn")
+def op5_quality_cnn(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document, learned from the labelled ones that are not held out."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality_cnn.predict(docs, quality_cnn.train(docs, labels))
+
+
+def byte_bpe(path: str | None = None) -> bpe_transducer.Codec:
+    """The codec of a rank file, by default the one the contract names."""
+    ranks = bpe_transducer.read_ranks(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe_transducer.Codec(ranks, public_tokenizers.PATTERN)
+
+
+@_query("op6_bpe_transducer")
+def op6_bpe_transducer(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document and their decoding, as digests."""
+    return bpe_transducer.digests(table(spark, sf, "documents"), byte_bpe())
+
+
+@_query("op7_unigram_counts")
+def op7_unigram_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces and score of every document under the scored vocabulary."""
+    model = unigram_counts.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return unigram_counts.counts(table(spark, sf, "documents"), model)
+
+
+@_query("op8_class_lm")
+def op8_class_lm(spark: SparkSession, sf: str) -> DataFrame:
+    """Base and class-model score of every document."""
+    return class_lm.train_and_score(table(spark, sf, "documents"))
