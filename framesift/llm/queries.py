@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framesift.llm import (bpe_transducer, class_lm, language_id, line_cleaning, quality_cnn, source_mixing,
+from framesift.llm import (bpe_transducer, class_lm, jaccard_join, language_id, line_cleaning, quality_cnn, source_mixing,
                            unigram_counts)
 from framesift.llm.common import table
 from framesift.session import ship_package
@@ -140,3 +140,9 @@ def op7_unigram_counts(spark: SparkSession, sf: str) -> DataFrame:
 def op8_class_lm(spark: SparkSession, sf: str) -> DataFrame:
     """Base and class-model score of every document."""
     return class_lm.train_and_score(table(spark, sf, "documents"))
+
+
+@_query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Component of every document under links of at least 0.75 Jaccard similarity of 5-word shingles."""
+    return jaccard_join.links(table(spark, sf, "documents"))
