@@ -65,15 +65,13 @@ class Packer:
 
 
 def unpack(blocks: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
-    """The rows of all blocks of a bucket, sorted by all fields in turn, without repeats."""
+    """The rows of all blocks of a bucket, sorted by key and node, each pair of them once."""
     rows = np.frombuffer(b"".join(b.as_py() for b in blocks), kind)
     if not len(rows):
         return rows
-    rows = rows[np.lexsort([rows[n] for n in reversed(kind.names)])]
-    same = np.ones(len(rows) - 1, bool)
-    for n in kind.names:
-        same &= rows[n][1:] == rows[n][:-1]
-    return rows[np.append(True, ~same)]
+    rows = rows[np.lexsort((rows["node"], rows["key"]))]
+    new = (rows["key"][1:] != rows["key"][:-1]) | (rows["node"][1:] != rows["node"][:-1])
+    return rows[np.append(True, new)]
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,8 +8,8 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framesift.llm import (bpe_transducer, class_lm, jaccard_join, language_id, line_cleaning, quality_cnn, source_mixing,
-                           unigram_counts)
+from framesift.llm import (bpe_transducer, class_lm, embedding_dedup, jaccard_join, language_id, line_cleaning,
+                           quality_cnn, source_mixing, template_extract, unigram_counts)
 from framesift.llm.common import table
 from framesift.session import ship_package
 
@@ -29,6 +29,12 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+@_query("op1_embedding_dedup")
+def op1_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and component of every vector at a cosine of at least 0.9."""
+    return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
+
+
 @_query("op2_source_mixing", rf"""
 WITH sized AS (SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS size FROM documents GROUP BY source),
 weighed AS (SELECT source, size, CASE WHEN size > 0 THEN pow(size, {source_mixing.TEMPERATURE}) ELSE 0 END AS weight
@@ -146,3 +152,9 @@ def op8_class_lm(spark: SparkSession, sf: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Component of every document under links of at least 0.75 Jaccard similarity of 5-word shingles."""
     return jaccard_join.links(table(spark, sf, "documents"))
+
+
+@_query("op10_template_extract")
+def op10_template_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return template_extract.main_text(table(spark, sf, "pages"))
