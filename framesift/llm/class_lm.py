@@ -146,7 +146,8 @@ def exchange(pairs: np.ndarray, clustered: int, classes: int = CLASSES, rounds:
             both = grid[at, at]
             gain -= f(both + right[:k]) - f(both) + f(both + left[:k]) - f(both)
             gain += f(both + right[:k] + left[:k] + twice) - f(both)
-            sums, heads = rows.sum(1), columns.sum(1)
+            # The words before and after it count for their own classes wherever it goes.
+            sums, heads = rows.sum(1) + left[:k], columns.sum(1) + right[:k]
             gain -= f(sums + right.sum() + twice) - f(sums) + f(heads + left.sum() + twice) - f(heads)
             new = int(gain.argmax())
             if gain[new] <= gain[old] + 1e-9:

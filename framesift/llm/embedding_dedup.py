@@ -3,6 +3,8 @@ r"""Near duplicates of embeddings: iterative quantisation, multi-index Hamming t
 * A rotation is learnt from a bounded sample of the vectors by iterative quantisation (principal axes, then
   alternately the signs of the rotated vectors and the rotation that comes closest to them), so that bits are
   balanced and close to the vectors.  Several rotations from different starts give as many bits as needed.
+  Vectors are not centred first: bits must follow the angle between vectors, also where all vectors lean to
+  one side (bits are then less balanced, which costs comparisons and not links).
 * The bits are cut into tables of `s` bits, about log2 of the number of vectors.  A vector enters each table
   under its own bits and under these with one zero bit set, so two vectors meet in a table when they differ
   there in at most one bit.  So many tables are used that a pair at the threshold itself meets in one of them
@@ -49,7 +51,6 @@ PAIRED = 2048
 
 @dataclass(frozen=True)
 class Codes:
-    mean: np.ndarray
     rotations: np.ndarray   # (d, bits)
     width: int              # bits of a table
     tables: int
@@ -57,7 +58,7 @@ class Codes:
 
     def of(self, unit: np.ndarray) -> np.ndarray:
         """(n, tables) table values of unit vectors."""
-        bits = ((unit - self.mean) @ self.rotations > 0)[:, :self.width * self.tables]
+        bits = (unit @ self.rotations > 0)[:, :self.width * self.tables]
         weight = np.uint32(1) << np.arange(self.width, dtype=np.uint32)
         return (bits.reshape(len(unit), self.tables, self.width) * weight).sum(axis=2, dtype=np.uint32)
 
@@ -91,11 +92,9 @@ def learn(sample: np.ndarray, vectors: int, threshold: float = THRESHOLD, seed:
     width = min(24, max(8, math.ceil(math.log2(max(vectors, 2)))))
     tables = tables_for(width, flip)
     bits = width * tables
-    mean = sample.mean(axis=0) if len(sample) > 1 else np.zeros(d)
-    centred = sample - mean
-    _, axes = np.linalg.eigh(centred.T @ centred)
+    _, axes = np.linalg.eigh(sample.T @ sample)
     axes = axes[:, ::-1][:, :min(d, ROTATION_BITS)]
-    short = centred @ axes
+    short = sample @ axes
     parts = []
     while sum(p.shape[1] for p in parts) < bits:
         turn, _ = np.linalg.qr(rng.standard_normal((axes.shape[1],) * 2))
@@ -106,7 +105,7 @@ def learn(sample: np.ndarray, vectors: int, threshold: float = THRESHOLD, seed:
         parts.append(axes @ turn)
     spread = math.sqrt(bits * flip * (1 - flip))
     # Bits of one rotation depend on each other, so the bound is wide; unrelated vectors differ in half of them.
-    return Codes(mean, np.concatenate(parts, axis=1), width, tables, int(min(bits * 0.42, bits * flip + 6 * spread)))
+    return Codes(np.concatenate(parts, axis=1), width, tables, int(min(bits * 0.42, bits * flip + 6 * spread)))
 
 
 def _kind(tables: int) -> np.dtype:
@@ -147,13 +146,13 @@ def _first_meeting(a: np.ndarray, b: np.ndarray, table: np.ndarray) -> np.ndarra
 
 def _groups(tables: int, radius: int):
     """The members of a bucket's runs that may have a link there, as blocks (run, i, j) to compare."""
-    kind = _kind(tables)
+    kind, paired, size = _kind(tables), PAIRED, BLOCK
 
     def run(found: pa.Table) -> pa.Table:
         rows = unpack(found.column("block"), kind)
         first, length = runs(rows["key"])
         group = np.repeat(np.arange(len(first)), length)
-        wanted = length[group] > PAIRED
+        wanted = length[group] > paired
         short = np.flatnonzero((rows["own"] == 1) & (length[group] > 1) & ~wanted)
         # Each own entry against all entries of its run, in portions of bounded size.
         reach = length[group[short]]
@@ -174,8 +173,8 @@ def _groups(tables: int, radius: int):
         at = np.flatnonzero(wanted)
         own_run = group[at]
         start = np.searchsorted(own_run, own_run)
-        block = (np.arange(len(at)) - start) // BLOCK
-        blocks = (np.searchsorted(own_run, own_run, "right") - start - 1) // BLOCK + 1
+        block = (np.arange(len(at)) - start) // size
+        blocks = (np.searchsorted(own_run, own_run, "right") - start - 1) // size + 1
         # A member of block b is needed against every block of its run.
         pick = np.repeat(np.arange(len(at)), blocks)
         other = np.arange(len(pick)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
