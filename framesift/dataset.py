@@ -8,12 +8,19 @@ carries its columns (k00, k11, calib_w, calib_h, stretch_x, stretch_y, coeffs).
 
 Pixels are read twice and stored never: once to make thumbnails, once to render
 the frames that were kept.  Everything between works on thumbnails and numbers.
+
+A run can be killed at any time.  Its row with all parameters is written before the
+first image; clips are done in groups of bounded size and recorded group by group,
+after their images; the run's totals come last.  A later run with other parameters
+into the same folder is refused, complete or not; one with `resume` goes on with
+what is not recorded whole, one without replaces the dataset.
 """
 
 from __future__ import annotations
 
+import json
+import time
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,12 +29,13 @@ from framesift.functions import geometry as G
 from framesift.functions import lens, pixels, segment
 from framesift.operators import audits, masks, metrics, records, replay, resume, selection
 from framesift.operators.motion import motion_gated
+from framesift.operators.ordering import index_bucket, running_sum
 from framesift.operators.stems import unique_stems
-from framesift.session import broadcast_if_small, materialise, ship_package
+from framesift.session import broadcast_if_small, exists, materialise, ship_package
 from framesift.sources import images, manifest
 
 LENS = ("k00", "k11", "calib_w", "calib_h", "stretch_x", "stretch_y", "coeffs")
-MAX_SIZES = 64
+TOOL = "framesift"
 
 
 @dataclass(frozen=True)
@@ -55,6 +63,10 @@ class DatasetConfig:
     sky_dilate: int = P.SEG_SKY_DILATE
     people_dilate: int = P.SEG_PEOPLE_DILATE
     resume: bool = False
+    #: Names where the replayed list comes from; another source is another dataset.
+    replay_source: str | None = None
+    #: Frames of clips that are done and recorded together.
+    group_frames: int = 2_000_000
 
     def __post_init__(self):
         if self.mask_people and self.model is None:
@@ -71,18 +83,40 @@ class DatasetConfig:
         names = [c for c, on in (("sky", self.mask_sky), ("people", self.mask_people)) if on]
         return [s for s in P.SIDECAR_DIRS if any(s in P.MASK_ROUTING[c] for c in names)]
 
-    def compared(self) -> dict[str, str | None]:
-        """What must not change between runs into one folder, as text."""
-        rule = {"motion-gated": f"motion {self.motion_threshold}/{self.window}",
-                "every-nth": f"every-nth {self.nth}", "replay": "replay"}[self.select]
-        size = {"same": "same", "scale": f"scale {self.factor}", "exact": f"{self.width}x{self.height}"}
-        source = "model" if self.model is not None else "heuristic"
-        masked = [n for n, on in ((f"sky by {source}", self.mask_sky), ("people", self.mask_people)) if on]
-        fmt = "png" if self.ext == "png" else f"jpeg {self.jpeg_quality}"
-        return {
-            "output_size": size[self.size], "format": fmt,
-            "selection": f"{rule}, floor {self.blur_floor}", "interpolation": self.interpolation,
-            "gpu": "false", "masking": ", ".join(masked) or None, "profile_sha": self.profile_sha}
+    def model_identity(self) -> str | None:
+        if self.model is None:
+            return None
+        identity = getattr(self.model, "identity", None)
+        return identity() if identity else f"{type(self.model).__module__}.{type(self.model).__qualname__}"
+
+    def masking(self) -> dict | None:
+        """The classes that are masked, how, and where they are written; None if none is."""
+        if not self.sidecars:
+            return None
+        shared = {"model": self.model_identity(), "width": self.seg_width,
+                  "window": masks.odd_window(self.temporal_window)}
+        classes = []
+        for name, on, number, dilate in (("sky", self.mask_sky, self.sky_class, self.sky_dilate),
+                                         ("people", self.mask_people, self.people_class, self.people_dilate)):
+            if on:
+                found = self.model is not None
+                classes.append({
+                    "name": name, "source": "segmentation" if found else "heuristic",
+                    "written_to": list(P.MASK_ROUTING[name]),
+                    "params": json.dumps({"class": number, "dilate": dilate, **shared} if found else {}, sort_keys=True)})
+        return {"sidecars": {s: P.SIDECAR_DIRS[s] for s in self.sidecars}, "classes": classes}
+
+    def document(self) -> dict:
+        """All parameters, as the manifest has them."""
+        size = {"same": {}, "scale": {"factor": float(self.factor)},
+                "exact": {"width": self.width, "height": self.height}}[self.size]
+        mode = {"motion-gated": {"motion_threshold": float(self.motion_threshold), "window": self.window},
+                "every-nth": {"n": self.nth}, "replay": {"source": self.replay_source}}[self.select]
+        kind = {"format": "png"} if self.ext == "png" else {"format": "jpeg", "quality": self.jpeg_quality}
+        floor = None if self.blur_floor is None else float(self.blur_floor)
+        return {"output_size": {"kind": self.size, **size}, "format": kind,
+                "selection": {"mode": {"mode": self.select, **mode}, "blur_floor": floor},
+                "interpolation": self.interpolation, "gpu": False, "masking": self.masking()}
 
 
 def sized_clips(clips: DataFrame, cfg: DatasetConfig) -> DataFrame:
@@ -102,12 +136,18 @@ def render(frames: DataFrame, clips: DataFrame, cfg: DatasetConfig) -> DataFrame
     # Pixels must not be shuffled to meet their clip.
     f = frames.select("clip_id", "frame_index", "width", "height", "rgb").join(
         broadcast_if_small(clips.select("clip_id", "stem", "out_w", "out_h", *extra)), "clip_id")
-    if with_lens:
-        out = lens.undistort_frames("rgb", "width", "height", "out_w", "out_h", *LENS, cfg.interpolation)
-    else:
-        out = pixels.resize_rgb("rgb", "width", "height", "out_w", "out_h")
-    return f.select("clip_id", "stem", "frame_index", F.col("out_w").alias("width"),
-                    F.col("out_h").alias("height"), out.alias("rgb"))
+    plain = pixels.resize_rgb("rgb", "width", "height", "out_w", "out_h")
+
+    def made(rows: DataFrame, out) -> DataFrame:
+        return rows.select("clip_id", "stem", "frame_index", F.col("out_w").alias("width"),
+                           F.col("out_h").alias("height"), out.alias("rgb"))
+    if not with_lens:
+        return made(f, plain)
+    # A clip without a profile is resized like any other; only the others go through the lens.
+    straight = lens.undistort_frames("rgb", "width", "height", "out_w", "out_h", *LENS, cfg.interpolation)
+    bare = clips.filter("coeffs IS NULL").limit(1).count()
+    done = made(f.filter("coeffs IS NOT NULL") if bare else f, straight)
+    return done.unionByName(made(f.filter("coeffs IS NULL"), plain)) if bare else done
 
 
 def judge(frames: DataFrame, clips: DataFrame, cfg: DatasetConfig) -> DataFrame:
@@ -117,24 +157,21 @@ def judge(frames: DataFrame, clips: DataFrame, cfg: DatasetConfig) -> DataFrame:
         sky = {} if cfg.mask_sky else None
         return materialise(metrics.judge_frames(rendered, heuristic_sky=sky), "metrics")
     ids = [i for i, on in ((cfg.sky_class, cfg.mask_sky), (cfg.people_class, cfg.mask_people)) if on]
-    sizes = clips.select("out_w", "out_h").distinct().limit(MAX_SIZES + 1).collect()
-    if len(sizes) > MAX_SIZES:
-        raise ValueError(f"more than {MAX_SIZES} output sizes in one run")
-    offset, parts = 0, []
-    for size in sizes:
-        iw = -(-max(cfg.seg_width, P.SEG_STRIDE) // P.SEG_STRIDE) * P.SEG_STRIDE
-        ih = -(-max(size.out_h * iw // max(size.out_w, 1), P.SEG_STRIDE) // P.SEG_STRIDE) * P.SEG_STRIDE
-        info = segment.inspect_model(cfg.model, iw, ih, tuple(ids))
-        offset = info.offset
-        part = rendered.filter((F.col("width") == size.out_w) & (F.col("height") == size.out_h))
-        parts.append(part.select(
-            "clip_id", "frame_index",
-            pixels.metric_thumbnail("rgb", "width", "height").alias("rgb"),
-            pixels.metric_height("width", "height").alias("thumb_h"),
-            pixels.metric_width("width").alias("thumb_w"),
-            segment.segment_frames("rgb", "width", "height", cfg.model, info).alias("labels"),
-            F.lit(info.size[0]).alias("label_w"), F.lit(info.size[1]).alias("label_h")))
-    thumbs = materialise(reduce(DataFrame.unionByName, parts), "thumbnails")
+    step = P.SEG_STRIDE
+    info = segment.inspect_model(cfg.model, -(-max(cfg.seg_width, step) // step) * step, step, tuple(ids))
+    offset = info.offset
+    if getattr(cfg.model, "declared_size", lambda: None)():
+        label_w, label_h = F.lit(info.size[0]), F.lit(info.size[1])
+    else:
+        label_w, label_h = G.inference_size(F.col("width"), F.col("height"), cfg.seg_width)
+    # Each row is inferred at the size its clip asks for, so any number of sizes is one pass.
+    thumbs = materialise(rendered.select(
+        "clip_id", "frame_index",
+        pixels.metric_thumbnail("rgb", "width", "height").alias("rgb"),
+        pixels.metric_height("width", "height").alias("thumb_h"),
+        pixels.metric_width("width").alias("thumb_w"),
+        segment.segment_frames("rgb", "width", "height", cfg.model, info, size=(label_w, label_h)).alias("labels"),
+        label_w.alias("label_w"), label_h.alias("label_h")), "thumbnails")
     if masks.odd_window(cfg.temporal_window) > 1:
         smooth = masks.label_smoothing(thumbs.select("clip_id", "frame_index", "labels"), cfg.temporal_window)
         thumbs = thumbs.drop("labels").join(smooth, ["clip_id", "frame_index"])
@@ -164,20 +201,31 @@ def decide(judged: DataFrame, cfg: DatasetConfig) -> DataFrame:
     return motion_gated(judged, cfg.motion_threshold, cfg.window, cfg.blur_floor)
 
 
-def _previous(spark: SparkSession, out: str, run_id: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/manifest/runs/run_id={run_id}")
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def _parameters(spark: SparkSession, cfg: DatasetConfig) -> DataFrame:
+    """One row: tool, parameters, profile."""
+    row = spark.createDataFrame([(TOOL, int(time.time()), json.dumps(cfg.document()), cfg.profile_sha)],
+                                "tool string, created_unix long, document string, sha string")
+    return row.select("tool", "created_unix", F.from_json("document", manifest.PARAMS).alias("params"),
+                      F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("name"),
+                               F.col("sha").alias("sha256")).alias("profile"))
+
+
+def _compared(run: DataFrame) -> list:
+    """The compared fields as text."""
+    text = {"profile_sha": F.col("profile.sha256"), "gpu": F.col("params.gpu").cast("string"),
+            "interpolation": F.col("params.interpolation")}
+    return [text.get(f, F.to_json(F.col(f"params.{f}"))).alias(f) for _, f in resume.COMPARED]
 
 
 def _check_previous(spark: SparkSession, out: str, run_id: str, cfg: DatasetConfig) -> bool:
     """Whether the folder holds a run to carry on; different settings are refused."""
-    if not _previous(spark, out, run_id):
+    table = f"{out}/manifest"
+    if manifest.last_run(spark, table, run_id) is None:
         return False
-    schema = "out_dir string, resume boolean, " + ", ".join(f"{f} string" for _, f in resume.COMPARED)
-    now = spark.createDataFrame([(out, cfg.resume, *cfg.compared().values())], schema)
-    then = manifest.recorded_run(spark, f"{out}/manifest", run_id).select(
-        F.lit(out).alias("out_dir"), "params.*")
-    row = resume.parameter_diff(now, then, "out_dir").first()
+    mine = _parameters(spark, cfg)
+    now = mine.select(F.lit(out).alias("out_dir"), F.lit(cfg.resume).alias("resume"), *_compared(mine))
+    old = manifest.recorded_run(spark, table, run_id)
+    row = resume.parameter_diff(now, old.select(F.lit(out).alias("out_dir"), *_compared(old)), "out_dir").first()
     if row.differences is not None:
         raise ValueError(f"{out} holds a dataset made with other settings: {row.differences}")
     return row.verdict == "carry"
@@ -186,17 +234,45 @@ def _check_previous(spark: SparkSession, out: str, run_id: str, cfg: DatasetConf
 def _carried(spark: SparkSession, out: str, run_id: str, clips: DataFrame, cfg: DatasetConfig) -> DataFrame:
     """Clips whose record and files are complete: (clip_id)."""
     done = manifest.recorded_clips(spark, f"{out}/manifest", run_id)
+    if done is None or not done.limit(1).count():
+        return clips.select("clip_id").limit(0)
     chunks = manifest.recorded_kept(spark, f"{out}/manifest", run_id)
     kept = chunks.select("clip_id", F.explode("kept_frames").alias("frame_index")).join(
         done.select("clip_id", "stem"), "clip_id")
-    root = F.regexp_extract("path", r"((?:masks(?:_train)?/)?[^/]+)$", 1)
-    listing = manifest_listing(spark, f"{out}/images").select(root.alias("path"))
+    if exists(spark, f"{out}/images"):
+        root = F.regexp_extract("path", r"((?:masks(?:_train)?/)?[^/]+)$", 1)
+        listing = manifest_listing(spark, f"{out}/images").select(root.alias("path"))
+    else:
+        listing = spark.createDataFrame([], "path string")
     intact = resume.clip_intact(done.select("clip_id", "frames_kept"), kept, listing, cfg.ext, cfg.sidecars)
     previous = done.select("clip_id", "position", "path", "stem")
     plan = resume.resume_plan(clips.select("clip_id", "path", "stem"), previous, intact)
     return plan.filter("action = 'carried'").select("clip_id")
 
 
+def _remove_superseded(spark: SparkSession, out: str, run_id: str, cfg: DatasetConfig) -> None:
+    """Files that an earlier invocation recorded and that are no part of the dataset any more."""
+    table = f"{out}/manifest"
+    every = manifest.superseded_kept(spark, table, run_id)
+    if every is None:
+        return
+    clips = manifest.recorded_clips(spark, table, run_id).select("clip_id", "stem")
+    now = manifest.recorded_kept(spark, table, run_id).select(
+        "clip_id", F.explode("kept_frames").alias("frame_index")).join(clips, "clip_id")
+    past = resume.expected_files(every, cfg.ext, cfg.sidecars).select("path").distinct()
+    images.remove_files(past.join(resume.expected_files(now, cfg.ext, cfg.sidecars), "path", "left_anti"), f"{out}/images")
+
+
+def _groups(frames: DataFrame, clips: DataFrame, size: int) -> DataFrame:
+    """Clips with the number of the group they are done in: about `size` frames each, in clip order."""
+    counts = frames.groupBy("clip_id").agg(F.count(F.lit(1)).alias("_frames"))
+    listed = clips.join(counts, "clip_id")
+    summed = running_sum(listed.select("position", "_frames"), [], "position", "_frames",
+                         index_bucket("position", P.SEGMENT_FRAMES), "_upto")
+    group = F.expr(f"(_upto - _frames) div {int(size)}")
+    return clips.join(summed.select("position", group.alias("_group")), "position")
+
+
 def manifest_listing(spark: SparkSession, path: str) -> DataFrame:
     from framesift.sources.clips import list_files
     return list_files(spark, path, recursive=True)
@@ -210,7 +286,9 @@ def build_dataset(frames: DataFrame, clips: DataFrame, out: str, cfg: DatasetCon
     are complete under `out` are carried over and the rest are done.
     """
     spark = ship_package(frames.sparkSession)
+    began = time.time()
     table = f"{out}/manifest"
+    images.target_uri(spark, out)
     carry_on = _check_previous(spark, out, run_id, cfg)
     all_clips = materialise(sized_clips(clips, cfg), "clips")
     if cfg.select == "replay":
@@ -219,11 +297,12 @@ def build_dataset(frames: DataFrame, clips: DataFrame, out: str, cfg: DatasetCon
         bare = all_clips.select("clip_id", "stem").join(kept, "stem", "left_anti").orderBy("stem").limit(1).collect()
         if bare:
             raise ValueError(f"no kept frames recorded for clip {bare[0].stem}")
-    todo, batch = all_clips, 0
+    todo = all_clips
+    first = manifest.next_batch(spark, table, run_id)
+    since = manifest.last_run(spark, table, run_id)[1] if carry_on else first
     if carry_on:
         carried = materialise(_carried(spark, out, run_id, all_clips, cfg), "carried")
         todo = materialise(all_clips.join(carried, "clip_id", "left_anti"), "todo")
-        batch = manifest.recorded_clips(spark, table, run_id).agg(F.max("batch")).first()[0] + 1
     # A frame's clip is known by its id; frames of clips already done are not read further.
     mine = frames.join(broadcast_if_small(todo.select("clip_id")), "clip_id", "left_semi")
     wrong = audits.frame_size_check(mine, todo).limit(1).collect()
@@ -231,41 +310,60 @@ def build_dataset(frames: DataFrame, clips: DataFrame, out: str, cfg: DatasetCon
         raise ValueError(f"clip {wrong[0].clip_id}, frame {wrong[0].frame_index}: {wrong[0].message}")
     audits.require_no_gaps(mine)
     images.require_frames(mine, todo, "clip_id")
+
+    manifest.start_run(_parameters(spark, cfg), table, run_id, first, since)
+    grouped = materialise(_groups(mine, todo, cfg.group_frames), "groups")
+    spans = grouped.groupBy("_group").agg(F.min("clip_id").alias("low"), F.max("clip_id").alias("high"))
+    for batch, span in enumerate(spans.orderBy("_group").collect(), first):
+        own = grouped.filter(F.col("_group") == span["_group"]).drop("_group")
+        part = frames.filter(F.col("clip_id").between(span.low, span.high)).join(
+            broadcast_if_small(own.select("clip_id")), "clip_id", "left_semi")
+        _do_group(part, own, kept, out, cfg, run_id, batch)
+
+    listed = manifest.recorded_clips(spark, table, run_id)
+    if listed is None or (not carry_on and not (listed.agg(F.sum("frames_kept")).first()[0] or 0)):
+        raise ValueError("no frame was kept")
+    _remove_superseded(spark, out, run_id, cfg)
+    totals = records.run_totals(listed.withColumn("carried", F.col("batch") < first)
+                                .withColumn("wall_seconds", F.lit(time.time() - began)))
+    manifest.finish_run(totals, table, run_id, first)
+    manifest.write_cameras(manifest.camera_rows(listed, "position"), f"{out}/cameras")
+    _write_document(spark, out, run_id, listed)
+    return listed
+
+
+def _do_group(frames: DataFrame, clips: DataFrame, kept: DataFrame | None, out: str, cfg: DatasetConfig,
+              run_id: str, batch: int) -> None:
+    """Decide, write and then record some clips."""
     if cfg.select == "replay":
         # No metric is consulted, so only kept frames are looked at, and only for masks.
-        decisions = materialise(replayed(mine, todo, kept), "decisions")
-        judged = judge(images.kept_only(mine, decisions), todo, cfg) if cfg.sidecars else None
+        decisions = materialise(replayed(frames, clips, kept), "decisions")
+        judged = judge(images.kept_only(frames, decisions), clips, cfg) if cfg.sidecars else None
     else:
-        judged = judge(mine, todo, cfg)
+        judged = judge(frames, clips, cfg)
         decisions = materialise(decide(judged, cfg), "decisions")
-    if not carry_on:
-        selection.zero_kept_guard(decisions)
-
-    images.write_images(render(images.kept_only(mine, decisions), todo, cfg), f"{out}/images", cfg.ext,
+    images.write_images(render(images.kept_only(frames, decisions), clips, cfg), f"{out}/images", cfg.ext,
                         cfg.jpeg_quality)
     if cfg.sidecars:
-        _write_masks(judged, decisions, todo, out, cfg)
-
+        _write_masks(judged, decisions, clips, out, cfg)
     rec = records.clip_record(decisions).select("clip_id", "frames_decoded", "frames_kept")
     names = ["clip_id", "position", "path", "stem", "width", "height", "fps", "out_w", "out_h"]
-    done = todo.select(*names, *_intrinsics(todo)).join(rec, "clip_id")
-    manifest.record_clips(done, selection.kept_chunks(decisions), table, run_id, batch)
-    listed = _latest_records(spark, table, run_id)
-    totals = records.run_totals(listed.withColumn("carried", F.col("batch") < batch)
-                                .withColumn("wall_seconds", F.lit(0.0)))
-    text = [F.lit(v).cast("string").alias(k) for k, v in cfg.compared().items()]
-    manifest.finish_run(totals.select(F.struct("*").alias("totals"), F.struct(*text).alias("params")),
-                        table, run_id)
-    manifest.write_cameras(manifest.camera_rows(listed, "position"), f"{out}/cameras")
-    return listed
-
-
-def _latest_records(spark: SparkSession, table: str, run_id: str) -> DataFrame:
-    """A clip done again replaces its earlier record."""
-    rows = manifest.recorded_clips(spark, table, run_id)
-    fields = [c for c in rows.columns if c not in ("clip_id", "batch", "run_id")]
-    last = rows.groupBy("clip_id").agg(F.max(F.struct("batch", *fields)).alias("r"))
-    return last.select("clip_id", "r.*")
+    done = clips.select(*names, *_intrinsics(clips)).join(rec, "clip_id")
+    manifest.record_clips(done, selection.kept_chunks(decisions), f"{out}/manifest", run_id, batch)
+
+
+def _write_document(spark: SparkSession, out: str, run_id: str, listed: DataFrame) -> None:
+    """The manifest as the one document other tools read."""
+    run = manifest.recorded_run(spark, f"{out}/manifest", run_id)
+    header = run.select("tool", "created_unix", "completed", "profile", "params")
+    intrinsics = F.when(F.col("fx").isNotNull(), F.array("fx", "fy", "cx", "cy"))
+    clips = listed.select("clip_id", "position", "path", "stem", "width", "height", "fps", "frames_decoded", "frames_kept",
+                          F.col("out_w").alias("out_width"), F.col("out_h").alias("out_height"),
+                          intrinsics.alias("pinhole_intrinsics"))
+    totals = run.select("totals.decoded", "totals.kept", "totals.written", "totals.wall_seconds", "totals.decoded_fps",
+                        "totals.written_fps")
+    chunks = manifest.recorded_kept(spark, f"{out}/manifest", run_id)
+    manifest.write_manifest(manifest.manifest_lines(header, clips, chunks, totals), f"{out}/manifest_document")
 
 
 def _intrinsics(clips: DataFrame) -> list:

@@ -22,23 +22,6 @@ def byte_rows(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def byte_block(column: pa.Array) -> np.ndarray | None:
-    """An (n, length) uint8 view when every row is present and equally long."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    if n == 0 or column.null_count or pa.types.is_list(column.type):
-        return None
-    offsets_type = np.int64 if pa.types.is_large_binary(column.type) else np.int32
-    _, offsets, data = column.buffers()
-    bounds = np.frombuffer(offsets, dtype=offsets_type)[column.offset:column.offset + n + 1]
-    lengths = np.diff(bounds)
-    if data is None or lengths[0] == 0 or (lengths != lengths[0]).any():
-        return None
-    flat = np.frombuffer(data, dtype=np.uint8)
-    return flat[bounds[0]:bounds[-1]].reshape(n, lengths[0])
-
-
 def binary_from_block(block: np.ndarray) -> pa.Array:
     """A binary column from an (n, ...) uint8 block, one buffer, no per-row copies."""
     n = block.shape[0]
@@ -51,8 +34,27 @@ def binary_from_block(block: np.ndarray) -> pa.Array:
 
 
 def binary_from_rows(rows) -> pa.Array:
-    return pa.array([None if r is None else np.ascontiguousarray(r, dtype=np.uint8).tobytes()
-                     for r in rows], pa.binary())
+    """A binary column from byte vectors of any length, None for NULL; each is copied once."""
+    rows = [None if r is None else np.ascontiguousarray(r, dtype=np.uint8).reshape(-1) for r in rows]
+    ends = np.cumsum([0] + [0 if r is None else r.size for r in rows], dtype=np.int64)
+    if ends[-1] >= 2**31 - 1:
+        return pa.array([None if r is None else r.tobytes() for r in rows], pa.binary())
+    data = np.empty(int(ends[-1]), np.uint8)
+    for r, at in zip(rows, ends):
+        if r is not None:
+            data[at:at + r.size] = r
+    valid = np.array([r is not None for r in rows], bool)
+    bits = None if valid.all() else pa.py_buffer(np.packbits(valid, bitorder="little"))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [bits, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def number_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all numbers, first place of each row, length of each row) of a list column; NULL rows have length -1."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    bounds = column.offsets.to_numpy()
+    length = np.where(np.asarray(column.is_valid()), np.diff(bounds), -1)
+    return column.values.to_numpy(zero_copy_only=False), bounds[:-1], length
 
 
 def grouped_by_shape(keys: list[tuple]) -> dict[tuple, np.ndarray]:

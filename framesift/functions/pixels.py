@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from framesift import params as P
 from framesift.functions import kernels, resample
-from framesift.functions.arrays import (binary_from_rows, by_block, byte_rows, chunks, stacked)
+from framesift.functions.arrays import binary_from_rows, by_block, byte_rows, chunks, number_rows, stacked
 
 # Thumbnail pixels per mask block: row sweeps pay off over many frames at once.
 MASK_PIXELS = 1 << 22
@@ -41,18 +41,14 @@ def quantise(values: str | Column, channels: str = "gray") -> Column:
     """
     @F.arrow_udf(T.BinaryType())
     def run(column: pa.Array) -> pa.Array:
-        if isinstance(column, pa.ChunkedArray):
-            column = column.combine_chunks()
-        out = []
-        for row in column:
-            if not row.is_valid:
-                out.append(None)
-                continue
-            v = row.values.to_numpy(zero_copy_only=False).astype(np.float64)
+        flat, first, length = number_rows(column)
+
+        def block(rows, n):
+            v = flat[first[rows][:, None] + np.arange(n)].astype(np.float64)
             g = np.clip(np.floor((v + 1.0) * 127.5), 0, 255).astype(np.uint8)
-            out.append(g if channels == "gray"
-                       else np.stack([g, np.roll(g, -1), np.roll(g, -7)], axis=1).ravel())
-        return binary_from_rows(out)
+            return g if channels == "gray" else np.stack(
+                [g, np.roll(g, -1, axis=1), np.roll(g, -7, axis=1)], axis=2).reshape(len(rows), -1)
+        return binary_from_rows(by_block(len(length), [None if n < 0 else int(n) for n in length], block))
     return run(values)
 
 
@@ -219,9 +215,13 @@ def label_to_mask(labels, class_id: int) -> Column:
     """0 where the label is the class (ignore), 255 elsewhere."""
     @F.arrow_udf(T.BinaryType())
     def run(column: pa.Array) -> pa.Array:
-        ok = np.asarray(column.is_valid())
-        return binary_from_rows([np.where(v == class_id, 0, 255) if good else None
-                                 for v, good in zip(byte_rows(column), ok)])
+        values = byte_rows(column)
+        shapes = [v.size if ok else None for v, ok in zip(values, np.asarray(column.is_valid()))]
+
+        def block(rows, n):
+            for part in chunks(rows, max(n, 1)):
+                yield from np.where(stacked(values, part) == class_id, 0, 255).astype(np.uint8)
+        return binary_from_rows(by_block(len(values), shapes, block))
     return run(labels)
 
 
@@ -275,9 +275,13 @@ def sky_mask(rgb, gray, width, height, luma_min: int = P.SKY_LUMA_MIN,
 @F.arrow_udf(T.DoubleType())
 def valid_fraction(mask: pa.Array) -> pa.Array:
     """Share of non-zero bytes; an empty mask is fully valid."""
-    ok = np.asarray(mask.is_valid())
-    return pa.array([(np.count_nonzero(v) / v.size if v.size else 1.0) if good else None
-                     for v, good in zip(byte_rows(mask), ok)], pa.float64())
+    values = byte_rows(mask)
+    shapes = [v.size if ok else None for v, ok in zip(values, np.asarray(mask.is_valid()))]
+
+    def block(rows, n):
+        for part in chunks(rows, max(n, 1)):
+            yield from (np.count_nonzero(stacked(values, part), axis=1) / n if n else np.ones(len(part)))
+    return pa.array(by_block(len(values), shapes, block), pa.float64())
 
 
 def masked_fraction(mask) -> Column:
@@ -289,16 +293,13 @@ def label_argmax(logits, classes: int) -> Column:
     """Class-major logits of one frame to one label per pixel; the first maximum wins."""
     @F.arrow_udf(T.BinaryType())
     def run(column: pa.Array) -> pa.Array:
-        if isinstance(column, pa.ChunkedArray):
-            column = column.combine_chunks()
-        out = []
-        for row in column:
-            if not row.is_valid:
-                out.append(None)
-                continue
-            out.append(kernels.first_max(
-                row.values.to_numpy(zero_copy_only=False).reshape(classes, -1)))
-        return binary_from_rows(out)
+        flat, first, length = number_rows(column)
+
+        def block(rows, n):
+            for part in chunks(rows, n):
+                v = flat[first[part][:, None] + np.arange(n)].reshape(len(part), classes, -1)
+                yield from kernels.first_max(v.transpose(1, 0, 2))
+        return binary_from_rows(by_block(len(length), [None if n < 0 else int(n) for n in length], block))
     return run(logits)
 
 
@@ -320,9 +321,17 @@ def mask_and(a: pa.Array, b: pa.Array) -> pa.Array:
 @F.arrow_udf(T.DoubleType())
 def squared_error(a: pa.Array, b: pa.Array) -> pa.Array:
     """Sum of squared differences of two equally sized gray frames."""
+    left, right = byte_rows(a), byte_rows(b)
     ok = np.asarray(a.is_valid()) & np.asarray(b.is_valid())
-    return pa.array([float(np.square(x.astype(np.int32) - y).sum(dtype=np.int64)) if good else None
-                     for x, y, good in zip(byte_rows(a), byte_rows(b), ok)], pa.float64())
+    shapes = [(x.size, y.size) if good else None for x, y, good in zip(left, right, ok)]
+
+    def block(rows, sizes):
+        if sizes[0] != sizes[1]:
+            raise ValueError(f"frames of {sizes[0]} and {sizes[1]} pixels cannot be compared")
+        for part in chunks(rows, max(sizes[0], 1)):
+            difference = stacked(left, part).astype(np.int32) - stacked(right, part)
+            yield from np.square(difference).sum(axis=1, dtype=np.int64).astype(np.float64)
+    return pa.array(by_block(len(left), shapes, block), pa.float64())
 
 
 JUDGEMENT = T.StructType([

@@ -22,32 +22,24 @@ WEIGHT_BITS = 14
 
 
 @lru_cache(maxsize=64)
-def weights(src: int, dst: int, filter_name: str) -> np.ndarray:
-    """(dst, src) filter weights in 2**14ths, widened when shrinking.
+def taps(src: int, dst: int, filter_name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(dst, k) source positions and filter weights in 2**14ths, widened when shrinking.
 
     Each row sums to the whole; what rounding leaves over goes to its largest weight.
     """
     kernel, support = FILTERS[filter_name]
     scale = src / dst
     width = max(scale, 1.0)
-    away = (np.arange(src) + 0.5)[None, :] - ((np.arange(dst) + 0.5) * scale)[:, None]
-    table = np.where(np.abs(away) < support * width, kernel(away / width), 0.0)
+    centre = ((np.arange(dst) + 0.5) * scale)[:, None]
+    first = np.floor(centre - support * width).astype(np.int64)
+    at = first + np.arange(int(np.ceil(2 * support * width)) + 2)
+    away = at + 0.5 - centre
+    table = np.where((np.abs(away) < support * width) & (at >= 0) & (at < src), kernel(away / width), 0.0)
     table /= table.sum(axis=1, keepdims=True)
     whole = np.rint(table * (1 << WEIGHT_BITS)).astype(np.int32)
     whole[np.arange(dst), whole.argmax(axis=1)] += (1 << WEIGHT_BITS) - whole.sum(axis=1)
-    return whole
-
-
-@lru_cache(maxsize=64)
-def taps(src: int, dst: int, filter_name: str) -> tuple[np.ndarray, np.ndarray]:
-    """The same weights as (dst, k) source positions and weights, k the widest row."""
-    table = weights(src, dst, filter_name)
-    used = table != 0
-    first = used.argmax(axis=1)
-    last = src - 1 - used[:, ::-1].argmax(axis=1)
-    at = first[:, None] + np.arange(int((last - first).max()) + 1)[None, :]
-    inside = np.minimum(at, src - 1)
-    return inside, np.where(at < src, np.take_along_axis(table, inside, 1), 0)
+    used = (whole != 0).any(axis=0)
+    return np.clip(at, 0, src - 1)[:, used], whole[:, used]
 
 
 def along(block: np.ndarray, dst: int, axis: int, filter_name: str) -> np.ndarray:

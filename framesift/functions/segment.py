@@ -6,6 +6,7 @@ function from a float32 batch (n, 3, h, w) to logits (n, classes, h', w').
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -38,6 +39,16 @@ class OnnxModel:
         name = session.get_inputs()[0].name
         return lambda batch: session.run(None, {name: batch})[0]
 
+    def identity(self) -> str:
+        """What tells these weights from others: their checksum, wherever they lie."""
+        from pyarrow import fs as pafs
+        files, at = pafs.FileSystem.from_uri(self.path)
+        digest = hashlib.sha256()
+        with files.open_input_stream(at) as stream:
+            while part := stream.read(1 << 20):
+                digest.update(part)
+        return f"sha256 {digest.hexdigest()}"
+
     def declared_size(self) -> tuple[int, int] | None:
         """Width and height when the model fixes them."""
         import onnxruntime
@@ -92,23 +103,26 @@ def normalised(rgb: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(v.transpose(0, 3, 1, 2))
 
 
-def segment_frames(rgb, width, height, model, info: ModelInfo, batch_pixels: int = 1 << 21) -> Column:
+def segment_frames(rgb, width, height, model, info: ModelInfo, batch_pixels: int = 1 << 21,
+                   size: tuple[Column, Column] | None = None) -> Column:
     """Label maps at inference size, one byte per pixel.
 
+    `size` gives the inference size of each row where it differs; rows of equal
+    shape are inferred together.
+
     The class is picked at the model's own stride; labels are then enlarged by
     nearest neighbour, never blended.
     """
-    iw, ih = info.size
-
     @F.arrow_udf(T.BinaryType())
-    def run(pixels: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+    def run(pixels: pa.Array, w: pa.Array, h: pa.Array, to_w: pa.Array, to_h: pa.Array) -> pa.Array:
         infer = _opened(model)
         values = byte_rows(pixels)
-        sizes = [None if not ok or a is None else (a, b) for ok, a, b in zip(
-            np.asarray(pixels.is_valid()), w.to_pylist(), h.to_pylist())]
+        sizes = [None if not ok or s[0] is None else s for ok, *s in zip(
+            np.asarray(pixels.is_valid()), *(c.to_pylist() for c in (w, h, to_w, to_h)))]
+        sizes = [s and tuple(s) for s in sizes]
 
         def block(rows, size):
-            sw, sh = size
+            sw, sh, iw, ih = size
             for part in chunks(rows, iw * ih, batch_pixels):
                 scaled = resample.resize(stacked(values, part).reshape(-1, sh, sw, 3), iw, ih, "lanczos3")
                 logits = infer(normalised(scaled))
@@ -120,4 +134,5 @@ def segment_frames(rgb, width, height, model, info: ModelInfo, batch_pixels: int
                                   kernels.nearest(small.shape[2], iw)[None, :]]
                 yield from small
         return binary_from_rows(by_block(len(values), sizes, block))
-    return run(rgb, width, height)
+    to_w, to_h = size or (F.lit(info.size[0]), F.lit(info.size[1]))
+    return run(rgb, width, height, to_w.cast("int"), to_h.cast("int"))

@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
-from framesift import params as P
 
 
 def image_name(stem: Column, index: Column, ext: Column | str) -> Column:
@@ -72,6 +71,3 @@ def parsed_once(document: Column) -> Column:
 
 def mask_path(folder: str, name: Column) -> Column:
     return F.concat(F.lit(f"{folder}/"), name, F.lit(".png"))
-
-
-SIDECAR_ORDER = tuple(P.SIDECAR_DIRS)

@@ -33,7 +33,7 @@ from framesift import params as P
 from framesift.functions.arrays import byte_rows
 from framesift.operators.ordering import with_halo
 from framesift.operators.selection import passes_floor
-from framesift.operators.selectors import Frame, MotionGated, ResumableSelector
+from framesift.operators.selectors import Frame, MotionRule, ResumableSelector
 from framesift.session import materialise
 
 # Order of a segment's rows: what its predecessor held, its lead-in, its own frames.
@@ -273,7 +273,7 @@ def motion_gated(frames: DataFrame, threshold: float = P.MOTION_THRESHOLD,
                  segment: int = P.SEGMENT_FRAMES, warmup: int = P.WARMUP_FRAMES) -> DataFrame:
     """Motion-gated decisions: the sharpest frame of each window that opens when a
     frame differs enough from the last kept one."""
-    return run_rule(frames, lambda: MotionGated(threshold, window), floor, segment, warmup)
+    return run_rule(frames, lambda: MotionRule(threshold, window), floor, segment, warmup)
 
 
 def run_rule(frames: DataFrame, make_rule: MakeRule, floor: float | None = None,

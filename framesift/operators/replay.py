@@ -13,12 +13,6 @@ def recorded_lists(manifest_clips: DataFrame) -> DataFrame:
     return manifest_clips.groupBy("stem").agg(last)
 
 
-def recorded_frames(manifest_clips: DataFrame) -> DataFrame:
-    """(stem, frame_index) of everything a manifest recorded as kept."""
-    return recorded_lists(manifest_clips).select(
-        "stem", F.explode("kept_frames").alias("frame_index")).distinct()
-
-
 def replay_selection(frames: DataFrame, kept: DataFrame) -> DataFrame:
     """One decision per frame: keep exactly the recorded ones.
 

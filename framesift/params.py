@@ -59,9 +59,6 @@ LUMA_BLUE = 29
 # Registration check.
 REG_SPURIOUS_PX = 5.0
 REG_LOW_TEXTURE_STD = 3.0
-REG_PATCH = 192
-REG_GRID = (10, 6)
-REG_SIGMA = 4.0
 
 # Rows of one clip that one task handles in order.  A clip longer than this is
 # split, so no task or sort ever holds a whole clip.

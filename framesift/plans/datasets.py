@@ -210,11 +210,11 @@ def sink_manifest(spark, sf):
     """Two batches of finished clips recorded, the run closed, everything read back."""
     path = scratch_path(spark, "manifest")
     clips, kept, totals = _manifest_parts(spark, sf)
+    manifest_source.start_run(spark.range(1).select(*_run_parameters()), path, "run", 0)
     for batch in (0, 1):
         mine = F.col("clip_id") % 2 == batch
         manifest_source.record_clips(clips.filter(mine), kept.filter(mine), path, "run", batch)
-    manifest_source.finish_run(
-        totals.select(F.struct("*").alias("totals"), *_run_parameters()), path, "run")
+    manifest_source.finish_run(totals, path, "run", 0)
     run = manifest_source.recorded_run(spark, path, "run").select(
         "run_id", "completed", F.col("params.selection.mode.mode").alias("mode"),
         F.col("totals.kept").alias("total_kept"))

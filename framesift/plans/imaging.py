@@ -358,16 +358,3 @@ def registration_summary(spark, sf):
     for n in ("median", "mean", "p90", "max", "corner_px"):
         out = out.withColumn(n, F.round(n, 6))
     return out
-
-
-@query("register_frames")
-def register_frames(spark, sf):
-    """Patch displacements between each frame and the one before it, enlarged."""
-    f = V.rgb8(spark, sf)
-    big = f.select("clip_id", "frame_index", pixels.rgb_to_gray(pixels.resize_rgb(
-        "rgb", "width", "height", F.lit(64), F.lit(64))).alias("gray"))
-    pairs = metrics.with_previous_frame(big, ["gray"]).filter("previous_gray is not null").select(
-        (F.col("clip_id") * 1000000 + F.col("frame_index")).alias("pair_id"),
-        F.lit(64).alias("width"), F.lit(64).alias("height"),
-        F.col("previous_gray").alias("a"), F.col("gray").alias("b"))
-    return quality.registration_summary(quality.register_pairs(pairs, 32, (2, 2), 1.0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -40,8 +41,6 @@ def ship_package(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if any(name.startswith("framesift-") for name in context._python_includes):
         return spark
-    from pyarrow import fs as pafs
-
     root = os.path.dirname(os.path.abspath(__file__))
     body = io.BytesIO()
     with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as out:
@@ -49,11 +48,10 @@ def ship_package(spark: SparkSession) -> SparkSession:
             for name in sorted(n for n in names if n.endswith(".py")):
                 full = os.path.join(folder, name)
                 out.write(full, os.path.join("framesift", os.path.relpath(full, root)))
-    target = f"{shared_dir(spark)}/framesift/framesift-{uuid.uuid4().hex}.zip"
-    files, path = pafs.FileSystem.from_uri(target)
-    files.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with files.open_output_stream(path) as stream:
-        stream.write(body.getvalue())
+    target = qualified(spark, f"{shared_dir(spark)}/framesift/framesift-{uuid.uuid4().hex}.zip")
+    stream = file_system(spark, target).create(spark._jvm.org.apache.hadoop.fs.Path(target), True)
+    stream.write(bytearray(body.getvalue()))
+    stream.close()
     context.addPyFile(target)
     # Stateful streaming also starts a Python process next to the driver, which is
     # not given added files; there the package is where the driver found it.
@@ -78,14 +76,44 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path (on the driver)."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark itself understands it, with its scheme and from the root."""
+    where = file_system(spark, path).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return re.sub(r"^file:/+", "file:///", where.toString())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return file_system(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/framesift/{what}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Mark a stored table of short rows for broadcast when it has few enough;
+#: Bytes of column data that are sent to every task at most.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a stored table for broadcast if its data is measured to be small enough;
     beyond that the join is left to Catalyst."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    wide = {"string", "binary"}
+    size = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        kind = field.dataType.simpleString()
+        if kind in wide:
+            size = size + F.coalesce(F.octet_length(f"`{field.name}`"), F.lit(0)) + 16
+        elif kind.startswith("array"):
+            size = size + F.greatest(F.size(f"`{field.name}`"), F.lit(0)) * 8 + 24
+        else:
+            size = size + 8
+    total = df.agg(F.sum(size + 16)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +19,7 @@ from framesift import params as P
 from framesift.functions import png
 from framesift.functions.arrays import binary_from_rows, byte_rows
 from framesift.functions.text import image_name, mask_path
-from framesift.session import materialise
+from framesift.session import materialise, qualified
 
 
 # --- reading ---------------------------------------------------------------------------
@@ -110,7 +112,8 @@ class ImageWriter(DataSourceArrowWriter):
     """Each task writes its own rows; nothing passes through the driver but counts.
 
     Names are fixed by clip and frame number, and a file appears whole or not at
-    all, so a task that runs twice leaves the same files.
+    all, so a task that runs twice leaves the same files.  What is not finished yet
+    has a name of its own attempt, and goes when the attempt fails.
     """
 
     def __init__(self, path: str, quality: int):
@@ -121,7 +124,7 @@ class ImageWriter(DataSourceArrowWriter):
         files, root = pafs.FileSystem.from_uri(self.path)
         whole_on_close = not isinstance(files, (pafs.LocalFileSystem, pafs.HadoopFileSystem))
         made: set[str] = set()
-        count = 0
+        count, attempt = 0, uuid.uuid4().hex
         for batch in batches:
             pixels = byte_rows(batch.column("pixels"))
             for name, w, h, v in zip(batch.column("file").to_pylist(), batch.column("width").to_pylist(),
@@ -135,11 +138,16 @@ class ImageWriter(DataSourceArrowWriter):
                     files.create_dir(folder, recursive=True)
                     made.add(folder)
                 body = _encode(name, v.reshape(shape), self.quality)
-                at = target if whole_on_close else f"{folder}/._{id(self)}_{name.rsplit('/', 1)[-1]}.part"
-                with files.open_output_stream(at) as out:
-                    out.write(body)
-                if at != target:
-                    files.move(at, target)
+                at = target if whole_on_close else f"{folder}/._{attempt}_{name.rsplit('/', 1)[-1]}.part"
+                try:
+                    with files.open_output_stream(at) as out:
+                        out.write(body)
+                    if at != target:
+                        files.move(at, target)
+                except BaseException:
+                    if at != target and files.get_file_info(at).type != pafs.FileType.NotFound:
+                        files.delete_file(at)
+                    raise
                 count += 1
         return Written(count)
 
@@ -147,6 +155,7 @@ class ImageWriter(DataSourceArrowWriter):
         return None
 
     def abort(self, messages) -> None:
+        """Nothing to undo: finished files are whole and are written again under the same names."""
         return None
 
 
@@ -173,12 +182,44 @@ def register_sink(spark: SparkSession) -> None:
             raise
 
 
+#: Set to `true` where executors and driver mount the same local paths.
+SHARED_PATHS = "spark.framesift.sharedLocalPaths"
+
+
+def target_uri(spark: SparkSession, path: str) -> str:
+    """Where Spark would write the path.  On a cluster a local path is refused: every
+    executor would write to its own disk."""
+    uri = qualified(spark, path)
+    if uri.startswith("file:") and not re.match(r"local(\[|$)", spark.sparkContext.master) \
+            and spark.conf.get(SHARED_PATHS, "false") != "true":
+        raise ValueError(f"{uri} is local to each machine; name a shared file system, or set {SHARED_PATHS}")
+    return uri
+
+
 def _write(rows: DataFrame, path: str, quality: int) -> None:
-    register_sink(rows.sparkSession)
-    uri = path if "://" in path or path.startswith("/") else f"/{path}"
+    spark = rows.sparkSession
+    register_sink(spark)
     (rows.select("file", F.col("width").cast("int").alias("width"),
                  F.col("height").cast("int").alias("height"), "pixels")
-     .write.format("frame_files").mode("append").option("path", uri).option("quality", quality).save())
+     .write.format("frame_files").mode("append").option("path", target_uri(spark, path))
+     .option("quality", quality).save())
+
+
+def remove_files(names: DataFrame, path: str) -> int:
+    """Delete files below `path` by their names (column `path`), each task its own; how many were there."""
+    uri = target_uri(names.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+        files, root = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            gone = 0
+            for name in batch.column(0).to_pylist():
+                if files.get_file_info(f"{root}/{name}").type == pafs.FileType.File:
+                    files.delete_file(f"{root}/{name}")
+                    gone += 1
+            yield pa.RecordBatch.from_arrays([pa.array([gone], pa.int64())], ["gone"])
+    return names.select("path").mapInArrow(run, "gone long").agg(F.sum("gone")).first()[0] or 0
 
 
 def write_images(frames: DataFrame, path: str, ext: str = "png", quality: int = P.JPEG_QUALITY) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from framesift import params as P
 from framesift.functions.text import parsed_once, plain_number
 from framesift.operators.ordering import dense_index, index_bucket
+from framesift.session import exists
 
 _S, _L, _D, _B, _I = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.IntegerType()
 
@@ -141,10 +142,12 @@ def write_cameras(cameras: DataFrame, path: str) -> bool:
 
 # --- a run's manifest as tables ----------------------------------------------------------
 #
-# `clips` holds one record per finished clip, `kept` its frame numbers in bounded
-# chunks, `runs` one row per run.  All are plain Parquet, so a run of any size is
-# written and read in parallel.  Everything below is idempotent: writing the same
-# batch of the same run again replaces it.
+# `runs` holds a row per invocation, written before its first image; `clips` one
+# record per finished clip, `kept` its frame numbers in bounded chunks, `finished`
+# a row per completed invocation.  All are plain Parquet under (run_id, batch), so a
+# run of any size is written and read in parallel, and nothing is ever rewritten: an
+# invocation takes batches that no earlier one has used.  Writing the same batch of
+# the same run again replaces it.
 
 
 def _write_batch(df: DataFrame, path: str, run_id: str, batch: int) -> None:
@@ -153,6 +156,11 @@ def _write_batch(df: DataFrame, path: str, run_id: str, batch: int) -> None:
      .partitionBy("run_id", "batch").parquet(path))
 
 
+def start_run(run: DataFrame, path: str, run_id: str, batch: int = 0, since: int = 0) -> None:
+    """Write an invocation's own row: its parameters, and the first batch whose records count."""
+    _write_batch(run.withColumn("since", F.lit(since)), f"{path}/runs", run_id, batch)
+
+
 def record_clips(clips: DataFrame, kept: DataFrame, path: str, run_id: str, batch: int = 0) -> None:
     """Record finished clips: kept lists first, so a listed clip always has its list.
 
@@ -163,21 +171,83 @@ def record_clips(clips: DataFrame, kept: DataFrame, path: str, run_id: str, batc
     _write_batch(clips, f"{path}/clips", run_id, batch)
 
 
-def finish_run(run: DataFrame, path: str, run_id: str, completed: bool = True) -> None:
-    """Write the run's own row: parameters, totals and whether it is complete."""
-    _write_batch(run.withColumn("completed", F.lit(completed)), f"{path}/runs", run_id, 0)
+def stage_decisions(decided: DataFrame, path: str, run_id: str, batch: int) -> None:
+    """Decisions of clips that are not finished yet, as a stream makes them."""
+    _write_batch(decided, f"{path}/staged", run_id, batch)
+
+
+def staged_decisions(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/staged").filter(F.col("run_id") == run_id)
+
+
+def finish_run(totals: DataFrame, path: str, run_id: str, batch: int = 0) -> None:
+    """Mark the invocation that began with this batch as complete, with its totals."""
+    _write_batch(totals, f"{path}/finished", run_id, batch)
+
+
+def _recorded(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
+    if not exists(spark, f"{path}/run_id={run_id}"):
+        return None
+    return spark.read.parquet(path).filter(F.col("run_id") == run_id)
 
 
-def recorded_clips(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/clips").filter(F.col("run_id") == run_id)
+def last_run(spark: SparkSession, path: str, run_id: str) -> tuple[int, int] | None:
+    """(batch, since) of the last invocation, complete or not; None if there was none."""
+    rows = _recorded(spark, f"{path}/runs", run_id)
+    last = rows.agg(F.max(F.struct("batch", "since")).alias("r")).first().r if rows is not None else None
+    return (last.batch, last.since) if last is not None else None
 
 
-def recorded_kept(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/kept").filter(F.col("run_id") == run_id)
+def next_batch(spark: SparkSession, path: str, run_id: str) -> int:
+    used = [-1]
+    for table in ("runs", "kept", "clips"):
+        rows = _recorded(spark, f"{path}/{table}", run_id)
+        if rows is not None:
+            used.append(rows.agg(F.max("batch")).first()[0])
+    return max(u for u in used if u is not None) + 1
 
 
 def recorded_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/runs").filter(F.col("run_id") == run_id)
+    """The last invocation's row with `completed`, and `totals` if it is."""
+    rows = _recorded(spark, f"{path}/runs", run_id)
+    if rows is None:
+        raise ValueError(f"{path} holds no run {run_id}")
+    batch = last_run(spark, path, run_id)[0]
+    row = rows.filter(F.col("batch") == batch)
+    done = _recorded(spark, f"{path}/finished", run_id)
+    if done is None:
+        return row.withColumn("completed", F.lit(False)).withColumn("totals", F.lit(None).cast(TOTALS))
+    totals = done.filter(F.col("batch") == batch).select("run_id", F.struct(
+        *[F.col(c) for c in done.columns if c not in ("run_id", "batch")]).alias("totals"))
+    return row.join(totals, "run_id", "left").withColumn("completed", F.col("totals").isNotNull())
+
+
+def recorded_clips(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
+    """The record of each clip that counts: the last one since the dataset was begun."""
+    rows = _recorded(spark, f"{path}/clips", run_id)
+    if rows is None:
+        return None
+    last = last_run(spark, path, run_id)
+    rows = rows.filter(F.col("batch") >= (last[1] if last else 0))
+    newest = rows.groupBy("clip_id").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["clip_id", "batch"])
+
+
+def recorded_kept(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
+    """The chunks of the kept lists that belong to these records."""
+    rows, clips = _recorded(spark, f"{path}/kept", run_id), recorded_clips(spark, path, run_id)
+    if rows is None or clips is None:
+        return None
+    return rows.join(clips.select("clip_id", "batch"), ["clip_id", "batch"], "left_semi")
+
+
+def superseded_kept(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
+    """(stem, frame_index) of everything that any record of the run ever listed."""
+    rows, clips = _recorded(spark, f"{path}/kept", run_id), _recorded(spark, f"{path}/clips", run_id)
+    if rows is None or clips is None:
+        return None
+    return (rows.select("clip_id", "batch", F.explode("kept_frames").alias("frame_index"))
+            .join(clips.select("clip_id", "batch", "stem"), ["clip_id", "batch"]).select("clip_id", "stem", "frame_index"))
 
 
 # --- the single document other tools read -------------------------------------------------

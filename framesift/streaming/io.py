@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from framesift.operators import selection
+from framesift.operators import records, selection
 from framesift.sources import images
 from framesift.sources import manifest
 
@@ -57,25 +57,33 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     return query
 
 
-def dataset_sink(frames_of: Callable[[DataFrame], DataFrame], out: str, run_id: str,
+def dataset_sink(frames_of: Callable[[DataFrame], DataFrame], clips: DataFrame, out: str, run_id: str,
                  ext: str = "png") -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function that writes kept frames as they are decided.
 
-    Images come first, then the record, and both replace what an earlier attempt
-    at the same batch left, so a record is never ahead of its files and a batch
-    that runs twice counts once.  `frames_of` fetches pixels for decisions.
+    Images come first.  Decisions are staged by batch, and a clip is recorded in the
+    batch that brings its `end` row, from all its staged decisions; a clip with a gap
+    never gets one and so is never recorded.  Every step replaces what an earlier
+    attempt at the same batch left, so a batch that runs twice counts once.
+    `frames_of` fetches pixels for decisions; `clips` holds the clips' own columns,
+    which the record takes over.
     """
     # Before the stream starts: a micro-batch runs in a copy of this session.
     images.register_sink(SparkSession.active())
+    table = f"{out}/manifest"
 
     def write(decided: DataFrame, batch: int) -> None:
-        kept = decided.filter("kind = 'decision' and keep").select("clip_id", "frame_index", "keep")
-        decided.persist()
+        spark = decided.sparkSession
+        manifest.stage_decisions(decided.select("clip_id", "kind", "frame_index", "keep"), table, run_id, batch)
+        mine = manifest.staged_decisions(spark, table, run_id).filter(F.col("batch") == batch)
+        kept = mine.filter("kind = 'decision' and keep").select("clip_id", "frame_index", "keep")
         images.write_images(frames_of(kept), f"{out}/images", ext)
-        record = decided.filter("kind = 'decision'").groupBy("clip_id").agg(
-            F.count(F.lit(1)).alias("frames_decoded"), F.count_if("keep").alias("frames_kept"))
-        manifest.record_clips(record, selection.kept_chunks(kept), f"{out}/manifest", run_id, batch)
-        decided.unpersist()
+        ended = mine.filter("kind = 'end'").select("clip_id")
+        if not ended.limit(1).count():
+            return
+        whole = manifest.staged_decisions(spark, table, run_id).filter("kind = 'decision'").join(ended, "clip_id", "left_semi")
+        record = clips.join(records.clip_record(whole).select("clip_id", "frames_decoded", "frames_kept"), "clip_id")
+        manifest.record_clips(record, selection.kept_chunks(whole.select("clip_id", "frame_index", "keep")), table, run_id, batch)
     return write
 
 

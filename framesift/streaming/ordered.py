@@ -2,7 +2,8 @@
 
 Frames of a clip may arrive in any order and over many micro-batches.  Each
 processor holds back what came early, hands frames on strictly by number, and
-ends the clip at its end marker (`is_end` true).  What a clip costs in state is
+ends the clip at its end marker (`is_end` true) with an `end` row, or with a `gap`
+row if a frame is missing.  What a clip costs in state is
 the frames that are early, plus the rule's own few frames.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from framesift import params as P
 from framesift.functions import kernels
 from framesift.operators.masks import odd_window
-from framesift.operators.selectors import BlurFloor, EveryNth, Frame, MotionGated
+from framesift.operators.selectors import Counted, Frame, MotionRule
 
 DECISIONS = "clip_id long, kind string, frame_index long, keep boolean"
 ORDERED = "clip_id long, kind string, frame_index long, emitted long"
@@ -82,6 +83,7 @@ class InOrder(StatefulProcessor):
                 out.append(("gap", expected, *[None] * (len(self.output) - 3)))
             else:
                 out.extend(self.finish(rule))
+                out.append(("end", expected, *[None] * (len(self.output) - 3)))
             for state in (self.next_emit, self.early, self.rule):
                 state.clear()
         else:
@@ -107,19 +109,21 @@ class Reorder(InOrder):
 
 
 class Select(InOrder):
-    """Any selection rule of `operators.selectors`."""
+    """Any selection rule of `operators.selectors`; frames below the floor are dropped before it."""
 
     payload = ["sharpness", "gray", "valid"]
     output = ["clip_id", "kind", "frame_index", "keep"]
 
-    def __init__(self, make_rule):
-        self.make_rule = make_rule
+    def __init__(self, make_rule, floor: float | None = None):
+        self.make_rule, self.floor = make_rule, floor
 
     def fresh(self):
         return self.make_rule()
 
     def take(self, rule, index, row):
         sharpness, gray, valid = row
+        if self.floor is not None and float(sharpness) < self.floor:
+            return [("decision", index, False)], rule
         frame = Frame(index, float(sharpness), np.frombuffer(gray, np.uint8),
                       None if valid is None else np.frombuffer(valid, np.uint8))
         return [("decision", i, k) for i, k in rule.push(frame)], rule
@@ -164,16 +168,11 @@ def stream_reorder(frames: DataFrame) -> DataFrame:
 def stream_select(frames: DataFrame, threshold: float = P.MOTION_THRESHOLD,
                   window: int = P.MOTION_WINDOW, floor: float | None = None) -> DataFrame:
     """Motion-gated decisions as windows resolve; the end of a clip flushes."""
-    def make():
-        rule = MotionGated(threshold, window)
-        return rule if floor is None else BlurFloor(floor, rule)
-    return _run(frames, Select(make), DECISIONS)
+    return _run(frames, Select(lambda: MotionRule(threshold, window), floor), DECISIONS)
 
 
 def stream_every_nth(frames: DataFrame, n: int = P.EVERY_NTH, floor: float | None = None) -> DataFrame:
-    def make():
-        return EveryNth(n) if floor is None else BlurFloor(floor, EveryNth(n))
-    return _run(frames, Select(make), DECISIONS)
+    return _run(frames, Select(lambda: Counted(n), floor), DECISIONS)
 
 
 def stream_rule(frames: DataFrame, make_rule) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framesift.operators import audits, records, replay, selection
 from framesift.operators.motion import motion_gated
-from framesift.operators.selectors import BlurFloor, EveryNth, Frame, MotionGated
+from framesift.operators.selectors import Counted, Frame, MotionRule
 from framesift.operators.stems import unique_stems
 
 METRIC = "clip_id long, frame_index long, sharpness double, gray binary"
@@ -47,13 +47,15 @@ def test_blur_floor_drops_in_any_mode(spark):
     assert kept(selection.every_nth(nan, 1, 10.0)) == [0, 1]
 
 
-MOTION_ROWS = [(1, 100), (1, 100), (1, 101), (5, 200), (9, 200), (2, 200), (1, 200)]
+# Two still scenes with one cut between them; the second frame after the cut is the sharpest of its window,
+# and the scene then changes once more, too late to fill a window.
+CUT = [(40, 10), (90, 12), (70, 11), (30, 12), (20, 90), (65, 91), (60, 90), (64, 92), (80, 91), (10, 160), (15, 161)]
 
 
-def test_motion_vector(spark):
-    d = motion_gated(frames(spark, MOTION_ROWS), 0.05, 3)
-    assert kept(d) == [0, 4]
-    assert d.count() == 7
+def test_a_window_opens_at_a_cut_and_keeps_its_sharpest_frame(spark):
+    d = motion_gated(frames(spark, CUT), 0.1, 4)
+    assert kept(d) == [0, 5, 10]
+    assert d.count() == len(CUT)
 
 
 def test_motion_threshold_is_inclusive_and_last_of_equals_wins(spark):
@@ -79,9 +81,11 @@ def sequential(rows, threshold, window, floor=None):
     for c, i, s, g in rows:
         by_clip.setdefault(c, []).append((i, s, g))
     for c, items in by_clip.items():
-        rule = MotionGated(threshold, window)
-        rule = rule if floor is None else BlurFloor(floor, rule)
+        rule = MotionRule(threshold, window)
         for i, s, g in sorted(items):
+            if floor is not None and s < floor:
+                out.append((c, i, False))
+                continue
             out += [(c, *d) for d in rule.push(Frame(i, s, np.frombuffer(g, np.uint8)))]
         out += [(c, *d) for d in rule.finish()]
     return sorted(out)
@@ -135,7 +139,7 @@ def test_a_long_clip_takes_few_rounds(spark, monkeypatch, kind):
 
 
 def test_every_nth_rule_matches_the_batch_form():
-    rule = EveryNth(3)
+    rule = Counted(3)
     assert [rule.push(Frame(i, 0.0, np.zeros(1, np.uint8)))[0][1] for i in range(7)] == \
         [True, False, False, True, False, False, True]
 
@@ -170,7 +174,7 @@ def test_replay_names_missing_frames(spark):
 
 
 def test_replaying_a_selection_gives_it_back(spark):
-    f = frames(spark, MOTION_ROWS).withColumn("stem", F.lit("clip"))
+    f = frames(spark, CUT).withColumn("stem", F.lit("clip"))
     d = motion_gated(f, 0.05, 3)
     again = replay.replay_selection(f, d.filter("keep").select(F.lit("clip").alias("stem"), "frame_index"))
     assert kept(again) == kept(d)

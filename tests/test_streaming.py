@@ -46,7 +46,9 @@ def test_scrambled_stream_over_restarts_equals_batch(spark, tmp_path):
         got = run(spark, source, out, lambda s: O.stream_select(s, 0.02, 4), max_files=1)
         held_back = got.filter("kind = 'decision'").count()
     assert held_back == len(want)
-    assert sorted(tuple(r) for r in got.select("clip_id", "frame_index", "keep").collect()) == want
+    made = got.filter("kind = 'decision'").select("clip_id", "frame_index", "keep")
+    assert sorted(tuple(r) for r in made.collect()) == want
+    assert sorted((r.clip_id, r.frame_index) for r in got.filter("kind = 'end'").collect()) == [(1, 40), (2, 25)]
 
 
 def test_a_lost_frame_is_a_gap_and_nothing_is_flushed(spark, tmp_path):
@@ -80,7 +82,7 @@ def test_stream_smoothing_equals_batch(spark, tmp_path, window):
     stream = stream_io.stream_frames_source(spark, str(tmp_path / "in"), frames.schema)
     out = str(tmp_path / "out")
     stream_io.run_available(O.stream_smoothing(stream, window), out, out + "-c")
-    got = {r.frame_index: r.labels for r in spark.read.parquet(out).collect()}
+    got = {r.frame_index: r.labels for r in spark.read.parquet(out).filter("kind = 'frame'").collect()}
     batch = label_smoothing(frames.filter("not is_end"), window)
     assert got == {r.frame_index: r.labels for r in batch.collect()}
 
@@ -102,12 +104,18 @@ def test_sink_is_idempotent_per_batch(spark, tmp_path):
     from framesift.sources import manifest as M
     frames = spark.createDataFrame([(1, "c", i, 1, 1, bytes([i] * 3)) for i in range(3)],
                                    "clip_id long, stem string, frame_index long, width int, height int, rgb binary")
-    decided = spark.createDataFrame([(1, "decision", i, i != 1) for i in range(3)],
-                                    "clip_id long, kind string, frame_index long, keep boolean")
+    schema = "clip_id long, kind string, frame_index long, keep boolean"
+    first = spark.createDataFrame([(1, "decision", 0, True), (2, "decision", 0, False), (2, "gap", 1, None)], schema)
+    second = spark.createDataFrame([(1, "decision", 1, False), (1, "decision", 2, True), (1, "end", 3, None)], schema)
+    clips = spark.createDataFrame([(1, "c"), (2, "d")], "clip_id long, stem string")
     sink = stream_io.dataset_sink(lambda kept: frames.join(kept, ["clip_id", "frame_index"], "left_semi"),
-                                  str(tmp_path), "r")
+                                  clips, str(tmp_path), "r")
+    sink(first, 0)
+    assert M.recorded_clips(spark, str(tmp_path / "manifest"), "r") is None
     for _ in range(2):
-        sink(decided, 0)
-    assert M.recorded_clips(spark, str(tmp_path / "manifest"), "r").agg(F.sum("frames_kept")).first()[0] == 2
+        sink(second, 1)
+    got = M.recorded_clips(spark, str(tmp_path / "manifest"), "r").collect()
+    assert [(r.clip_id, r.stem, r.frames_decoded, r.frames_kept) for r in got] == [(1, "c", 3, 2)]
+    assert [r.kept_frames for r in M.recorded_kept(spark, str(tmp_path / "manifest"), "r").collect()] == [[0, 2]]
     names = sorted(p.name for p in (tmp_path / "images").iterdir() if p.name.endswith(".png"))
     assert names == ["c_000000.png", "c_000002.png"]
