@@ -6,8 +6,9 @@ come, the tokens that lead there.  A new byte closes a token at exactly one of t
 which the token may stand (two tokens may be neighbours if merging their bytes alone gives these two).  Tokens
 on which all open places agree are certain and are emitted, which happens within a bounded lookahead for
 ordinary text; states and transitions are made when they are first met and kept.  At the end of a piece the
-path to its last byte is emitted.  Pieces whose open part grows long (runs of one character) are solved by
-the same steps without keeping their states, so there is no longest piece.
+path to its last byte is emitted.  The table of states is bounded; where it ends, and where the open part of
+a piece grows long (runs of one character), the open places are followed without making states, with the
+same result, so there is no longest piece.
 
 Texts are split by the vocabulary's pattern; a piece that is a token is that token.  Pieces met before come
 from a table of bounded size.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import cached_property
 from itertools import islice
@@ -36,15 +38,17 @@ from framesift.llm.common import free_name
 
 #: Pieces whose ids are kept, per task process.
 KEPT_PIECES = 400_000
-#: States that are kept, and open bytes beyond which a state is not kept.
-KEPT_STATES = 200_000
+#: States that are made, and open bytes beyond which none is made: what goes on from there is followed byte by byte.
+KEPT_STATES = 40_000
 OPEN_BYTES = 48
+KEPT_PAIRS = 1_000_000
 #: Matches that are encoded together, and ids that are decoded together.
 PORTION = 1 << 16
 
 #: Open places in ascending order with the tokens that lead to each; the last place is the end.
 Paths = list[tuple[int, tuple[int, ...]]]
 _BYTES = [bytes((b,)) for b in range(256)]
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,11 +64,23 @@ class Transducer:
         grows = {t[:k] for t in ranks for k in range(len(t))}
         #: Token id, if it is one, and whether it may grow into a token, of everything that is either.
         self.known = {t: (ranks.get(t), t in grows) for t in grows.union(ranks)}
+        self.lengths = {i: len(t) for t, i in ranks.items()}
+        #: The tree of tokens: node by node and byte (0 is the root), the token that ends at a node or -1, and
+        #: whether no longer token goes through it.
+        self.tree: dict[int, int] = {}
+        self.token_at, self.leaf = [-1], [False]
+        for token, number in ranks.items():
+            node = 0
+            for byte in token:
+                step = node << 8 | byte
+                self.leaf[node] = False
+                node = self.tree.setdefault(step, len(self.leaf))
+                if node == len(self.leaf):
+                    self.leaf.append(True)
+                    self.token_at.append(-1)
+            self.token_at[node] = number
         self._pairs: dict[int, bool] = {}
         self._edges: dict[tuple[bytes, int], list[tuple[bytes, float]] | None] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         self._ids: dict[tuple[int, bytes], int] = {}
         self._states: list[tuple[int, bytes, Paths]] = []
         self._moves: dict[int, tuple[tuple[int, ...], int]] = {}
@@ -109,7 +125,7 @@ class Transducer:
         key = before << 32 | token
         found = self._pairs.get(key)
         if found is None:
-            if len(self._pairs) > 4 * KEPT_STATES:
+            if len(self._pairs) > KEPT_PAIRS:
                 self._pairs.clear()
             right = self._edge(self.bytes_of[token], 0)
             left = [(b"", float("inf"))] if before < 0 else self._edge(self.bytes_of[before], -1)
@@ -163,16 +179,15 @@ class Transducer:
 
     def run(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
-        if len(self._states) > KEPT_STATES:
-            self._reset()
         out: list[int] = []
         state, moves = self._start, self._moves
         for at, byte in enumerate(piece):
             move = moves.get(state << 8 | byte)
             if move is None:
-                certain, before, rest, paths = self._step(*self._states[state], byte)
-                if len(rest) > OPEN_BYTES:
-                    return out + list(certain) + self._run_long(before, rest, paths, piece[at + 1:])
+                before, pending, paths = self._states[state]
+                if len(self._states) >= KEPT_STATES or len(pending) >= OPEN_BYTES:
+                    return out + self._follow(before, pending, paths, piece[at:])
+                certain, before, rest, paths = self._step(before, pending, paths, byte)
                 move = moves[state << 8 | byte] = certain, self._state(before, rest, paths)
             if move[0]:
                 out += move[0]
@@ -181,50 +196,73 @@ class Transducer:
         out += paths[-1][1]  # the last open place is the end
         return out
 
-    def _run_long(self, before: int, pending: bytes, paths: Paths, rest: bytes) -> list[int]:
-        """As `run`, from an open state on, with one token kept per byte instead of whole paths."""
-        text = pending + rest
-        last = [-1] * (len(text) + 1)  # the token that ends at each place, on the path to it
-        for _, path in paths:
-            place = 0
+    def _follow(self, before: int, pending: bytes, paths: Paths, rest: bytes) -> list[int]:
+        """As `run`, from an open state on, without making states: the open places are followed side by side,
+        each by its node in the tree of tokens, and one token is kept for each byte instead of whole paths."""
+        last = [before] * (len(pending) + 1)  # the token that ends at each place, on the path to it
+        live = []
+        for place, path in paths:
+            at = 0
             for token in path:
-                place += len(self.bytes_of[token])
-                last[place] = token
-        last[0] = before
-        live = [p for p, _ in paths]
-        for n in range(len(pending) + 1, len(text) + 1):
-            token = None
-            for place in live:
-                found = self.known.get(text[place:n], (None, False))[0]
-                if token is None and found is not None and self._may_follow(last[place], found):
-                    token = found
-            if token is None:
+                at += self.lengths[token]
+                last[at] = token
+            node = 0
+            for byte in pending[place:]:
+                node = self.tree[node << 8 | byte]
+            live.append((place, node))
+        tree, token_at, leaf, pairs = self.tree, self.token_at, self.leaf, self._pairs
+        n = len(pending)
+        for byte in rest:
+            n += 1
+            own, after = -1, []
+            for place, node in live:
+                node = tree.get(node << 8 | byte)
+                if node is None:
+                    continue
+                if own < 0:
+                    token = token_at[node]
+                    if token >= 0:
+                        before = last[place]
+                        fits = pairs.get(before << 32 | token)
+                        if fits if fits is not None else self._may_follow(before, token):
+                            own = token
+                if not leaf[node]:
+                    after.append((place, node))
+            if own < 0:
                 raise ValueError("the vocabulary lacks single bytes")
-            last[n] = token
-            live = [p for p in live if self.known.get(text[p:n], (None, False))[1]]
-            live.append(n)
-        out, place = [], len(text)
-        while place:
-            out.append(last[place])
-            place -= len(self.bytes_of[last[place]])
+            last.append(own)
+            after.append((n, 0))
+            live = after
+        out = []
+        while n:
+            out.append(last[n])
+            n -= self.lengths[last[n]]
         return out[::-1]
 
 
 class _Pieces(dict):
-    """Ids of pieces as little-endian unsigned 32-bit integers, made when first asked for."""
+    """Ids of pieces as little-endian unsigned 32-bit integers, made when first asked for.
+
+    When the table is full it becomes the old one, and what is asked for again moves over.
+    """
 
     def __init__(self, transducer: Transducer):
         self.transducer = transducer
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > KEPT_PIECES:
+        found = self.old.get(piece)
+        if found is None:
+            raw = piece.encode("utf-8", "replace")
+            whole = self.transducer.ranks.get(raw)
+            ids = self.transducer.run(raw) if whole is None else [whole]
+            found = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+            if len(raw) > 64:
+                return found
+        if len(self) >= KEPT_PIECES:
+            self.old = dict(self)
             self.clear()
-        raw = piece.encode("utf-8", "replace")
-        whole = self.transducer.ranks.get(raw)
-        ids = self.transducer.run(raw) if whole is None else [whole]
-        found = np.array(ids, "<u4").tobytes()
-        if len(raw) <= 64:
-            self[piece] = found
+        self[piece] = found
         return found
 
 

@@ -67,7 +67,7 @@ def test_states_are_shared_and_bounded(monkeypatch):
     codec = byte_bpe()
     text = " ".join(f"word{i}ness un{i}ly" for i in range(500))
     assert codec.encode(text).tolist() == REFERENCE.encode_ordinary(text)
-    assert len(codec._pieces) <= 11 and len(codec._pieces.transducer._states) < 200
+    assert len(codec._pieces) <= 11 and len(codec._pieces.transducer._states) <= 50
 
 
 @settings(max_examples=200, deadline=None)
