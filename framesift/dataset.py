@@ -198,7 +198,7 @@ def decide(judged: DataFrame, cfg: DatasetConfig) -> DataFrame:
     """One decision per frame."""
     if cfg.select == "every-nth":
         return selection.every_nth(judged, cfg.nth, cfg.blur_floor)
-    return motion_gated(judged, cfg.motion_threshold, cfg.window, cfg.blur_floor)
+    return motion_gated(judged, cfg.motion_threshold, cfg.window, cfg.blur_floor, stored=True)
 
 
 def _parameters(spark: SparkSession, cfg: DatasetConfig) -> DataFrame:

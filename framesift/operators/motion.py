@@ -270,23 +270,27 @@ def _walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def motion_gated(frames: DataFrame, threshold: float = P.MOTION_THRESHOLD,
                  window: int = P.MOTION_WINDOW, floor: float | None = None,
-                 segment: int = P.SEGMENT_FRAMES, warmup: int = P.WARMUP_FRAMES) -> DataFrame:
+                 segment: int = P.SEGMENT_FRAMES, warmup: int = P.WARMUP_FRAMES, stored: bool = False) -> DataFrame:
     """Motion-gated decisions: the sharpest frame of each window that opens when a
     frame differs enough from the last kept one."""
-    return run_rule(frames, lambda: MotionRule(threshold, window), floor, segment, warmup)
+    return run_rule(frames, lambda: MotionRule(threshold, window), floor, segment, warmup, stored)
 
 
 def run_rule(frames: DataFrame, make_rule: MakeRule, floor: float | None = None,
-             segment: int = P.SEGMENT_FRAMES, warmup: int = P.WARMUP_FRAMES) -> DataFrame:
+             segment: int = P.SEGMENT_FRAMES, warmup: int = P.WARMUP_FRAMES, stored: bool = False) -> DataFrame:
     """Decisions (clip_id, frame_index, keep) of any resumable rule for frames
     with columns (clip_id, frame_index, sharpness, gray[, valid]).
 
-    Give it a stored table: segments that run again read their frames again.
+    Segments that run again read their frames again, so the input is stored first
+    unless it is `stored` already.  Jobs run while the result is being built: one
+    round per guess that was wrong somewhere, at most one per segment of a clip.
     """
     if "valid" not in frames.columns:
         frames = frames.withColumn("valid", F.lit(None).cast("binary"))
     frames = frames.select("clip_id", F.col("frame_index").cast("long").alias("frame_index"),
                            F.col("sharpness").cast("double").alias("sharpness"), "gray", "valid")
+    if not stored:
+        frames = materialise(frames, "rule-input")
     seen = frames.filter(passes_floor(floor))
     own = (seen.withColumn("segment", F.expr(f"frame_index div {int(segment)}"))
            .withColumn("role", F.lit(OWN)))
@@ -303,7 +307,12 @@ def run_rule(frames: DataFrame, make_rule: MakeRule, floor: float | None = None,
         if not asks.limit(1).count():
             break
         number += 1
-        again = own.join(asks.select("clip_id", "segment", F.col("ask").alias("lane")),
+        # Only the stretch that is asked for is read: these bounds reach the scan.
+        span = asks.agg(F.min("clip_id").alias("low"), F.max("clip_id").alias("high"),
+                        F.min("segment").alias("first"), F.max("segment").alias("last")).first()
+        near = own.filter(F.col("clip_id").between(span.low, span.high) & F.col("frame_index").between(
+            span.first * segment, (span.last + 1) * segment - 1))
+        again = near.join(asks.select("clip_id", "segment", F.col("ask").alias("lane")),
                          ["clip_id", "segment"])
         source = asks.select(
             "clip_id", F.col("from_segment").alias("segment"), "round", "lane", "branch",

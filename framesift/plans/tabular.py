@@ -11,7 +11,7 @@ from framesift.operators import audits, masks, records, replay, resume
 from framesift.operators.ordering import index_bucket
 from framesift.plans import views as V
 from framesift.plans.registry import query
-from framesift.session import scratch_path
+from framesift.session import materialise, scratch_path
 from framesift.sources import clips as clip_source
 from framesift.sources import manifest as manifest_source
 from framesift.sources import profiles as profile_source
@@ -525,10 +525,11 @@ def find_previous_clip(spark, sf):
 
 
 def _intact_inputs(spark, sf):
-    kept = V.kept_frames(spark, sf)
+    kept = materialise(V.kept_frames(spark, sf), "kept")
     counts = kept.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"))
     claimed = counts.select("clip_id", (F.col("n") + F.when(F.col("clip_id") % 13 == 0, 1).otherwise(0))
                             .alias("frames_kept"))
+    claimed = materialise(claimed, "claimed")
     # On disk: everything but the masks of very sharp late frames.
     expected = resume.expected_files(kept, "jpg", ["sfm", "training"])
     on_disk = expected.filter(~(F.col("path").like("masks_train/%") & F.col("path").rlike("0000[67]\\d")))
@@ -558,7 +559,7 @@ def clip_intact(spark, sf):
 
 def _resume(spark, sf):
     claimed, kept, disk = _intact_inputs(spark, sf)
-    intact = resume.clip_intact(claimed, kept, disk, "jpg", ["sfm", "training"])
+    intact = materialise(resume.clip_intact(claimed, kept, disk, "jpg", ["sfm", "training"]), "intact")
     users = V.table(spark, sf, "events").select(F.col("user_id").alias("clip_id")).distinct()
     clips = users.select("clip_id", F.col("clip_id").alias("position"),
                          F.concat(F.lit("in/user"), "clip_id", F.lit(".mp4")).alias("path"),
@@ -590,7 +591,8 @@ def combined_manifest(spark, sf):
     decided = V.metric_events(spark, sf).select(
         "clip_id", "frame_index", (F.col("sharpness") >= 100).alias("keep"))
     fresh = records.clip_record(decided).select("clip_id", "frames_decoded", "frames_kept")
-    action = plan.select("clip_id", "action")
+    action = materialise(plan.select("clip_id", "action"), "plan")
+    fresh = materialise(fresh, "fresh")
     decoded = fresh.select("clip_id", "frames_decoded")
     carried = (action.filter("action = 'carried'").join(claimed, "clip_id").join(decoded, "clip_id")
                .select(F.col("clip_id").alias("position"), F.lit(True).alias("carried"),

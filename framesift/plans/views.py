@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from framesift.functions import pixels
 from framesift.operators.ordering import dense_index, index_bucket
+from framesift.session import materialise
 
 SIDE = 8
 PIXELS = SIDE * SIDE
@@ -37,7 +38,9 @@ def embedding_frames(spark, sf) -> DataFrame:
     """Numbered embeddings: (clip_id, frame_index, embedding); clip = label."""
     emb = table(spark, sf, "embeddings").select(
         F.col("label").cast("long").alias("clip_id"), "vec_id", "embedding")
-    return dense_index(emb, ["clip_id"], ["vec_id"], index_bucket("vec_id", 4096), "frame_index")
+    # Numbered once and stored, as frames of a dataset are; queries read it as often as they need.
+    return materialise(dense_index(emb, ["clip_id"], ["vec_id"], index_bucket("vec_id", 4096), "frame_index"),
+                       "embedding-frames")
 
 
 def _size(df: DataFrame) -> DataFrame:
@@ -73,8 +76,8 @@ def metric_events(spark, sf) -> DataFrame:
         F.col("value").alias("sharpness"), "event_type")
     # Hours as text sort like time and do not depend on the session time zone.
     hour = F.date_format("ts", "yyyy-MM-dd HH")
-    return dense_index(ev, ["clip_id"], ["ts", "event_id"], hour, "frame_index").select(
-        "clip_id", "frame_index", "sharpness", "event_type")
+    return materialise(dense_index(ev, ["clip_id"], ["ts", "event_id"], hour, "frame_index").select(
+        "clip_id", "frame_index", "sharpness", "event_type"), "metric-events")
 
 
 def event_clip_fps(clip: Column) -> Column:

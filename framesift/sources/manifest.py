@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from framesift import params as P
 from framesift.functions.text import parsed_once, plain_number
 from framesift.operators.ordering import dense_index, index_bucket
-from framesift.session import exists
+from framesift.session import exists, file_system
 
 _S, _L, _D, _B, _I = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.IntegerType()
 
@@ -191,20 +191,27 @@ def _recorded(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
     return spark.read.parquet(path).filter(F.col("run_id") == run_id)
 
 
+def _batches(spark: SparkSession, path: str, run_id: str) -> list[int]:
+    """The batches a table holds of a run, from its folders."""
+    folder = f"{path}/run_id={run_id}"
+    if not exists(spark, folder):
+        return []
+    found = file_system(spark, folder).listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder))
+    names = [f.getPath().getName() for f in found]
+    return sorted(int(n[6:]) for n in names if n.startswith("batch="))
+
+
 def last_run(spark: SparkSession, path: str, run_id: str) -> tuple[int, int] | None:
     """(batch, since) of the last invocation, complete or not; None if there was none."""
-    rows = _recorded(spark, f"{path}/runs", run_id)
-    last = rows.agg(F.max(F.struct("batch", "since")).alias("r")).first().r if rows is not None else None
-    return (last.batch, last.since) if last is not None else None
+    begun = _batches(spark, f"{path}/runs", run_id)
+    if not begun:
+        return None
+    row = spark.read.parquet(f"{path}/runs/run_id={run_id}/batch={begun[-1]}").select("since").first()
+    return (begun[-1], row.since) if row is not None else None
 
 
 def next_batch(spark: SparkSession, path: str, run_id: str) -> int:
-    used = [-1]
-    for table in ("runs", "kept", "clips"):
-        rows = _recorded(spark, f"{path}/{table}", run_id)
-        if rows is not None:
-            used.append(rows.agg(F.max("batch")).first()[0])
-    return max(u for u in used if u is not None) + 1
+    return max([-1, *(b for table in ("runs", "kept", "clips") for b in _batches(spark, f"{path}/{table}", run_id))]) + 1
 
 
 def recorded_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
