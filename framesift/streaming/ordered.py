@@ -27,6 +27,10 @@ DECISIONS = "clip_id long, kind string, frame_index long, keep boolean"
 ORDERED = "clip_id long, kind string, frame_index long, emitted long"
 SMOOTHED = "clip_id long, kind string, frame_index long, labels binary"
 
+#: Rows that a processor hands on together, and frames ahead of their turn that it holds outside the state store.
+OUT_ROWS = 4096
+AHEAD_ROWS = 1024
+
 
 class InOrder(StatefulProcessor):
     """Restores frame order per clip.  Subclasses see ordered frames only."""
@@ -52,45 +56,80 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         clip = key[0]
-        expected = self.next_emit.get()[0] if self.next_emit.exists() else 0
-        rule = pickle.loads(self.rule.get()[0]) if self.rule.exists() else self.fresh()
-        arrived: dict[int, tuple] = {}
+        self.expected = self.next_emit.get()[0] if self.next_emit.exists() else 0
+        self.now = pickle.loads(self.rule.get()[0]) if self.rule.exists() else self.fresh()
+        # Frames ahead of their turn: a bounded number here, the others in the state store.
+        self.ahead: dict[int, tuple] = {}
+        self.stored = self.early.exists()
         ended = False
+        out: list[tuple] = []
         for pdf in rows:
             ended |= bool(pdf["is_end"].any())
-            frames = pdf[~pdf["is_end"]]
+            frames = pdf[~pdf["is_end"]].sort_values("frame_index", kind="stable")
             for values in zip(frames["frame_index"], *(frames[c] for c in self.payload)):
-                arrived[int(values[0])] = tuple(values[1:])
-        out: list[tuple] = []
-        stored = self.early.exists()
-        while True:
-            if expected in arrived:
-                row = arrived.pop(expected)
-            elif stored and self.early.containsKey((expected,)):
-                row = pickle.loads(self.early.getValue((expected,))[0])
-                self.early.removeKey((expected,))
-            else:
-                break
-            made, rule = self.take(rule, expected, row)
+                index = int(values[0])
+                # A number handed on before is a copy of it; nothing is decided twice.
+                if index >= self.expected:
+                    self.ahead[index] = tuple(values[1:])
+                if index == self.expected:
+                    out.extend(self._hand_on())
+                    if len(out) >= OUT_ROWS:
+                        yield self._made(clip, out)
+                        out = []
+                elif len(self.ahead) > AHEAD_ROWS:
+                    self._put_away()
+        for made in self._in_turn():
             out.extend(made)
-            expected += 1
-        for index, row in arrived.items():
-            # A number handed on before is a copy of it; nothing is decided twice.
-            if index > expected:
-                self.early.updateValue((index,), (pickle.dumps(row),))
+            if len(out) >= OUT_ROWS:
+                yield self._made(clip, out)
+                out = []
         if ended:
-            if self.early.exists():
-                out.append(("gap", expected, *[None] * (len(self.output) - 3)))
+            if self.ahead or self.early.exists():
+                out.append(("gap", self.expected, *[None] * (len(self.output) - 3)))
             else:
-                out.extend(self.finish(rule))
-                out.append(("end", expected, *[None] * (len(self.output) - 3)))
+                out.extend(self.finish(self.now))
+                out.append(("end", self.expected, *[None] * (len(self.output) - 3)))
             for state in (self.next_emit, self.early, self.rule):
                 state.clear()
         else:
-            self.next_emit.update((expected,))
-            self.rule.update((pickle.dumps(rule),))
+            self._put_away()
+            self.next_emit.update((self.expected,))
+            self.rule.update((pickle.dumps(self.now),))
         if out:
-            yield pd.DataFrame([(clip, *row) for row in out], columns=self.output)
+            yield self._made(clip, out)
+
+    def _made(self, clip, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(clip, *row) for row in out], columns=self.output)
+
+    def _put_away(self) -> None:
+        for index, row in self.ahead.items():
+            self.early.updateValue((index,), (pickle.dumps(row),))
+        self.stored |= bool(self.ahead)
+        self.ahead = {}
+
+    def _in_turn(self) -> Iterator[list[tuple]]:
+        """What the frames whose turn has come make, one by one."""
+        while True:
+            if self.expected in self.ahead:
+                row = self.ahead.pop(self.expected)
+            elif self.stored and self.early.containsKey((self.expected,)):
+                row = pickle.loads(self.early.getValue((self.expected,))[0])
+                self.early.removeKey((self.expected,))
+            else:
+                return
+            made, self.now = self.take(self.now, self.expected, row)
+            self.expected += 1
+            yield made
+
+    def _hand_on(self) -> list[tuple]:
+        """The frame whose turn it is, and those that follow it and are at hand; what is stored waits for its turn
+        at the end of the batch unless it comes next."""
+        out: list[tuple] = []
+        for made in self._in_turn():
+            out.extend(made)
+            if len(out) >= OUT_ROWS:
+                break
+        return out
 
     def close(self) -> None:
         pass

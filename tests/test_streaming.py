@@ -119,3 +119,19 @@ def test_sink_is_idempotent_per_batch(spark, tmp_path):
     assert [r.kept_frames for r in M.recorded_kept(spark, str(tmp_path / "manifest"), "r").collect()] == [[0, 2]]
     names = sorted(p.name for p in (tmp_path / "images").iterdir() if p.name.endswith(".png"))
     assert names == ["c_000000.png", "c_000002.png"]
+
+
+def test_one_long_clip_backwards(spark, tmp_path):
+    """Far more frames are early than are held in memory; all come out in order."""
+    n = 3000
+    assert n > 2 * O.AHEAD_ROWS
+    frames = spark.range(n).select(F.lit(7).cast("long").alias("clip_id"), (F.lit(n - 1) - F.col("id")).alias("frame_index"),
+                                   F.lit(False).alias("is_end"))
+    ends = spark.createDataFrame([(7, None, True)], "clip_id long, frame_index long, is_end boolean")
+    frames.coalesce(1).union(ends).write.parquet(str(tmp_path / "in"))
+    stream = stream_io.stream_frames_source(spark, str(tmp_path / "in"), ends.schema)
+    out = str(tmp_path / "out")
+    stream_io.run_available(O.stream_reorder(stream), out, out + "-c")
+    got = spark.read.parquet(out)
+    assert got.filter("kind = 'frame' AND frame_index = emitted").count() == n
+    assert [r.frame_index for r in got.filter("kind = 'end'").collect()] == [n]
