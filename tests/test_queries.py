@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from framesift.plans.catalog import QUERIES
 from tools import compare
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def con():
     return compare.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     ok, note = compare.compare(spark, con, SF, name)
     assert ok, note
