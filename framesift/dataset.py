@@ -31,7 +31,7 @@ from framesift.operators import audits, masks, metrics, records, replay, resume,
 from framesift.operators.motion import motion_gated
 from framesift.operators.ordering import index_bucket, running_sum
 from framesift.operators.stems import unique_stems
-from framesift.session import broadcast_if_small, exists, materialise, ship_package
+from framesift.session import broadcast_if_small, exists, materialise, scratch_scope, ship_package
 from framesift.sources import images, manifest
 
 LENS = ("k00", "k11", "calib_w", "calib_h", "stretch_x", "stretch_y", "coeffs")
@@ -286,6 +286,12 @@ def build_dataset(frames: DataFrame, clips: DataFrame, out: str, cfg: DatasetCon
     are complete under `out` are carried over and the rest are done.
     """
     spark = ship_package(frames.sparkSession)
+    with scratch_scope(spark):
+        return _build(spark, frames, clips, out, cfg, kept, run_id)
+
+
+def _build(spark: SparkSession, frames: DataFrame, clips: DataFrame, out: str, cfg: DatasetConfig,
+           kept: DataFrame | None, run_id: str) -> DataFrame:
     began = time.time()
     table = f"{out}/manifest"
     images.target_uri(spark, out)

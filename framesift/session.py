@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -91,8 +93,27 @@ def exists(spark: SparkSession, path: str) -> bool:
     return file_system(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/framesift/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/framesift/{what}-{uuid.uuid4().hex}"
+    if _scratch.get() is not None:
+        _scratch.get().append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete the scratch tables made inside when it ends; what is returned must not read them."""
+    mine: list[str] = []
+    token = _scratch.set(mine)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in mine:
+            file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 #: Bytes of column data that are sent to every task at most.

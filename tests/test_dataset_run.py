@@ -239,6 +239,15 @@ def test_paths_are_written_where_spark_reads(spark, frames, clips, tmp_path, mon
         images.target_uri(spark, str(tmp_path))
 
 
+def test_a_run_leaves_no_scratch(spark, frames, clips, tmp_path):
+    from pathlib import Path
+    from framesift.session import shared_dir
+    folder = Path(shared_dir(spark)) / "framesift"
+    before = {p.name for p in folder.iterdir()}
+    got = build_dataset(frames, clips, str(tmp_path), DatasetConfig(select="every-nth", nth=5))
+    assert {p.name for p in folder.iterdir()} == before and got.count() == 2
+
+
 def test_the_document_of_a_run(spark, frames, clips, tmp_path):
     build_dataset(frames, clips, str(tmp_path), DatasetConfig(select="every-nth", nth=5, blur_floor=1.0))
     text = "".join(p.read_text() for p in sorted((tmp_path / "manifest_document").glob("part-*")))
