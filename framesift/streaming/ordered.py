@@ -68,8 +68,8 @@ class InOrder(StatefulProcessor):
             frames = pdf[~pdf["is_end"]].sort_values("frame_index", kind="stable")
             for values in zip(frames["frame_index"], *(frames[c] for c in self.payload)):
                 index = int(values[0])
-                # A number handed on before is a copy of it; nothing is decided twice.
-                if index >= self.expected:
+                # A number handed on or stored before is a copy of it; nothing is decided twice.
+                if index >= self.expected and not (self.stored and self.early.containsKey((index,))):
                     self.ahead[index] = tuple(values[1:])
                 if index == self.expected:
                     out.extend(self._hand_on())

@@ -135,3 +135,14 @@ def test_one_long_clip_backwards(spark, tmp_path):
     got = spark.read.parquet(out)
     assert got.filter("kind = 'frame' AND frame_index = emitted").count() == n
     assert [r.frame_index for r in got.filter("kind = 'end'").collect()] == [n]
+
+
+def test_a_copy_of_an_early_frame_is_no_gap(spark, tmp_path):
+    schema = "clip_id long, frame_index long, is_end boolean"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(1, 0, False), (1, 2, False)], [(1, 2, False), (1, 1, False), (1, 2, False), (1, None, True)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = stream_io.stream_frames_source(spark, source, spark.createDataFrame([], schema).schema)
+        stream_io.run_available(O.stream_reorder(stream), out, out + "-c")
+    got = sorted((r.kind, r.frame_index) for r in spark.read.parquet(out).collect())
+    assert got == [("end", 3), ("frame", 0), ("frame", 1), ("frame", 2)]
