@@ -12,12 +12,13 @@ differences cannot touch all segments, and two similar sets agree on the subsets
   segments.  All sets rank subsets by one order (how common the rarest shingle is in a sample, then a
   hash).  Of the subsets that two similar sets share, the lowest in that order is left out by neither: in
   both, at least as many others rank above it as are left out.  Sample and order affect the cost only.
-* Sets that share a key meet in a bucket.  A key's sets first compare with one of them; verified links make
-  components, and only where a key's sets still lie in several components go on, against more of them each
-  time, until every pair that shares a key has been compared or is connected.  A key with a thousand near
-  copies so costs a thousand comparisons and not a million.
+* Sets that share a key meet in a bucket.  A key's sets are first compared with the smallest of them, their
+  leader; verified links make components.  Where a leader's sets still lie in several components, pairs of
+  different components are compared too, each pair with the first leader that it has in common, in blocks of
+  bounded size that hand on only the pairs not yet ruled out.  So every pair that shares a key is compared
+  or is connected, and a key with a thousand near copies costs a thousand exact comparisons and not a million.
 * Comparisons are exact: sizes first, then counts of shingles by cell (which bound the difference from
-  below), then the sets.
+  below), by few cells and then by many, then the sets, which so travel for hardly any pair that is not linked.
 
 Equal sets are one node from the start.  A shingle is known by 64 bits and a set by the sum of 64 mixed bits:
 among n sets about n^2 / 2^65 pairs would be taken for equal by chance.
@@ -30,8 +31,10 @@ ignored by `links` and passed through by `keep_one`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +54,17 @@ BAND = 2
 #: Segments of a band as a share of its largest set; differences can touch 2/7 of it.
 SEGMENTS = 0.36
 #: Shingles of the sample that costs are estimated on (of whole sets), and common shingles that are sent out.
-SAMPLE_SHINGLES = 3_000_000
+SAMPLE_SHINGLES = 1_500_000
 COMMON = 200_000
 #: Bands up to this size are tried with one-deletion neighbourhoods too.
 SMALL = 64
 #: What one meeting of two unrelated sets costs, in rows.
 MEETING = 8.0
-CELLS = 128
+#: Cells a set is counted by, as a share of its shingles: few for all sets, many for those that come near.
+COARSE, FINE = 1 / 6, 1 / 2
+LEAST_CELLS = 64
+#: Sets of a key that are compared with each other together.
+BLOCK = 2048
 
 _SEGMENT, _CONTENT, _SET, _CELL = (np.uint64(x) for x in (
     0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -174,9 +181,27 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]
         yield lo, sets, nodes.view(np.int64)
 
 
-def _cells(found: np.ndarray) -> bytes:
-    cell = (mix64(found ^ _CELL) >> np.uint64(57)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=CELLS), 255).astype(np.uint8).tobytes()
+def _cells(found: np.ndarray, share: float) -> bytes:
+    """Shingles by cell; the number of cells is a power of two, so counts of sets of other sizes can be folded."""
+    bits = max(LEAST_CELLS.bit_length() - 1, math.ceil(math.log2(max(len(found) * share, 1))))
+    cell = (mix64(found ^ _CELL) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _folded(counts: bytes, cells: int) -> np.ndarray:
+    """The counts over fewer cells: neighbours are added up."""
+    found = np.frombuffer(counts, np.uint8).astype(np.int32)
+    return found if len(found) == cells else found.reshape(cells, -1).sum(axis=1)
+
+
+def _possible(cells_a, cells_b, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether cell counts leave it open that the sets are similar: they differ in no more shingles than sets
+    may.  Counts saturate at 255, which only lowers the bound."""
+    out = np.zeros(len(n_a), bool)
+    for k, (x, y) in enumerate(zip(cells_a, cells_b)):
+        cells = min(len(x), len(y))
+        out[k] = np.abs(_folded(x, cells) - _folded(y, cells)).sum() * (100 + PERCENT) <= (n_a[k] + n_b[k]) * (100 - PERCENT)
+    return out
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +210,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets, nodes in _sets(batch.column(2)):
             n += [len(s) for s in sets]
             node += nodes.tolist()
-            cells += [_cells(s) for s in sets]
+            cells += [_cells(s, COARSE) for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
                                           pa.array(cells, pa.binary())], ["doc_id", "tag", "n_shingles", "node", "cells"])
 
@@ -224,51 +249,39 @@ def _index(plan: list[Band], common, buckets: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """The sets of a bucket that share a key, as (run, leader, node); runs with the same sets are one."""
+    """The sets of a bucket that share a key, as (leader, node): the leader is the smallest node with the key."""
     rows = unpack(table.column("block"), KIND)
     first, length = runs(rows["key"])
     many = length > 1
-    first, length = first[many], length[many]
-    leader = np.repeat(rows["node"][first], length - 1)
-    at = np.repeat(first + 1, length - 1) + np.arange(int((length - 1).sum())) - np.repeat(
-        np.cumsum(length - 1) - (length - 1), length - 1)
-    node = rows["node"][at]
-    if len(first):
-        mixed = mix64(rows["node"].view(np.uint64) ^ _SET)
-        total = np.append(np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64))
-        run = np.repeat((total[first + length] - total[first]).view(np.int64), length - 1)
-    else:
-        run = node
-    out = np.unique(np.rec.fromarrays([run, leader, node], names="run,leader,node")) if len(node) else None
-    columns = [out[n] if out is not None else np.zeros(0, np.int64) for n in ("run", "leader", "node")]
-    return pa.table([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], ["run", "leader", "node"])
+    first, others = first[many], length[many] - 1
+    leader = np.repeat(rows["node"][first], others)
+    at = np.repeat(first + 1, others) + np.arange(int(others.sum())) - np.repeat(np.cumsum(others) - others, others)
+    out = np.unique(np.stack([leader, rows["node"][at]], axis=1), axis=0)
+    return pa.table([pa.array(np.ascontiguousarray(c), pa.int64()) for c in out.T], ["leader", "node"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose cell counts do not rule them out: cells saturate at 255, so the bound only gets lower."""
+    """(a, b, n_a, n_b) of the pairs (a, b, n_a, n_b, cells of a, cells of b) that their cells do not rule out."""
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        cells = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, CELLS).astype(np.int16)
-                 for k in (4, 5)]
-        a, b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        apart = np.abs(cells[0] - cells[1]).sum(axis=1)
-        keep = pa.array(apart * (100 + PERCENT) <= (a + b) * (100 - PERCENT))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+        keep = _possible(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(2).to_numpy(),
+                         batch.column(3).to_numpy())
+        yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "n_a", "n_b"]).filter(pa.array(keep))
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = set()
-    for batch in batches:
-        for _, sets, nodes in _sets(batch.column(0)):
-            own = []
-            for i, node in enumerate(nodes.tolist()):
-                if node not in seen:
-                    seen.add(node)
-                    own.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array([sets[i].tobytes() for i in own], pa.binary())],
-                                             ["node", "shingles"])
+def _of_sets(make):
+    """(node, value) of the sets of texts, each set of a task once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            for _, sets, nodes in _sets(batch.column(0)):
+                own = []
+                for i, node in enumerate(nodes.tolist()):
+                    if node not in seen:
+                        seen.add(node)
+                        own.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array([make(sets[i]) for i in own], pa.binary())],
+                                                 ["node", "value"])
+    return run
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,6 +295,62 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _across(found: pa.Table) -> pa.Table:
+    """Pairs of different components in the blocks (leader, i, j) of a slot that sizes and cells do not rule out,
+    each pair with the first leader that it has in common."""
+    found = found.sort_by([("leader", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
+    column = {c: found.column(c).to_numpy() for c in ("leader", "i", "j", "node", "component", "n")}
+    second = found.column("second").to_numpy()
+    new = np.zeros(len(second), bool)
+    for c in ("leader", "i", "j"):
+        new[1:] |= column[c][1:] != column[c][:-1]
+    new[:1] = True
+    edge = np.append(np.flatnonzero(new), len(new))
+    lists, cells_of = found.column("leaders").combine_chunks(), found.column("cells").to_pylist()
+    bounds, leaders_of = lists.offsets.to_numpy(), lists.values.to_numpy()
+    out = [], []
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        n, component = column["n"][lo:hi], column["component"][lo:hi]
+        ok = np.triu(component[:, None] != component[None, :], 1)
+        if column["i"][lo] != column["j"][lo]:
+            ok &= second[lo:hi, None] != second[None, lo:hi]
+        ok &= np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * PERCENT
+        if not ok.any():
+            continue
+        # Leaders before this one that two members share: their pair is compared there.
+        each = [leaders_of[bounds[k]:bounds[k + 1]] for k in range(lo, hi)]
+        row = np.repeat(np.arange(hi - lo), [len(r) for r in each])
+        earlier = np.concatenate(each)
+        row, earlier = row[earlier < column["leader"][lo]], earlier[earlier < column["leader"][lo]]
+        _, place, often = np.unique(earlier, return_inverse=True, return_counts=True)
+        row, place = row[often[place] > 1], place[often[place] > 1]
+        if len(place):
+            _, place = np.unique(place, return_inverse=True)
+            for a in range(0, int(place.max()) + 1, 2048):
+                here = (place >= a) & (place < a + 2048)
+                there = np.zeros((hi - lo, 2048), np.float32)
+                there[row[here], place[here] - a] = 1
+                ok &= (there @ there.T) == 0
+        x, y = np.nonzero(ok)
+        lengths = np.array([len(c) for c in cells_of[lo:hi]])
+        fewest = np.minimum(lengths[x], lengths[y])
+        for cells in np.unique(fewest):
+            here = np.flatnonzero(lengths >= cells)
+            place = np.zeros(hi - lo, np.int64)
+            place[here] = np.arange(len(here))
+            counts = np.stack([_folded(cells_of[lo + k], int(cells)) for k in here]).astype(np.int16)
+            of_these = fewest == cells
+            step = max(1, (1 << 24) // int(cells))
+            for a in range(0, int(of_these.sum()), step):
+                p, q = x[of_these][a:a + step], y[of_these][a:a + step]
+                apart = np.abs(counts[place[p]] - counts[place[q]]).sum(axis=1, dtype=np.int64)
+                near = apart * (100 + PERCENT) <= (n[p] + n[q]) * (100 - PERCENT)
+                out[0].append(column["node"][lo + p[near]])
+                out[1].append(column["node"][lo + q[near]])
+    columns = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
+    return pa.table(columns, ["a", "b"])
+
+
 class _Join:
     """One join: the documents (doc_id, text), the nodes they make, and what is known about their links."""
 
@@ -326,19 +395,27 @@ class _Join:
             plan.append(band)
         return plan, common, int(total * 0.5)
 
+    def _made(self, pairs: DataFrame, make, what: str) -> DataFrame:
+        """(node, value) of the sets that occur in pairs (a, b), made from their texts again and stored."""
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        tags = materialise(self.nodes.select("node", "tag").join(asked, "node", "left_semi").select("tag"), "tags")
+        texts = self.docs.join(narrow(tags), "tag", "left_semi").select("text")
+        return materialise(texts.mapInArrow(_of_sets(make), "node long, value binary"), what)
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The similar ones of pairs (a, b) of nodes."""
+        sizes, kind = ["a", "b", "n_a", "n_b"], "a long, b long, n_a long, n_b long"
         known = self.nodes.select("node", "n", "cells")
         sized = (pairs.join(known.toDF("a", "n_a", "cells_a"), "a").join(known.toDF("b", "n_b", "cells_b"), "b")
                  .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
-                 .select("a", "b", "n_a", "n_b", "cells_a", "cells_b"))
-        near = materialise(sized.mapInArrow(_near, "a long, b long"), "pairs")
-        asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        tags = materialise(self.nodes.join(asked, "node", "left_semi").select("tag"), "tags")
-        texts = self.docs.join(narrow(tags), "tag", "left_semi").select("text")
-        sets = materialise(texts.mapInArrow(_whole, "node long, shingles binary"), "shingles")
-        # `a` may be in very many pairs, so its set is joined first, to short rows, and `b` is dealt out evenly.
-        both = (near.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b"))
+                 .select(*sizes, "cells_a", "cells_b"))
+        near = materialise(sized.mapInArrow(_near, kind), "pairs")
+        # `a` may be in very many pairs, so what belongs to it is joined first, to short rows; `b` is dealt out evenly.
+        fine = self._made(near, partial(_cells, share=FINE), "fine")
+        closer = near.join(fine.toDF("a", "f_a"), "a").join(fine.toDF("b", "f_b"), "b").select(*sizes, "f_a", "f_b")
+        near = materialise(closer.mapInArrow(_near, kind), "pairs")
+        sets = self._made(near, np.ndarray.tobytes, "shingles")
+        both = near.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
         return materialise(both.mapInArrow(_similar, "a long, b long"), "similar")
 
     def components(self) -> DataFrame:
@@ -346,28 +423,32 @@ class _Join:
         plan, common, rows = self._plan()
         sent = self.spark.sparkContext.broadcast(common)
         index = self.docs.select("text").mapInArrow(_index(plan, sent, bucket_count(self.spark, rows)), SCHEMA)
-        met = materialise(index.groupBy("bucket").applyInArrow(_meet, "run long, leader long, node long").distinct(), "met")
-        links = self._verified(met.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+        met = materialise(index.groupBy("bucket").applyInArrow(_meet, "leader long, node long").distinct(), "met")
+        links = self._verified(met.select(F.col("leader").alias("a"), F.col("node").alias("b")))
         found = components(links)
-        # Runs whose other sets are not all connected by now; the leader has been compared with each of them.
-        left, leaders = met.select("run", "node"), 16
-        while True:
-            labelled = left.join(found, "node", "left").select(
-                "run", "node", F.coalesce("component", "node").alias("component"))
-            split = labelled.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-            left = materialise(labelled.join(split.select("run"), "run", "left_semi"), "left")
-            if not left.limit(1).count():
-                return found
-            part = F.pmod(F.xxhash64("node"), F.lit(leaders))
-            chosen = materialise(left.groupBy("run", part.alias("part")).agg(F.min("node").alias("a")).join(
-                left.select("run", F.col("node").alias("a"), F.col("component").alias("of_a")), ["run", "a"])
-                .select("run", "a", "of_a"), "chosen")
-            pairs = (left.join(chosen, "run").where("component != of_a AND node != a")
-                     .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-            links = links.union(self._verified(pairs))
-            found = components(links)
-            left = left.join(chosen.select("run", F.col("a").alias("node")), ["run", "node"], "left_anti").select("run", "node")
-            leaders *= 4
+        # Two sets that share a key have the key's leader in common.  What is left are the leaders whose other
+        # sets are not all connected by now; the leader itself has been compared with each of them.
+        labelled = met.join(found, "node", "left").select(
+            "leader", "node", F.coalesce("component", "node").alias("component"))
+        split = labelled.groupBy("leader").agg(F.min("component").alias("x"), F.max("component").alias("y"),
+                                               F.count("*").alias("sets")).where("x != y")
+        left = materialise(labelled.join(split.select("leader", "sets"), "leader"), "left")
+        if not left.limit(1).count():
+            return found
+        # A set's leaders: no more than the keys it indexes, and few for sets that share most of their keys.
+        shared = left.groupBy("node").agg(F.sort_array(F.collect_list("leader")).alias("leaders"))
+        about = materialise(shared.join(self.nodes.select("node", "n", "cells"), "node"), "about")
+        parts = F.ceil(F.col("sets") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node"), parts).cast("int")
+        rows = left.select("leader", "node", "component", parts.alias("parts"), own.alias("own"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+            "leader", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+            (F.col("own") >= F.col("other")).alias("second"))
+        slots = max(4 * partitions(self.spark), -(-left.count() // 4096))
+        slot = F.pmod(F.xxhash64("leader", "i", "j"), F.lit(slots)).cast("int").alias("slot")
+        pairs = rows.select(slot, "*").join(about, "node").groupBy("slot").applyInArrow(_across, "a long, b long")
+        more = self._verified(materialise(pairs, "across"))
+        return components(links.union(more))
 
     def labelled(self) -> DataFrame:
         """(doc_id, tag, n_shingles, component): documents with equal component belong together.

@@ -17,7 +17,7 @@ from framesift.llm.common import partitions
 
 #: Rows that a bucket should hold on average, and rows that a task holds before it writes blocks.
 BUCKET_ROWS = 200_000
-HELD_ROWS = 1 << 21
+HELD_ROWS = 1 << 19
 
 SCHEMA = "bucket int, block binary"
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are looked at together.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

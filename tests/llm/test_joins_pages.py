@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from framesift.llm import embedding_dedup as emb, jaccard_join as jac, template_extract as tpl
-from framesift.llm.components import components
+from framesift.llm.components import components, local_roots
 from framesift.llm.packed import Packer, runs, unpack
 
 SF = "/root/testdata/sf0.01"
@@ -41,6 +41,38 @@ def test_components_of_odd_graphs(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_parts_of_a_graph_are_joined_up():
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        n, m = rng.integers(1, 60), rng.integers(1, 80)
+        a, b = rng.integers(0, n, m) * 7 - 50, rng.integers(0, n, m) * 7 - 50
+        groups = Groups({*a.tolist(), *b.tolist()})
+        for x, y in zip(a.tolist(), b.tolist()):
+            groups.join(x, y)
+        node, root = local_roots(a, b)
+        assert dict(zip(node.tolist(), root.tolist())) == {x: groups.find(x) for x in groups.up if groups.find(x) != x}
+
+
+def test_pairs_meet_once_with_their_first_leader():
+    """Members of several groups: each pair of different components comes out once, whatever the blocks."""
+    rng = np.random.default_rng(3)
+    leaders_of = {n: sorted(rng.choice(12, 4, replace=False).tolist()) for n in range(40)}
+    component = {n: int(rng.integers(0, 25)) for n in leaders_of}
+    cells = bytes(jac.LEAST_CELLS)
+    for parts in (1, 3):
+        rows = []
+        for n, own in leaders_of.items():
+            for r in own:
+                for other in range(parts):
+                    mine = n % parts
+                    rows.append(dict(leader=r, i=min(mine, other), j=max(mine, other), second=mine >= other, node=n,
+                                     component=component[n], n=50, cells=cells, leaders=own))
+        got = jac._across(pa.Table.from_pylist(rows)).to_pylist()
+        want = {(a, b) for a, b in itertools.combinations(leaders_of, 2)
+                if component[a] != component[b] and set(leaders_of[a]) & set(leaders_of[b])}
+        assert len(got) == len(want) and {tuple(sorted(p.values())) for p in got} == want
+
+
 def test_packed_rows_come_back():
     kind = np.dtype([("key", "<u4"), ("node", "<i8")])
     key = np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)
@@ -103,8 +135,9 @@ def near_copies(seed, n=260):
     return rows + [(n, None), (n + 1, ""), (n + 2, "\n "), (3, rows[3][1]), (None, "lone words here that nobody has")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_join_equals_comparing_all(spark, seed):
+@pytest.mark.parametrize("seed, block", [(1, 2048), (2, 3)])
+def test_join_equals_comparing_all(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(jac, "BLOCK", block)
     rows = near_copies(seed)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component string")
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jac.links(docs).collect()]
@@ -144,6 +177,20 @@ def test_similar_sets_always_share_a_key(deleted):
         assert set(found[0]) & set(found[1])
 
 
+def test_cells_never_rule_out_similar_sets():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 40, 127, 128, 700, 3000):
+        a = np.unique(rng.integers(1, 1 << 62, n, dtype=np.uint64))
+        for change in (0.0, 0.1, 0.14, 0.2, 0.6):
+            b = np.unique(np.concatenate((a[int(n * change):], rng.integers(1, 1 << 62, int(n * change), dtype=np.uint64))))
+            both = len(np.intersect1d(a, b))
+            similar = both * 100 >= 75 * (len(a) + len(b) - both)
+            for share in (jac.COARSE, jac.FINE):
+                open_ = jac._possible([jac._cells(a, share)], [jac._cells(b, share)], np.array([len(a)]), np.array([len(b)]))[0]
+                assert open_ or not similar
+            assert n < 100 or change < 0.3 or not open_
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = near_copies(3, 120)
     docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _tag long")

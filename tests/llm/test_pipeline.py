@@ -1,10 +1,13 @@
 import itertools
 import re
 
+import pytest
+
 import corpus_pipeline
 import __spark_entry__ as entry
 from framesift.llm import language_id, line_cleaning, source_mixing
 from framesift.llm.queries import ORACLES, QUERIES, byte_bpe
+from tools import compare
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +81,9 @@ def test_clean_documents_stay(spark):
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
     judged = line_cleaning.judge(docs).where("NOT base_failed AND NOT kept").collect()
     assert not good & {r.doc_id for r in judged}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    ok, note = compare.compare(spark, compare.connect(SF), SF, name)
+    assert ok, note
