@@ -351,6 +351,10 @@ def _across(found: pa.Table) -> pa.Table:
     return pa.table(columns, ["a", "b"])
 
 
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
 class _Join:
     """One join: the documents (doc_id, text), the nodes they make, and what is known about their links."""
 
@@ -395,10 +399,9 @@ class _Join:
             plan.append(band)
         return plan, common, int(total * 0.5)
 
-    def _made(self, pairs: DataFrame, make, what: str) -> DataFrame:
-        """(node, value) of the sets that occur in pairs (a, b), made from their texts again and stored."""
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        tags = materialise(self.nodes.select("node", "tag").join(asked, "node", "left_semi").select("tag"), "tags")
+    def _made(self, asked: DataFrame, make, what: str) -> DataFrame:
+        """(node, value) of the sets asked for (node), made from their texts again and stored."""
+        tags = materialise(self.nodes.select("node", "tag").join(asked.distinct(), "node", "left_semi").select("tag"), "tags")
         texts = self.docs.join(narrow(tags), "tag", "left_semi").select("text")
         return materialise(texts.mapInArrow(_of_sets(make), "node long, value binary"), what)
 
@@ -411,10 +414,13 @@ class _Join:
                  .select(*sizes, "cells_a", "cells_b"))
         near = materialise(sized.mapInArrow(_near, kind), "pairs")
         # `a` may be in very many pairs, so what belongs to it is joined first, to short rows; `b` is dealt out evenly.
-        fine = self._made(near, partial(_cells, share=FINE), "fine")
+        fine = self._made(_both(near), partial(_cells, share=FINE), "fine")
         closer = near.join(fine.toDF("a", "f_a"), "a").join(fine.toDF("b", "f_b"), "b").select(*sizes, "f_a", "f_b")
-        near = materialise(closer.mapInArrow(_near, kind), "pairs")
-        sets = self._made(near, np.ndarray.tobytes, "shingles")
+        return self._exact(materialise(closer.mapInArrow(_near, kind), "pairs"))
+
+    def _exact(self, near: DataFrame) -> DataFrame:
+        """The similar ones of stored pairs (a, b), by their sets."""
+        sets = self._made(_both(near), np.ndarray.tobytes, "shingles")
         both = near.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
         return materialise(both.mapInArrow(_similar, "a long, b long"), "similar")
 
@@ -437,7 +443,8 @@ class _Join:
             return found
         # A set's leaders: no more than the keys it indexes, and few for sets that share most of their keys.
         shared = left.groupBy("node").agg(F.sort_array(F.collect_list("leader")).alias("leaders"))
-        about = materialise(shared.join(self.nodes.select("node", "n", "cells"), "node"), "about")
+        fine = self._made(left.select("node"), partial(_cells, share=FINE), "fine").withColumnRenamed("value", "cells")
+        about = materialise(shared.join(self.nodes.select("node", "n"), "node").join(fine, "node"), "about")
         parts = F.ceil(F.col("sets") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("node"), parts).cast("int")
         rows = left.select("leader", "node", "component", parts.alias("parts"), own.alias("own"))
@@ -447,7 +454,7 @@ class _Join:
         slots = max(4 * partitions(self.spark), -(-left.count() // 4096))
         slot = F.pmod(F.xxhash64("leader", "i", "j"), F.lit(slots)).cast("int").alias("slot")
         pairs = rows.select(slot, "*").join(about, "node").groupBy("slot").applyInArrow(_across, "a long, b long")
-        more = self._verified(materialise(pairs, "across"))
+        more = self._exact(materialise(pairs, "across"))
         return components(links.union(more))
 
     def labelled(self) -> DataFrame:
