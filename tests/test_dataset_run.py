@@ -206,7 +206,7 @@ def test_all_parameters_are_compared(spark, frames, clips, tmp_path):
 def test_any_number_of_sizes_is_one_pass(spark, tmp_path):
     from framesift.plans.datasets import ChannelModel
     rng = np.random.default_rng(1)
-    sizes = [(20 + i, 16 + i % 3) for i in range(100)]
+    sizes = [(20 + 2 * i, 16 + 2 * (i % 3)) for i in range(100)]
     rows = [(i, 0, w, h, rng.integers(0, 256, w * h * 3, dtype=np.uint8).tobytes()) for i, (w, h) in enumerate(sizes)]
     many = spark.createDataFrame(rows, FRAMES)
     listed = spark.createDataFrame([(i, i, f"/v/{i}.mp4", f"c{i}", w, h, 30.0) for i, (w, h) in enumerate(sizes)], CLIPS)
@@ -234,7 +234,7 @@ def test_paths_are_written_where_spark_reads(spark, frames, clips, tmp_path, mon
     assert images.target_uri(spark, str(tmp_path)) == f"file://{tmp_path}" == images.target_uri(spark, f"file://{tmp_path}")
     home = qualified(spark, "some/folder")
     assert home.startswith("file:///") and home.endswith("/some/folder")
-    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(ValueError, match="local to each machine"):
         images.target_uri(spark, str(tmp_path))
 
