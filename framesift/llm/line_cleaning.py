@@ -89,7 +89,8 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
         F.length(t).cast("long").alias("chars"),
         F.array_join(held, "\n").alias("clean_text"))
     m = free_name(docs.columns, "_m")
-    staged = staged.select(*names, parts.alias(m))
+    # Through a generator, so that a filter on the verdict is not moved ahead and everything computed twice.
+    staged = staged.select(*names, F.explode(F.array(parts)).alias(m))
     q = F.col(m)
     failed = (q["n_words"] < MIN_WORDS) | (q["n_repeat_words"] * 100 > q["n_words"] * MAX_REPEAT_PERCENT)
     lost = (q["chars"] - F.length(q["clean_text"])) * 100 > q["chars"] * MAX_LOST_PERCENT
