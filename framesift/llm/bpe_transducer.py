@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame, types as T
 from framesift.llm.common import free_name
 
 #: Pieces whose ids are kept, per task process.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 #: States that are made, and open bytes beyond which none is made: what goes on from there is followed byte by byte.
 KEPT_STATES = 40_000
 OPEN_BYTES = 48
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 400_000
 #: Matches that are encoded together, and ids that are decoded together.
 PORTION = 1 << 16
 
