@@ -274,3 +274,32 @@ def test_language_model_without_training_text(spark):
     got = class_lm.score(docs, *class_lm.train(docs.limit(0))).first()
     assert (got.n_tokens, got.n_known, got.train_tokens) == (3, 0, 0) and got.base_score == pytest.approx(0)
     assert class_lm.train_and_score(docs.limit(0)).count() == 0
+
+
+def test_words_beyond_the_most_frequent_have_classes_by_their_use(spark):
+    rng = np.random.default_rng(5)
+    # All end alike, so that endings tell nothing; the ones with high numbers are rare.
+    pick = lambda kind: f"{kind}{int(1500 * rng.random() ** 2)}xx"
+    rows = [(i, " ".join(f"the {pick('n')} will {pick('v')}" for _ in range(20))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, table = class_lm.train(docs)
+    rare = [r.word.decode() for r in table.where("n BETWEEN 3 AND 8").collect()]
+    nouns, verbs = ([w for w in rare if w[0] == kind][:100] for kind in "nv")
+    assert len(nouns) > 50 and len(verbs) > 50 and not set(nouns + verbs) & {w.decode() for w in model.shared}
+    texts = [(i, f"the {a} will {b}" if i % 2 else f"the {b} will {a}") for i, (a, b) in
+             enumerate((a, b) for a, b in zip(nouns, verbs) for _ in range(2))]
+    asked = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in class_lm.score(asked, model, table).collect()}
+    assert np.mean([got[i + 1] > got[i] + 1 for i in range(0, len(texts), 2)]) > 0.9
+    # And in however many parts the vocabulary is sent.
+    again = {r.doc_id: r.score for r in class_lm.score(asked, *class_lm.train(docs, shared=1200)).collect()}
+    assert again == pytest.approx(got, abs=1e-9)
+
+
+def test_words_of_one_use_share_a_class_and_unseen_ones_do_not(spark):
+    rows = [(i, f"a b a c once{i}") for i in range(9)]
+    model, _ = class_lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    units = {r.unit for r in model.vocabulary.where("n = 1").collect()}
+    assert units == {len(model.unit_class) - class_lm.RULES - 2}
+    assert np.allclose((10 ** model.transition).sum(axis=1), 1)
+    assert model.unit_class[units.pop()] == len(model.transition) - class_lm.RULES - 2
