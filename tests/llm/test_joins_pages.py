@@ -304,6 +304,24 @@ def test_main_text(html, text):
     assert tpl.extract(html or "", []) == text
 
 
+@pytest.mark.parametrize("html", [
+    '<html class="no-sidebar"><body class="menu"><div class="layout with-sidebar">{}</div></body></html>',
+    '<div style="overflow:hidden">{}</div>', '<div class="overflow-hidden">{}</div>', '<div aria-hidden="false">{}</div>',
+    '<section class="category-social" data-role="search">{}</section>', '<div title="class=ad hidden">{}</div>'])
+def test_wrappers_are_no_furniture(html):
+    for body in ("<p>own</p>", "<article class='social'><p>own</p></article>"):
+        assert tpl.extract(html.format(body), []) == "own"
+
+
+def test_what_holds_the_article_is_no_furniture():
+    assert tpl.extract("<div class='widget'><div class=menu>m</div><main><p>own</p></main></div>", []) == "own"
+    assert tpl.extract("<div class='notice'><article><p>own</p></article></div>"
+                       "<div class=comments><article><p>first!</p></article></div>", []) == "own"
+    assert tpl.extract("<aside><article><p>teaser</p></article></aside><p>own</p>", []) == "own"
+    assert tpl.extract("<p>own</p><p HIDDEN>a</p><p style='color:red; display : none'>b</p><p aria-hidden=true>c</p>"
+                       "<div class='site-footer'>d</div><div class='x sidebar'>e</div><div id=main_nav>f</div>", []) == "own"
+
+
 def test_static_texts_of_a_host_are_template(spark):
     notice = "<div class=x1>Thank you for reading our pages</div>"
     rows = [(k, f"https://a.example/{k}", page(k, f"<div><p>own text {k} is here</p>{notice}</div>")) for k in range(40)]
