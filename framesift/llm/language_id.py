@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of n-grams of one to three characters per language come from a bounded sample of labelled rows
-(`sample_docs` rows chosen by a hash of their id, each with its whole text); tasks count their rows, Spark
+(`sample_docs` rows, equally many of each language if there are, chosen by a hash of their id, each with its
+whole text; priors count all labelled rows); tasks count their rows, Spark
 adds the counts up.  The matrix of log probabilities, languages times 65,536 buckets, goes to the executors
 as a broadcast.  A batch is scored as a sparse product: the n-grams of a text are the column numbers of
 its row, each with entry one, and their matrix rows are summed text by text, in windows of bounded size.
@@ -122,13 +123,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(np.append(counts[at], texts[lang]))], ["lang", "bucket", "n"])
 
 
+def _limits(rows: dict[str, int], sample_docs: int):
+    """Below which hash a row is learned from: languages have equal parts of the sample, or all of their rows."""
+    part, left, rest = 0.0, float(sample_docs), len(rows)
+    for n in sorted(rows.values()):
+        part = max(part, left / rest)
+        left, rest = left - min(n, left / rest), rest - 1
+    pairs = [F.lit(x) for lang, n in rows.items() for x in (lang, int((1 << 30) * min(1.0, part / n)))]
+    return F.element_at(F.create_map(*pairs), F.col("lang"))
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from about `sample_docs` of the rows of (doc_id, text, lang) whose lang and text are not null."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = labelled.count()
-    if rows > sample_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30))
-                                  < int((1 << 30) * sample_docs / rows))
+    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    if sum(rows.values()) > sample_docs:
+        labelled = labelled.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) < _limits(rows, sample_docs))
     counts = (labelled.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())  # languages x buckets at most
     lang = np.array(counts.column("lang").to_pylist(), dtype=object)
@@ -138,8 +148,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     prior = np.zeros(len(languages))
     for k, name in enumerate(languages):
         own = lang == name
-        texts = own & (bucket < 0)
-        prior[k] = n[texts].sum()
+        prior[k] = rows[name]
         own &= bucket >= 0
         full = np.full(BUCKETS, SMOOTHING)
         full[bucket[own]] += n[own]

@@ -66,7 +66,7 @@ def _covered(hashes: Column) -> Column:
 
 
 def _measured(docs: DataFrame, text: str) -> DataFrame:
-    """Adds one struct column `_q` with the measures, the verdict and the cleaned text."""
+    """Adds a struct column with the measures and the cleaned text, and two with the verdicts, named by `_added`."""
     names = [f"`{c}`" for c in docs.columns]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     w, l, h = (free_name(docs.columns, n) for n in ("_w", "_l", "_h"))
@@ -94,7 +94,12 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
     q = F.col(m)
     failed = (q["n_words"] < MIN_WORDS) | (q["n_repeat_words"] * 100 > q["n_words"] * MAX_REPEAT_PERCENT)
     lost = (q["chars"] - F.length(q["clean_text"])) * 100 > q["chars"] * MAX_LOST_PERCENT
-    return staged.select(*names, q.alias("_q"), failed.alias("_failed"), (~failed & ~lost).alias("_kept"))
+    return staged.select(*names, *[c.alias(n) for c, n in zip((q, failed, ~failed & ~lost), _added(docs))])
+
+
+def _added(docs: DataFrame) -> list[str]:
+    """Names of the measures, of `base_failed` and of `kept` beside the columns of `docs`."""
+    return [free_name(docs.columns, n) for n in ("_q", "_failed", "_kept")]
 
 
 def judge(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -111,16 +116,13 @@ def clean(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataF
 
     A length column, if there is one, follows the new text.
     """
+    measures, _, kept = _added(docs)
     columns = []
     for field in docs.schema.fields:
         if field.name == text:
-            columns.append(F.col("_q")["clean_text"].alias(text))
+            columns.append(F.col(measures)["clean_text"].alias(text))
         elif field.name == length:
-            columns.append(F.length(F.col("_q")["clean_text"]).cast(field.dataType).alias(length))
+            columns.append(F.length(F.col(measures)["clean_text"]).cast(field.dataType).alias(length))
         else:
             columns.append(F.col(f"`{field.name}`"))
-    plain = docs
-    for taken in ("_q", "_failed", "_kept"):
-        if taken in docs.columns:
-            raise ValueError(f"column {taken} is reserved")
-    return _measured(plain, text).where("_kept").select(*columns)
+    return _measured(docs, text).where(kept).select(*columns)

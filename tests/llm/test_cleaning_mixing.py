@@ -60,6 +60,11 @@ def test_lines_go_first_then_documents(spark):
     assert line_cleaning.judge(docs.limit(0)).collect() == []
 
 
+def test_clean_takes_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(5, TEXTS[5], 1, "a", True, 2)], "doc_id long, text string, _q int, _failed string, _KEPT boolean, _m int")
+    assert line_cleaning.clean(docs).collect() == docs.collect()
+
+
 @pytest.mark.parametrize("line, fails", [
     ("A plain line that ends as lines do.", False), ("ALL OF THIS IS SHOUTED", True), ("USA", False), ("", False),
     ("one### two*** three$$$ four", True), ("x | y | z", True), ("Read more", True), ("R&D is fun, they say, 5 > 4.", False),

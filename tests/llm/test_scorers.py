@@ -128,6 +128,13 @@ def test_training_sample_is_bounded_and_whole_when_small(spark):
     assert language_id.classify(pa.array(["cab", "zzz"]), model)[0] == ["a", "x"]
 
 
+def test_rare_languages_are_learned_from_a_sample(spark):
+    rows = [(i, "abc", "a") for i in range(4000)] + [(5000 + i, "xyz", "x") for i in range(8)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=100)
+    assert model.languages == ["a", "x"] and np.allclose(np.exp(model.log_prior), [4000 / 4008, 8 / 4008])
+    assert language_id.classify(pa.array(["zyx" * 5]), model)[0] == ["x"]
+
+
 # ---- quality ------------------------------------------------------------------------------------------
 
 def test_chunks_cover_every_byte():
