@@ -336,6 +336,23 @@ def test_static_texts_of_a_host_are_template(spark):
     assert tpl.main_text(df.limit(0)).count() == 0
 
 
+def test_small_hosts_have_templates_and_copies_are_no_template(spark):
+    notice = "<div class=x1>Thank you for reading our pages</div>"
+    long = " ".join(f"word{i}" for i in range(30))
+    copy = page(1, f"<div><p>own words of one page</p><p>{long}</p></div>")
+    rows = [(k, f"https://small.example/{k}", page(k, f"<div><p>own text {k} is here</p>{notice}</div>")) for k in range(5)]
+    rows += [(100 + k, f"https://copies.example/{k}", copy) for k in range(30)]
+    rows += [(130 + k, f"https://copies.example/other{k}", page(k, f"<div><p>quite another{k}</p></div>")) for k in range(2)]
+    rows += [(200 + k, f"https://long.example/{k}", page(k, f"<div><p>{long}</p><p>own{k} one{k}</p>{notice}</div>")) for k in range(30)]
+    rows += [(300 + k, f"https://one.example/{k}", page(k, "<article><p>the same few words</p></article>")) for k in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in tpl.main_text(df).collect()}
+    assert all(got[k] == f"own text {k} is here" for k in range(5))
+    assert all(got[100 + k] == f"own words of one page\n\n{long}" for k in range(30))
+    assert all(got[200 + k] == f"{long}\n\nown{k} one{k}" for k in range(30))
+    assert all(got[300 + k] == "the same few words" for k in range(30))
+
+
 def test_templates_joined_by_host_give_the_same(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     first = Counter((r.page_id, r.url, r.text, r.n_chars) for r in tpl.main_text(df).collect())
