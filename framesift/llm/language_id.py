@@ -10,7 +10,11 @@ its row, each with entry one, and their matrix rows are summed text by text, in
 Characters are lower-cased one by one, everything but letters counts as a blank, and n-grams of blanks
 alone count nothing.
 
-Defined results: a text that is null or has no letter gets `und` with score 0, and so does every text when
+The posterior tells learned languages from each other only.  So a text is in its language only if the mean log
+probability of its n-grams is not too far below that of the language's training rows (each row judged without its
+own counts): `DEVIATIONS` standard deviations, of texts and of the mean of so many n-grams.
+
+Defined results: a text that is null, has no letter or is in no learned language gets `und` with score 0, and so does every text when
 there is nothing to learn from; equal scores give the language that sorts first; a null id counts as the
 empty text for the held-out rule; repeated rows give repeated rows (and count twice in training); empty
 input gives empty output; other columns are ignored by `predict` and passed through by `keep_known`.
@@ -19,7 +23,7 @@ input gives empty output; other columns are ignored by `predict` and passed thro
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -38,6 +42,11 @@ UNKNOWN = "und"
 #: Code points that are looked at together.
 WINDOW = 1 << 18
 MIN_SCORE = 0.5
+#: Standard deviations that a text's mean log probability of an n-gram may be below that of its language, n-grams
+#: that tell as much as one independent one, and the least variance of one.
+DEVIATIONS = 6.0
+DEPENDENT = 6.0
+LEAST_VARIANCE = 1.0
 
 
 @dataclass(frozen=True)
@@ -45,6 +54,7 @@ class Model:
     languages: list[str]
     log_prior: np.ndarray
     log_prob: np.ndarray  # (BUCKETS + 1, languages); the last row, of n-grams that count nothing, is 0
+    usual: np.ndarray | None = None  # (3, languages): mean log probability of an n-gram, variance between texts and within
 
 
 @cache
@@ -145,21 +155,72 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     bucket, n = counts.column("bucket").to_numpy(), counts.column("n").to_numpy().astype(float)
     languages = sorted(set(lang))
     matrix = np.zeros((BUCKETS + 1, len(languages)))
-    prior = np.zeros(len(languages))
+    prior, totals = np.zeros(len(languages)), np.zeros(len(languages))
     for k, name in enumerate(languages):
         own = lang == name
         prior[k] = rows[name]
         own &= bucket >= 0
         full = np.full(BUCKETS, SMOOTHING)
         full[bucket[own]] += n[own]
-        matrix[:-1, k] = np.log(full) - np.log(full.sum())
-    return Model(languages, np.log(prior / prior.sum()) if len(prior) else prior, matrix)
+        totals[k] = full.sum()
+        matrix[:-1, k] = np.log(full) - np.log(totals[k])
+    model = Model(languages, np.log(prior / prior.sum()) if len(prior) else prior, matrix)
+    return replace(model, usual=_usual(labelled, model, totals)) if languages else model
+
+
+def _usual(labelled: DataFrame, model: Model, total: np.ndarray) -> np.ndarray:
+    """How probable the n-grams of the training rows are in their languages, each row's own counts taken out."""
+    sent = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        number = {lang: k for k, lang in enumerate(model.languages)}
+        out = np.zeros((4, len(number)))
+        for batch in batches:
+            lang = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
+            sums = np.zeros((3, batch.num_rows))
+            for _, starts, rows, points, buckets in _windows(batch.column(0)):
+                row = np.repeat(rows, np.diff(np.append(starts, len(points))))
+                key = np.concatenate([(row * (BUCKETS + 1) + b)[b < BUCKETS] for b in buckets])
+                key, n = np.unique(key, return_counts=True)
+                row, bucket = key // (BUCKETS + 1), key % (BUCKETS + 1)
+                k = lang[row]
+                left = np.maximum(np.exp(model.log_prob[bucket, k]) * total[k] - n, SMOOTHING)
+                value = np.log(left / total[k])
+                for i, x in enumerate((n, n * value, n * value * value)):
+                    sums[i] += np.bincount(row, x, minlength=batch.num_rows)
+            some = sums[0] > 0
+            mean = sums[1, some] / sums[0, some]
+            for i, x in enumerate((np.ones(len(mean)), mean, mean * mean, sums[2, some] / sums[0, some] - mean * mean)):
+                out[i] += np.bincount(lang[some], x, minlength=len(number))
+        yield pa.RecordBatch.from_arrays([pa.array(model.languages), *map(pa.array, out)], ["lang", "n", "m", "mm", "v"])
+    found = (labelled.select("text", "lang").mapInArrow(run, "lang string, n double, m double, mm double, v double")
+             .groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("n", "m", "mm", "v")]).collect())  # a row a language
+    usual = np.full((3, len(model.languages)), 0.0)
+    for r in found:
+        if r["n"]:
+            mean = r["m"] / r["n"]
+            usual[:, model.languages.index(r["lang"])] = mean, max(r["mm"] / r["n"] - mean * mean, 0), max(r["v"] / r["n"], LEAST_VARIANCE)
+    return usual
 
 
 def classify(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
-    """Language and posterior probability of each text of a column."""
+    """Language and posterior probability of each text of a column, among the learned languages."""
+    languages, posterior, _ = _judged(column, model)
+    return languages, posterior
+
+
+def decide(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
+    """As `classify`, but a text whose n-grams are too improbable in its language is in none."""
+    languages, posterior, usual = _judged(column, model)
+    return [lang if ok else UNKNOWN for lang, ok in zip(languages, usual)], np.where(usual, posterior, 0.0)
+
+
+def _judged(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and posterior of each text, and whether its n-grams are as probable as that language's are."""
     n, k = len(column), len(model.languages)
     score = np.zeros((n, k))
+    grams = np.zeros(n)
     letters = np.zeros(n, bool)
     if k:
         for _, starts, rows, points, buckets in _windows(column):
@@ -167,14 +228,19 @@ def classify(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
             part = np.zeros((len(rows), k))
             for bucket in buckets:
                 part += np.add.reduceat(model.log_prob[bucket], starts, axis=0)
+                grams[rows] += np.add.reduceat((bucket < BUCKETS).astype(float), starts)
             score[rows] += part
     if not k:
-        return [UNKNOWN] * n, np.zeros(n)
+        return [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool)
+    mean = score / np.maximum(grams, 1)[:, None]
     score += model.log_prior
     best = score.argmax(axis=1)
     top = score[np.arange(n), best]
     posterior = 1 / np.exp(score - top[:, None]).sum(axis=1)
-    return ([model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)], np.where(letters, posterior, 0.0))
+    middle, between, within = model.usual[:, best]
+    bound = middle - DEVIATIONS * np.sqrt(between + DEPENDENT * within / np.maximum(grams, 1))
+    return ([model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)], np.where(letters, posterior, 0.0),
+            letters & (mean[np.arange(n), best] >= bound))
 
 
 def _with_prediction(docs: DataFrame, model: Model, text: str, pred: str, score: str) -> DataFrame:
@@ -184,7 +250,7 @@ def _with_prediction(docs: DataFrame, model: Model, text: str, pred: str, score:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            languages, scores = classify(batch.column(at), shared.value)
+            languages, scores = decide(batch.column(at), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores)],
                                              [*batch.schema.names, pred, score])
     return docs.mapInArrow(run, schema)

@@ -128,6 +128,20 @@ def test_training_sample_is_bounded_and_whole_when_small(spark):
     assert language_id.classify(pa.array(["cab", "zzz"]), model)[0] == ["a", "x"]
 
 
+def test_documents_in_unlearned_languages_go(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.train(language_id.training_rows(docs))
+    russian = ("в начале недели мы поехали в деревню к бабушке и долго ждали поезда на старой станции где никого не было "
+               "кроме сторожа который рассказывал нам о том как раньше здесь шумела ярмарка ") * 3
+    chinese = "今天天气很好我们一起去公园散步看到许多人在湖边钓鱼孩子们在草地上跑来跑去老人坐在树下聊天" * 6
+    noise = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(120))
+    asked = spark.createDataFrame([(1, russian), (2, chinese), (3, noise)], "doc_id long, text string")
+    assert {(r.lang_pred, r.score) for r in language_id.predict(asked, model).collect()} == {("und", 0.0)}
+    assert language_id.keep_known(asked, model).count() == 0
+    assert language_id.keep_known(docs, model).count() >= 0.999 * docs.where("text RLIKE '[a-z]'").count()
+
+
 def test_rare_languages_are_learned_from_a_sample(spark):
     rows = [(i, "abc", "a") for i in range(4000)] + [(5000 + i, "xyz", "x") for i in range(8)]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=100)
