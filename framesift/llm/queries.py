@@ -1,4 +1,4 @@
-"""Queries over the ten operators, each over its whole table, and their SQL where SQL can say it."""
+"""Queries over the operators, each over its whole table, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framesift.llm import (bpe_transducer, class_lm, embedding_dedup, jaccard_join, language_id, line_cleaning,
-                           quality_cnn, source_mixing, template_extract, unigram_counts)
+                           quality_cnn, secret_links, source_mixing, template_extract, token_alignment, unigram_counts)
 from framesift.llm.common import table
 from framesift.session import ship_package
 
@@ -158,3 +158,21 @@ def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 def op10_template_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of every page."""
     return template_extract.main_text(table(spark, sf, "pages"))
+
+
+def aligned_tokenizers(path_a: str | None = None, path_b: str | None = None) -> token_alignment.Tokenizers:
+    """The two tokenizers of a pair of files, by default those the contract names."""
+    return token_alignment.Tokenizers(path_a or public_tokenizers.path("byte_bpe_50k.json"),
+                                      path_b or public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document."""
+    return token_alignment.links(table(spark, sf, "documents"), aligned_tokenizers())
+
+
+@_query("op13_secret_links")
+def op13_secret_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Certain secrets of every document, and weak ones whose complementary parts are near."""
+    return secret_links.digests(table(spark, sf, "documents"))
