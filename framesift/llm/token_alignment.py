@@ -40,9 +40,11 @@ from framesift.session import materialise
 
 BLANK = "▁"
 #: Bytes of text that are cut into parts together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Parts, and bytes of each, whose alignment is kept for the next batch.
 KEPT_PARTS, KEPT_BYTES = 400_000, 64
+#: Parts that are encoded together.
+TOGETHER = 1 << 15
 #: Rows that one join makes at most, as far as a single token of A allows.
 JOIN_ROWS = 1 << 22
 #: Distinct pairs that a task counts before it hands the counts on, and pairs in a row of counts.
@@ -102,6 +104,14 @@ class Tokenizers:
         found = self._b.encode([t[1:] for t in texts], num_threads=1)
         return pa.array(found, pa.large_list(pa.int64()))
 
+    @cached_property
+    def token_a(self) -> pa.Array:
+        return pa.array(self.bytes_a, pa.large_binary())
+
+    @cached_property
+    def token_b(self) -> pa.Array:
+        return pa.array(self.bytes_b, pa.large_binary())
+
     @cached_property
     def length_a(self) -> np.ndarray:
         return np.array([len(x) for x in self.bytes_a], np.int64)
@@ -149,7 +159,7 @@ def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         # The blank of B itself.
         white |= (two == 0xE2) & (one == 0x96) & (last == 0x81)
         plain[wide] = ~white
-    return np.union1d(at[plain], offsets[:-1][np.diff(offsets) > 0])
+    return np.sort(np.concatenate((at[plain], offsets[:-1][np.diff(offsets) > 0])))
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +193,8 @@ class Aligned:
 
 
 def _nothing() -> Aligned:
-    none = np.zeros(0, np.int64)
-    return Aligned(none, none, none, none, np.zeros(0, bool), pa.array([], pa.large_string()), none, none, np.zeros(1, np.int64))
+    none, small = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    return Aligned(small, small, small, none, np.zeros(0, bool), pa.array([], pa.large_string()), small, none, np.zeros(1, np.int64))
 
 
 def align(parts: list[str], by: Tokenizers) -> Aligned:
@@ -194,12 +204,8 @@ def align(parts: list[str], by: Tokenizers) -> Aligned:
     ids_b, of_b = _flat(by.encode_b(parts))
     end_a, end_b = _running(by.length_a[ids_a], of_a), _running(by.length_b[ids_b], of_b)
     n_a, n_b = np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)
-    good = np.ones(n, bool)
-    cut_a, cut_b = np.concatenate(([0], np.cumsum(n_a))), np.concatenate(([0], np.cumsum(n_b)))
-    for k, part in enumerate(parts):
-        raw = part.encode("utf-8", "replace")
-        good[k] = (b"".join([by.bytes_a[i] for i in ids_a[cut_a[k]:cut_a[k + 1]]]) == raw
-                   and b"".join([by.bytes_b[i] for i in ids_b[cut_b[k]:cut_b[k + 1]]]) == raw)
+    raw = [p.encode("utf-8", "replace") for p in parts]
+    good = _equal(by.token_a, ids_a, n_a, raw) & _equal(by.token_b, ids_b, n_b, raw)
     keep_a, keep_b = good[of_a], good[of_b]
     ids_a, of_a, end_a = ids_a[keep_a], of_a[keep_a], end_a[keep_a]
     ids_b, of_b, end_b = ids_b[keep_b], of_b[keep_b], end_b[keep_b]
@@ -223,13 +229,27 @@ def align(parts: list[str], by: Tokenizers) -> Aligned:
     pairs = _pairs(ids_a, group_a, ids_b, group_b, group_part, by.size_b)
     order = np.lexsort((pairs["pair"].to_numpy(), pairs["part"].to_numpy()))
     offsets = np.concatenate(([0], np.cumsum(np.bincount(pairs["part"].to_numpy(), minlength=n))))
-    return Aligned(n_a, n_b, n_groups, n_links, good, groups, pairs["pair"].to_numpy()[order], pairs["times"].to_numpy()[order], offsets)
+    kind = np.int32 if by.size_a * by.size_b < 1 << 31 else np.int64
+    return Aligned(n_a.astype(np.int32), n_b.astype(np.int32), n_groups.astype(np.int32), n_links, good, groups,
+                   pairs["pair"].to_numpy()[order].astype(kind), pairs["times"].to_numpy()[order], offsets)
+
+
+def _equal(tokens: pa.Array, ids: np.ndarray, sizes: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    """Whether the bytes of each part's tokens are its own."""
+    found = tokens.take(pa.array(ids))
+    _, where, body = found.buffers()
+    joined = bytes(body or b"")
+    if joined == b"".join(raw):
+        ends = np.frombuffer(where, np.int64)[np.cumsum(sizes)] if len(ids) else np.zeros(len(raw), np.int64)
+        return ends == np.cumsum([len(r) for r in raw])
+    cuts = np.frombuffer(where, np.int64)[np.concatenate(([0], np.cumsum(sizes)))]
+    return np.array([joined[a:b] == r for a, b, r in zip(cuts[:-1], cuts[1:], raw)], bool)
 
 
 def _sums(values: np.ndarray, parents: np.ndarray, n: int) -> np.ndarray:
-    total = np.zeros(n, np.int64)
-    np.add.at(total, parents, values)
-    return total
+    """The sum for each of `n` parents, whose values stand in order."""
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    return np.diff(total[np.searchsorted(parents, np.arange(n + 1))])
 
 
 def _written(by: Tokenizers, ids_a, ids_b, group_a, group_b, sizes: np.ndarray) -> pa.Array:
@@ -254,8 +274,10 @@ def _pairs(ids_a, group_a, ids_b, group_b, group_part, size_b: int) -> pa.Table:
     fan = np.bincount(right["group"].to_numpy(), minlength=len(group_part) + 1)[left["group"].to_numpy()] if len(left) else np.zeros(0, int)
     portion = np.cumsum(fan) // JOIN_ROWS
     found = []
-    for p in np.unique(portion):
+    for p in range(int(portion[-1]) + 1 if len(portion) else 0):
         a, b = np.searchsorted(portion, [p, p + 1])
+        if a == b:
+            continue
         own = left.slice(int(a), int(b - a)).join(right, "group", join_type="inner", use_threads=False)
         own = pa.table({"part": group_part[own["group"].to_numpy()], "pair": own["a"].to_numpy() * size_b + own["b"].to_numpy(),
                         "times": own["count_all"].to_numpy() * own["times_b"].to_numpy()})
@@ -281,13 +303,13 @@ class Lexicon:
 
     def look_up(self, parts: pa.Array) -> np.ndarray:
         """The row of `known` of each distinct part; valid until the next call."""
-        if len(self.known) > KEPT_PARTS or len(self.known.pairs) > 16 * KEPT_PARTS:
+        if len(self.known) > KEPT_PARTS or len(self.known.pairs) > 8 * KEPT_PARTS:
             self._clear()
         found = parts.to_pylist()
         rows = np.array([self.number.get(p, -1) for p in found], np.int64)
         new = np.flatnonzero(rows < 0)
-        for lo in range(0, len(new), 1 << 15):
-            own = new[lo:lo + (1 << 15)]
+        for lo in range(0, len(new), TOGETHER):
+            own = new[lo:lo + TOGETHER]
             texts = [found[i] for i in own]
             rows[own] = np.arange(len(own)) + len(self.known)
             for text, row in zip(texts, rows[own].tolist()):
