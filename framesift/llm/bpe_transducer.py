@@ -10,8 +10,10 @@ path to its last byte is emitted.  The table of states is bounded; where it ends
 a piece grows long (runs of one character), the open places are followed without making states, with the
 same result, so there is no longest piece.
 
-Texts are split by the vocabulary's pattern; a piece that is a token is that token.  Pieces met before come
-from a table of bounded size.
+Texts are split by the vocabulary's pattern; a piece that is a token is that token.  Where the pattern begins a piece at
+every space behind another character than white space, a batch is cut there, its parts are numbered by dictionary
+encoding, and each distinct part is split and encoded once.  Pieces and parts met before come
+from tables of bounded size.
 
 Decoding joins the tokens' bytes and runs a table-driven UTF-8 machine over the end of each portion: a
 character cut in two waits for its other bytes, anything ill-formed becomes U+FFFD.
@@ -35,15 +37,20 @@ import regex
 from pyspark.sql import DataFrame, types as T
 
 from framesift.llm.common import free_name
+from framesift.llm.text import buffers, part_starts, slices
 
 #: Pieces whose ids are kept, per task process.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 100_000
+#: Parts whose ids are kept for the next batch, and the most bytes of one.
+KEPT_PARTS, KEPT_BYTES = 150_000, 64
 #: States that are made, and open bytes beyond which none is made: what goes on from there is followed byte by byte.
 KEPT_STATES = 40_000
 OPEN_BYTES = 48
 KEPT_PAIRS = 400_000
 #: Matches that are encoded together, and ids that are decoded together.
 PORTION = 1 << 16
+#: Bytes of text that are cut into parts together.
+TOGETHER = 1 << 20
 
 #: Open places in ascending order with the tokens that lead to each; the last place is the end.
 Paths = list[tuple[int, tuple[int, ...]]]
@@ -267,23 +274,33 @@ class _Pieces(dict):
 
 
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, pattern
+    """`parts`: the pattern begins a piece at every space behind another character than white space, whatever follows."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, parts: bool = False):
+        self.ranks, self.pattern, self.parts = ranks, pattern, parts
 
     def __getstate__(self):
-        return {"ranks": self.ranks, "pattern": self.pattern}
+        return {"ranks": self.ranks, "pattern": self.pattern, "parts": self.parts}
 
     @cached_property
     def _pieces(self) -> _Pieces:
         return _Pieces(Transducer(self.ranks))
 
+    @cached_property
+    def _known(self) -> _Parts:
+        return _Parts(self)
+
     @cached_property
     def _find(self):
         return regex.compile(self.pattern)
 
     @cached_property
-    def _bytes_of(self) -> dict[int, bytes]:
-        return {i: t for t, i in self.ranks.items()}
+    def _bytes_of(self) -> pa.Array:
+        """Bytes by id."""
+        found: list[bytes | None] = [None] * (max(self.ranks.values(), default=-1) + 1)
+        for token, i in self.ranks.items():
+            found[i] = token
+        return pa.array(found, pa.large_binary())
 
     def encode_portions(self, text: str) -> Iterator[bytes]:
         """The ids of a text, portion by portion."""
@@ -298,8 +315,29 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.encode_portions(text)), "<u4")
 
+    def encode_column(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, offsets of texts in them) for runs of texts of bounded size; a null is an empty text."""
+        data, offsets = buffers(column)
+        for lo, hi in slices(offsets, TOGETHER):
+            own, where = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+            if not len(own):
+                yield np.zeros(0, np.uint32), where
+                continue
+            starts = part_starts(own, where) if self.parts else where[:-1][np.diff(where) > 0]
+            cuts = pa.py_buffer(np.append(starts, len(own)).astype(np.int64))
+            coded = pa.LargeStringArray.from_buffers(len(starts), cuts, pa.py_buffer(own.tobytes())).dictionary_encode()
+            rows = self._known.look_up(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+            flat, sizes = self._known.ids(rows)
+            total = np.concatenate(([0], np.cumsum(sizes)))
+            yield flat, total[np.searchsorted(starts, where)]
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self._bytes_of.__getitem__, ids.tolist()))
+        found = self._bytes_of.take(pa.array(ids))
+        if found.null_count:
+            raise ValueError("an id is no token")
+        _, where, body = found.buffers()
+        ends = np.frombuffer(where, np.int64)
+        return memoryview(body)[ends[0]:ends[len(found)]].tobytes() if body is not None else b""
 
     def decode_portions(self, ids: np.ndarray, portion: int = PORTION) -> Iterator[str]:
         """The text of the ids, as far as it is complete after each portion."""
@@ -309,6 +347,48 @@ class Codec:
         yield stream.close()
 
 
+class _Parts:
+    """Ids of parts, with those of the parts met lately in flat arrays."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def look_up(self, parts: pa.Array) -> np.ndarray:
+        """The row of each distinct part; valid until the next call."""
+        if len(self.offsets) > KEPT_PARTS or len(self.flat) > 16 * KEPT_PARTS:
+            self._clear()
+        found = parts.to_pylist()
+        rows = np.array([self.number.get(p, -1) for p in found], np.int64)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            ids = self.codec._pieces.__getitem__
+            split = self.codec._find.findall
+            made, first = [], len(self.offsets) - 1
+            for row, at in enumerate(new.tolist(), first):
+                part = found[at]
+                if len(part) <= KEPT_BYTES:
+                    made.append(b"".join(map(ids, split(part))))
+                    self.number[part] = row
+                else:
+                    made.append(b"".join(self.codec.encode_portions(part)))
+            rows[new] = np.arange(first, first + len(new))
+            sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(made), "<u4")))
+            self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes)))
+        return rows
+
+    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the parts at `rows`, one after another, and how many each has)."""
+        sizes = self.offsets[rows + 1] - self.offsets[rows]
+        shift = np.repeat(self.offsets[rows] - (np.cumsum(sizes) - sizes), sizes)
+        return self.flat[np.arange(len(shift)) + shift], sizes
+
+
 def _utf8_machine() -> np.ndarray:
     """Next state by state and byte.  0: between characters, 1-3: that many plain continuation bytes to come,
     4-7: after E0, ED, F0, F4, whose second byte has a narrower range, 8: ill-formed."""
@@ -360,22 +440,21 @@ def digests(docs: DataFrame, codec: Codec, text: str = "text", key: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast(codec)
     slim = docs.selectExpr(f"`{key}` AS doc_id", f"`{text}` AS text")
 
+    def decoded(ids: np.ndarray) -> str:
+        digest = hashlib.sha256()
+        for portion in shared.value.decode_portions(ids):
+            digest.update(portion.encode())
+        return digest.hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
             n, first, second = [], [], []
-            for item in batch.column(1):
-                ids_hash, text_hash, count = hashlib.sha256(), hashlib.sha256(), 0
-                stream = Utf8Stream()
-                for portion in own.encode_portions(item.as_py() or ""):
-                    ids_hash.update(portion)
-                    ids = np.frombuffer(portion, "<u4")
-                    count += len(ids)
-                    text_hash.update(stream.feed(own.decode_bytes(ids)).encode())
-                text_hash.update(stream.close().encode())
-                n.append(count)
-                first.append(ids_hash.hexdigest())
-                second.append(text_hash.hexdigest())
+            for ids, where in shared.value.encode_column(batch.column(1)):
+                for a, b in zip(where[:-1], where[1:]):
+                    own = ids[a:b]
+                    n.append(len(own))
+                    first.append(hashlib.sha256(own.astype("<u4", copy=False)).hexdigest())
+                    second.append(decoded(own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -393,12 +472,12 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                found = [shared.value.encode(x.as_py() or "") for x in part.column(at)]
-                where = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-                flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(where), pa.array(flat))
+            a = 0
+            # Runs of texts of bounded size are handed on one by one, with their ids in one buffer.
+            for flat, where in shared.value.encode_column(batch.column(at)):
+                part = batch.slice(a, len(where) - 1)
+                a += len(where) - 1
+                lists = pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), pa.array(flat.view(np.int32)))
                 columns = [c for k, c in enumerate(part.columns) if keep_text or k != at]
                 yield pa.RecordBatch.from_arrays([*columns, lists], schema.names)
     return docs.mapInArrow(run, schema)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framesift.llm import (bpe_transducer, class_lm, embedding_dedup, jaccard_join, language_id, line_cleaning,
-                           quality_cnn, secret_links, source_mixing, template_extract, token_alignment, unigram_counts)
+                           prefix_trie, quality_cnn, secret_links, source_mixing, template_extract, token_alignment, unigram_counts)
 from framesift.llm.common import table
 from framesift.session import ship_package
 
@@ -126,7 +126,7 @@ def op5_quality_cnn(spark: SparkSession, sf: str) -> DataFrame:
 def byte_bpe(path: str | None = None) -> bpe_transducer.Codec:
     """The codec of a rank file, by default the one the contract names."""
     ranks = bpe_transducer.read_ranks(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe_transducer.Codec(ranks, public_tokenizers.PATTERN)
+    return bpe_transducer.Codec(ranks, public_tokenizers.PATTERN, parts=True)
 
 
 @_query("op6_bpe_transducer")
@@ -160,6 +160,46 @@ def op10_template_extract(spark: SparkSession, sf: str) -> DataFrame:
     return template_extract.main_text(table(spark, sf, "pages"))
 
 
+_CRC32 = """xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                             lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+
+@_query("op11_prefix_trie", f"""
+WITH ordered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, count(*) AS n, {_CRC32} % 9 AS h FROM ordered GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, o.pos AS d, o.role, o.text
+  FROM convs c JOIN ordered o ON o.conv_id = c.conv_id - c.conv_id % 5 AND o.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, o.pos - c.h + least(c.h, coalesce(b.n, 0)), o.role, o.text
+  FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND o.pos > c.h
+  LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 5),
+firsts AS (
+  SELECT conv_id, d, text, list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id ORDER BY d) AS p FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', []::STRUCT(r VARCHAR, t VARCHAR)[] FROM convs),
+lengths AS (SELECT conv_id, max(d) AS length FROM firsts GROUP BY conv_id),
+nodes AS (
+  SELECT p, d, min(f.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * strlen(any_value(text)) AS own,
+         string_agg(f.conv_id::VARCHAR, ',' ORDER BY f.conv_id) FILTER (WHERE d = length) AS ends
+  FROM firsts f JOIN lengths l ON f.conv_id = l.conv_id GROUP BY p, d),
+children AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+marked AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.p = c.p AND n.d = c.d),
+below AS (
+  SELECT p[1:k] AS p, k AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM marked) GROUP BY ALL)
+SELECT m.conv_id, m.d::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children,
+       b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM marked m JOIN below b ON m.p = b.p AND m.d = b.d LEFT JOIN nodes u ON m.d > 0 AND u.d = m.d - 1 AND u.p = m.p[1:m.d - 1]
+""")
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the prefix trie of rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf, "conversations"))
+
+
 def aligned_tokenizers(path_a: str | None = None, path_b: str | None = None) -> token_alignment.Tokenizers:
     """The two tokenizers of a pair of files, by default those the contract names."""
     return token_alignment.Tokenizers(path_a or public_tokenizers.path("byte_bpe_50k.json"),

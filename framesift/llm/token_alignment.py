@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from framesift.llm.text import buffers, slices
+from framesift.llm.text import buffers, part_starts, slices
 from framesift.session import materialise
 
 BLANK = "▁"
@@ -135,33 +135,6 @@ def _byte_characters() -> dict[str, int]:
     return found | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where parts begin in joined texts: at each text, and at each space behind another character than white space.
-
-    A space that ends its text stays where it is: B writes no token for nothing behind its own blank.
-    """
-    at = np.flatnonzero(data == 0x20)
-    inside = np.ones(len(data) + 1, bool)
-    inside[offsets] = False
-    at = at[inside[at] & inside[at + 1]]
-    before = data[at - 1]
-    plain = (before >= 0x21) & (before <= 0x7E)
-    wide = np.flatnonzero(before >= 0x80)
-    if len(wide):
-        one, two = data[at[wide] - 2], data[np.maximum(at[wide] - 3, 0)]
-        last = before[wide]
-        # White space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
-        white = (one == 0xC2) & ((last == 0x85) | (last == 0xA0))
-        white |= (two == 0xE1) & (one == 0x9A) & (last == 0x80)
-        white |= (two == 0xE2) & (one == 0x80) & ((last <= 0x8A) | (last == 0xA8) | (last == 0xA9) | (last == 0xAF))
-        white |= (two == 0xE2) & (one == 0x81) & (last == 0x9F)
-        white |= (two == 0xE3) & (one == 0x80) & (last == 0x80)
-        # The blank of B itself.
-        white |= (two == 0xE2) & (one == 0x96) & (last == 0x81)
-        plain[wide] = ~white
-    return np.sort(np.concatenate((at[plain], offsets[:-1][np.diff(offsets) > 0])))
-
-
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values, parent indices) of a list array."""
     return (pc.list_flatten(lists).to_numpy(zero_copy_only=False),

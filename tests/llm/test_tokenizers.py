@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -70,6 +71,23 @@ def test_states_are_shared_and_bounded(monkeypatch):
     assert len(codec._pieces) <= 11 and len(codec._pieces.transducer._states) <= 50
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab éx\u00a0\u2003\u3000\u2581\n\t日語👍'.1sS ")), max_size=40), min_size=1, max_size=5))
+def test_columns_are_encoded_like_texts(texts):
+    for codec in (CODEC, bpe.Codec(CODEC.ranks, CODEC.pattern)):
+        got = [ids[a:b].tolist() for ids, where in codec.encode_column(pa.array(texts)) for a, b in zip(where[:-1], where[1:])]
+        assert got == [REFERENCE.encode_ordinary(t) for t in texts]
+
+
+def test_columns_in_small_slices_and_tables(monkeypatch):
+    for name, value in (("TOGETHER", 100), ("KEPT_PARTS", 30), ("KEPT_PIECES", 10), ("KEPT_BYTES", 12)):
+        monkeypatch.setattr(bpe, name, value)
+    rng = random.Random(1)
+    texts = [None, ""] + [" ".join("".join(rng.choice("abcé日 ") for _ in range(rng.randint(0, 20))) for _ in range(30)) for _ in range(40)] + HARD
+    got = [ids[a:b].tolist() for ids, where in byte_bpe().encode_column(pa.array(texts)) for a, b in zip(where[:-1], where[1:])]
+    assert got == [REFERENCE.encode_ordinary(t or "") for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=40), st.integers(1, 5))
 def test_streamed_bytes_decode_like_whole_ones(raw, portion):
