@@ -32,7 +32,7 @@ from framesift.operators.motion import motion_gated
 from framesift.operators.ordering import index_bucket, running_sum
 from framesift.operators.stems import unique_stems
 from framesift.session import broadcast_if_small, exists, materialise, scratch_scope, ship_package
-from framesift.sources import images, manifest
+from framesift.sources import file_sets, images, manifest
 
 LENS = ("k00", "k11", "calib_w", "calib_h", "stretch_x", "stretch_y", "coeffs")
 TOOL = "framesift"
@@ -239,12 +239,8 @@ def _carried(spark: SparkSession, out: str, run_id: str, clips: DataFrame, cfg:
     chunks = manifest.recorded_kept(spark, f"{out}/manifest", run_id)
     kept = chunks.select("clip_id", F.explode("kept_frames").alias("frame_index")).join(
         done.select("clip_id", "stem"), "clip_id")
-    if exists(spark, f"{out}/images"):
-        root = F.regexp_extract("path", r"((?:masks(?:_train)?/)?[^/]+)$", 1)
-        listing = manifest_listing(spark, f"{out}/images").select(root.alias("path"))
-    else:
-        listing = spark.createDataFrame([], "path string")
-    intact = resume.clip_intact(done.select("clip_id", "frames_kept"), kept, listing, cfg.ext, cfg.sidecars)
+    there = file_sets.listed(spark, f"{out}/images")
+    intact = resume.clip_intact(done.select("clip_id", "frames_kept"), kept, there, cfg.ext, cfg.sidecars)
     previous = done.select("clip_id", "position", "path", "stem")
     plan = resume.resume_plan(clips.select("clip_id", "path", "stem"), previous, intact)
     return plan.filter("action = 'carried'").select("clip_id")
@@ -273,11 +269,6 @@ def _groups(frames: DataFrame, clips: DataFrame, size: int) -> DataFrame:
     return clips.join(summed.select("position", group.alias("_group")), "position")
 
 
-def manifest_listing(spark: SparkSession, path: str) -> DataFrame:
-    from framesift.sources.clips import list_files
-    return list_files(spark, path, recursive=True)
-
-
 def build_dataset(frames: DataFrame, clips: DataFrame, out: str, cfg: DatasetConfig = DatasetConfig(),
                   kept: DataFrame | None = None, run_id: str = "run") -> DataFrame:
     """Run everything and return the clip records of the dataset.

@@ -116,25 +116,51 @@ def sky_from_top(rgb: np.ndarray, gray: np.ndarray, luma_min: int, blue_bias: in
     return reached
 
 
+#: Bytes of labels that are smoothed together, so that their running counts stay in cache.
+_TILE = 1 << 18
+
+
 def trailing_mode(history: np.ndarray, window: int) -> np.ndarray:
     """Most frequent label over the last `window` rows; ties to the earliest seen.
 
     `history` is (window - 1 + n, px) int16 with -1 where there is no earlier
-    frame; the result is (n, px).
+    frame; the result is (n, px).  Counts of each label run along: one is the difference of
+    two running totals, so a frame costs the same whatever the window.
     """
-    n = history.shape[0] - window + 1
-    views = [history[j:j + n] for j in range(window)]
-    best = np.zeros(views[0].shape, dtype=np.int16)
-    best_count = np.zeros(views[0].shape, dtype=np.int16)
-    for mine in views:
-        count = np.zeros(mine.shape, dtype=np.int16)
-        for other in views:
-            count += mine == other
-        count[mine < 0] = 0
-        better = count > best_count
-        best = np.where(better, mine, best)
-        best_count = np.where(better, count, best_count)
-    return best.astype(np.uint8)
+    n, px = history.shape[0] - window + 1, history.shape[1]
+    out = np.empty((n, px), np.uint8)
+    rows = max(4 * window, 64)
+    wide = max(1, _TILE // (rows + window))
+    for a in range(0, n, rows):
+        last = min(a + rows, n)
+        for p in range(0, px, wide):
+            out[a:last, p:p + wide] = _sliding_modes(history[a:last + window - 1, p:p + wide], window)
+    return out
+
+
+def _sliding_modes(block: np.ndarray, window: int) -> np.ndarray:
+    total = block.shape[0]
+    n = total - window + 1
+    labels = np.flatnonzero(np.bincount(block.ravel() + 1, minlength=2)[1:])
+    if len(labels) == 1:
+        return np.full((n, block.shape[1]), labels[0], np.uint8)
+    at = np.arange(total, dtype=np.int32)[:, None]
+    best = np.zeros((n, block.shape[1]), np.int32)
+    found = np.zeros(best.shape, np.uint8)
+    for label in labels:
+        here = block == label
+        counts = np.cumsum(here, axis=0, dtype=np.int32)
+        score = counts[window - 1:].copy()
+        score[1:] -= counts[:n - 1]
+        # Of equal counts the label first seen in the window wins: its next place from the window's start on.
+        first = np.where(here, at, np.int32(total))
+        first = np.minimum.accumulate(first[::-1], axis=0)[::-1]
+        score *= total + 1
+        score -= first[:n]
+        better = score > best
+        found[better] = label
+        np.maximum(best, score, out=best)
+    return found
 
 
 def first_max(logits: np.ndarray) -> np.ndarray:

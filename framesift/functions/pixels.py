@@ -129,6 +129,12 @@ def mean_abs_diff(a, b, a_valid=None, b_valid=None) -> Column:
     return _mad(a, b, none if a_valid is None else a_valid, none if b_valid is None else b_valid)
 
 
+def motion_of(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The same for two columns of a batch, without masks."""
+    none = pa.array([None] * len(a), pa.binary())
+    return _mad.func(a, b, none, none)
+
+
 @F.arrow_udf(T.BinaryType())
 def nn_scale(pixels: pa.Array, width: pa.Array, height: pa.Array, to_width: pa.Array,
              to_height: pa.Array) -> pa.Array:

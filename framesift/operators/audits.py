@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from framesift import params as P
+from framesift.functions.arrays import byte_rows
 from framesift.operators.ordering import index_bucket, previous_value
 
 
@@ -143,12 +148,70 @@ def coverage_gap(kept: DataFrame, clips: DataFrame) -> DataFrame:
                         F.when(stands_out, F.col("worst_s")).alias("gap_s"))
 
 
+def part_hashes(parts: DataFrame, key: str) -> DataFrame:
+    """(key, sha256) of files that come in parts (key, part, content), in the order of their parts.
+
+    The parts of a file pass one after another and only the digest is carried along, so memory is bounded by a batch
+    of parts, and a file may be larger than any cell.
+    """
+    kind = parts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, digest, done = None, None, []
+        for batch in batches:
+            for this, content in zip(batch.column(0).to_pylist(), byte_rows(batch.column(2))):
+                if digest is None or this != name:
+                    if digest is not None:
+                        done.append((name, digest.hexdigest()))
+                    name, digest = this, hashlib.sha256()
+                digest.update(content)
+            yield _hashes(done, batch.schema.field(0).type)
+            done = []
+        if digest is not None:
+            yield _hashes([(name, digest.hexdigest())], batch.schema.field(0).type)
+    return (parts.select(key, "part", "content").repartition(key).sortWithinPartitions(key, "part")
+            .mapInArrow(run, f"`{key}` {kind}, sha256 string"))
+
+
+def _hashes(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [(), ()]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.string())], ["key", "sha256"])
+
+
+def file_hashes(files: DataFrame, key: str = "path", block: int = 4 << 20) -> DataFrame:
+    """(key, sha256) of files named by the column `key`, each read in blocks by its task; NULL if there is none."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _hashes([(name, _file_hash(name, block)) for name in batch.column(0).to_pylist()], pa.string())
+    return files.select(key).mapInArrow(run, f"`{key}` {kind}, sha256 string")
+
+
+def _file_hash(uri: str, block: int) -> str | None:
+    from pyarrow import fs as pafs
+    files, name = pafs.FileSystem.from_uri(uri)
+    if files.get_file_info(name).type != pafs.FileType.File:
+        return None
+    digest = hashlib.sha256()
+    with files.open_input_stream(name) as source:
+        while data := source.read(block):
+            digest.update(data)
+    return digest.hexdigest()
+
+
 def checksum_audit(files: DataFrame, recorded: DataFrame, key: str) -> DataFrame:
     """Hash file contents and compare with the recorded hashes.
 
+    Files come whole (key, content), in parts (key, part, content), or as names to be read (key).
     A file with no record, or a record with no file, does not match.
     """
-    hashed = files.select(key, F.sha2(F.col("content"), 256).alias("sha256"))
+    if "part" in files.columns:
+        hashed = part_hashes(files, key)
+    elif "content" in files.columns:
+        hashed = files.select(key, F.sha2(F.col("content"), 256).alias("sha256"))
+    else:
+        hashed = file_hashes(files, key)
     return hashed.join(recorded.select(key, F.col("sha256").alias("recorded")), key, "full").select(
         key, "sha256", "recorded",
         F.coalesce(F.col("sha256") == F.col("recorded"), F.lit(False)).alias("reusable"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framesift import params as P
 from framesift.functions import kernels
-from framesift.functions.arrays import binary_from_block, byte_rows
+from framesift.functions.arrays import binary_from_rows, byte_rows
 from framesift.functions.pixels import mask_and
 from framesift.operators.ordering import with_halo
 
@@ -80,7 +80,7 @@ def label_smoothing(frames: DataFrame, window: int = P.SEG_WINDOW,
     """Per-pixel mode of the labels over this frame and the ones before it.
 
     Frame numbers must be gap-free (see `audits.frame_order_gaps`).  Segments of
-    a clip run in parallel; each gets the few frames before it as lead-in.
+    a clip run in parallel; each gets the few frames before it as lead-in.  Clips may differ in size.
     """
     w = odd_window(window)
     if w == 1:
@@ -117,7 +117,7 @@ def _smooth(w: int):
             own = pa.array(~lead_in)
             out = pa.RecordBatch.from_arrays(
                 [batch.column("clip_id"), batch.column("frame_index"),
-                 binary_from_block(np.stack(done)) if done else batch.column("labels")],
+                 binary_from_rows(done) if done else batch.column("labels")],
                 names=["clip_id", "frame_index", "labels"])
             yield out.filter(own)
     return run

@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from framesift.sources.images import kept_only
 
 
-def recorded_lists(manifest_clips: DataFrame) -> DataFrame:
-    """One list per stem; of clips that share a stem the last one counts."""
-    last = F.max_by("kept_frames", "position").alias("kept_frames")
-    return manifest_clips.groupBy("stem").agg(last)
+def recorded_counts(manifest_clips: DataFrame) -> DataFrame:
+    """(stem, recorded): how many frames each stem's list has; of clips that share a stem the last one counts.
+
+    A list may come whole or in chunks, as several rows of one position.  Only its length is taken, row by row, so
+    what is aggregated is a number however long lists are.
+    """
+    length = F.when(F.col("kept_frames").isNotNull(), F.size("kept_frames").cast("long"))
+    lists = manifest_clips.select("stem", "position", length.alias("n")).groupBy("stem", "position").agg(F.sum("n").alias("n"))
+    return lists.groupBy("stem").agg(F.max_by("n", "position").alias("recorded"))
 
 
 def replay_selection(frames: DataFrame, kept: DataFrame) -> DataFrame:
@@ -44,9 +49,8 @@ def replay_missing(frames: DataFrame, kept: DataFrame) -> DataFrame:
 
 def replay_preflight(clips: DataFrame, manifest_clips: DataFrame) -> DataFrame:
     """Clips without a recorded list cannot be replayed; `problem` names them."""
-    lists = recorded_lists(manifest_clips)
-    return clips.join(lists, "stem", "left").select(
+    return clips.join(recorded_counts(manifest_clips), "stem", "left").select(
         "clip_id", "stem",
-        F.coalesce(F.size("kept_frames"), F.lit(0)).alias("recorded"),
-        F.when(F.col("kept_frames").isNull() | (F.size("kept_frames") == 0),
+        F.coalesce("recorded", F.lit(0)).cast("int").alias("recorded"),
+        F.when(F.coalesce("recorded", F.lit(0)) == 0,
                F.concat(F.lit("no kept frames recorded for clip "), F.col("stem"))).alias("problem"))

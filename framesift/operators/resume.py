@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framesift.functions.text import image_name, mask_path
 from framesift import params as P
+from framesift.functions.text import image_name, mask_path
+from framesift.sources import file_sets
 
 
 def find_previous_clip(clips: DataFrame, previous: DataFrame) -> DataFrame:
@@ -37,12 +38,12 @@ def clip_intact(records: DataFrame, kept: DataFrame, listing: DataFrame, ext: st
     image and mask exists.
 
     `records`: (clip_id, frames_kept); `kept`: (clip_id, stem, frame_index);
-    `listing`: (path).  Files are checked one by one across all tasks; only
-    counts meet per clip.
+    `listing`: what exists, as paths (path) or as a set of `file_sets`.  Bitmaps of
+    frame numbers are compared, some bytes for each stretch of a clip; only counts meet per clip.
     """
-    expected = expected_files(kept, ext, sidecars)
-    absent = (expected.join(listing.select("path"), "path", "left_anti")
-              .groupBy("clip_id").agg(F.count(F.lit(1)).alias("files_missing")))
+    files = listing if "bits" in listing.columns else file_sets.of_paths(listing)
+    names = [("", ext)] + [(P.SIDECAR_DIRS[s], f"{ext}.png") for s in sidecars]
+    absent = file_sets.missing(kept, files, names)
     listed = kept.groupBy("clip_id").agg(F.count(F.lit(1)).alias("listed"))
     return (
         records.join(listed, "clip_id", "left").join(absent, "clip_id", "left")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from framesift import params as P
-from framesift.functions.text import ascii_lower, matches_terms, parsed_once
+from framesift.functions.text import ascii_lower, matches_terms, parsed_once, terms_of
+from framesift.session import materialise
 
 _SIZE = T.StructType([T.StructField("w", T.IntegerType()), T.StructField("h", T.IntegerType())])
 
@@ -91,3 +92,50 @@ def search(index: DataFrame, query: str) -> DataFrame:
 def search_top(index: DataFrame, query: str, limit: int = P.SEARCH_LIMIT) -> DataFrame:
     """The first hits in index order."""
     return search(index, query).orderBy("path").limit(limit)
+
+
+#: Longest piece of a path that is looked up; a longer term is looked up by its pieces.
+GRAM = 3
+
+
+def _grams(text: Column, sizes: range) -> Column:
+    """The distinct pieces of a text; the empty piece is in every text."""
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[_pieces(text, n) for n in sizes]))
+
+
+def _pieces(text: Column, size: int) -> Column:
+    places = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    return F.when(F.length(text) >= size, F.transform(places, lambda i: F.substring(text, i, F.lit(size)))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def search_index(index: DataFrame) -> DataFrame:
+    """Postings of a catalogue, stored: (gram, path, hay, n) with n, how many paths have the gram.
+
+    The longest lists are those of the shortest pieces, which only terms of one or two characters look up.
+    """
+    paths = index.select("path", ascii_lower(F.col("path")).alias("hay"))
+    postings = paths.select("path", "hay", F.explode(_grams(F.col("hay"), range(1, GRAM + 1))).alias("gram"))
+    counted = materialise(postings, "postings")
+    return counted.join(counted.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram")
+
+
+def search_many(postings: DataFrame, searches: DataFrame) -> DataFrame:
+    """(search_id, path) of every hit of many searches (search_id, query) at once.
+
+    Each search goes to the shortest posting list that any piece of its terms has, and what is listed there is
+    checked against all its terms.  A piece that no path has ends a search.  No search scans the catalogue.
+    """
+    terms = searches.select("search_id", terms_of(F.col("query")).alias("terms"))
+    size = F.col("n")
+    looked_up = terms.withColumn("gram", F.explode(F.array_union(F.array(F.lit("")), F.flatten(F.transform("terms", _looked_up)))))
+    lengths = postings.select("gram", "n").distinct()
+    shortest = looked_up.join(lengths, "gram", "left").groupBy("search_id").agg(
+        F.any_value("terms").alias("terms"), F.min_by("gram", F.struct(F.coalesce(size, F.lit(0)), F.length("gram"), "gram")).alias("gram"))
+    hits = shortest.join(postings.select("gram", "path", "hay"), "gram")
+    return hits.where(F.forall("terms", lambda t: F.contains(F.col("hay"), t))).select("search_id", "path")
+
+
+def _looked_up(term: Column) -> Column:
+    """A short term itself, or the pieces of a long one."""
+    return F.when(F.length(term) <= GRAM, F.array(term)).otherwise(_pieces(term, GRAM))

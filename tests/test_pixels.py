@@ -1,6 +1,8 @@
 import struct
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,8 +106,25 @@ def test_metrics_are_sql_functions(spark):
 def test_previous_frame_is_the_one_numbered_one_less(spark):
     f = spark.createDataFrame([(0, i, bytes([i * 10])) for i in (0, 1, 3, 4, 5)],
                               "clip_id long, frame_index long, gray binary")
-    got = {r.frame_index: r.previous_gray for r in metrics.with_previous_frame(f, ["gray"], 2).collect()}
-    assert got == {0: None, 1: bytes([0]), 3: None, 4: bytes([30]), 5: bytes([40])}
+    def first_bytes(a, b):
+        return pa.array([float(x.as_py()[0] * 100 + y.as_py()[0]) for x, y in zip(a, b)], pa.float64())
+    got = {r.frame_index: r.both for r in metrics.frame_pairs(f, "gray", "both", first_bytes, 2).collect()}
+    assert got == {1: 1000.0, 4: 4030.0, 5: 5040.0}
+    gone = f.withColumn("gray", F.when(F.col("frame_index") != 3, F.col("gray")))
+    got = {r.frame_index: r.both for r in metrics.frame_pairs(gone, "gray", "both", first_bytes, 100).collect()}
+    assert got == {1: 1000.0, 5: 5040.0}
+
+
+def test_pairs_of_large_frames_hold_one_frame(spark):
+    """Frames of a megabyte: no window holds them, whatever their number in a segment."""
+    f = spark.range(60).select(F.lit(1).alias("clip_id"), F.col("id").alias("frame_index"),
+                               F.repeat(F.chr(F.col("id") % 7 + 65), 1 << 20).cast("binary").alias("gray"))
+    pairs = metrics.consecutive_motion(f)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
+    assert [round(r.motion * 255, 6) for r in pairs.orderBy("frame_index").collect()] == [6.0 if i % 7 == 0 else 1.0 for i in range(1, 60)]
+    psnr = [r.psnr_db for r in metrics.frame_pair_psnr(f).orderBy("frame_index").collect()]
+    assert psnr[0] == pytest.approx(10 * np.log10(255.0 ** 2))
 
 
 # --- resampling ---
@@ -223,6 +242,46 @@ def test_smoothing_vectors(spark, maps, window, last):
     assert masks.odd_window(4) == 5 and masks.odd_window(0) == 1
 
 
+def slow_mode(maps, i, p, window):
+    seen = [m[p] for m in maps[max(0, i - window + 1):i + 1]]
+    return max(dict.fromkeys(seen), key=lambda v: (seen.count(v), -seen.index(v)))
+
+
+@pytest.mark.parametrize("window,labels", [(3, 2), (31, 4), (31, 200), (5, 3)])
+def test_smoothing_by_brute_force(window, labels):
+    """Ties go to the label that was seen first in the window."""
+    rng = np.random.default_rng(window * labels)
+    maps = rng.integers(0, labels, (90, 9)).astype(np.int16)
+    history = np.concatenate([np.full((window - 1, 9), -1, np.int16), maps])
+    got = kernels.trailing_mode(history, window)
+    assert got.tolist() == [[slow_mode(maps, i, p, window) for p in range(9)] for i in range(90)]
+
+
+def test_smoothing_costs_the_same_for_any_window():
+    rng = np.random.default_rng(0)
+    maps = np.repeat(rng.integers(0, 5, (64, 20000)), 4, axis=0).astype(np.int16)
+
+    def seconds(window):
+        history = np.concatenate([np.full((window - 1, maps.shape[1]), -1, np.int16), maps])
+        found = []
+        for _ in range(3):
+            began = time.process_time()
+            kernels.trailing_mode(history, window)
+            found.append(time.process_time() - began)
+        return min(found)
+    seconds(5)
+    assert seconds(31) < 2.5 * seconds(5)
+
+
+def test_clips_of_different_sizes_are_smoothed_together(spark):
+    rng = np.random.default_rng(1)
+    clips = {c: rng.integers(0, 3, (12, 4 if c % 2 else 9)).tolist() for c in range(5)}
+    rows = [(c, i, bytes(m)) for c, maps in clips.items() for i, m in enumerate(maps)]
+    f = spark.createDataFrame(rows, "clip_id long, frame_index long, labels binary").coalesce(1)
+    got = {(r.clip_id, r.frame_index): list(r.labels) for r in masks.label_smoothing(f, 3).collect()}
+    assert got == {(c, i): [slow_mode(maps, i, p, 3) for p in range(len(maps[0]))] for c, maps in clips.items() for i in range(12)}
+
+
 def test_smoothing_across_segments_is_the_same(spark):
     rng = np.random.default_rng(9)
     maps = rng.integers(0, 3, (50, 6)).tolist()
