@@ -14,6 +14,7 @@ from framesift.plans.imaging import _PX, _sql_resize
 from framesift.plans.ordered import _MOTION, sharp8
 from framesift.plans.registry import query
 from framesift.session import scratch_path
+from framesift.sources import frame_source as frame_files
 from framesift.sources import images
 from framesift.sources import manifest as manifest_source
 
@@ -162,10 +163,25 @@ def frames_to_table(spark, sf):
 @query("attach_decisions", _KEPT_SQL + f"""
     SELECT clip_id, frame_index, {V.sql_hex('r')} AS red FROM rgb8 JOIN kept USING (clip_id, frame_index)""")
 def attach_decisions(spark, sf):
-    kept = images.kept_only(V.rgb8(spark, sf), _decisions(spark, sf))
+    """Frames lie in buckets; only the bitmaps of kept frames are brought to them."""
+    store = images.FrameStore.write(V.rgb8(spark, sf), scratch_path(spark, "stored"))
+    kept = store.kept(_decisions(spark, sf))
     return kept.select("clip_id", "frame_index", F.hex(pixels.channel("rgb", 0)).alias("red"))
 
 
+@query("frame_source", V.ctes("rgb8") + f"""
+    SELECT concat('clip', clip_id) AS stem, frame_index, 8 AS width, 8 AS height,
+           {V.sql_hex('flatten(list_transform(range(64), lambda i: [r[i + 1], g[i + 1], b[i + 1]]))')} AS rgb
+    FROM rgb8 WHERE clip_id IN (1, 4, 7) AND frame_index >= 3 AND frame_index < 40""")
+def frame_source(spark, sf):
+    """Frame files through the data source, which plans and opens only the clips and frames that are asked for."""
+    path = scratch_path(spark, "images")
+    images.write_images(_stem(V.rgb8(spark, sf)), path)
+    frames = frame_files.frames_from(spark, path, task_frames=16)
+    wanted = F.col("stem").isin("clip1", "clip4", "clip7") & (F.col("frame_index") >= 3) & (F.col("frame_index") < 40)
+    return frames.where(wanted).withColumn("rgb", F.hex("rgb"))
+
+
 def _manifest_parts(spark, sf):
     decided = selection.every_nth(V.metric_events(spark, sf), 5, 100.0)
     rec = records.clip_record(decided)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -19,7 +19,8 @@ from framesift import params as P
 from framesift.functions import png
 from framesift.functions.arrays import binary_from_rows, byte_rows
 from framesift.functions.text import image_name, mask_path
-from framesift.session import materialise, qualified
+from framesift.session import materialise, qualified, scratch_path
+from framesift.sources import file_sets
 
 
 # --- reading ---------------------------------------------------------------------------
@@ -245,43 +246,100 @@ def write_masks(masks: DataFrame, path: str, ext: str = "png") -> None:
 
 
 BROADCAST_LIMIT = 256 << 20
+#: Name of the column that frames are stored by besides their clip: their stretch of frame numbers.
+STORED_BY = "_stretch"
 
 
-def kept_only(frames: DataFrame, decisions: DataFrame, key: str = "clip_id",
-              limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Pixels of the kept frames, joined late so that pixels pass no ordered stage.
+class FrameStore:
+    """Frames stored in buckets of (clip, stretch of frame numbers).
 
-    Kept frames become bitmaps, one bit per frame of a clip.  While those fit
-    `limit` they are broadcast and no pixel is shuffled; beyond it the join
-    shuffles.  The clips and frames they span reach the scan as filters.
+    What is joined with them by these two is brought to the buckets; the frames stay where they are, at any size of
+    either.  A clip of any length lies in many buckets.  The files are plain Parquet; `FrameStore.open` finds the
+    buckets again in another session.
     """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int):
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
+        self._table = f"frames_{uuid.uuid5(uuid.NAMESPACE_URL, qualified(spark, path)).hex}"
+
+    @classmethod
+    def write(cls, frames: DataFrame, path: str, key: str = "clip_id", buckets: int | None = None) -> FrameStore:
+        """Each task writes the frames it holds; nothing is exchanged."""
+        spark = frames.sparkSession
+        store = cls(spark, path, key, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        spark.sql(f"DROP TABLE IF EXISTS {store._table}")
+        (frames.withColumn(STORED_BY, file_sets.stretch_of()).write.format("parquet").mode("overwrite")
+         .bucketBy(store.buckets, key, STORED_BY).option("path", path).saveAsTable(store._table))
+        note = spark.createDataFrame([(key, store.buckets)], "key string, buckets int")
+        note.coalesce(1).write.mode("overwrite").json(f"{path}/_store")
+        return store
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FrameStore:
+        note = spark.read.schema("key string, buckets int").json(f"{path}/_store").first()
+        store = cls(spark, path, note.key, note.buckets)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {store._table} ({columns}) USING parquet "
+                  f"CLUSTERED BY (`{store.key}`, `{STORED_BY}`) INTO {store.buckets} BUCKETS LOCATION '{qualified(spark, path)}'")
+        return store
+
+    def frames(self) -> DataFrame:
+        return self.spark.table(self._table).drop(STORED_BY)
+
+    def kept(self, decisions: DataFrame) -> DataFrame:
+        """The kept frames.  Their bitmaps go to the buckets."""
+        marks, span = _kept_marks(decisions, self.key)
+        rows = self.spark.table(self._table)
+        if span.size is None:
+            return self.frames().where(F.lit(False))
+        near = rows.where(_within(self.key, span))
+        # Bitmaps are what is hashed, so frames are not sorted either.
+        found = near.join(marks.select(self.key, STORED_BY, "_bits").hint("SHUFFLE_HASH"), [self.key, STORED_BY])
+        return found.where(_is_marked()).select(*self.frames().columns)
+
+
+def _kept_marks(decisions: DataFrame, key: str) -> tuple[DataFrame, Row]:
+    """Kept frames as stored bitmaps, one bit per frame of a stretch, and what they span."""
     kept = decisions.filter("keep").select(key, "frame_index")
-    place = F.col("frame_index") + 1
-    last = F.max(F.bitmap_bit_position(place))
     marks = materialise(
-        kept.groupBy(key, F.bitmap_bucket_number(place).alias("_bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"), last.alias("_end"),
-             F.min("frame_index").alias("_from"), F.max("frame_index").alias("_to"))
-        .withColumn("_bits", F.substring("_bits", F.lit(1), F.expr("int(_end div 8 + 1)"))), "kept")
+        kept.groupBy(key, file_sets.stretch_of().alias(STORED_BY))
+        .agg(file_sets.bits_of().alias("_bits"), F.min("frame_index").alias("_from"), F.max("frame_index").alias("_to")), "kept")
     span = marks.agg(
         F.sum(F.octet_length("_bits") + 64).alias("size"), F.min(key).alias("low"), F.max(key).alias("high"),
         F.min("_from").alias("first"), F.max("_to").alias("last")).first()
+    return marks, span
+
+
+def _within(key: str, span: Row) -> Column:
+    """The clips and frames that bitmaps span; this reaches the scan as filters."""
+    return F.col(key).between(span.low, span.high) & F.col("frame_index").between(span.first, span.last)
+
+
+def _is_marked() -> Column:
+    # Past the end of a cut bitmap the byte is empty and the test NULL: not kept.
+    place = f"int(frame_index % {file_sets.STRETCH})"
+    byte = f"int(conv(hex(substring(_bits, int({place} div 8) + 1, 1)), 16, 10))"
+    return F.expr(f"shiftright({byte}, {place} % 8) & 1") == 1
+
+
+def kept_only(frames: DataFrame | FrameStore, decisions: DataFrame, key: str = "clip_id",
+              limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Pixels of the kept frames, joined late so that pixels pass no ordered stage and no exchange.
+
+    Kept frames become bitmaps, one bit per frame of a clip.  Of a `FrameStore` they are brought to its buckets.  Frames that
+    are not stored are met by a broadcast of bitmaps that fit `limit`; beyond that they are stored first.
+    """
+    if isinstance(frames, FrameStore):
+        return frames.kept(decisions)
+    marks, span = _kept_marks(decisions, key)
     if span.size is None:
         return frames.filter(F.lit(False))
-    near = frames.filter(F.col(key).between(span.low, span.high)
-                         & F.col("frame_index").between(span.first, span.last))
+    near = frames.filter(_within(key, span))
     if span.size > limit:
-        return near.join(kept, [key, "frame_index"], "left_semi")
-    # Past the end of a cut bitmap the byte is empty and the test NULL: not kept.
-    byte = "int(conv(hex(substring(_bits, int(_place div 8) + 1, 1)), 16, 10))"
-    bit = F.expr(f"shiftright({byte}, int(_place % 8)) & 1")
-    return (
-        near.withColumn("_bucket", F.bitmap_bucket_number(place))
-        .withColumn("_place", F.bitmap_bit_position(place))
-        .join(F.broadcast(marks.select(key, "_bucket", "_bits")), [key, "_bucket"])
-        .filter(bit == 1)
-        .select(*frames.columns)
-    )
+        return FrameStore.write(near, scratch_path(frames.sparkSession, "stored"), key).kept(decisions)
+    return (near.withColumn(STORED_BY, file_sets.stretch_of())
+            .join(F.broadcast(marks.select(key, STORED_BY, "_bits")), [key, STORED_BY])
+            .filter(_is_marked()).select(*frames.columns))
 
 
 def frames_to_table(frames: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -172,12 +172,20 @@ def record_clips(clips: DataFrame, kept: DataFrame, path: str, run_id: str, batc
 
 
 def stage_decisions(decided: DataFrame, path: str, run_id: str, batch: int) -> None:
-    """Decisions of clips that are not finished yet, as a stream makes them."""
-    _write_batch(decided, f"{path}/staged", run_id, batch)
+    """What a stream decided in a batch, if only that it was nothing, while the batch is worked on."""
+    decided.write.mode("overwrite").parquet(f"{path}/staged/run_id={run_id}/batch={batch}")
 
 
-def staged_decisions(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/staged").filter(F.col("run_id") == run_id)
+def staged_decisions(spark: SparkSession, path: str, run_id: str, batch: int) -> DataFrame:
+    return spark.read.parquet(f"{path}/staged/run_id={run_id}/batch={batch}")
+
+
+def drop_staged(spark: SparkSession, path: str, run_id: str, before: int) -> None:
+    """Forget the batches before this one, whose work is done."""
+    for batch in _batches(spark, f"{path}/staged", run_id):
+        if batch < before:
+            folder = f"{path}/staged/run_id={run_id}/batch={batch}"
+            file_system(spark, folder).delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
 def finish_run(totals: DataFrame, path: str, run_id: str, batch: int = 0) -> None:

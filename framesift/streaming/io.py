@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from framesift.operators import records, selection
+from framesift.operators import selection
 from framesift.sources import images
 from framesift.sources import manifest
 
@@ -57,13 +58,25 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     return query
 
 
+def wait_for_rows(query: StreamingQuery, path: str, schema: str, condition: str, count: int, seconds: float = 120.0) -> None:
+    """Wait until a running query has written so many rows of a kind."""
+    spark, until = SparkSession.active(), time.time() + seconds
+    while spark.read.schema(schema).parquet(path).filter(condition).count() < count:
+        if not query.isActive:
+            query.awaitTermination()
+        if time.time() > until:
+            raise TimeoutError(f"fewer than {count} rows with {condition} after {seconds} seconds")
+        time.sleep(0.2)
+
+
 def dataset_sink(frames_of: Callable[[DataFrame], DataFrame], clips: DataFrame, out: str, run_id: str,
                  ext: str = "png") -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function that writes kept frames as they are decided.
 
-    Images come first.  Decisions are staged by batch, and a clip is recorded in the
-    batch that brings its `end` row, from all its staged decisions; a clip with a gap
-    never gets one and so is never recorded.  Every step replaces what an earlier
+    It takes decisions made with `lists`: the `end` row of a clip comes with all its kept frames, which the operator's state
+    held.  Images come first, and a clip is recorded in the batch that brings its end, from the rows of that batch
+    alone; a clip with a gap never gets one and so is never recorded.  A batch is staged while it is worked on and
+    the one before it is dropped, so the stage does not grow with the run.  Every step replaces what an earlier
     attempt at the same batch left, so a batch that runs twice counts once.
     `frames_of` fetches pixels for decisions; `clips` holds the clips' own columns,
     which the record takes over.
@@ -75,18 +88,31 @@ def dataset_sink(frames_of: Callable[[DataFrame], DataFrame], clips: DataFrame,
     def write(decided: DataFrame, batch: int) -> None:
         spark = decided.sparkSession
         manifest.stage_decisions(decided.select("clip_id", "kind", "frame_index", "keep"), table, run_id, batch)
-        mine = manifest.staged_decisions(spark, table, run_id).filter(F.col("batch") == batch)
+        manifest.drop_staged(spark, table, run_id, batch)
+        mine = manifest.staged_decisions(spark, table, run_id, batch)
         kept = mine.filter("kind = 'decision' and keep").select("clip_id", "frame_index", "keep")
         images.write_images(frames_of(kept), f"{out}/images", ext)
-        ended = mine.filter("kind = 'end'").select("clip_id")
+        ended = mine.filter("kind = 'end'").select("clip_id", F.col("frame_index").alias("frames_decoded"))
         if not ended.limit(1).count():
             return
-        whole = manifest.staged_decisions(spark, table, run_id).filter("kind = 'decision'").join(ended, "clip_id", "left_semi")
-        record = clips.join(records.clip_record(whole).select("clip_id", "frames_decoded", "frames_kept"), "clip_id")
-        manifest.record_clips(record, selection.kept_chunks(whole.select("clip_id", "frame_index", "keep")), table, run_id, batch)
+        lists = mine.filter("kind = 'kept'").select("clip_id", "frame_index", "keep")
+        counts = lists.groupBy("clip_id").agg(F.count(F.lit(1)).alias("frames_kept"))
+        record = clips.join(ended, "clip_id").join(counts, "clip_id", "left").withColumn("frames_kept", F.coalesce("frames_kept", F.lit(0)))
+        manifest.record_clips(record, selection.kept_chunks(lists), table, run_id, batch)
     return write
 
 
+def progress(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
+    """(clip_id, decoded, kept) so far, read from the state of a stopped or running query as of its last finished batch.
+
+    It is the state that decides, so the counters go on where they were when a query is started again.
+    """
+    rows = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", "counts").load(checkpoint)
+    # A state that expires has its value one level further in.
+    value = "value.value" if "ttlExpirationMs" in rows.schema["value"].dataType.names else "value"
+    return rows.select("key.clip_id", f"{value}.decoded", f"{value}.kept")
+
+
 class Progress(StreamingQueryListener):
     """Run counters of streaming queries that carry `counted` metrics."""
 

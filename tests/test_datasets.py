@@ -68,17 +68,41 @@ def test_a_clip_without_frames_is_an_error(spark, frames):
         images.require_frames(frames, clips)
 
 
-@pytest.mark.parametrize("limit", [1 << 28, 0])
-def test_kept_frames_by_bitmap_and_by_join(spark, limit):
-    indexes = [0, 1, 7, 8, 32766, 32767, 32768, 65535, 65536, 100000]
-    rows = [(s, i) for s in ("a", "b") for i in indexes]
+KEPT_INDEXES = [0, 1, 7, 8, 511, 512, 32766, 32767, 32768, 65535, 65536, 100000]
+
+
+def kept_case(spark):
+    rows = [(s, i) for s in ("a", "b") for i in KEPT_INDEXES]
     f = spark.createDataFrame(rows, "stem string, frame_index long").repartition(3)
     want = sorted(r for n, r in enumerate(rows) if n % 3 == 0)
-    d = f.withColumn("keep", F.concat("stem", "frame_index").isin([f"{s}{i}" for s, i in want]))
+    return f, f.withColumn("keep", F.concat("stem", "frame_index").isin([f"{s}{i}" for s, i in want])), want
+
+
+@pytest.mark.parametrize("limit", [1 << 28, 0])
+def test_kept_frames_by_broadcast_and_by_store(spark, limit):
+    f, d, want = kept_case(spark)
     assert sorted(tuple(r) for r in images.kept_only(f, d, "stem", limit).collect()) == want
     assert images.kept_only(f, d.withColumn("keep", F.lit(False)), "stem", limit).count() == 0
 
 
+def test_stored_frames_are_never_exchanged(spark, tmp_path):
+    f, d, want = kept_case(spark)
+    f = f.withColumn("rgb", F.lit(b"x" * 99))
+    images.FrameStore.write(f, str(tmp_path / "store"), "stem", 5)
+    for store in (images.FrameStore.open(spark, str(tmp_path / "store")), images.FrameStore.open(spark.newSession(), str(tmp_path / "store"))):
+        d = spark.createDataFrame([(*r, True) for r in want], "stem string, frame_index long, keep boolean")
+        kept = store.kept(d) if store.spark is spark else store.kept(store.spark.createDataFrame(
+            [(*r, True) for r in want], "stem string, frame_index long, keep boolean"))
+        assert kept.columns == ["stem", "frame_index", "rgb"]
+        assert sorted((r.stem, r.frame_index) for r in kept.collect()) == want
+        plan = kept._jdf.queryExecution().sparkPlan().toString() + kept._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[-1]
+        # The only exchange is that of the bitmaps.
+        assert "Bucketed: true" in final and final.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount: 5 out of 5" in final
+        assert store.frames().count() == f.count()
+        assert store.kept(d.sparkSession.createDataFrame([], d.schema) if store.spark is spark else kept.limit(0).withColumn("keep", F.lit(True))).count() == 0
+
+
 def test_frames_table_is_clustered(spark, frames, tmp_path):
     path = str(tmp_path / "table")
     images.frames_to_table(frames, path)

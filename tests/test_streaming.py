@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from framesift.operators.motion import motion_gated
@@ -106,7 +107,8 @@ def test_sink_is_idempotent_per_batch(spark, tmp_path):
                                    "clip_id long, stem string, frame_index long, width int, height int, rgb binary")
     schema = "clip_id long, kind string, frame_index long, keep boolean"
     first = spark.createDataFrame([(1, "decision", 0, True), (2, "decision", 0, False), (2, "gap", 1, None)], schema)
-    second = spark.createDataFrame([(1, "decision", 1, False), (1, "decision", 2, True), (1, "end", 3, None)], schema)
+    second = spark.createDataFrame([(1, "decision", 1, False), (1, "decision", 2, True), (1, "kept", 0, True), (1, "kept", 2, True),
+                                    (1, "end", 3, None)], schema)
     clips = spark.createDataFrame([(1, "c"), (2, "d")], "clip_id long, stem string")
     sink = stream_io.dataset_sink(lambda kept: frames.join(kept, ["clip_id", "frame_index"], "left_semi"),
                                   clips, str(tmp_path), "r")
@@ -119,6 +121,8 @@ def test_sink_is_idempotent_per_batch(spark, tmp_path):
     assert [r.kept_frames for r in M.recorded_kept(spark, str(tmp_path / "manifest"), "r").collect()] == [[0, 2]]
     names = sorted(p.name for p in (tmp_path / "images").iterdir() if p.name.endswith(".png"))
     assert names == ["c_000000.png", "c_000002.png"]
+    # What was staged is dropped with the next batch.
+    assert [p.name for p in (tmp_path / "manifest" / "staged" / "run_id=r").iterdir()] == ["batch=1"]
 
 
 def test_one_long_clip_backwards(spark, tmp_path):
@@ -146,3 +150,87 @@ def test_a_copy_of_an_early_frame_is_no_gap(spark, tmp_path):
         stream_io.run_available(O.stream_reorder(stream), out, out + "-c")
     got = sorted((r.kind, r.frame_index) for r in spark.read.parquet(out).collect())
     assert got == [("end", 3), ("frame", 0), ("frame", 1), ("frame", 2)]
+
+
+def test_killed_inside_a_batch(spark, tmp_path):
+    """The sink fails when the images of a batch are written and its record is not: the batch is done again from the same
+    state, and images and records are those of an undisturbed run."""
+    from framesift.sources import manifest as M
+    rng = random.Random(5)
+    rows = clip_rows(1, 30, rng) + clip_rows(2, 20, rng)
+    rng.shuffle(rows)
+    pixels = spark.createDataFrame([(r[0], f"c{r[0]}", r[1], 1, 1, bytes(3)) for r in rows],
+                                   "clip_id long, stem string, frame_index long, width int, height int, rgb binary")
+    clips = pixels.select("clip_id", "stem").distinct()
+    source, found = str(tmp_path / "in"), {}
+    for part in (rows[:15], rows[15:35], rows[35:] + [(c, None, None, None, None, True) for c in (1, 2)]):
+        put(spark, part, source)
+    for name, failing in (("whole", None), ("killed", 2)):
+        out = str(tmp_path / name)
+        sink = stream_io.dataset_sink(lambda kept: pixels.join(kept, ["clip_id", "frame_index"], "left_semi"), clips, out, "r")
+        states = []
+
+        def write(decided, batch):
+            states.append((batch, snapshot(spark, f"{out}-c") if batch else None))
+            if batch == failing and len([b for b, _ in states if b == batch]) == 1:
+                real = M.record_clips
+                M.record_clips = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed"))
+                try:
+                    sink(decided, batch)
+                finally:
+                    M.record_clips = real
+            else:
+                sink(decided, batch)
+        for attempt in range(2):
+            stream = stream_io.stream_frames_source(spark, source, spark.createDataFrame([], SCHEMA).schema, max_files=1)
+            with stream_io.state_partitions(spark):
+                query = (O.stream_select(stream, 0.02, 4, lists=True).writeStream.foreachBatch(write)
+                         .option("checkpointLocation", out + "-c").trigger(availableNow=True).start())
+            try:
+                query.awaitTermination()
+            except StreamingQueryException:
+                if failing is None or attempt:
+                    raise
+                assert M.recorded_clips(spark, f"{out}/manifest", "r") is None
+        again = [s for b, s in states if b == failing]
+        assert failing is None or (len(again) == 2 and again[0] == again[1])
+        found[name] = (
+            sorted((r.clip_id, r.frames_decoded, r.frames_kept) for r in M.recorded_clips(spark, f"{out}/manifest", "r").collect()),
+            sorted((r.clip_id, r.chunk, r.kept_frames) for r in M.recorded_kept(spark, f"{out}/manifest", "r").collect()),
+            sorted(p.name for p in (tmp_path / name / "images").iterdir() if p.name.endswith(".png")))
+    assert found["whole"] == found["killed"] and [r[1] for r in found["whole"][0]] == [30, 20]
+
+
+def snapshot(spark, checkpoint):
+    """What the operator's state held after the last committed batch."""
+    rows = spark.read.format("statestore").option("stateVarName", "next_emit").load(checkpoint)
+    return sorted((r.key.clip_id, r.value.value) for r in rows.collect())
+
+
+def test_late_frames_timers_and_counters(spark, tmp_path):
+    """Without a marker a silent clip ends by its timer; what comes after an end is `late`; counters outlive it all."""
+    rng = random.Random(2)
+    rows = [r for r in clip_rows(1, 9, rng)] + [r for r in clip_rows(2, 9, rng) if r[1] != 3]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def start():
+        stream = stream_io.stream_frames_source(spark, source, spark.createDataFrame([], SCHEMA).schema)
+        with stream_io.state_partitions(spark):
+            return (O.stream_every_nth(stream, 2, silent=1.5, remember=3600.0, lists=True).writeStream.format("parquet").option("path", out)
+                    .option("checkpointLocation", out + "-c").trigger(processingTime="100 milliseconds").start())
+    put(spark, rows, source)
+    query = start()
+    schema = O.DECISIONS
+    stream_io.wait_for_rows(query, out, schema, "kind in ('end', 'gap')", 2)
+    query.stop()
+    put(spark, [rows[4], (2, 3, 1.0, bytes(16), None, False)], source)
+    query = start()
+    stream_io.wait_for_rows(query, out, schema, "kind = 'late'", 2)
+    query.stop()
+    got = spark.read.parquet(out)
+    assert sorted((r.clip_id, r.kind, r.frame_index) for r in got.where("kind not in ('decision', 'kept')").collect()) == [
+        (1, "end", 9), (1, "late", 4), (2, "gap", 3), (2, "late", 3)]
+    assert sorted((r.clip_id, r.frame_index) for r in got.where("kind = 'kept'").collect()) == [(1, i) for i in (0, 2, 4, 6, 8)]
+    assert sorted(tuple(r) for r in stream_io.progress(spark, out + "-c").collect()) == [(1, 9, 5), (2, 3, 2)]
+    for name in ("next_emit", "rule", "timer"):
+        assert spark.read.format("statestore").option("stateVarName", name).load(out + "-c").count() == 0
