@@ -10,11 +10,12 @@ its row, each with entry one, and their matrix rows are summed text by text, in
 Characters are lower-cased one by one, everything but letters counts as a blank, and n-grams of blanks
 alone count nothing.
 
-The posterior tells learned languages from each other only.  So a text is in its language only if the mean log
-probability of its n-grams is not too far below that of the language's training rows (each row judged without its
-own counts): `DEVIATIONS` standard deviations, of texts and of the mean of so many n-grams.
+The posterior tells learned languages from each other only.  So `keep_known` takes a text to be in its language only if
+the mean log probability of its n-grams is not too far below that of the language's training rows (each row judged
+without its own counts): `DEVIATIONS` standard deviations, of texts and of the mean of so many n-grams.  `predict` names
+the likeliest learned language of every text with a letter.
 
-Defined results: a text that is null, has no letter or is in no learned language gets `und` with score 0, and so does every text when
+Defined results: a text that is null or has no letter gets `und` with score 0, and so does every text when
 there is nothing to learn from; equal scores give the language that sorts first; a null id counts as the
 empty text for the held-out rule; repeated rows give repeated rows (and count twice in training); empty
 input gives empty output; other columns are ignored by `predict` and passed through by `keep_known`.
@@ -243,14 +244,14 @@ def _judged(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.n
             letters & (mean[np.arange(n), best] >= bound))
 
 
-def _with_prediction(docs: DataFrame, model: Model, text: str, pred: str, score: str) -> DataFrame:
+def _with_prediction(docs: DataFrame, model: Model, text: str, pred: str, score: str, judge=classify) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            languages, scores = decide(batch.column(at), shared.value)
+            languages, scores = judge(batch.column(at), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores)],
                                              [*batch.schema.names, pred, score])
     return docs.mapInArrow(run, schema)
@@ -263,14 +264,17 @@ def training_rows(docs: DataFrame, text: str = "text", lang: str = "lang", key:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every document."""
+    """(doc_id, held_out, lang_pred, score) of every document: a learned language for every text with a letter."""
     slim = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     slim = slim.select("doc_id", (fold() == 0).alias("held_out"), "text")
     return _with_prediction(slim, model, "text", "lang_pred", "score").drop("text")
 
 
 def keep_known(docs: DataFrame, model: Model, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents in a learned language, told with at least `min_score`; columns as in `docs`."""
+    """The documents in a learned language, told with at least `min_score`; columns as in `docs`.
+
+    A text too improbable in its language is in none here, though `predict` names the likeliest one.
+    """
     pred, score = free_name(docs.columns, "_lang_pred"), free_name(docs.columns, "_lang_score")
-    found = _with_prediction(docs, model, text, pred, score)
+    found = _with_prediction(docs, model, text, pred, score, decide)
     return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= min_score)).drop(pred, score)

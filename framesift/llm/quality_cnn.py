@@ -6,7 +6,8 @@ largest response in the chunk, and a document is the mean of its chunks' maxima,
 turns into one probability.
 
 It learns on the driver, from a bounded sample: at most about `sample_docs` labelled documents of each
-class, chosen by a hash of their id, and at most `train_chunks` chunks of each, spread over the document.
+class and `sample_bytes` bytes of them, chosen by a hash of their id, each with all its chunks.  A labelled document of more
+than a hundredth of `sample_bytes` is scored like any other but not learned from.
 Scoring runs in Arrow batches on the executors; the weights are a broadcast of some hundred kilobytes.
 
 Defined results: a null or empty text is one chunk of padding and gets the score of that; without a
@@ -27,13 +28,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from framesift.llm.common import fold
 from framesift.llm.text import buffers, slices
+from framesift.session import materialise
 
 TAPS = 5
 FILTERS = 16
 CHUNK = 256
 OVERLAP = 32
 SAMPLE_DOCS = 1500
-TRAIN_CHUNKS = 8
+SAMPLE_BYTES = 32 << 20
 EPOCHS = 12
 BATCH = 64
 RATE = 0.01
@@ -153,36 +155,34 @@ def fit(chunks: np.ndarray, row: np.ndarray, label: np.ndarray, epochs: int = EP
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, train_chunks: int = TRAIN_CHUNKS) -> Network:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Network:
     """Learn from docs (doc_id, text) and labels (doc_id, label), of documents that are not held out."""
     labels = (labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).where(fold() != 0)
               .groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label")))
-    sizes = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    size = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    labels = materialise(labels.join(size, "doc_id").where(F.col("bytes") <= sample_bytes // 100)
+                         .groupBy("doc_id", "label").agg(F.sum("bytes").alias("bytes")), "labels")
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()  # a row a class
     share = F.lit(0.0)
-    for label, n in sizes.items():
-        share = F.when(F.col("label") == label, min(1.0, sample_docs / n)).otherwise(share)
+    for r in sizes:
+        share = F.when(F.col("label") == r["label"], min(1.0, sample_docs / r["n"], sample_bytes / max(r["bytes"], 1))).otherwise(share)
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     # Bounded by sample_docs for each class, so it may be broadcast.
-    chosen = labels.where(chance < share)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = labels.where(chance < share).select("doc_id", "label")
+    sample = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes // 100).join(
+        F.broadcast(chosen), "doc_id")
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             length = np.diff(offsets)
             row, first = cut(length)
-            n = np.bincount(row, minlength=len(length))
-            rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            # Evenly spread chunks: the k-th is taken where k * train_chunks / n passes a whole number.
-            many = n[row] > train_chunks
-            keep = ~many | (rank * train_chunks // n[row] != (rank - 1) * train_chunks // n[row])
-            row, first = row[keep], first[keep]
-            body = gather(data, offsets[row] + first, np.minimum(length[row] - first, CHUNK))
             for k in range(0, len(row), 2000):
-                at = pa.array(row[k:k + 2000])
+                r, f = row[k:k + 2000], first[k:k + 2000]
+                body = gather(data, offsets[r] + f, np.minimum(length[r] - f, CHUNK))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at), batch.column("label").take(at),
-                     pa.array([x.tobytes() for x in body[k:k + 2000]], pa.binary())], ["doc_id", "label", "chunk"])
+                    [batch.column("doc_id").take(pa.array(r)), batch.column("label").take(pa.array(r)),
+                     pa.array([x.tobytes() for x in body], pa.binary())], ["doc_id", "label", "chunk"])
     kind = sample.schema["doc_id"].dataType.simpleString()
     found = sample.mapInArrow(some, f"doc_id {kind}, label int, chunk binary").toPandas()
     if not len(found):

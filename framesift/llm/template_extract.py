@@ -1,7 +1,7 @@
 r"""Main text of web pages by equivalence-class template deduction.
 
 * A page is a sequence of tokens, each with the path of elements it stands in: opening tags (with the class
-  names that tell their role) and the words of texts (a long text is one token).
+  names that tell their role) and texts between tags.
 * Tokens of a host's pages that occur equally often on each page, that is with equal occurrence vectors, are
   an equivalence class.  A vector is known by its support and a 64-bit combination of (page, count) hashes,
   which tasks prepare and Spark combines, so no vector is ever held and a host may have any number of pages.
@@ -10,11 +10,13 @@ r"""Main text of web pages by equivalence-class template deduction.
   large (MIN_TOKENS tokens), and, on the page at hand, ordered (its tokens stand in the order of their mean
   places) and nested (the path of a token is part of its identity, so what stands in a valid element stands
   inside it on every page).  The valid classes of a host are its template.
-* What is left between the template's tokens are the slots.  Static texts, all of whose words are template, go, but
-  for long texts and texts in the only article of a page, which are never static;
-  of the rest, slots of menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and
-  styles go by the role of the elements around them (whole class names, `hidden`, display:none); if a page has an article or main element, only slots in
-  it stay.  Every other text stays, whole and in page order, as one block for each block element.
+* What is left between the template's tokens are the slots.  If a page has an article or main element, only texts in it are
+  looked at.  Static texts, those of the template, go, inside an article as well; long texts are never static.  That is so only where the
+  slots show that pages differ: if STATIC_PERCENT of a page's words were static, its host's pages are versions of one
+  text, and nothing of it is taken for template.
+  Of the rest, slots of menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and
+  styles go by the role of the elements around them (whole class names, `hidden`, display:none).
+  Every other text stays, whole and in page order, as one block for each block element.
 
 Defined results: null or empty html, and a page without main text, give the empty text with 0 characters;
 unclosed elements end where HTML ends them, or with the page; a null or odd url belongs to the host with the
@@ -36,19 +38,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from framesift.llm.text import mix64
-from framesift.session import materialise
+from framesift.session import broadcast_if_small, materialise
 
 SUPPORT = 90
 MIN_PAGES = 4
 MIN_TOKENS = 3
-#: A text of more words is one token.
+#: A text of more words is never static.
 LONG_TEXT = 24
+#: Share of a page's words that cannot all be static.
+STATIC_PERCENT = 75
 #: Template tokens that are sent to every task at most; beyond that pages and templates are joined by host.
 SENT_TOKENS = 1_000_000
 
 #: Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+RAW = frozenset("script style textarea title template iframe svg select".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
                    "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre "
                    "search section summary table tbody td tfoot th thead tr ul caption option".split())
@@ -155,8 +159,8 @@ def _parts(page: str, exempt: set[int]) -> Iterator[tuple[str, str, str, bool, b
                     break
         _, path, odd, named, article = stack[-1] if stack else ("", "", False, (), False)
         label, own_odd, by_name, header = _role(name, match[3][:-1])
-        # An article's own header holds its title; any other header is the site's.
-        odd = odd or own_odd or (name == "header" and not article)
+        # An article's own header holds its title, and what it says without scripts is text; any other is the site's.
+        odd = odd or own_odd or (name in ("header", "noscript") and not article)
         if (by_name or (header and not article)) and start not in exempt:
             named += (start,)
         if not odd and (name == "main" or (name == "article" and first)):
@@ -181,11 +185,9 @@ def _token(kind: str, path: str, value: str) -> int:
 _known_token = lru_cache(maxsize=200_000)(_token)
 
 
-def _text_tokens(path: str, text: str) -> list[int]:
+def _text_token(path: str, text: str) -> int:
     words = entities.unescape(text).split()
-    if len(words) > LONG_TEXT:
-        return [_token("text", path, " ".join(words))]
-    return [_known_token("word", path, w) for w in words]
+    return (_token if len(words) > LONG_TEXT else _known_token)("text", path, " ".join(words))
 
 
 def tokens(page: str) -> list[int]:
@@ -195,7 +197,7 @@ def tokens(page: str) -> list[int]:
         if kind == "open":
             out.append(_known_token("open", path, ""))
         elif kind == "text" and not value.isspace():
-            out += _text_tokens(path, value)
+            out.append(_text_token(path, value))
     return out
 
 
@@ -246,9 +248,10 @@ def templates(pages: DataFrame) -> DataFrame:
     known = seen.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"),
                                               F.sum("place").alias("place"))
     # A token on too few pages cannot be template; what stays is some hundred rows a host.
-    known = known.where(F.col("pages") >= MIN_PAGES)
+    known = materialise(known.where(F.col("pages") >= MIN_PAGES), "tokens")
     size = known.where("token = 0").select("host", F.col("pages").alias("host_pages"))
-    frequent = known.where("token != 0").join(size, "host").where(F.col("pages") * 100 >= F.col("host_pages") * SUPPORT)
+    # Frequent tokens are told where they lie, as long as the hosts are few enough to be sent.
+    frequent = known.where("token != 0").join(broadcast_if_small(size), "host").where(F.col("pages") * 100 >= F.col("host_pages") * SUPPORT)
     large = (frequent.groupBy("host", "pages", "vector")
              .agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("members"))
              .where(F.size("members") >= MIN_TOKENS))
@@ -265,35 +268,41 @@ def extract(page: str, classes: list[list[int]]) -> str:
             if kind == "open":
                 first.setdefault(_known_token("open", path, ""), len(first))
             elif kind == "text" and not value.isspace():
-                for token in _text_tokens(path, value):
-                    first.setdefault(token, len(first))
+                first.setdefault(_text_token(path, value), len(first))
         for members in classes:
             places = [first[t] for t in members if t in first]
             if places == sorted(places):
                 static.update(members)
     in_article = any(article for _, _, _, _, article in parts)
-    if sum(kind == "open" and article and path.rpartition(">")[2].partition(".")[0] in ("article", "main") and
-           not re.search(r"(?:^|>)(?:article|main)[.>]", path.rpartition(">")[0] + ">")
-           for kind, path, _, _, article in parts) == 1:
-        static = set()
+    static = _static_texts(parts, static, in_article)
     blocks: list[str] = []
     held: list[str] = []
-    for kind, path, value, odd, article in parts:
+    for at, (kind, path, value, odd, article) in enumerate(parts):
         if kind == "break":
             if held:
                 blocks.append("".join(held))
                 held = []
-        elif kind == "text" and not odd and (article or not in_article):
-            if static and not value.isspace():
-                own = _text_tokens(path, value)
-                if own and static.issuperset(own) and len(entities.unescape(value).split()) <= LONG_TEXT:
-                    continue
+        elif kind == "text" and not odd and (article or not in_article) and at not in static:
             held.append(value)
     blocks.append("".join(held))
     clean = (" ".join(entities.unescape(b).split()) for b in blocks)
     return "\n\n".join(b for b in clean if b)
 
 
+def _static_texts(parts: list[tuple], template: set[int], in_article: bool) -> set[int]:
+    """The places of texts that are template, if enough else is left."""
+    found, some, every = set(), 0, 0
+    if template:
+        for at, (kind, path, value, odd, article) in enumerate(parts):
+            if kind == "text" and not odd and (article or not in_article) and not value.isspace():
+                words = len(entities.unescape(value).split())
+                every += words
+                if words <= LONG_TEXT and _text_token(path, value) in template:
+                    found.add(at)
+                    some += words
+    return found if some * 100 < every * STATIC_PERCENT else set()
+
+
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     slim = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))

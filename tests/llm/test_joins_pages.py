@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from framesift.llm import embedding_dedup as emb, jaccard_join as jac, template_extract as tpl
 from framesift.llm.components import components, local_roots
@@ -353,6 +354,52 @@ def test_small_hosts_have_templates_and_copies_are_no_template(spark):
     assert all(got[300 + k] == "the same few words" for k in range(30))
 
 
+def follow_us(n, host, body="<p>own words of page {k}, none like them</p>"):
+    line = "<p>Follow us on our channels today</p>"
+    return [(1000 + k, f"https://{host}/{k}", page(k, f"<article><h1>Title {k}</h1>{body.format(k=k)}{line}</article>")) for k in range(n)]
+
+
+def test_the_template_decides_inside_an_article(spark, monkeypatch):
+    df = spark.createDataFrame(follow_us(12, "c.example"), "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in tpl.main_text(df).collect()}
+    assert got == {1000 + k: f"Title {k}\n\nown words of page {k}, none like them" for k in range(12)}
+    # Versions of one text: what they share is not taken for template.
+    shared = "".join(f"<p>paragraph {i} of the text that all versions have</p>" for i in range(9))
+    df = spark.createDataFrame(follow_us(12, "d.example", shared + "<p>version {k}</p>"), "page_id long, url string, html string")
+    assert all("paragraph 8 of the text" in r.text and "channels" in r.text for r in tpl.main_text(df).collect())
+
+
+def test_classes_by_whole_vectors(spark):
+    """Brute force: occurrence vectors written out, equal ones grouped."""
+    df = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [(r.host, r.html, r.key) for r in df.select(
+        tpl.host_of("url").alias("host"), "html", F.xxhash64("html").alias("key")).dropDuplicates(["host", "key"]).collect()]
+    hosts = {}
+    for host, html, _ in rows:
+        hosts.setdefault(host, []).append(Counter(tpl.tokens(html or "")))
+    want = {}
+    for host, pages in hosts.items():
+        groups = {}
+        for token in set().union(*pages):
+            vector = tuple(p[token] for p in pages)
+            support = sum(v > 0 for v in vector)
+            if support >= tpl.MIN_PAGES and support * 100 >= tpl.SUPPORT * len(pages):
+                groups.setdefault(vector, set()).add(token)
+        large = {frozenset(g) for g in groups.values() if len(g) >= tpl.MIN_TOKENS}
+        if large:
+            want[host] = large
+    slim = df.select(tpl.host_of("url").alias("host"), "html", F.xxhash64("html").alias("key"))
+    got = {r.host: {frozenset(c) for c in r.classes} for r in tpl.templates(slim).collect()}
+    assert got == want and len(want) > 3
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<article><p>Euler: <math><mi>e</mi> = 2.718</math> holds.</p></article>", "Euler: e = 2.718 holds."),
+    ("<article><object>shown instead</object><noscript><p>plain</p></noscript></article>", "shown instead\n\nplain")])
+def test_text_of_other_elements_stays(html, text):
+    assert tpl.extract(html, []) == text
+
+
 def test_templates_joined_by_host_give_the_same(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     first = Counter((r.page_id, r.url, r.text, r.n_chars) for r in tpl.main_text(df).collect())

@@ -62,6 +62,20 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_und_is_for_texts_without_letters_alone(spark):
+    """Texts in no learned language: the likeliest one in a prediction, gone from what is kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(language_id.training_rows(docs))
+    odd = ["Мы поехали в город и купили там хлеб, молоко и немного сыра для всей семьи. " * 9,
+           "今天天气很好，我们一起去公园散步，然后在湖边吃了午饭。" * 20, "zqxj wvkq xxqz jjkw qqzx " * 40, None, "", "123 -- 45"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = [r.lang_pred for r in language_id.predict(rows, model).orderBy("doc_id").collect()]
+    assert all(x in model.languages for x in got[:3]) and got[3:] == ["und"] * 3
+    assert language_id.keep_known(rows, model).count() == 0
+    lettered = docs.where("text rlike '\\\\p{L}'").select("doc_id")
+    assert language_id.predict(docs, model).join(lettered, "doc_id", "left_semi").where("lang_pred = 'und'").count() == 0
+
+
 def brute_language(text, counts, texts):
     """Plain naive Bayes over the same hashed n-grams, one n-gram at a time."""
     table = language_id._letters()
