@@ -41,7 +41,7 @@ from framesift.llm.text import buffers, part_starts, slices
 
 #: Pieces whose ids are kept, per task process.
 KEPT_PIECES = 100_000
-#: Parts whose ids are kept for the next batch, and the most bytes of one.
+#: Parts whose ids are kept, and the most characters of one.
 KEPT_PARTS, KEPT_BYTES = 150_000, 64
 #: States that are made, and open bytes beyond which none is made: what goes on from there is followed byte by byte.
 KEPT_STATES = 40_000
@@ -273,6 +273,26 @@ class _Pieces(dict):
         return found
 
 
+class _Parts(dict):
+    """Ids of parts, in the same way: the old table gives back what is asked for again."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.old.get(part)
+        if found is None:
+            found = b"".join(self.codec.encode_portions(part))
+            if len(part) > KEPT_BYTES:
+                return found
+        if len(self) >= KEPT_PARTS:
+            self.old = dict(self)
+            self.clear()
+        self[part] = found
+        return found
+
+
 class Codec:
     """`parts`: the pattern begins a piece at every space behind another character than white space, whatever follows."""
 
@@ -318,6 +338,7 @@ class Codec:
     def encode_column(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, offsets of texts in them) for runs of texts of bounded size; a null is an empty text."""
         data, offsets = buffers(column)
+        known = self._known.__getitem__
         for lo, hi in slices(offsets, TOGETHER):
             own, where = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
             if not len(own):
@@ -326,10 +347,14 @@ class Codec:
             starts = part_starts(own, where) if self.parts else where[:-1][np.diff(where) > 0]
             cuts = pa.py_buffer(np.append(starts, len(own)).astype(np.int64))
             coded = pa.LargeStringArray.from_buffers(len(starts), cuts, pa.py_buffer(own.tobytes())).dictionary_encode()
-            rows = self._known.look_up(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
-            flat, sizes = self._known.ids(rows)
+            made = [known(part) for part in coded.dictionary.to_pylist()]
+            ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made)) // 4)
+            rows = coded.indices.to_numpy(zero_copy_only=False)
+            sizes = np.diff(ends, prepend=0)[rows]
             total = np.concatenate(([0], np.cumsum(sizes)))
-            yield flat, total[np.searchsorted(starts, where)]
+            # Each part's ids lie at one place; they are copied to where the part stands.
+            at = np.arange(total[-1]) + np.repeat(ends[rows] - total[1:], sizes)
+            yield np.frombuffer(b"".join(made), "<u4")[at], total[np.searchsorted(starts, where)]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         found = self._bytes_of.take(pa.array(ids))
@@ -347,48 +372,6 @@ class Codec:
         yield stream.close()
 
 
-class _Parts:
-    """Ids of parts, with those of the parts met lately in flat arrays."""
-
-    def __init__(self, codec: Codec):
-        self.codec = codec
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def look_up(self, parts: pa.Array) -> np.ndarray:
-        """The row of each distinct part; valid until the next call."""
-        if len(self.offsets) > KEPT_PARTS or len(self.flat) > 16 * KEPT_PARTS:
-            self._clear()
-        found = parts.to_pylist()
-        rows = np.array([self.number.get(p, -1) for p in found], np.int64)
-        new = np.flatnonzero(rows < 0)
-        if len(new):
-            ids = self.codec._pieces.__getitem__
-            split = self.codec._find.findall
-            made, first = [], len(self.offsets) - 1
-            for row, at in enumerate(new.tolist(), first):
-                part = found[at]
-                if len(part) <= KEPT_BYTES:
-                    made.append(b"".join(map(ids, split(part))))
-                    self.number[part] = row
-                else:
-                    made.append(b"".join(self.codec.encode_portions(part)))
-            rows[new] = np.arange(first, first + len(new))
-            sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
-            self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(made), "<u4")))
-            self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes)))
-        return rows
-
-    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the parts at `rows`, one after another, and how many each has)."""
-        sizes = self.offsets[rows + 1] - self.offsets[rows]
-        shift = np.repeat(self.offsets[rows] - (np.cumsum(sizes) - sizes), sizes)
-        return self.flat[np.arange(len(shift)) + shift], sizes
-
-
 def _utf8_machine() -> np.ndarray:
     """Next state by state and byte.  0: between characters, 1-3: that many plain continuation bytes to come,
     4-7: after E0, ED, F0, F4, whose second byte has a narrower range, 8: ill-formed."""

@@ -12,7 +12,8 @@ r"""Near duplicates of embeddings: iterative quantisation, multi-index Hamming t
 * Where vectors meet, their whole codes rule out most by Hamming distance.  What is left is compared in
   double precision with the original vectors, in blocks of a run's members: a pair counts in the first table
   in which it meets, so it is counted once, and what leaves a block is a count and a label for each vector.
-  No pairs are written, and a run of any size is split into blocks of BLOCK vectors, without a cap.
+  No pairs are written, and a run of any size is split into blocks of BLOCK vectors, without a cap: its members are
+  handed on once, and Spark deals out the pairs of blocks.
 
 Equal vectors are one node with a weight from the start (known by a 64-bit hash of all components).
 
@@ -43,8 +44,8 @@ TARGET = 0.96
 SAMPLE_VALUES = 1_000_000
 ROUNDS = 30
 #: Bits of one rotation at most.
-ROTATION_BITS = 64
-BLOCK = 512
+ROTATION_BITS = 512
+BLOCK = 1024
 #: A longer run is compared without looking at codes first.
 PAIRED = 2048
 
@@ -89,20 +90,24 @@ def learn(sample: np.ndarray, vectors: int, threshold: float = THRESHOLD, seed:
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
     flip = flip_chance(threshold)
-    width = min(24, max(8, math.ceil(math.log2(max(vectors, 2)))))
+    width = min(30, max(8, math.ceil(math.log2(max(vectors, 2)))))
     tables = tables_for(width, flip)
     bits = width * tables
     _, axes = np.linalg.eigh(sample.T @ sample)
-    axes = axes[:, ::-1][:, :min(d, ROTATION_BITS)]
-    short = sample @ axes
+    axes = axes[:, ::-1]
+    if d > ROTATION_BITS:
+        # All axes have a part in every rotation, so that angles within one are those of whole vectors.
+        axes = axes @ np.linalg.qr(rng.standard_normal((d, d)))[0]
     parts = []
     while sum(p.shape[1] for p in parts) < bits:
-        turn, _ = np.linalg.qr(rng.standard_normal((axes.shape[1],) * 2))
+        some = axes if d <= ROTATION_BITS else axes[:, rng.permutation(d)[:ROTATION_BITS]]
+        short = sample @ some
+        turn, _ = np.linalg.qr(rng.standard_normal((some.shape[1],) * 2))
         for _ in range(ROUNDS):
             near = np.where(short @ turn > 0, 1.0, -1.0)
             left, _, right = np.linalg.svd(near.T @ short)
             turn = (left @ right).T
-        parts.append(axes @ turn)
+        parts.append(some @ turn)
     spread = math.sqrt(bits * flip * (1 - flip))
     # Bits of one rotation depend on each other, so the bound is wide; unrelated vectors differ in half of them.
     return Codes(np.concatenate(parts, axis=1), width, tables, int(min(bits * 0.42, bits * flip + 6 * spread)))
@@ -175,21 +180,16 @@ def _groups(tables: int, radius: int):
         start = np.searchsorted(own_run, own_run)
         block = (np.arange(len(at)) - start) // size
         blocks = (np.searchsorted(own_run, own_run, "right") - start - 1) // size + 1
-        # A member of block b is needed against every block of its run.
-        pick = np.repeat(np.arange(len(at)), blocks)
-        other = np.arange(len(pick)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        one, two = np.minimum(block[pick], other), np.maximum(block[pick], other)
         rows = rows[at]
         number = (int(found.column("bucket")[0].as_py()) << 32) + rows["key"].astype(np.int64)
         return pa.table({
-            "run": pa.array(number[pick], pa.int64()), "i": pa.array(one, pa.int32()), "j": pa.array(two, pa.int32()),
-            "second": pa.array(block[pick] == two), "node": pa.array(rows["node"][pick], pa.int64()),
-            "table_no": pa.array(rows["table"][pick].astype(np.int32)), "own": pa.array(rows["own"][pick] == 1),
-            "code": pa.array([c.tobytes() for c in np.ascontiguousarray(rows["code"])[pick]], pa.binary())})
+            "run": pa.array(number, pa.int64()), "block": pa.array(block, pa.int32()), "blocks": pa.array(blocks, pa.int32()),
+            "node": pa.array(rows["node"], pa.int64()), "table_no": pa.array(rows["table"].astype(np.int32)), "own": pa.array(rows["own"] == 1),
+            "code": pa.array([c.tobytes() for c in np.ascontiguousarray(rows["code"])], pa.binary())})
     return run
 
 
-GROUPS = "run long, i int, j int, second boolean, node long, table_no int, own boolean, code binary"
+GROUPS = "run long, block int, blocks int, node long, table_no int, own boolean, code binary"
 
 
 def _joined(link: np.ndarray) -> np.ndarray:
@@ -259,9 +259,14 @@ def _linked(nodes: DataFrame, threshold: float) -> DataFrame | None:
     buckets = bucket_count(spark, count * codes.tables * (1 + codes.width // 2))
     entries = nodes.select("node", "v").mapInArrow(_enter(shared, buckets), SCHEMA)
     groups = materialise(entries.groupBy("bucket").applyInArrow(_groups(codes.tables, codes.radius), GROUPS), "groups")
-    slots = max(spark.sparkContext.defaultParallelism, -(-groups.count() // 4096))
+    # A member of a block is needed against every block of its run.
+    met = groups.agg(F.sum("blocks")).first()[0] or 0
+    slots = max(spark.sparkContext.defaultParallelism, -(-met // 4096))
+    pairs = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                         (F.col("block") >= F.col("other")).alias("second"), "node", "table_no", "own", "code")
     slot = F.pmod(F.xxhash64("run", "i", "j"), F.lit(slots)).cast("int").alias("slot")
-    full = groups.select(slot, "*").join(nodes, "node")
+    full = pairs.select(slot, "*").join(nodes, "node")
     return full.groupBy("slot").applyInArrow(_compare(threshold), "node long, links long, low long")
 
 

@@ -1,7 +1,9 @@
 r"""Line-first cleaning of documents, with column functions only.
 
-Every line of a text is judged by three rules: punctuation (symbols and exclamation marks crowd the
-words, or all is upper case), navigation (items between separators) and boilerplate (stock phrases).
+Every line of a text is judged by three rules: punctuation (symbols and exclamation marks are more than a fifth of
+the characters and crowd the words, or most letters are upper case and none is lower case), navigation (two separators
+or more that stand alone between blanks, one to five words) and boilerplate (a stock phrase that is a sixth of
+the line or more).  So quotation marks, scripts without blanks or case, and a long line that mentions a stock phrase are left alone.
 Lines that fail are removed; a document that loses too much of its text, or that fails the base rules,
 is rejected.
 
@@ -19,14 +21,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from framesift.llm.common import WHITE, bind, free_name
 
-#: Separators of menus, stock phrases of page furniture (lower case, RE2 and Java syntax).
+#: Separators of menus, stock phrases of page furniture in English, French, German and Spanish (lower case,
+#: RE2 and Java syntax).
 SEPARATORS = "|»·•›"
 STOCK = ("all rights reserved|privacy policy|terms of (use|service)|cookie policy|we use cookies|accept cookies|"
          "subscribe to our|sign up for|log in to|click here|read more|enable javascript|lorem ipsum|"
-         "licensed under|share this (article|page|post)")
+         "licensed under|share this (article|page|post)|"
+         "tous droits réservés|politique de confidentialité|conditions d.utilisation|accepter les cookies|abonnez-vous|cliquez ici|lire la suite|"
+         "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|newsletter abonnieren|hier klicken|weiterlesen|"
+         "todos los derechos reservados|política de privacidad|términos de uso|aceptar cookies|suscríbete|haga clic aquí|leer más")
 MARKS = "#*$%&|<>!"
 
-STOCK_CHARS = 240
+#: A stock phrase counts if the line is at most so many times as long; marks count if the line is less than so many times as many.
+STOCK_TIMES = 6
+MARK_TIMES = 5
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -42,14 +50,17 @@ def _words(text: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line is removed.  Blanks stand for its words; stock phrases count in short lines only."""
-    crowded = bind(F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1, lambda words: (
-        ((_count(line, MARKS) >= 3) & (_count(line, MARKS) * 4 > words))
-        | ((_count(line, SEPARATORS) >= 1) & (_count(line, SEPARATORS) * 5 >= words))))
-    marked = line.rlike(f"[{MARKS}{SEPARATORS}]") & crowded
-    shouting = ~line.rlike(r"\p{Ll}") & line.rlike(r"(?s)\p{Lu}.*[ \t].*[ \t].*\p{Lu}")
-    boilerplate = (F.length(line) <= STOCK_CHARS) & F.lower(line).rlike(STOCK)
-    return shouting | marked | boilerplate
+    """Whether a line is removed.  Blanks stand for its words."""
+    def crowded(words: Column) -> Column:
+        marks = _count(line, MARKS)
+        alone = F.size(F.filter(F.split(line, " "), lambda w: w.isin(list(SEPARATORS))))
+        return (((marks >= 3) & (marks * 4 > words) & (marks * MARK_TIMES > F.length(line)))
+                | ((alone >= 2) & (alone * 5 >= words)))
+    marked = line.rlike(f"[{MARKS}{SEPARATORS}]") & bind(F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1, crowded)
+    shouting = (~line.rlike(r"\p{Ll}") & line.rlike(r"(?s)\p{Lu}.*[ \t].*[ \t].*\p{Lu}")
+                & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 2 > F.regexp_count(line, F.lit(r"\p{L}"))))
+    phrase = F.length(F.regexp_extract(F.lower(line), f"({STOCK})", 0))
+    return shouting | marked | ((phrase > 0) & (phrase * STOCK_TIMES >= F.length(line)))
 
 
 def _covered(hashes: Column) -> Column:

@@ -62,13 +62,16 @@ def op2_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return source_mixing.mix(table(spark, sf, "documents"), copy="copy")
 
 
+_WORDS = "length(x) - length(replace(x, ' ', '')) + 1"
+_N_MARKS = f"len(regexp_extract_all(x, '[{line_cleaning.MARKS}]'))"
+_N_ALONE = "len(list_filter(string_split(x, ' '), lambda w: w IN ({})))".format(", ".join(f"'{c}'" for c in line_cleaning.SEPARATORS))
+_PHRASE = f"length(regexp_extract(lower(x), '{line_cleaning.STOCK}'))"
 _LINE_FAILS = rf"""(
-  (NOT regexp_matches(x, '\p{{Ll}}') AND regexp_matches(x, '(?s)\p{{Lu}}.*[ \t].*[ \t].*\p{{Lu}}'))
-  OR (len(regexp_extract_all(x, '[{line_cleaning.MARKS}]')) >= 3
-      AND len(regexp_extract_all(x, '[{line_cleaning.MARKS}]')) * 4 > length(x) - length(replace(x, ' ', '')) + 1)
-  OR (len(regexp_extract_all(x, '[{line_cleaning.SEPARATORS}]')) >= 1
-      AND len(regexp_extract_all(x, '[{line_cleaning.SEPARATORS}]')) * 5 >= length(x) - length(replace(x, ' ', '')) + 1)
-  OR (length(x) <= {line_cleaning.STOCK_CHARS} AND regexp_matches(lower(x), '{line_cleaning.STOCK}')))"""
+  (NOT regexp_matches(x, '\p{{Ll}}') AND regexp_matches(x, '(?s)\p{{Lu}}.*[ \t].*[ \t].*\p{{Lu}}')
+      AND len(regexp_extract_all(x, '\p{{Lu}}')) * 2 > len(regexp_extract_all(x, '\p{{L}}')))
+  OR ({_N_MARKS} >= 3 AND {_N_MARKS} * 4 > {_WORDS} AND {_N_MARKS} * {line_cleaning.MARK_TIMES} > length(x))
+  OR ({_N_ALONE} >= 2 AND {_N_ALONE} * 5 >= {_WORDS})
+  OR ({_PHRASE} > 0 AND {_PHRASE} * {line_cleaning.STOCK_TIMES} >= length(x)))"""
 
 
 def _cleaning_sql(docs: str) -> str:

@@ -5,8 +5,9 @@ Each document gets a whole number of copies from the Poisson distribution with t
 id and the seed is taken as a uniform number and the distribution is inverted at it.  Documents are
 exploded by their counts and the copies are dealt over all partitions and ordered by another hash.
 
-Rates are one small row per source, from a partial aggregate; the join with them is left to Catalyst, which
-broadcasts them when they are small and splits a hot source when they are not.
+Rates are one small row per source, from a partial aggregate.  They are stored, measured, and sent to all tasks if they are
+small, as any number of sources that a person could weigh is; so only the copies are moved, once.  Beyond that the join is
+left to Catalyst, which splits a hot source.  The copies go to as many partitions as their text asks for.
 
 Defined results: a null source is a source of its own; a null or empty text counts nothing, and a source
 without any text has rate 0, so its documents go; a null id counts as the empty text for the hashes; rows
@@ -21,10 +22,13 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framesift.llm.common import free_name, partitions
+from framesift.session import broadcast_if_small, materialise
 
 SEED = 20240
 #: Without given weights a source weighs its size to this power: small sources are repeated, large ones thinned.
 TEMPERATURE = 0.7
+#: Code points of text in a partition of the result, about.
+PARTITION_CHARS = 32 << 20
 #: 52 bits of the hash are used, so the uniform number is at most 1 - 2**-52 and exact as a double.
 BITS = 52
 
@@ -52,7 +56,7 @@ def copies(rate: Column, u: Column) -> Column:
 
 
 def rates(docs: DataFrame, source: str, text: str, weights: dict[str, float] | None, temperature: float) -> DataFrame:
-    """(source, rate) for every source."""
+    """(source, size, rate) for every source."""
     sizes = (docs.groupBy(F.col(f"`{source}`").alias("source"))
              .agg(F.sum(F.coalesce(F.length(f"`{text}`"), F.lit(0))).cast("double").alias("size")))
     if weights is None:
@@ -68,7 +72,7 @@ def rates(docs: DataFrame, source: str, text: str, weights: dict[str, float] | N
     total = sizes.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
     # One row, made by an aggregate without keys: the join with it is a broadcast of that row.
     return sizes.join(F.broadcast(total)).select(
-        "source", F.when((F.col("size") > 0) & (F.col("all_weight") > 0),
+        "source", "size", F.when((F.col("size") > 0) & (F.col("all_weight") > 0),
                          F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size"))
         .otherwise(0.0).alias("rate"))
 
@@ -81,7 +85,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     """
     names = [f"`{c}`" for c in docs.columns]
     s, r, n, o = (free_name(docs.columns, x) for x in ("_source", "_rate", "_copy", "_order"))
-    found = rates(docs, source, text, weights, temperature).select(F.col("source").alias(s), F.col("rate").alias(r))
+    known = materialise(rates(docs, source, text, weights, temperature), "rates")
+    chars = known.agg(F.sum(F.col("size") * F.col("rate"))).first()[0] or 0.0
+    found = broadcast_if_small(known.select(F.col("source").alias(s), F.col("rate").alias(r)))
     joined = docs.join(found, F.col(f"`{source}`").eqNullSafe(F.col(s)), "left")
     count = copies(F.coalesce(F.col(r), F.lit(0.0)), uniform(F.col(f"`{key}`"), f"{seed}:count"))
     # Counts first, and rows without a copy go before anything is moved.
@@ -89,6 +95,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     counted = joined.select(*names, count.alias(c)).where(F.col(c) > 0)
     exploded = counted.select(*names, F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(n))
     order = F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.col(n), F.lit(seed))
-    dealt = (exploded.withColumn(o, order).repartition(partitions(docs.sparkSession), o)
+    parts = max(partitions(docs.sparkSession), math.ceil(chars / PARTITION_CHARS))
+    dealt = (exploded.withColumn(o, order).repartition(parts, o)
              .sortWithinPartitions(o))
     return dealt.select(*names, *([F.col(n).alias(copy)] if copy else []))

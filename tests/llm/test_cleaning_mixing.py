@@ -68,7 +68,10 @@ def test_clean_takes_columns_of_any_name(spark):
 @pytest.mark.parametrize("line, fails", [
     ("A plain line that ends as lines do.", False), ("ALL OF THIS IS SHOUTED", True), ("USA", False), ("", False),
     ("one### two*** three$$$ four", True), ("x | y | z", True), ("Read more", True), ("R&D is fun, they say, 5 > 4.", False),
-    ("All rights reserved.", True)])
+    ("All rights reserved.", True), ("« Oui », dit-elle.", False), ("»Ja«, sagte er.", False), ("हम NASA और ESA के साथ हैं", False),
+    ("नमस्ते! वाह! अरे!", False), ("東京·大阪へ行きました。とても楽しい旅行でした。", False), ("Accueil » Produits » Aide", True),
+    ("Alle Rechte vorbehalten.", True), ("$$$ !!! ###", True), ("We told them that the privacy policy of the firm had been changed, "
+     "and that nobody had read it before signing.", False)])
 def test_line_rules(spark, line, fails):
     df = spark.createDataFrame([(line,)], "t string")
     assert df.select(line_cleaning.line_fails(F.col("t"))).first()[0] is fails

@@ -281,6 +281,33 @@ def test_rotation_balances_bits():
     assert np.allclose(turn.T @ turn, np.eye(32), atol=1e-8)
 
 
+@pytest.mark.parametrize("d, lean", [(64, 0.0), (256, 0.0), (256, 3.0), (64, 3.0), (700, 0.0)])
+def test_pairs_at_the_threshold_meet(d, lean):
+    """Pairs at a cosine of just 0.9, also in long vectors and where all vectors lean to one side with shrinking axes."""
+    rng = np.random.default_rng(d)
+    scale = np.linspace(1, 0.1, d)
+    x = rng.standard_normal((3000, d)) * scale + lean * scale.mean() * rng.standard_normal(d)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal(x.shape) * scale
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.9 * x + np.sqrt(1 - 0.81) * side
+    codes = emb.learn(np.concatenate((x, y))[:3000], 50_000)
+    a, b = codes.of(x), codes.of(y)
+    near = np.bitwise_count(a ^ b)
+    met = (near <= 1).any(axis=1) & (near.sum(axis=1) <= codes.radius)
+    assert met.mean() >= 0.93
+
+
+def test_a_run_of_many_blocks(spark, monkeypatch):
+    """Members are handed on once; pairs of blocks are dealt out by Spark."""
+    monkeypatch.setattr(emb, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal(32) + rng.standard_normal((300, 32)) * 0.02
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {(r.n_links, r.component_id) for r in emb.near_duplicates(df).collect()} == {(299, 0)}
+
+
 # ---- pages --------------------------------------------------------------------------------------------
 
 def page(k, body, nav="Home", extra=""):
