@@ -22,7 +22,7 @@ import json
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from framesift import params as P
 from framesift.functions import geometry as G
@@ -260,28 +260,36 @@ def _remove_superseded(spark: SparkSession, out: str, run_id: str, cfg: DatasetC
 
 
 def _groups(frames: DataFrame, clips: DataFrame, size: int) -> DataFrame:
-    """Clips with the number of the group they are done in: about `size` frames each, in clip order."""
+    """Clips with the number of the group they are done in: about `size` frames each.
+
+    Groups follow the clip ids, as stored frames do, so that each reads a stretch of its own; ids that are no
+    numbers are taken in the clips' order.
+    """
+    along = "clip_id" if isinstance(clips.schema["clip_id"].dataType, T.IntegralType) else "position"
     counts = frames.groupBy("clip_id").agg(F.count(F.lit(1)).alias("_frames"))
     listed = clips.join(counts, "clip_id")
-    summed = running_sum(listed.select("position", "_frames"), [], "position", "_frames",
-                         index_bucket("position", P.SEGMENT_FRAMES), "_upto")
+    summed = running_sum(listed.select(along, "_frames"), [], along, "_frames",
+                         index_bucket(along, P.SEGMENT_FRAMES), "_upto")
     group = F.expr(f"(_upto - _frames) div {int(size)}")
-    return clips.join(summed.select("position", group.alias("_group")), "position")
+    return clips.join(summed.select(along, group.alias("_group")), along)
 
 
-def build_dataset(frames: DataFrame, clips: DataFrame, out: str, cfg: DatasetConfig = DatasetConfig(),
+def build_dataset(frames: DataFrame | images.FrameStore, clips: DataFrame, out: str, cfg: DatasetConfig = DatasetConfig(),
                   kept: DataFrame | None = None, run_id: str = "run") -> DataFrame:
     """Run everything and return the clip records of the dataset.
 
     `kept` (stem, frame_index) is what a replay keeps.  With `resume`, clips that
-    are complete under `out` are carried over and the rest are done.
+    are complete under `out` are carried over and the rest are done.  Frames of a `FrameStore` are picked in
+    their buckets.
     """
-    spark = ship_package(frames.sparkSession)
+    store = frames if isinstance(frames, images.FrameStore) else None
+    rows = store.frames() if store else frames
+    spark = ship_package(rows.sparkSession)
     with scratch_scope(spark):
-        return _build(spark, frames, clips, out, cfg, kept, run_id)
+        return _build(spark, rows, store, clips, out, cfg, kept, run_id)
 
 
-def _build(spark: SparkSession, frames: DataFrame, clips: DataFrame, out: str, cfg: DatasetConfig,
+def _build(spark: SparkSession, frames: DataFrame, store: images.FrameStore | None, clips: DataFrame, out: str, cfg: DatasetConfig,
            kept: DataFrame | None, run_id: str) -> DataFrame:
     began = time.time()
     table = f"{out}/manifest"
@@ -315,7 +323,7 @@ def _build(spark: SparkSession, frames: DataFrame, clips: DataFrame, out: str, c
         own = grouped.filter(F.col("_group") == span["_group"]).drop("_group")
         part = frames.filter(F.col("clip_id").between(span.low, span.high)).join(
             broadcast_if_small(own.select("clip_id")), "clip_id", "left_semi")
-        _do_group(part, own, kept, out, cfg, run_id, batch)
+        _do_group(part, store or part, own, kept, out, cfg, run_id, batch)
 
     listed = manifest.recorded_clips(spark, table, run_id)
     if listed is None or (not carry_on and not (listed.agg(F.sum("frames_kept")).first()[0] or 0)):
@@ -329,17 +337,17 @@ def _build(spark: SparkSession, frames: DataFrame, clips: DataFrame, out: str, c
     return listed
 
 
-def _do_group(frames: DataFrame, clips: DataFrame, kept: DataFrame | None, out: str, cfg: DatasetConfig,
-              run_id: str, batch: int) -> None:
-    """Decide, write and then record some clips."""
+def _do_group(frames: DataFrame, source: DataFrame | images.FrameStore, clips: DataFrame, kept: DataFrame | None, out: str,
+              cfg: DatasetConfig, run_id: str, batch: int) -> None:
+    """Decide, write and then record some clips; kept frames come from `source`."""
     if cfg.select == "replay":
         # No metric is consulted, so only kept frames are looked at, and only for masks.
         decisions = materialise(replayed(frames, clips, kept), "decisions")
-        judged = judge(images.kept_only(frames, decisions), clips, cfg) if cfg.sidecars else None
+        judged = judge(images.kept_only(source, decisions), clips, cfg) if cfg.sidecars else None
     else:
         judged = judge(frames, clips, cfg)
         decisions = materialise(decide(judged, cfg), "decisions")
-    images.write_images(render(images.kept_only(frames, decisions), clips, cfg), f"{out}/images", cfg.ext,
+    images.write_images(render(images.kept_only(source, decisions), clips, cfg), f"{out}/images", cfg.ext,
                         cfg.jpeg_quality)
     if cfg.sidecars:
         _write_masks(judged, decisions, clips, out, cfg)

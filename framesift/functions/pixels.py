@@ -312,16 +312,17 @@ def label_argmax(logits, classes: int) -> Column:
 @F.arrow_udf(T.BinaryType())
 def mask_and(a: pa.Array, b: pa.Array) -> pa.Array:
     """Zero wherever either mask is zero; a missing mask changes nothing."""
-    out = []
-    for x, y, p, q in zip(byte_rows(a), byte_rows(b), np.asarray(a.is_valid()),
-                          np.asarray(b.is_valid())):
-        if p and q:
-            if x.size != y.size:
-                raise ValueError(f"masks of {x.size} and {y.size} pixels cannot be combined")
-            out.append(np.where(y == 0, 0, x))
-        else:
-            out.append(x if p else y if q else None)
-    return binary_from_rows(out)
+    left, right = byte_rows(a), byte_rows(b)
+    there = list(zip(np.asarray(a.is_valid()), np.asarray(b.is_valid())))
+    shapes = [(x.size, y.size) if p and q else None for x, y, (p, q) in zip(left, right, there)]
+
+    def block(rows, sizes):
+        if sizes[0] != sizes[1]:
+            raise ValueError(f"masks of {sizes[0]} and {sizes[1]} pixels cannot be combined")
+        for part in chunks(rows, max(sizes[0], 1)):
+            yield from np.where(stacked(right, part) == 0, 0, stacked(left, part))
+    both = by_block(len(left), shapes, block)
+    return binary_from_rows([x if p and not q else y if q and not p else v for x, y, (p, q), v in zip(left, right, there, both)])
 
 
 @F.arrow_udf(T.DoubleType())

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from framesift import params as P
 from framesift.functions.text import extension, file_stem, parsed_once
+from framesift.sources import file_sets
 
 PROBE = T.StructType([
     T.StructField("streams", T.ArrayType(T.StructType([
@@ -22,13 +23,11 @@ PROBE = T.StructType([
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(path, length, modified) of the files below `path`, without their content."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(path)
-        .select("path", "length", F.col("modificationTime").alias("modified"))
-    )
+    """(path, length, modified) of the files below `path`, without their content.
+
+    Folders are listed by tasks, so the driver holds no names.
+    """
+    return file_sets.files_below(spark, path, recursive)
 
 
 def _folder(path: Column) -> Column:

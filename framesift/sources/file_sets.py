@@ -144,3 +144,52 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
         folders = found.where("kind = 'folder'").select("folder")
         if not folders.limit(1).count():
             return levels
+
+
+# --- single files, for what is listed by name --------------------------------------------------
+
+FILES = "path string, length long, modified timestamp"
+
+
+def _walk(uri: str, shown: str, recursive: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+        files, root = pafs.FileSystem.from_uri(uri)
+        stamp = pa.timestamp("us", "UTC")
+
+        def out(kind: str, rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) if rows else [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), pa.array(columns[0], pa.string()),
+                                               pa.array(columns[1], pa.int64()), pa.array(columns[2], stamp)],
+                                              ["kind", "path", "length", "modified"])
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                where = f"{root}/{folder}" if folder else root
+                own = files.get_file_info(where)
+                if own.type == pafs.FileType.File:
+                    yield out("file", [(shown, own.size, own.mtime_ns // 1000)])
+                    continue
+                found = files.get_file_info(pafs.FileSelector(where, allow_not_found=True))
+                found = [i for i in found if not i.base_name.startswith((".", "_"))]
+                below = f"{folder}/" if folder else ""
+                yield out("file", [(f"{shown}/{below}{i.base_name}", i.size, i.mtime_ns // 1000) for i in found if i.type == pafs.FileType.File])
+                if recursive:
+                    yield out("folder", [(f"{below}{i.base_name}", None, None) for i in found if i.type == pafs.FileType.Directory])
+    return run
+
+
+def files_below(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(path, length, modified) of the files in a folder, listed by tasks; hidden ones are left out."""
+    uri = qualified(spark, path)
+    # Paths as Spark shows them.
+    shown = re.sub(r"^file:/+", "file:/", uri)
+    folders = spark.createDataFrame([("",)], "path string")
+    every: DataFrame | None = None
+    while True:
+        n = max(1, min(folders.count(), spark.sparkContext.defaultParallelism * 4))
+        found = materialise(folders.repartition(n).mapInArrow(_walk(uri, shown, recursive), f"kind string, {FILES}"), "files")
+        own = found.where("kind = 'file'").drop("kind")
+        every = own if every is None else every.unionByName(own)
+        folders = found.where("kind = 'folder'").select("path")
+        if not folders.limit(1).count():
+            return every

@@ -42,6 +42,16 @@ def test_every_frame_at_half_size(spark, frames, clips, tmp_path):
     assert not (tmp_path / "cameras").exists()
 
 
+def test_stored_frames_are_picked_in_their_buckets(spark, frames, clips, tmp_path):
+    store = images.FrameStore.write(frames, str(tmp_path / "store"), buckets=3)
+    cfg = DatasetConfig(select="every-nth", nth=5, mask_sky=True)
+    for name, source in (("plain", frames), ("stored", store)):
+        build_dataset(source, clips, str(tmp_path / name), cfg)
+    for part in ("images", "images/masks"):
+        found = [{p.name: p.read_bytes() for p in (tmp_path / name / part).glob("*.png")} for name in ("plain", "stored")]
+        assert found[0] == found[1] and len(found[0]) == 6
+
+
 def test_sky_masks_and_lens(spark, frames, clips, tmp_path):
     lens = {"k00": 12.0, "k11": 12.0, "calib_w": 32, "calib_h": 24, "stretch_x": 1.0, "stretch_y": 1.0}
     with_lens = clips

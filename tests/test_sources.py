@@ -138,6 +138,22 @@ def test_intact_by_set_equals_files_one_by_one(spark):
     assert {r.clip_id: r.files_missing for r in got} == want and all(r.intact == (want[r.clip_id] == 0) for r in got)
 
 
+def test_files_are_listed_like_spark_lists_them(spark, tmp_path):
+    for name in ("a.mp4", "b c.MOV", "in/d.mkv", "in/deep/e.txt", "_hidden.mp4", ".f.mp4"):
+        os.makedirs(os.path.dirname(tmp_path / name), exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    for recursive in (False, True):
+        want = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(str(tmp_path))
+                .select("path", "length", F.col("modificationTime").alias("modified")))
+        got = file_sets.files_below(spark, str(tmp_path), recursive)
+        assert got.dtypes == want.dtypes
+
+        def rows(df):
+            return sorted((r.path, r.length, int(r.modified.timestamp())) for r in df.collect())
+        assert [(p.replace("%20", " "), n, t) for p, n, t in rows(got)] == [(p.replace("%20", " "), n, t) for p, n, t in rows(want)]
+    assert [r.path for r in file_sets.files_below(spark, str(tmp_path / "a.mp4")).collect()] == [f"file:{tmp_path}/a.mp4"]
+
+
 # --- many searches ---
 
 def test_many_searches_equal_one_by_one(spark):
