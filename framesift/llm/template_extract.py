@@ -45,6 +45,8 @@ MIN_PAGES = 4
 MIN_TOKENS = 3
 #: A text of more words is never static.
 LONG_TEXT = 24
+#: A text of no more words is remembered.
+SHORT_TEXT = 6
 #: Share of a page's words that cannot all be static.
 STATIC_PERCENT = 75
 #: Template tokens that are sent to every task at most; beyond that pages and templates are joined by host.
@@ -182,12 +184,13 @@ def _token(kind: str, path: str, value: str) -> int:
                           "little", signed=True)
 
 
-_known_token = lru_cache(maxsize=200_000)(_token)
+_known_token = lru_cache(maxsize=50_000)(_token)
 
 
 def _text_token(path: str, text: str) -> int:
     words = entities.unescape(text).split()
-    return (_token if len(words) > LONG_TEXT else _known_token)("text", path, " ".join(words))
+    # Short texts come again and again; others would only fill the table.
+    return (_known_token if len(words) <= SHORT_TEXT else _token)("text", path, " ".join(words))
 
 
 def tokens(page: str) -> list[int]:
@@ -231,7 +234,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     have[0] += 1
                     have[1] ^= part
                     have[2] += first[token]
-        if len(held) > 200_000:
+        if len(held) > 100_000:
             yield out()
     if held:
         yield out()
