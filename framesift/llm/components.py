@@ -1,7 +1,8 @@
 """Connected components of a table of links, by joins and small aggregates only.
 
 First every task joins up the links of its own part of the table and hands on one link for each node, to the
-smallest node it found connected; that shortens paths to about the number of parts.  Then every node
+smallest node it found connected; that shortens paths to about the number of parts.  The links of a node are brought together
+and joined up once more, so that a node of a large group has one link and not one for each part.  Then every node
 carries the smallest node it knows to be connected with it.  A round takes the smallest label among the
 neighbours of a node, then replaces a label by the label of that label, so paths shorten by half or more.
 No node's neighbours are ever collected, so a node may have any number of them.  Each round is written to the
@@ -65,7 +66,8 @@ def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b), both long; the component is its smallest node."""
-    short = materialise(links.select("a", "b").where("a != b").mapInArrow(_joined_up, "a long, b long"), "links")
+    parts = links.select("a", "b").where("a != b").mapInArrow(_joined_up, "a long, b long")
+    short = materialise(parts.repartition("a").mapInArrow(_joined_up, "a long, b long"), "links")
     both = short.union(short.select("b", "a"))
     now = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select(
         "node", F.least("node", "low").alias("component"))
