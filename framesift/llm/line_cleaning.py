@@ -32,6 +32,8 @@ STOCK = ("all rights reserved|privacy policy|terms of (use|service)|cookie polic
          "todos los derechos reservados|política de privacidad|términos de uso|aceptar cookies|suscríbete|haga clic aquí|leer más")
 MARKS = "#*$%&|<>!"
 
+#: No stock phrase is longer, so lines beyond STOCK_TIMES of it need no look.
+STOCK_CHARS = 30
 #: A stock phrase counts if the line is at most so many times as long; marks count if the line is less than so many times as many.
 STOCK_TIMES = 6
 MARK_TIMES = 5
@@ -60,7 +62,8 @@ def line_fails(line: Column) -> Column:
     shouting = (~line.rlike(r"\p{Ll}") & line.rlike(r"(?s)\p{Lu}.*[ \t].*[ \t].*\p{Lu}")
                 & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 2 > F.regexp_count(line, F.lit(r"\p{L}"))))
     phrase = F.length(F.regexp_extract(F.lower(line), f"({STOCK})", 0))
-    return shouting | marked | ((phrase > 0) & (phrase * STOCK_TIMES >= F.length(line)))
+    boilerplate = (F.length(line) <= STOCK_CHARS * STOCK_TIMES) & (phrase > 0) & (phrase * STOCK_TIMES >= F.length(line))
+    return shouting | marked | boilerplate
 
 
 def _covered(hashes: Column) -> Column:
