@@ -249,6 +249,16 @@ def test_paths_are_written_where_spark_reads(spark, frames, clips, tmp_path, mon
         images.target_uri(spark, str(tmp_path))
 
 
+def test_the_shared_folder_may_be_written_on_a_cluster(spark, monkeypatch):
+    from framesift.session import qualified, shared_dir
+    shared = shared_dir(spark)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    assert images.target_uri(spark, f"{shared}/framesift/images") == qualified(spark, f"{shared}/framesift/images")
+    for outside in (f"{shared}-other/images", f"{shared}/../images"):
+        with pytest.raises(ValueError, match="local to each machine"):
+            images.target_uri(spark, outside)
+
+
 def test_a_run_leaves_no_scratch(spark, frames, clips, tmp_path):
     from pathlib import Path
     from framesift.session import shared_dir
