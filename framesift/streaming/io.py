@@ -59,13 +59,29 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
 
 
 def wait_for_rows(query: StreamingQuery, path: str, schema: str, condition: str, count: int, seconds: float = 120.0) -> None:
-    """Wait until a running query has written so many rows of a kind."""
-    spark, until = SparkSession.active(), time.time() + seconds
-    while spark.read.schema(schema).parquet(path).filter(condition).count() < count:
-        if not query.isActive:
+    """Wait until a running query has written so many rows of a kind.
+
+    It fails when batches have read no input and made no such row for `seconds`; a batch under way is waited for, however long
+    it takes.  Rows are counted again only when a batch was finished.
+    """
+    spark = SparkSession.active()
+    found, batch, moved = -1, None, time.time()
+    while True:
+        active, last = query.isActive, query.lastProgress
+        done = last and (last["runId"], last["batchId"])
+        if found < 0 or done != batch or not active:
+            now = spark.read.schema(schema).parquet(path).filter(condition).count()
+            if now >= count:
+                return
+            if now > found or (done != batch and last["numInputRows"]):
+                moved = time.time()
+            found = now
+        idle, batch = done != batch or not query.status["isTriggerActive"], done
+        if not active:
             query.awaitTermination()
-        if time.time() > until:
-            raise TimeoutError(f"fewer than {count} rows with {condition} after {seconds} seconds")
+            raise RuntimeError(f"the query ended with {found} of {count} rows with {condition}")
+        if idle and time.time() - moved > seconds:
+            raise TimeoutError(f"{found} of {count} rows with {condition}, and nothing for {seconds} seconds")
         time.sleep(0.2)
 
 

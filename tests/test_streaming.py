@@ -234,3 +234,24 @@ def test_late_frames_timers_and_counters(spark, tmp_path):
     assert sorted(tuple(r) for r in stream_io.progress(spark, out + "-c").collect()) == [(1, 9, 5), (2, 3, 2)]
     for name in ("next_emit", "rule", "timer"):
         assert spark.read.format("statestore").option("stateVarName", name).load(out + "-c").count() == 0
+
+
+def test_a_long_batch_is_waited_for(spark, tmp_path):
+    """The time to wait is counted while nothing is done, not while a batch is under way."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(1,)], "a long").coalesce(1).write.parquet(source)
+
+    def slow(batches):
+        import time
+        for batch in batches:
+            time.sleep(6 if len(batch) else 0)
+            yield batch
+    stream = spark.readStream.schema("a long").parquet(source).mapInPandas(slow, "a long")
+    query = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-c")
+             .trigger(processingTime="100 milliseconds").start())
+    try:
+        stream_io.wait_for_rows(query, out, "a long", "a = 1", 1, seconds=2)
+        with pytest.raises(TimeoutError, match="1 of 2 rows"):
+            stream_io.wait_for_rows(query, out, "a long", "a = 1", 2, seconds=2)
+    finally:
+        query.stop()
