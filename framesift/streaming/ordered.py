@@ -35,9 +35,13 @@ ORDERED = "clip_id long, kind string, frame_index long, emitted long"
 SMOOTHED = "clip_id long, kind string, frame_index long, labels binary"
 COUNTS = "decoded long, kept long"
 
-#: Rows that a processor hands on together, and frames ahead of their turn that it holds outside the state store.
+#: Rows that a processor hands on together, and frames ahead of their turn that it holds outside the state store: so many
+#: at least, and then as many as fit these bytes.
 OUT_ROWS = 4096
 AHEAD_ROWS = 1024
+AHEAD_BYTES = 32 << 20
+#: Frame numbers whose early frames are stored and fetched together.
+BLOCK = 64
 
 
 class InOrder(StatefulProcessor):
@@ -52,11 +56,13 @@ class InOrder(StatefulProcessor):
     lists = False
     #: Frames that are taken together.
     together = 1
+    ahead_rows, ahead_bytes = AHEAD_ROWS, AHEAD_BYTES
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.next_emit = handle.getValueState("next_emit", "value long")
-        self.early = handle.getMapState("early", "frame_index long", "payload binary")
+        # Early frames lie in blocks of frame numbers, in as many parts as there were times to put some away.
+        self.early = handle.getMapState("early", "block long, part long", "payload binary")
         self.rule = handle.getValueState("rule", "value binary")
         self.timer = handle.getValueState("timer", "at long")
         self.kept = handle.getMapState("kept", "stretch long", "bits binary")
@@ -95,19 +101,21 @@ class InOrder(StatefulProcessor):
         ended = False
         out: list[tuple] = []
         for pdf in rows:
-            ended |= bool(pdf["is_end"].any())
-            frames = pdf[~pdf["is_end"]].sort_values("frame_index", kind="stable")
-            for values in zip(frames["frame_index"], *(frames[c] for c in self.payload)):
-                index = int(values[0])
+            marks = pdf["is_end"].to_numpy(bool)
+            ended |= bool(marks.any())
+            numbers = pdf["frame_index"].to_numpy()[~marks].astype(np.int64)
+            order = np.argsort(numbers, kind="stable")
+            columns = (pdf[c].to_numpy(object)[~marks][order] for c in self.payload)
+            for index, *values in zip(numbers[order].tolist(), *columns):
                 # A number handed on or stored before is a copy of it; nothing is decided twice.
-                if index >= self.expected and index not in self.stored:
-                    self.ahead[index] = tuple(values[1:])
+                if index >= self.expected and not self._is_stored(index):
+                    self._hold(index, tuple(values))
                 if len(self.ahead) >= self.together and index >= self.expected and self.expected in self.ahead:
                     out.extend(self._hand_on())
                     if len(out) >= OUT_ROWS:
                         yield self._made(clip, out)
                         out = []
-                if len(self.ahead) > AHEAD_ROWS + self.together:
+                if len(self.ahead) > self.ahead_rows + self.together and self.held > self.ahead_bytes:
                     self._put_away()
         yield from self._close_batch(clip, out, ended, timerValues)
 
@@ -119,11 +127,14 @@ class InOrder(StatefulProcessor):
             yield from self._close_batch(key[0], [], True, timerValues)
 
     def _begin(self) -> None:
-        self.expected = self.next_emit.get()[0] if self.next_emit.exists() else 0
-        self.now = pickle.loads(self.rule.get()[0]) if self.rule.exists() else self.fresh()
-        # Frames ahead of their turn: a bounded number here, the others in the state store, of which the numbers are known.
+        # Every question to the state store is a round trip: a clip that is new has no state, and one that is not has all of it.
+        self.known = self.next_emit.exists()
+        self.expected = self.next_emit.get()[0] if self.known else 0
+        # Frames ahead of their turn: a bounded number here, the others in the state store, of which the numbers are known as
+        # bits, with the number of parts, by block.
+        self.now, self.stored = pickle.loads(self.rule.get()[0]) if self.known else (self.fresh(), {})
         self.ahead: dict[int, tuple] = {}
-        self.stored = {k[0] for k in self.early.keys()} if self.early.exists() else set()
+        self.held = 0
         self.tally = [0, 0]
         self.bits: dict[int, bytearray] = {}
 
@@ -144,24 +155,27 @@ class InOrder(StatefulProcessor):
                 out.append(("end", self.expected, *[None] * (len(self.output) - 3)))
         if out:
             yield self._made(clip, out)
-        before = self.counts.get() if self.counts.exists() else (0, 0)
+        # Counters with a time to live may be gone, or outlive a tombstone.
+        counted = self.known if self.remember is None else self.counts.exists()
+        before = self.counts.get() if counted else (0, 0)
         self.counts.update((before[0] + self.tally[0], before[1] + self.tally[1]))
         if ended:
             self._set_timer(None)
-            for state in (self.next_emit, self.early, self.rule, self.kept):
-                state.clear()
+            if self.known or self.stored:
+                for state in (self.next_emit, self.early, self.rule, self.kept):
+                    state.clear()
             self.ended.update((self.expected,))
             return
         self._put_away()
         for stretch, bits in self.bits.items():
             self.kept.updateValue((stretch,), (bytes(bits),))
         self.next_emit.update((self.expected,))
-        self.rule.update((pickle.dumps(self.now),))
+        self.rule.update((pickle.dumps((self.now, self.stored)),))
         if self.silent is not None:
             self._set_timer(timerValues.getCurrentProcessingTimeInMs() + int(self.silent * 1000))
 
     def _set_timer(self, at: int | None) -> None:
-        if self.timer.exists():
+        if self.known and self.timer.exists():
             self.handle.deleteTimer(self.timer.get()[0])
             self.timer.clear()
         if at is not None:
@@ -181,7 +195,8 @@ class InOrder(StatefulProcessor):
     def _note(self, index: int) -> None:
         stretch = index // STRETCH
         if stretch not in self.bits:
-            old = self.kept.getValue((stretch,))[0] if self.kept.exists() and self.kept.containsKey((stretch,)) else bytes(STRETCH // 8)
+            there = self.known and self.kept.containsKey((stretch,))
+            old = self.kept.getValue((stretch,))[0] if there else bytes(STRETCH // 8)
             self.bits[stretch] = bytearray(old)
         self.bits[stretch][index % STRETCH // 8] |= 1 << index % 8
 
@@ -189,7 +204,7 @@ class InOrder(StatefulProcessor):
         """All kept frames of a clip that ends, some thousand at a time."""
         if not self.lists:
             return
-        stored = {k[0] for k in self.kept.keys()} if self.kept.exists() else set()
+        stored = {k[0] for k in self.kept.keys()} if self.known and self.kept.exists() else set()
         for stretch in sorted(stored | set(self.bits)):
             bits = self.bits.get(stretch) or self.kept.getValue((stretch,))[0]
             found = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")) + stretch * STRETCH
@@ -198,11 +213,30 @@ class InOrder(StatefulProcessor):
     def _made(self, clip, out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame([(clip, *row) for row in out], columns=self.output)
 
+    def _hold(self, index: int, row: tuple) -> None:
+        if index not in self.ahead:
+            self.held += 256 + sum(len(v) for v in row if isinstance(v, (bytes, bytearray)))
+        self.ahead[index] = row
+
+    def _is_stored(self, index: int) -> bool:
+        return bool(self.stored and self.stored.get(index // BLOCK, (0, 0))[0] >> index % BLOCK & 1)
+
     def _put_away(self) -> None:
+        blocks: dict[int, dict[int, tuple]] = {}
         for index, row in self.ahead.items():
-            self.early.updateValue((index,), (pickle.dumps(row),))
-        self.stored.update(self.ahead)
-        self.ahead = {}
+            blocks.setdefault(index // BLOCK, {})[index] = row
+        for block, rows in blocks.items():
+            bits, parts = self.stored.get(block, (0, 0))
+            self.early.updateValue((block, parts), (pickle.dumps(rows),))
+            self.stored[block] = bits | sum(1 << index % BLOCK for index in rows), parts + 1
+        self.ahead, self.held = {}, 0
+
+    def _fetch(self, block: int) -> None:
+        """Take the early frames of a block out of the state store."""
+        for part in range(self.stored.pop(block)[1]):
+            for index, row in pickle.loads(self.early.getValue((block, part))[0]).items():
+                self._hold(index, row)
+            self.early.removeKey((block, part))
 
     def _in_turn(self) -> Iterator[list[tuple]]:
         """What the frames whose turn has come make, a few frames at a time."""
@@ -210,14 +244,13 @@ class InOrder(StatefulProcessor):
             rows: list[tuple] = []
             while len(rows) < self.together:
                 index = self.expected + len(rows)
-                if index in self.ahead:
-                    rows.append(self.ahead.pop(index))
-                elif index in self.stored:
-                    rows.append(pickle.loads(self.early.getValue((index,))[0]))
-                    self.early.removeKey((index,))
-                    self.stored.remove(index)
-                else:
+                if self._is_stored(index):
+                    self._fetch(index // BLOCK)
+                if index not in self.ahead:
                     break
+                rows.append(self.ahead.pop(index))
+            if not self.ahead:
+                self.held = 0
             if not rows:
                 return
             made, self.now = self.take_many(self.now, self.expected, rows)

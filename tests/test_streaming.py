@@ -255,3 +255,75 @@ def test_a_long_batch_is_waited_for(spark, tmp_path):
             stream_io.wait_for_rows(query, out, "a long", "a = 1", 2, seconds=2)
     finally:
         query.stop()
+
+
+class Calls:
+    """State in memory that counts the round trips to it."""
+
+    def __init__(self):
+        self.calls, self.values, self.maps = 0, {}, {}
+
+    def getValueState(self, name, schema, ttl=None):
+        return _State(self, self.values.setdefault(name, {}))
+
+    def getMapState(self, name, key, schema, ttl=None):
+        return _State(self, self.maps.setdefault(name, {}))
+
+
+class _State:
+    def __init__(self, owner, held):
+        self.owner, self.held = owner, held
+
+    def __getattribute__(self, name):
+        if name not in ("owner", "held"):
+            object.__getattribute__(self, "owner").calls += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held[()]
+
+    def update(self, value):
+        self.held[()] = value
+
+    def clear(self):
+        self.held.clear()
+
+    def keys(self):
+        return list(self.held)
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def getValue(self, key):
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.held.pop(key, None)
+
+
+@pytest.mark.parametrize("ahead", [None, 0])
+def test_early_frames_cost_no_round_trip_each(ahead):
+    """Every other frame comes first; with no bytes to hold them, what is early goes to the state store within a batch, too."""
+    import pandas as pd
+    n, state, out = 4096, Calls(), []
+    rng = random.Random(3)
+    odd, even = list(range(1, n, 2)), list(range(0, n, 2))
+    for batch in (odd, even + odd[:5] + [None]):
+        rng.shuffle(batch)
+        processor = O.Smooth(3)
+        if ahead is not None:
+            processor.ahead_rows = processor.ahead_bytes = ahead
+        processor.init(state)
+        rows = [(7, i, None if i is None else bytes([i % 251]), i is None) for i in batch]
+        pdfs = [pd.DataFrame(rows[a:a + 300], columns=["clip_id", "frame_index", "labels", "is_end"]) for a in range(0, len(rows), 300)]
+        for made in processor.handleInputRows((7,), iter(pdfs), None):
+            out += made.itertuples(index=False, name=None)
+    assert [r[1:3] for r in out] == [*(("frame", i) for i in range(n)), ("end", n)]
+    assert [r[3] for r in out[:5]] == [bytes([v]) for v in (0, 0, 0, 1, 2)]
+    assert state.calls < (n / 8 if ahead is None else 3 * n) and not state.maps["early"]
