@@ -7,7 +7,7 @@ which the token may stand (two tokens may be neighbours if merging their bytes a
 on which all open places agree are certain and are emitted, which happens within a bounded lookahead for
 ordinary text; states and transitions are made when they are first met and kept.  At the end of a piece the
 path to its last byte is emitted.  The table of states is bounded; where it ends, and where the open part of
-a piece grows long (runs of one character), the open places are followed without making states, with the
+a piece grows long (runs of one character), the transitions are followed depth first without making states, with the
 same result, so there is no longest piece.
 
 Texts are split by the vocabulary's pattern; a piece that is a token is that token.  Where the pattern begins a piece at
@@ -71,21 +71,10 @@ class Transducer:
         grows = {t[:k] for t in ranks for k in range(len(t))}
         #: Token id, if it is one, and whether it may grow into a token, of everything that is either.
         self.known = {t: (ranks.get(t), t in grows) for t in grows.union(ranks)}
-        self.lengths = {i: len(t) for t, i in ranks.items()}
-        #: The tree of tokens: node by node and byte (0 is the root), the token that ends at a node or -1, and
-        #: whether no longer token goes through it.
-        self.tree: dict[int, int] = {}
-        self.token_at, self.leaf = [-1], [False]
-        for token, number in ranks.items():
-            node = 0
-            for byte in token:
-                step = node << 8 | byte
-                self.leaf[node] = False
-                node = self.tree.setdefault(step, len(self.leaf))
-                if node == len(self.leaf):
-                    self.leaf.append(True)
-                    self.token_at.append(-1)
-            self.token_at[node] = number
+        #: Bytes of the longest token by its first three bytes (tokens of fewer have them all).
+        self.reach: dict[bytes, int] = {}
+        for token in ranks:
+            self.reach[token[:3]] = max(self.reach.get(token[:3], 0), len(token))
         self._pairs: dict[int, bool] = {}
         self._edges: dict[tuple[bytes, int], list[tuple[bytes, float]] | None] = {}
         self._ids: dict[tuple[int, bytes], int] = {}
@@ -193,7 +182,7 @@ class Transducer:
             if move is None:
                 before, pending, paths = self._states[state]
                 if len(self._states) >= KEPT_STATES or len(pending) >= OPEN_BYTES:
-                    return out + self._follow(before, pending, paths, piece[at:])
+                    return out + self._follow(before, pending + piece[at:])
                 certain, before, rest, paths = self._step(before, pending, paths, byte)
                 move = moves[state << 8 | byte] = certain, self._state(before, rest, paths)
             if move[0]:
@@ -203,48 +192,40 @@ class Transducer:
         out += paths[-1][1]  # the last open place is the end
         return out
 
-    def _follow(self, before: int, pending: bytes, paths: Paths, rest: bytes) -> list[int]:
-        """As `run`, from an open state on, without making states: the open places are followed side by side,
-        each by its node in the tree of tokens, and one token is kept for each byte instead of whole paths."""
-        last = [before] * (len(pending) + 1)  # the token that ends at each place, on the path to it
-        live = []
-        for place, path in paths:
-            at = 0
-            for token in path:
-                at += self.lengths[token]
-                last[at] = token
-            node = 0
-            for byte in pending[place:]:
-                node = self.tree[node << 8 | byte]
-            live.append((place, node))
-        tree, token_at, leaf, pairs = self.tree, self.token_at, self.leaf, self._pairs
-        n = len(pending)
-        for byte in rest:
-            n += 1
-            own, after = -1, []
-            for place, node in live:
-                node = tree.get(node << 8 | byte)
-                if node is None:
+    def _follow(self, before: int, text: bytes) -> list[int]:
+        """As `run`, from an open state on, without making states: the transitions are followed depth first, the longest token first.
+
+        One path leads to a place at most (the tokens of the bytes before it), so a place from which nothing goes on is
+        never come to again, and the work is in proportion to the bytes.
+        """
+        ranks, reach, pairs, n = self.ranks, self.reach, self._pairs, len(text)
+        out: list[int] = []
+        ends = [0]  # where each token of the path begins, and the path's end
+        dead: set[int] = set()
+        last, at = before, 0
+        upto = n
+        while at < n:
+            # Tokens of one and two bytes are no prefix of three; those are looked at in any case.
+            upto = min(upto, at + max(reach.get(text[at:at + 3], 0), 2))
+            for end in range(upto, at, -1):
+                token = ranks.get(text[at:end])
+                if token is None or end in dead:
                     continue
-                if own < 0:
-                    token = token_at[node]
-                    if token >= 0:
-                        before = last[place]
-                        fits = pairs.get(before << 32 | token)
-                        if fits if fits is not None else self._may_follow(before, token):
-                            own = token
-                if not leaf[node]:
-                    after.append((place, node))
-            if own < 0:
-                raise ValueError("the vocabulary lacks single bytes")
-            last.append(own)
-            after.append((n, 0))
-            live = after
-        out = []
-        while n:
-            out.append(last[n])
-            n -= self.lengths[last[n]]
-        return out[::-1]
+                fits = pairs.get(last << 32 | token)
+                if fits if fits is not None else self._may_follow(last, token):
+                    out.append(token)
+                    ends.append(end)
+                    last, at, upto = token, end, n
+                    break
+            else:
+                if not out:
+                    raise ValueError("the vocabulary lacks single bytes")
+                # Nothing goes on from here: the token before it has to be a shorter one.
+                dead.add(at)
+                upto = ends.pop() - 1
+                out.pop()
+                at, last = ends[-1], out[-1] if out else before
+        return out
 
 
 class _Pieces(dict):
@@ -281,6 +262,8 @@ class _Parts(dict):
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
+        if self.codec.words and part.isascii() and part[part[0] == " ":].isalpha():
+            return self.codec._pieces[part]  # one piece, kept there
         found = self.old.get(part)
         if found is None:
             found = b"".join(self.codec.encode_portions(part))
@@ -294,13 +277,14 @@ class _Parts(dict):
 
 
 class Codec:
-    """`parts`: the pattern begins a piece at every space behind another character than white space, whatever follows."""
+    """`parts`: the pattern begins a piece at every space behind another character than white space, whatever follows.
+    `words`: ASCII letters alone, or with a space in front, are one piece."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, parts: bool = False):
-        self.ranks, self.pattern, self.parts = ranks, pattern, parts
+    def __init__(self, ranks: dict[bytes, int], pattern: str, parts: bool = False, words: bool = False):
+        self.ranks, self.pattern, self.parts, self.words = ranks, pattern, parts, words
 
     def __getstate__(self):
-        return {"ranks": self.ranks, "pattern": self.pattern, "parts": self.parts}
+        return {"ranks": self.ranks, "pattern": self.pattern, "parts": self.parts, "words": self.words}
 
     @cached_property
     def _pieces(self) -> _Pieces:

@@ -160,3 +160,40 @@ def test_ties_in_small_vocabularies(text, seed):
     assert model.best(written) == brute(model, written)
     if text:
         assert model.count(text) == brute(model, written)
+
+
+def test_beyond_the_table_of_states(monkeypatch):
+    """With no room for states every piece is followed depth first: the same ids, with a few steps for each byte."""
+    codec = byte_bpe()
+    rng = random.Random(11)
+    letters = "aeinorst"
+    words = [" " + "".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    words += ["a" * 300, " " * 70, "é" * 40, "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(50)), "ab" * 100]
+    want = [bpe.Transducer.merged(codec._pieces.transducer, w.encode()) for w in words]
+    monkeypatch.setattr(bpe, "KEPT_STATES", 0)
+    steps = []
+
+    class Counted(dict):
+        def get(self, *key):
+            steps.append(key)
+            return dict.get(self, *key)
+    machine = bpe.Transducer(codec.ranks)
+    pairs = machine._pairs
+    for word, tokens in zip(words, want):
+        assert [machine.bytes_of[i] for i in machine.run(word.encode())] == tokens
+    # Pairs are known by now.  What is looked at is bounded by the bytes.
+    machine._pairs = Counted(pairs)
+    for word in words[:300]:
+        machine.run(word.encode())
+    assert len(steps) < sum(map(len, words[:300]))
+    assert len(machine._states) == 1
+
+
+def test_words_of_letters_are_one_piece():
+    codec = byte_bpe()
+    plain = bpe.Codec(codec.ranks, codec.pattern, parts=True)
+    texts = ["Some words, and more words", " x", "  two", "don't can't we'll", "naïve café", "a1 b2", "", "x\ny z", "ends "]
+    for column in (pa.array(texts), pa.array([" ".join(texts)] * 2)):
+        for (a, b), (c, d) in zip(codec.encode_column(column), plain.encode_column(column), strict=True):
+            assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
+    assert codec.words and " words" in codec._pieces and " words" not in codec._known
