@@ -40,16 +40,16 @@ from framesift.llm.common import free_name
 from framesift.llm.text import buffers, part_starts, slices
 
 #: Pieces whose ids are kept, per task process.
-KEPT_PIECES = 100_000
+KEPT_PIECES = 150_000
 #: Parts whose ids are kept, and the most characters of one.
 KEPT_PARTS, KEPT_BYTES = 150_000, 64
 #: States that are made, and open bytes beyond which none is made: what goes on from there is followed byte by byte.
-KEPT_STATES = 40_000
+KEPT_STATES = 10_000
 OPEN_BYTES = 48
 KEPT_PAIRS = 400_000
 #: Matches that are encoded together, and ids that are decoded together.
 PORTION = 1 << 16
-#: Bytes of text that are cut into parts together.
+#: Bytes of text that are cut into parts together; digests, which hand on no ids, take twice as many.
 TOGETHER = 1 << 20
 
 #: Open places in ascending order with the tokens that lead to each; the last place is the end.
@@ -64,6 +64,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+class _Sizes(dict):
+    """Sizes that a token may have, the largest first, by the next bytes of a text (HEAD of them, or all to its end)."""
+
+    HEAD = 4
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found: dict[bytes, set[int]] = {}
+        for token in ranks:
+            found.setdefault(token[:self.HEAD], set()).add(len(token))
+        for head, sizes in found.items():
+            sizes.update(k for k in range(1, len(head)) if head[:k] in ranks)
+            self[head] = tuple(sorted(sizes, reverse=True))
+
+    def __missing__(self, head: bytes) -> tuple[int, ...]:
+        return self[head[:-1]] if head else ()
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -71,10 +88,7 @@ class Transducer:
         grows = {t[:k] for t in ranks for k in range(len(t))}
         #: Token id, if it is one, and whether it may grow into a token, of everything that is either.
         self.known = {t: (ranks.get(t), t in grows) for t in grows.union(ranks)}
-        #: Bytes of the longest token by its first three bytes (tokens of fewer have them all).
-        self.reach: dict[bytes, int] = {}
-        for token in ranks:
-            self.reach[token[:3]] = max(self.reach.get(token[:3], 0), len(token))
+        self.sizes = _Sizes(ranks)
         self._pairs: dict[int, bool] = {}
         self._edges: dict[tuple[bytes, int], list[tuple[bytes, float]] | None] = {}
         self._ids: dict[tuple[int, bytes], int] = {}
@@ -198,16 +212,16 @@ class Transducer:
         One path leads to a place at most (the tokens of the bytes before it), so a place from which nothing goes on is
         never come to again, and the work is in proportion to the bytes.
         """
-        ranks, reach, pairs, n = self.ranks, self.reach, self._pairs, len(text)
+        ranks, sizes, pairs, n = self.ranks, self.sizes, self._pairs, len(text)
         out: list[int] = []
         ends = [0]  # where each token of the path begins, and the path's end
         dead: set[int] = set()
-        last, at = before, 0
-        upto = n
+        last, at, upto = before, 0, n
         while at < n:
-            # Tokens of one and two bytes are no prefix of three; those are looked at in any case.
-            upto = min(upto, at + max(reach.get(text[at:at + 3], 0), 2))
-            for end in range(upto, at, -1):
+            for size in sizes[text[at:at + _Sizes.HEAD]]:
+                end = at + size
+                if end > upto:
+                    continue
                 token = ranks.get(text[at:end])
                 if token is None or end in dead:
                     continue
@@ -262,8 +276,6 @@ class _Parts(dict):
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        if self.codec.words and part.isascii() and part[part[0] == " ":].isalpha():
-            return self.codec._pieces[part]  # one piece, kept there
         found = self.old.get(part)
         if found is None:
             found = b"".join(self.codec.encode_portions(part))
@@ -276,6 +288,19 @@ class _Parts(dict):
         return found
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def _plain_words(parts: pa.LargeStringArray) -> np.ndarray:
+    """Whether each part is ASCII letters alone, or with a space in front."""
+    data, offsets = buffers(parts)
+    letters = np.concatenate(([0], np.cumsum(_LETTER[data], dtype=np.int32 if len(data) < 1 << 31 else np.int64)))
+    sizes = np.diff(offsets)
+    spaces = np.append(data, 0)[offsets[:-1]] == 0x20
+    return (sizes > spaces) & (np.diff(letters[offsets]) + spaces == sizes)
+
+
 class Codec:
     """`parts`: the pattern begins a piece at every space behind another character than white space, whatever follows.
     `words`: ASCII letters alone, or with a space in front, are one piece."""
@@ -319,11 +344,11 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.encode_portions(text)), "<u4")
 
-    def encode_column(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode_column(self, column: pa.Array, together: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, offsets of texts in them) for runs of texts of bounded size; a null is an empty text."""
         data, offsets = buffers(column)
-        known = self._known.__getitem__
-        for lo, hi in slices(offsets, TOGETHER):
+        known, words = self._known.__getitem__, self._pieces.__getitem__
+        for lo, hi in slices(offsets, together or TOGETHER):
             own, where = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
             if not len(own):
                 yield np.zeros(0, np.uint32), where
@@ -331,13 +356,19 @@ class Codec:
             starts = part_starts(own, where) if self.parts else where[:-1][np.diff(where) > 0]
             cuts = pa.py_buffer(np.append(starts, len(own)).astype(np.int64))
             coded = pa.LargeStringArray.from_buffers(len(starts), cuts, pa.py_buffer(own.tobytes())).dictionary_encode()
-            made = [known(part) for part in coded.dictionary.to_pylist()]
+            own_parts = coded.dictionary
+            plain = _plain_words(own_parts).tolist() if self.words else [False] * len(own_parts)
+            # Words of letters are one piece and kept as that.
+            made = [words(part) if one else known(part)
+                    for part, one in zip(own_parts.to_numpy(zero_copy_only=False).tolist(), plain)]
             ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made)) // 4)
             rows = coded.indices.to_numpy(zero_copy_only=False)
             sizes = np.diff(ends, prepend=0)[rows]
             total = np.concatenate(([0], np.cumsum(sizes)))
-            # Each part's ids lie at one place; they are copied to where the part stands.
-            at = np.arange(total[-1]) + np.repeat(ends[rows] - total[1:], sizes)
+            # Each part's ids lie at one place; they are copied to where the part stands.  Ids are no more than bytes.
+            short = np.int32 if len(own) < 1 << 31 else np.int64
+            at = np.repeat((ends[rows] - total[1:]).astype(short), sizes)
+            at += np.arange(total[-1], dtype=short)
             yield np.frombuffer(b"".join(made), "<u4")[at], total[np.searchsorted(starts, where)]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
@@ -416,7 +447,7 @@ def digests(docs: DataFrame, codec: Codec, text: str = "text", key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, first, second = [], [], []
-            for ids, where in shared.value.encode_column(batch.column(1)):
+            for ids, where in shared.value.encode_column(batch.column(1), 2 * TOGETHER):
                 for a, b in zip(where[:-1], where[1:]):
                     own = ids[a:b]
                     n.append(len(own))

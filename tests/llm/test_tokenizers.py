@@ -197,3 +197,29 @@ def test_words_of_letters_are_one_piece():
         for (a, b), (c, d) in zip(codec.encode_column(column), plain.encode_column(column), strict=True):
             assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
     assert codec.words and " words" in codec._pieces and " words" not in codec._known
+
+
+def test_few_sizes_are_looked_at_beyond_the_table_of_states(monkeypatch):
+    """What may be a token is known by its first bytes: invented words cost less than one look-up for each byte."""
+    rng = random.Random(5)
+    syllables = ["th", "an", "er", "ation", "ou", "ch", "ei", "ble", "ing", "str", "é", "ß", "ñ"]
+    words = [(" " + "".join(rng.choice(syllables) for _ in range(rng.randrange(2, 7)))).encode() for _ in range(400)]
+    monkeypatch.setattr(bpe, "KEPT_STATES", 0)
+    steps = []
+
+    class Counted(dict):
+        def get(self, *key):
+            steps.append(key)
+            return dict.get(self, *key)
+    machine = bpe.Transducer(CODEC.ranks)
+    want = [REFERENCE.encode_ordinary(w.decode()) for w in words]
+    assert [machine.run(w) for w in words] == want
+    machine.ranks = Counted(CODEC.ranks)
+    assert [machine.run(w) for w in words] == want
+    assert len(steps) < sum(map(len, words))
+
+
+def test_words_are_told_in_the_column():
+    texts = ["word", " word", "a", " ", "  x", "x y", "é", " é", "a1", "don't", " Zz", "w\n", "{", "[", "`", "@", "x" * 200]
+    found = bpe._plain_words(pa.array(texts, pa.large_string())[1:])
+    assert found.tolist() == [t.isascii() and t[t[0] == " ":].isalpha() for t in texts[1:]]
